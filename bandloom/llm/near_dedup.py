@@ -13,9 +13,9 @@ from .common import BROADCAST_ROWS, fresh, mix64, shared_folder, stored, text_by
 from .graph import components
 from .shingles import digests, minhashes, shingle_sets
 
-#: Half keys in each of the two collections, and MinHash values in a half key. HALVES**2 = 144 tables of 4 values each
-#: take 48 MinHash values instead of 576; a pair at similarity 0.75 shares no table with probability 1e-4.
-HALVES, ROWS = 12, 2
+#: Half keys in each of the two collections, and MinHash values in a half key. HALVES**2 = 256 tables of 4 values each
+#: take 64 MinHash values instead of 1024; a pair at similarity 0.75 shares no table with probability 4e-6.
+HALVES, ROWS = 16, 2
 
 #: Shingles of one block of a large cluster (16 MB of hashes).
 BLOCK_SHINGLES = 2_000_000

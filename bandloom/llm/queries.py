@@ -1,7 +1,30 @@
 """The queries of the corpus operators, by name, and SQL for those that it can express."""
 
+from .decontaminate import op3_decontaminate
+from .language_id import op8_language_id
+from .line_dedup import OP7_SQL, op7_line_dedup
+from .mixing import op5_mix_sources
 from .near_dedup import op4_minhash_near_dedup
+from .secrets import op1_secret_forest
+from .token_counts import op9_token_counts
+from .token_files import op6_token_files
+from .vector_dedup import op10_vector_near_dedup
+from .warc import op2_warc_index_merge
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup,)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_forest,
+        op2_warc_index_merge,
+        op3_decontaminate,
+        op4_minhash_near_dedup,
+        op5_mix_sources,
+        op6_token_files,
+        op7_line_dedup,
+        op8_language_id,
+        op9_token_counts,
+        op10_vector_near_dedup,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_line_dedup": OP7_SQL}
