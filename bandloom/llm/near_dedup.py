@@ -74,8 +74,9 @@ class SetIndex:
     def overlaps(self, one: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of a sorted set with each set of the block."""
         at = np.searchsorted(self.keys, one)
-        at = at[at < len(self.keys)] if len(self.keys) else at[:0]
-        at = at[np.isin(self.keys[at], one)] if len(at) else at
+        inside = at < len(self.keys)
+        at, one = at[inside], one[inside]
+        at = at[self.keys[at] == one]
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         where = np.repeat(self.first[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
