@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows up to which a helper table of a few longs a row may be broadcast (some 10 MB); beyond, it is shuffled.
 BROADCAST_ROWS = 200_000
@@ -78,3 +79,15 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in lower:
         name += "_"
     return name
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id and hash of the text stand in ``gone`` (gone_id, gone_hash), columns unchanged.
+
+    Texts don't pass through Python for it; ``gone`` is broadcast if it is small.
+    """
+    gone = stored(gone.select("gone_id", "gone_hash").distinct(), shared_folder(docs.sparkSession, "gone"))
+    a, b = fresh("gone_id", docs.columns), fresh("gone_hash", docs.columns)
+    few = gone.select(F.col("gone_id").alias(a), F.col("gone_hash").alias(b))
+    few = F.broadcast(few) if gone.count() <= BROADCAST_ROWS else few
+    return docs.join(few, docs[id_column].eqNullSafe(few[a]) & (F.xxhash64(docs[text_column]) == few[b]), "left_anti")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, text_slices
+from .common import shared_folder, text_slices, without_rows
 
 #: A-Z to a-z; the other ASCII characters than digits and letters to spaces; bytes from 0x80 stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -118,7 +118,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, keep: list[str], id_column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [x for x in [automaton(shared.value, width)] if x] if shared is not None else None
         for whole in batches:
-            for batch in text_slices(whole, "scanned_text", 32 << 20):
+            for batch in text_slices(whole, "scanned_text", 4 << 20):
                 texts = batch.column("scanned_text").to_pylist()
                 if own is not None:
                     found = [scan(x, own) for x in texts]
@@ -157,8 +157,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], i
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit word, all columns unchanged."""
-    out, kept = _scanned(docs, benchmark, docs.columns, "item_id", "text", WINDOW, AUTOMATON_BYTES)
-    return out.where("n_hit = 0").select(*kept)
+    slim = docs.select(F.col("doc_id").alias("gone_id"), F.col("text"), F.xxhash64("text").alias("gone_hash"))
+    return without_rows(docs, find_contamination(slim, benchmark, ["gone_id", "gone_hash"]).where("contaminated"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

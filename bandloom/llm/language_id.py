@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes, text_slices
+from .common import text_bytes, text_slices, without_rows
 
 #: Buckets of hashed three-byte grams.
 BUCKET_BITS = 15
@@ -195,8 +195,8 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
 
     Ambiguous texts stay: they are in some language.
     """
-    out, kept = _identified(docs, train_on_documents(docs), docs.columns, "text")
-    return out.where("lang_pred <> 'und'").select(*kept)
+    slim = docs.select(F.col("doc_id").alias("gone_id"), F.col("text"), F.xxhash64("text").alias("gone_hash"))
+    return without_rows(docs, identify(slim, train_on_documents(docs), ["gone_id", "gone_hash"]).where("lang_pred = 'und'"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
