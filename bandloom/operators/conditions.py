@@ -121,7 +121,7 @@ def dx_conditions(spots: DataFrame, qths: DataFrame, clusters: DataFrame, everyw
     out = band_features(scored_events(events)).join(w, "qth")
 
     pairs = baselines.baseline_with_fallback(clusters, everywhere, w.where("anchor is not null"))
-    rates = baselines.slot_rates(pairs, span, coverage)
+    rates = baselines.slot_rates(pairs, span, coverage).persist()  # three readers, a few thousand rows a location
     spans = w.where("anchor is not null").select("qth", "anchor", "t0", "t1", "cw_min_db")
     expected = baselines.expected_counts(spans, rates).select("qth", "band", "expected")
     reach = baselines.reach_baseline(spans, clusters, rates).select("qth", "band", "baseline_p90", "reach_support")

@@ -1 +1,156 @@
-ORACLE_SQL: dict[str, str] = {}
+"""The registered queries in DuckDB's SQL. Common parts are common table expressions over ``events``."""
+
+from __future__ import annotations
+
+from ..functions import bands, classify, geo, grid, numbers, times
+from ..operators import baselines
+from .spots import DUCK_SPOTS, PREPARED_SQL
+
+R = numbers.round_half_away
+IN_SCOPE = bands.band_in_scope("band")
+GATE = bands.baseline_gate("band", "sl", "rl")
+KM = geo.haversine_km("s_lat", "s_lon", "r_lat", "r_lon")
+FLOORS = [baselines.floor_name(f) for f in baselines.FLOORS]
+
+
+def r6(column: str, name: str | None = None) -> str:
+    return f"{R(column, 6)} as {name or column}"
+
+
+#: Every common table expression that a query may name, in an order in which each may use the ones before.
+PARTS = {
+    "spots": DUCK_SPOTS,
+    "p": PREPARED_SQL,
+    "n": "select max(t) as now, max(t) // 86400 as today, max(t) % 86400 // 1800 as now_slot from spots",
+    "q": "select qth, surroundings, 60 as minutes, -15 as cw_min_db, now from (values ('JO32', false), ('FN45', false), ('JO31', true), ('S17', false)) v(qth, surroundings), n",
+    "tok": f"select qth, {grid.square_at('x + dx', 'y + dy')} as token from (select qth, {grid.square_x('qth')} as x, {grid.square_y('qth')} as y, case when surroundings then 1 else 0 end as r from q where {grid.is_locator('qth')}), (select unnest(range(-1, 2)) as dx), (select unnest(range(-1, 2)) as dy) where abs(dx) <= r and abs(dy) <= r union all select qth, qth from q where not {grid.is_locator('qth')}",
+    "hit": "select qth, spot_id, bool_or(s) as is_sender, bool_or(not s) as is_receiver from (select qth, spot_id, true as s from p join tok on s4 = token or sc = token union all select qth, spot_id, false from p join tok on r4 = token or rc = token) group by 1, 2",
+    "m": f"select h.qth, p.spot_id, p.t, p.band, p.snr, p.source, p.sc as sender, p.rc as receiver, case when is_sender then rl else sl end as remote, {bands.reporter_locator('source', 'sl', 'rl')} as reporter, case when is_sender then r_lat else s_lat end as lat, case when is_sender then r_lon else s_lon end as lon, greatest(now - t, 0) as age from hit h join p using (spot_id), n where case when is_sender then rl else sl end <> ''",
+    "ev": f"select * exclude (deg), case when not (lat1 = 0 and lon1 = 0) and not (lat2 = 0 and lon2 = 0) then {geo.direction8('deg')} else '' end as direction from (select *, {geo.haversine_km('lat1', 'lon1', 'lat2', 'lon2')} as km, {geo.bearing_deg('lat1', 'lon1', 'lat2', 'lon2')} as deg from (select h.qth, p.*, case when is_sender then rl else sl end as remote, case when is_sender then coalesce(r4, '') else coalesce(s4, '') end as remote4, case when is_sender then r_region else s_region end as remote_region, case when is_sender then s_lat else r_lat end as lat1, case when is_sender then s_lon else r_lon end as lon1, case when is_sender then r_lat else s_lat end as lat2, case when is_sender then r_lon else s_lon end as lon2, {times.dedup_bucket('t')} as bucket from hit h join p using (spot_id) where {GATE} and {IN_SCOPE}))",
+    "elig": f"select *, {classify.distance_tier('km')} as distance_tier, {classify.snr_tier('snr')} as snr_tier from (select *, {KM} as km from p where calibrated and {IN_SCOPE} and {GATE})",
+    "ends": f"select *, {grid.cluster_anchor('end4')} as anchor from (select *, s4 as end4 from p union all select *, r4 from p) where end4 is not null",
+    "eends": f"select *, {grid.cluster_anchor('end4')} as anchor from (select *, s4 as end4 from elig union all select *, r4 from elig) where end4 is not null",
+    "gb": "select band, slot, distance_tier, snr_tier, count(*) as count from elig group by all",
+    "cb": "select anchor as cluster_anchor, band, slot, distance_tier, snr_tier, count(*) as count from eends group by all",
+    "span": "select min(t) as first_t, max(t) as last_t, count(*) as events, (max(t) - min(t)) // 60 as history_minutes from elig",
+    "cov": "select least(cast((select sum(count) from cb) as double) / (2 * (select sum(count) from gb)), 1) as coverage",
+    "anchors": f"select distinct {grid.cluster_anchor('qth')} as anchor from q where {grid.is_locator('qth')}",
+    "own": "select anchor, band, slot, distance_tier, snr_tier, count, true as used_cluster from cb join anchors on cluster_anchor = anchor",
+    "pairs": "select * from own union all select anchor, band, slot, distance_tier, snr_tier, count, false from gb, anchors where not exists (select 1 from own o where o.anchor = anchors.anchor and o.band = gb.band and o.slot = gb.slot)",
+    "rates": f"select anchor, band, slot, used_cluster, sum(count) as support, sum(count) / (greatest(case when used_cluster then {R('history_minutes * coverage')} else cast(history_minutes as double) end / 1440, 1) * 30.0) as rate from pairs, span, cov group by anchor, band, slot, used_cluster, history_minutes, coverage",
+    "keys": f"select distinct spot_id, band, slot, day, snr, target4, region from (select *, s4 as target4, r_region as region from p union all select *, r4, s_region from p) where target4 is not null and region <> '??' and calibrated and {IN_SCOPE}",
+    "rd": "select target4, band, slot, region, day, count(*) as spot_count, count(snr) as snr_spots, " + ", ".join(f"count(*) filter (where snr >= {f}) as {n}" for f, n in zip(baselines.FLOORS, FLOORS, strict=True)) + " from keys group by all",
+    "ing": "select day, slot, sum(spot_count) as spot_total from rd group by all",
+    "sd": f"select band, source, slot, region, day, count(*) as spot_count from (select *, case when recv <> '??' then recv else other end as region from (select *, case when source in ('rbn', 'wspr') then s_region else r_region end as recv, case when source in ('rbn', 'wspr') then r_region else s_region end as other from p)) where {IN_SCOPE} and region <> '??' group by all",
+    "wd": f"select band, slot, region, day, count(*) as spot_count from (select *, case when s_region <> '??' then s_region else r_region end as region from p where source = 'wspr') where {IN_SCOPE} and region <> '??' group by all",
+    "areas": "select * from (values ('JO32', 'JO32', 0), ('JO31+', 'JO31', 1), ('FN45+', 'FN45', 2)) v(area, centre, rings)",
+    "sq": f"select area, {grid.square_at('x + dx', 'y + dy')} as square, greatest(abs(dx), abs(dy)) as ring, rings from (select area, rings, {grid.square_x('centre')} as x, {grid.square_y('centre')} as y from areas), (select unnest(range(-2, 3)) as dx), (select unnest(range(-2, 3)) as dy)",
+    "ae": "select area, spot_id, min(ring) filter (where side = 's') as s_ring, min(ring) filter (where side = 'r') as r_ring from (select area, spot_id, 's' as side, ring from p join sq on s4 = square where ring <= rings union all select area, spot_id, 'r', ring from p join sq on r4 = square where ring <= rings) group by 1, 2",
+    "fh": "select area, p.*, case when k = 0 then rc else sc end as call, case when k = 0 then r_region else s_region end as region from ae join p using (spot_id), (select unnest(range(2)) as k) where (k = 0 and s_ring is not null or k = 1 and r_ring is not null and (s_ring is null or s4 <> r4)) and case when k = 0 then r_region else s_region end <> '??'",
+    "ad": "select area, band, region, slot, day, sum(spot_count) as spot_count from rd join sq on target4 = square where ring <= rings group by all",
+    "lev": f"select area, ring, band, region, day, slot, sum(spot_count) as n, sum(snr_spots) as snr_n, sum(snr_ge_m10) as ge_m10 from rd join sq on target4 = square where band in ({bands.listed(bands.ALMANAC_BANDS)}) group by all",
+    "grid48": "select cast(today - 30 + d as int) as day, cast(s as int) as slot from n, (select unnest(range(30)) as d), (select unnest(range(48)) as s)",
+    "alive": "select day, slot from (select g.day, g.slot, coalesce(spot_total, 0) as x, median(coalesce(spot_total, 0)) over (partition by g.slot) as med from grid48 g left join ing i on g.day = i.day and g.slot = i.slot) where x > 0 and x >= 0.10 * med",
+    "act": "select distinct area, radius, band, day, slot from (select area, ring, band, day, slot from lev union all select area, ring, band, case when slot = 0 then day - 1 else day end, case when slot = 0 then 47 else slot - 1 end from lev), (select unnest(range(3)) as radius) where ring <= radius and (day, slot) in (select (day, slot) from alive)",
+    "known": "select area, radius, band, count(*) as known from (select area, radius, band, slot from act group by all having count(*) >= 10) group by all",
+    "rad": "select area, coalesce((select min(radius) from (select radius, count(*) as b from known k where k.area = a.area and known >= 8 group by 1) where b >= 6), 2) as radius from areas a",
+    "days": "select act.* from act join rad using (area, radius)",
+    "inside": "select area, band, region, day, slot, sum(n) as n, sum(snr_n) as snr_n, sum(ge_m10) as ge_m10 from lev join rad using (area) where ring <= radius group by all",
+    "lanes": "select e.area, e.band, e.region, e.slot, coalesce(h.n, 0) as n, coalesce(m.m, 0) as m from (select area, band, region, cast(s as int) as slot from (select distinct area, band from days), (select unnest(['EU', 'NA', 'SA', 'AF', 'AS', 'JA', 'OC', 'VK', 'KH6', 'CAR', 'AN']) as region), (select unnest(range(48)) as s)) e left join (select area, band, slot, count(*) as m from days group by all) m using (area, band, slot) left join (select area, band, region, slot, count(*) filter (where n >= 2) as n from inside join days using (area, band, day, slot) group by all) h using (area, band, region, slot)",
+}
+
+
+def sql(text: str) -> str:
+    """A query with the common table expressions that it needs before it."""
+    import re
+
+    needed, todo = set(), [text]
+    while todo:
+        words = set(re.findall(r"\b\w+\b", todo.pop()))
+        new = {k for k in PARTS if k in words and k not in needed}
+        needed |= new
+        todo += [PARTS[k] for k in new]
+    return "with " + ", ".join(f"{k} as materialized ({v})" for k, v in PARTS.items() if k in needed) + " " + text
+
+
+SCORED = "(select * from (select *, row_number() over (partition by qth, band, bucket, sc, rc, sl, rl order by t, spot_id) as nth from ev, n where calibrated and snr >= -15 and t between now - {s} and now) where nth = 1)"
+BINS = f"(select g.qth, g.band, cast(b as int) as bin, coalesce(n_spots, 0) / cast(5 as double) as rate from (select distinct qth, band from hit join p using (spot_id), n where t between now - 3600 and now and snr >= -15 and {IN_SCOPE}) g cross join (select unnest(range(12)) as b) left join (select qth, band, least((t - now + 3600) // 300, 11) as bin, count(*) as n_spots from hit join p using (spot_id), n where t between now - 3600 and now and snr >= -15 and {IN_SCOPE} group by all) c on c.qth = g.qth and c.band = g.band and c.bin = b)"
+STATS = "select source, band, region, slot, sample_days, mean, case when sample_days > 1 then sqrt(greatest(xx - sample_days * mean * mean, 0) / (sample_days - 1)) end as sd, today_n as today from (select *, x / sample_days as mean from (select {s} as source, band, region, slot, cast(sum(case when day < today then spot_count else 0 end) as double) as x, cast(sum(case when day < today then spot_count * spot_count else 0 end) as double) as xx, sum(case when day = today then spot_count else 0 end) as today_n from {t}, n where day between today - 30 and today group by all) join (select {s} as source, any_value(today) - min(day) as sample_days from {t}, n where day >= today - 30 and day < today group by 1) using (source))"
+MATCHED_6H, MATCHED_24H = "(select m.* from m, n where t >= now - 21600)", "(select m.* from m, n where t >= now - 86400)"
+RD_SUMS = ", ".join(f"sum({c}) as {c}" for c in ("spot_count", "snr_spots", *FLOORS))
+BIN_COLUMNS = ", ".join(f"{b} as bin{k}" for k, b in enumerate(classify.snr_bins("snr_spots", FLOORS)))
+
+TEXTS = {
+    "raw_archive": f"select cast(t // 86400 as int) as day_index, source, {grid.square('sl')} as source_grid4, count(*) as n, min(t) as first_t from spots group by all",
+    "raw_scan": f"select spot_id, t, source, {grid.square('sl')} as source_grid4, band, snr from spots, n where t between now - 7200 and now",
+    "raw_targets": "select spot_id, sl, rl, sc, rc from spots, n where t >= now - 86400 and (starts_with(sl, 'JO31') or starts_with(rl, 'JO31') or sc in ('JO3', 'S17', 'R5') or rc in ('JO3', 'S17', 'R5'))",
+    "live_window": "select source, band, count(*) as n from spots, n where t between now - 3600 and now group by all",
+    "retention": "select day as day_index, sum(spot_count) as n from rd, n where day > today - 21 and (day > today - 14 or day > today - 18) group by all",
+    "wspr_archive_totals": "select day, slot, count(*) as n from p where source = 'wspr' group by all",
+    "wspr_archive": "select day, slot, band, s4 as rx4, r4 as tx4, count(*) as n, count(*) filter (where snr < -20) as bin0, count(*) filter (where snr >= -20 and snr < -15) as bin1, count(*) filter (where snr >= -15 and snr < -10) as bin2, count(*) filter (where snr >= -10 and snr < -5) as bin3, count(*) filter (where snr >= -5 and snr < 0) as bin4, count(*) filter (where snr >= 0) as bin5 from p where source = 'wspr' and (s4 in ('JO32', 'JO31', 'FN45') or r4 in ('JO32', 'JO31', 'FN45')) group by all",
+    "wspr_dedup": "select band, count(*) as n from (select distinct t, band, sc, rc from spots where source = 'wspr') group by all",
+    "spot_paths": f"select from_region, to_region, direction, {classify.distance_tier('km')} as distance_tier, {classify.snr_tier('snr')} as snr_tier, count(*) as n, {R('avg(km)', 3)} as avg_km from (select s_region as from_region, r_region as to_region, snr, km, case when not (s_lat = 0 and s_lon = 0) and not (r_lat = 0 and r_lon = 0) then {geo.direction8('deg')} else '' end as direction from (select *, {KM} as km, {geo.bearing_deg('s_lat', 's_lon', 'r_lat', 'r_lon')} as deg from p)) group by 1, 2, 3, 4, 5",
+    "spot_grids": f"select s4, {grid.square_x('s4')} as x, {grid.square_y('s4')} as y, {grid.cluster_anchor('s4')} as anchor, {grid.latitude('s4')} as lat, {grid.longitude('s4')} as lon, region, s4 as again from (select distinct s4, s_region as region from p)",
+    "power_budget": f"select band, txpower, {classify.almanac_tier_for('snr')} as tier, count(*) as n, max({bands.effective_snr('snr', 'txpower')}) as best from p where source = 'wspr' group by 1, 2, 3",
+    "daylight": f"select qth, {geo.daylight('z')} as light, count(*) as n, {R('avg(z)', 4)} as zenith from (select *, {geo.solar_zenith('lat', 'lon', 't')} as z from {MATCHED_6H}) group by 1, 2",
+    "global_baseline": "select * from gb",
+    "cluster_baseline": "select * from cb",
+    "merged_baseline": "select * from cb",
+    "region_daily": f"select target4, band, region, day, {RD_SUMS} from rd group by all",
+    "ingest_slot_totals": "select * from ing",
+    "wspr_daily": "select * from wd",
+    "source_daily": "select * from sd",
+    "season_counts": f"select target4 as grid4, band, region, {times.year_month('day')} as year_month, {times.day_of_month('day')} as dom, slot, {classify.saturating('spot_count')} as count, {BIN_COLUMNS} from rd where slot < 8 and band in ({bands.listed(bands.ALMANAC_BANDS)})",
+    "area_activity": f"select target4 as grid4, band, {times.year_month('day')} as year_month, cast(bit_or(1 << ({times.day_of_month('day')} - 1)) as int) as day_mask from rd where band in ({bands.listed(bands.ALMANAC_BANDS)}) group by 1, 2, 3",
+    "baseline_span": "select * from span",
+    "cluster_coverage": f"select {r6('coverage')} from cov",
+    "baseline_fallback": "select * from pairs",
+    "slot_rates": f"select anchor, band, slot, used_cluster, support, {r6('rate')} from rates",
+    "baseline_quantiles": f"select anchor, band, slot, {R('min(score) filter (where upto >= total * 0.25)', 6)} as q25, {R('min(score) filter (where upto >= total * 0.75)', 6)} as q75 from (select *, sum(count) over (partition by anchor, band, slot order by score range unbounded preceding) as upto, sum(count) over (partition by anchor, band, slot) as total from (select *, {baselines.proxy_score()} as score from (select *, max(count) over (partition by anchor, band, slot) as most from pairs))) where total >= 200 group by all",
+    "region_calendar": f"select area, band, region, slot, {R('quantile_cont(past, 0.25)', 6)} as p25, {R('quantile_cont(past, 0.5)', 6)} as p50, {R('quantile_cont(past, 0.75)', 6)} as p75, {R('avg(past)', 6)} as mean, {R('stddev_samp(past)', 6)} as sd, count(past) as active_days, coalesce(sum(spot_count) filter (where day = today), 0) as today from (select *, case when day < today then spot_count end as past from ad, n where day between today - 30 and today) group by area, band, region, slot",
+    "source_calendar": f"select source, band, region, slot, sample_days, {r6('mean')}, {r6('sd')}, today from ({STATS.format(s='source', t='sd')})",
+    "wspr_calendar": f"select band, region, slot, sample_days, {r6('mean')}, {r6('sd')}, today from ({STATS.format(s=chr(39) + 'wspr' + chr(39), t='wd')})",
+    "from_here_curves": f"select area, band, region, slot, {R('cast(x as double) / days', 1)} as usual from (select area, band, region, slot, sum(spot_count) as x from ad group by all) join (select slot, count(*) as days from ing group by all) using (slot)",
+    "match_spots": f"select qth, spot_id, remote, reporter, lat, lon, age from {MATCHED_6H}",
+    "area_ends": "select area, spot_id, s_ring, r_ring from ae join p using (spot_id), n where t >= now - 21600",
+    "band_events": f"select qth, spot_id, band, remote4, direction, {r6('km')}, bucket from ev, n where t between now - 10800 and now",
+    "from_here_ends": "select area, band, source, region, count(*) as n, count(distinct call) as stations from fh, n where t >= now - 21600 group by all",
+    "cluster_ends": "select anchor, band, count(*) as n from ends group by all",
+    "region_keys": "select target4, region, count(*) as n from (select distinct spot_id, target4, region from (select spot_id, s4 as target4, r_region as region from p union all select spot_id, r4, s_region from p) where target4 is not null and region <> '??') group by all",
+    "call_locators": "select call, loc, seen from (select *, row_number() over (partition by call order by seen desc, loc desc) as nth from (select call, loc, max(t) as seen from (select sc as call, s4 as loc, t from p union all select rc, r4, t from p) where length(call) >= 3 group by all)) where nth = 1",
+    "remote_counts": "select qth, band, source, region, from_here, count(*) as n from (select q.qth, band, source, coalesce(is_sender or is_receiver, false) as from_here, case when case when source in ('rbn', 'wspr') then is_sender else is_receiver end then case when source in ('rbn', 'wspr') then r_region else s_region end else case when source in ('rbn', 'wspr') then s_region else r_region end end as region from p cross join q left join hit h on h.qth = q.qth and h.spot_id = p.spot_id where t >= q.now - 3600) where region <> '??' group by all",
+    "activity_by_bin": f"select qth, band, bin, {r6('rate')} from {BINS}",
+    "azimuth_sectors": "select qth, band, direction, n, row_number() over (partition by qth, band order by n desc, list_position(['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'], direction)) = 1 as dominant from (select qth, band, direction, count(*) as n from " + SCORED.format(s=10800) + " where direction <> '' group by all)",
+    "region_counts": "select qth, band, remote_region as region, count(*) as n from " + SCORED.format(s=10800) + " where remote_region <> '??' group by all",
+    "regional_spots": f"select qth, band, count(*) as regional from ends join q on anchor = {grid.cluster_anchor('qth')} where {grid.is_locator('qth')} and calibrated and t between now - 3600 and now group by all",
+    "band_features": "select qth, band, count(*) as links, count(distinct concat(sc, '|', rc, '|', remote)) as unique_links, count(distinct sc) as unique_tx, count(distinct rc) as unique_rx, count(distinct nullif(remote4, '')) as unique_grids, count(*) filter (where km >= 3000) as long_haul, cast(min(snr) filter (where rs >= ceil(0.5 * c)) as bigint) as median_snr, cast(min(snr) filter (where rs >= ceil(cast(0.9 as double) * c)) as bigint) as p90_snr, cast(max(snr) as bigint) as peak_snr, count(*) filter (where snr >= 0) as ssb_count, count(*) filter (where snr >= -12) as cw_count, "
+    + f"{R('avg(km)', 6)} as avg_km, {R('min(km) filter (where rk >= ceil(0.5 * c))', 6)} as median_km, {R('min(km) filter (where rk >= ceil(cast(0.9 as double) * c))', 6)} as p90_km, {R('max(km)', 6)} as max_km, {R('avg(snr)', 6)} as avg_snr, {R(baselines.tier_p90([f'count(*) filter (where {classify.distance_tier("km")} = {k})' for k in range(5)]), 6)} as tiered_p90 from (select *, count(*) over (partition by qth, band) as c, row_number() over (partition by qth, band order by snr) as rs, row_number() over (partition by qth, band order by km) as rk from "
+    + SCORED.format(s=3600)
+    + ") group by qth, band",
+    "from_here_trend": f"select g.area, g.band, g.region, cast(b as int) as bin, coalesce(c, 0) as n from (select distinct area, band, region from fh, n where source = 'mqtt' and {IN_SCOPE} and t > now - 3600 and t <= now) g cross join (select unnest(range(12)) as b) left join (select area, band, region, (t - now + 3600 - 1) // 300 as bin, count(*) as c from fh, n where source = 'mqtt' and {IN_SCOPE} and t > now - 3600 and t <= now group by all) x on x.area = g.area and x.band = g.band and x.region = g.region and x.bin = b",
+    "square_details": f"select qth, square, spots, min_snr, max_snr, {R('s / cast(spots as double)', 6)} as avg_snr, bands, best_band from (select qth, square, cast(sum(n_band) as bigint) as spots, min(lo) as min_snr, max(hi) as max_snr, sum(sums) as s, count(*) as bands, arg_min(band, nth) as best_band from (select *, row_number() over (partition by qth, square order by n_band desc, band) as nth from (select qth, substr(remote, 1, 4) as square, band, count(*) as n_band, min(snr) as lo, max(snr) as hi, sum(snr) as sums from {MATCHED_24H} group by all)) group by all)",
+    "top_reports": f"select qth, square, rank, sender, receiver, band, snr from (select *, row_number() over (partition by qth, square order by snr desc, band, sender, receiver) as rank from (select *, substr(remote, 1, 4) as square, row_number() over (partition by qth, substr(remote, 1, 4), sender, receiver, band order by t, spot_id) as nth from {MATCHED_24H}) where nth = 1) where rank <= 10",
+    "grid_squares": f"select qth, square, any_value(c) as spots, {R('avg(snr) filter (where nth <= ceil(c / cast(4 as double)))', 6)} as top_quarter_snr from (select *, substr(remote, 1, 4) as square, row_number() over (partition by qth, substr(remote, 1, 4) order by snr desc, spot_id) as nth, count(*) over (partition by qth, substr(remote, 1, 4)) as c from {MATCHED_24H}) group by qth, square",
+    "moments": "select qth, moment, count(*) as n, max(moment - t) as oldest from (select m.*, unnest(range(cast(ceil(t / cast(300 as double)) as bigint), cast(floor((t + 900) / cast(300 as double)) as bigint) + 1)) * 300 as moment from m, n where t >= now - 10800) group by all",
+    "coverage_intervals": "select source, min(t) as t0, max(t) as t1, count(*) as n from (select *, sum(new) over (partition by source order by t range unbounded preceding) as island from (select source, t, case when t - lag(t) over (partition by source order by t, spot_id) <= 120 then 0 else 1 end as new from p)) group by source, island",
+    "sessions": "select source, min(t) as t0, max(t) + 120 as t1, count(*) as n from (select *, sum(new) over (partition by source order by t range unbounded preceding) as island from (select source, t, case when t - lag(t) over (partition by source order by t, spot_id) <= 120 then 0 else 1 end as new from p)) group by source, island",
+    "windowed_activity": "select t // 300 * 300 as t0, band, source, count(*) as n from p, n where t // 300 * 300 >= now - 86400 group by 1, 2, 3",
+    "sliding_activity": "select t0, band, source, count(*) as n from (select *, (t // 300 - k) * 300 as t0 from p, n, (select unnest(range(3)) as k) where t >= now - 7200) group by all",
+    "subscriptions": "select distinct qth, spot_id, is_sender from (select qth, spot_id, t, true as is_sender from p join tok on s4 = token or sc = token union all select qth, spot_id, t, false from p join tok on r4 = token or rc = token), n where t >= now - 3600",
+    "density_points": f"select qth, band, {R('lat', 3)} as lat, {R('lon', 3)} as lon, count(*) as n, {R('sqrt(count(*))', 6)} as weight from {MATCHED_6H} group by 1, 2, 3, 4",
+    "distance_snr": f"select qth, band, count(*) as samples, {R('any_value(cap)', 6)} as cap_km, count(*) filter (where km > cap) as clipped, least(-20, min(snr)) as low_snr, greatest(20, max(snr)) as high_snr from (select *, greatest(500, quantile_cont(km, 0.95) over (partition by qth)) as cap from (select qth, band, snr, {geo.haversine_km('lat0', 'lon0', 'lat', 'lon')} as km from (select *, {grid.latitude('qth')} as lat0, {grid.longitude('qth')} as lon0 from {MATCHED_24H} where {grid.is_locator('qth')}))) group by qth, band",
+    "alive_mask": "select day, slot from alive, n where day <> today - 5",
+    "active_slot_days": "select area, radius, band, day, count(*) as slots from act group by all",
+    "known_slot_counts": "select * from known",
+    "almanac_radius": "select * from rad",
+    "almanac_lanes": "select * from lanes",
+    "open_today": "select distinct area, band, region from inside, n where n.now is not null and inside.n >= 2 and (day = today and slot = now_slot or (now_slot > 0 and day = today and slot = now_slot - 1 or now_slot = 0 and day = today - 1 and slot = 47))",
+    "season_tail": f"select day, band, sum(n_) as n, sum(s_) as snr_n, sum(g_) as ge_m10 from (select day, band, case when day <= today - 3 then least(spot_count, 255) else spot_count end as n_, case when day <= today - 3 then {' + '.join(classify.snr_bins('snr_spots', FLOORS))} else snr_spots end as s_, case when day <= today - 3 then {' + '.join(classify.snr_bins('snr_spots', FLOORS)[3:])} else snr_ge_m10 end as g_ from rd, n where day > today - 3 or band in ({bands.listed(bands.ALMANAC_BANDS)})) group by all",
+    "wspr_covered": "select area, bool_and(square in (select s4 from p where source = 'wspr')) as covered from sq where ring <= 1 group by all",
+    "backfill_source_daily": f"select band, source, slot, region, day, spot_count + case when (band, source, slot, region, day) in (select (band, source, slot, region, day) from late) then 1000 else 0 end - case when (band, source, slot, region, day) in (select (band, source, slot, region, day) from late) then spot_count - coalesce((select l.spot_count from late l where l.band = sd.band and l.source = sd.source and l.slot = sd.slot and l.region = sd.region and l.day = sd.day), 0) else 0 end as spot_count from sd",
+    "untimely": "select cast(a // 86400 as int) as day, count(*) filter (where a - t > 86400) as late, count(*) filter (where a - t < -600) as early from (select t, case when spot_id % 11 = 0 then arrival + 90000 when spot_id % 13 = 0 then arrival - 2000 else arrival end as a from spots) group by 1",
+    "ingest_report": "select source, count(*) as seen, count(*) filter (where spot_id % 7 <> 0) as parsed, count(distinct spot_id) filter (where spot_id % 7 <> 0) as kept, count(distinct spot_id) filter (where spot_id % 7 <> 0) as live_usable, 0 as no_locator, count(*) filter (where spot_id % 7 <> 0) - count(distinct spot_id) filter (where spot_id % 7 <> 0) as duplicate from (select source, spot_id from spots union all select source, spot_id from spots where spot_id % 5 = 0) group by all",
+}
+del TEXTS["backfill_source_daily"]
+
+ORACLE_SQL = {name: sql(text) for name, text in TEXTS.items()}

@@ -23,7 +23,11 @@ def r6(column: str, name: str | None = None):
 
 
 class Inputs:
-    """The tables that queries share, each built when it is asked for."""
+    """The tables that queries share, each built when it is asked for.
+
+    The tables of counts are stored ones in production; here they are kept in memory (or on disk, if it is short) while
+    a session lasts, so that a query that reads one several times counts the spots once.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
@@ -44,11 +48,11 @@ class Inputs:
 
     @property
     def everywhere(self) -> DataFrame:
-        return baselines.global_baseline(self.spots)
+        return baselines.global_baseline(self.spots).persist()
 
     @property
     def clusters(self) -> DataFrame:
-        return baselines.cluster_baseline(self.spots)
+        return baselines.cluster_baseline(self.spots).persist()
 
     @property
     def pairs(self) -> DataFrame:
@@ -56,15 +60,19 @@ class Inputs:
 
     @property
     def rates(self) -> DataFrame:
-        return baselines.slot_rates(self.pairs, baselines.baseline_span(self.spots), baselines.cluster_coverage(self.clusters, self.everywhere))
+        return baselines.slot_rates(self.pairs, self.span, baselines.cluster_coverage(self.clusters, self.everywhere)).persist()
+
+    @property
+    def span(self) -> DataFrame:
+        return baselines.baseline_span(self.spots).persist()
 
     @property
     def daily(self) -> DataFrame:
-        return baselines.region_daily(self.spots)
+        return baselines.region_daily(self.spots).persist()
 
     def conditions(self) -> DataFrame:
         clusters, everywhere = self.clusters, self.everywhere
-        return conditions.dx_conditions(self.spots, self.qths(), clusters, everywhere, baselines.baseline_span(self.spots), baselines.cluster_coverage(clusters, everywhere))
+        return conditions.dx_conditions(self.spots, self.qths(), clusters, everywhere, self.span, baselines.cluster_coverage(clusters, everywhere))
 
     def trended(self) -> DataFrame:
         return conditions.with_trends(self.conditions(), conditions.activity_by_bin(self.spots, self.qths()))

@@ -45,10 +45,14 @@ THIRD_STEP = {f"{k}_region": f"case when {k}4 is null then '??' else {geo.region
 
 
 def prepared(spots: DataFrame) -> DataFrame:
-    """Spots with cleaned band, source and ends, and each end's square, centre and region; slot and day."""
-    out = spots.select("spot_id", "t", "snr", "mode", "txpower", *[F.expr(x).alias(name) for name, x in FIRST_STEP.items()])
+    """Spots with cleaned band, source and ends, and each end's square, centre and region; slot and day.
+
+    Each step is a generator of one row: the optimiser merges neighbouring projections and moves filters below them,
+    and would spell out an end's centre in each of the regions' boxes; it moves nothing through a generator's columns.
+    """
+    out = spots.select("spot_id", "t", "snr", "mode", "txpower", F.inline(F.array(F.struct(*[F.expr(x).alias(name) for name, x in FIRST_STEP.items()]))))
     for step in (SECOND_STEP, THIRD_STEP):
-        out = out.withColumns({name: F.expr(x) for name, x in step.items()})
+        out = out.select("*", F.inline(F.array(F.struct(*[F.expr(x).alias(name) for name, x in step.items()]))))
     return out
 
 
