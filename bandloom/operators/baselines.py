@@ -138,7 +138,7 @@ def slot_rates(pairs: DataFrame, span: DataFrame, coverage: DataFrame) -> DataFr
 
 def proxy_score(most: str = "most") -> str:
     """Score of a bucket, from 0 to 100: its distance tier, its share of the largest bucket and its SNR tier."""
-    return f"(cast(100 as double) * (0.45 * distance_tier / 4.0 + 0.35 * {clamp01(f'cast(count as double) / {most}')} + 0.20 * snr_tier / 3.0))"
+    return f"(cast(100 as double) * (0.45 * cast(distance_tier as double) / 4 + 0.35 * {clamp01(f'cast(count as double) / {most}')} + 0.20 * cast(snr_tier as double) / 3))"
 
 
 def baseline_quantiles(pairs: DataFrame, *key: str) -> DataFrame:

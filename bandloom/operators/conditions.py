@@ -140,7 +140,7 @@ def dx_conditions(spots: DataFrame, qths: DataFrame, clusters: DataFrame, everyw
     out = out.withColumn("reach_level", e(f"case when reach_ratio > 0 then {classify.reach_level('reach_ratio')} else '' end"))
     out = out.withColumns({"dx_ratio": e("cast(long_haul as double) / links"), "spots_per_minute": e("cast(links as double) / greatest(minutes, 1)")})
     activity = f"case when activity_level in ('above', 'normal', 'below') then {numbers.clamp01('activity_ratio / 2')} else 0.5 end"
-    out = out.withColumn("raw_score", e(f"cast(100 as double) * (0.45 * {numbers.clamp01('p90_km / 7000 * 0.7 + dx_ratio * 0.3')} + 0.35 * {activity} + 0.20 * {numbers.clamp01('(p90_snr + 20) / 30.0')})"))
+    out = out.withColumn("raw_score", e(f"cast(100 as double) * (0.45 * {numbers.clamp01('p90_km / 7000 * 0.7 + dx_ratio * 0.3')} + 0.35 * {activity} + 0.20 * {numbers.clamp01('cast(p90_snr + 20 as double) / 30')})"))
     out = out.withColumn("factor", e(f"{numbers.clamp01('links / 25.0')} * (0.35 + 0.65 * {numbers.clamp01('baseline_support / 2000.0')}) * case when q25 is null then 0.75 else 1 end"))
     out = out.withColumns({"score": e(numbers.clamp("raw_score * factor", 0, 100)), "confidence": e(numbers.clamp("100 * factor", 0, 99)), "status_score": e("(q25 + q75) / 2 + (raw_score - (q25 + q75) / 2) * factor")})
     out = out.withColumn("status", e(classify.band_status("status_score", "q25", "q75", "links"))).withColumn("mode", e(classify.spot_mode("ssb_count", "cw_count", "links")))

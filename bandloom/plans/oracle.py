@@ -153,4 +153,33 @@ TEXTS = {
 }
 del TEXTS["backfill_source_daily"]
 
+#: What the band table is made of.
+TIERS = [f"count(*) filter (where {classify.distance_tier('km')} = {k})" for k in range(5)]
+LOUD = f"{classify.snr_tier_max_db('snr_tier')} >= -15"
+PARTS |= {
+    "feat": f"select qth, band, count(*) as links, count(distinct concat(sc, '|', rc, '|', remote)) as unique_links, count(*) filter (where km >= 3000) as long_haul, min(km) filter (where rk >= ceil(cast(0.9 as double) * c)) as p90_km, min(snr) filter (where rs >= ceil(cast(0.9 as double) * c)) as p90_snr, count(*) filter (where snr >= 0) as ssb_count, count(*) filter (where snr >= -12) as cw_count, {baselines.tier_p90(TIERS)} as tiered_p90 from (select *, count(*) over (partition by qth, band) as c, row_number() over (partition by qth, band order by snr) as rs, row_number() over (partition by qth, band order by km) as rk from {SCORED.format(s=3600)}) group by qth, band",
+    "segs": f"select qth, anchor, cast(k % 48 as int) as slot, least((k + 1) * 1800, now) - greatest(k * 1800, now - 3600) as seconds from (select qth, {grid.cluster_anchor('qth')} as anchor, now, unnest(range((now - 3600) // 1800, (now - 1) // 1800 + 1)) as k from q where {grid.is_locator('qth')})",
+    "nsegs": "select qth, count(*) as slots from segs group by 1",
+    "expd": "select qth, band, case when c = slots then x end as expected from (select qth, band, sum(rate * seconds / 60) as x, count(*) as c from segs join rates using (anchor, slot) where used_cluster group by all) join nsegs using (qth)",
+    "slotted": "select qth, anchor, slot, seconds, band, sum(count) as all_n, " + ", ".join(f"coalesce(sum(count) filter (where {LOUD} and distance_tier = {k}), 0) as d{k}" for k in range(5)) + " from segs join (select cluster_anchor as anchor, band, slot, distance_tier, snr_tier, count from cb) using (anchor, slot) group by all",
+    "reached": "select qth, band, p90 as baseline_p90, reach_support from (select qth, band, count(*) as c, sum(heard) as reach_support, " + baselines.tier_p90([f"sum(weight * d{k} / heard)" for k in range(5)]) + " as p90 from (select *, rate * seconds / 60 * heard / all_n as weight from (select *, d0 + d1 + d2 + d3 + d4 as heard from slotted) join (select anchor, band, slot, rate from rates where used_cluster) using (anchor, band, slot) where heard > 0) group by all) join nsegs using (qth) where c = slots",
+    "quart": "select anchor, band, slot, min(score) filter (where upto >= total * 0.25) as q25, min(score) filter (where upto >= total * 0.75) as q75 from (select *, sum(count) over (partition by anchor, band, slot order by score range unbounded preceding) as upto, sum(count) over (partition by anchor, band, slot) as total from (select *, " + baselines.proxy_score() + " as score from (select *, max(count) over (partition by anchor, band, slot) as most from pairs))) where total >= 200 group by all",
+    "region_ends": f"select qth, band, count(*) as regional from ends join q on anchor = {grid.cluster_anchor('qth')} where {grid.is_locator('qth')} and calibrated and t between now - 3600 and now group by all",
+    "near_by": "select qth, band, count(*) as local from ev, n where snr >= -15 and t between now - 3600 and now group by all",
+    "c1": f"select f.*, q.now, q.minutes, coalesce(local, 0) as local, coalesce(regional, 0) as regional, expected, baseline_p90, reach_support, coalesce(rate, 0) as baseline_rate, coalesce(support, 0) as baseline_support, coalesce(used_cluster, false) as used_cluster, q25, q75, {R('history_minutes * coverage')} as cluster_minutes from feat f join q using (qth) left join (select qth as lq, case when {grid.is_locator('qth')} then {grid.cluster_anchor('qth')} end as anchor from q) l on lq = f.qth left join rates r on r.anchor = l.anchor and r.band = f.band and r.slot = q.now % 86400 // 1800 left join quart u on u.anchor = l.anchor and u.band = f.band and u.slot = q.now % 86400 // 1800 left join near_by b on b.qth = f.qth and b.band = f.band left join region_ends e on e.qth = f.qth and e.band = f.band left join expd x on x.qth = f.qth and x.band = f.band left join reached z on z.qth = f.qth and z.band = f.band, span, cov",
+    "c2": f"select *, case when trusted then {classify.activity_level('regional', 'expected')} else 'no_baseline' end as activity_level, case when trusted then regional / expected else 0 end as activity_ratio, case when links >= 20 and reach_support >= 100 and baseline_p90 > 0 then tiered_p90 / baseline_p90 else 0 end as reach_ratio, cast(long_haul as double) / links as dx_ratio, cast(links as double) / minutes as spots_per_minute from (select *, coalesce(expected > 0 and expected / minutes * greatest(cluster_minutes / 1440, 1) * 30 >= 100, false) as trusted from c1)",
+    "c3": f"select *, case when reach_ratio > 0 then {classify.reach_level('reach_ratio')} else '' end as reach_level, cast(100 as double) * (0.45 * {numbers.clamp01('p90_km / 7000 * 0.7 + dx_ratio * 0.3')} + 0.35 * case when activity_level in ('above', 'normal', 'below') then {numbers.clamp01('activity_ratio / 2')} else 0.5 end + 0.20 * {numbers.clamp01('cast(p90_snr + 20 as double) / 30')}) as raw_score, {numbers.clamp01('links / 25.0')} * (0.35 + 0.65 * {numbers.clamp01('baseline_support / 2000.0')}) * case when q25 is null then 0.75 else 1 end as factor from c2",
+    "c4": f"select *, {numbers.clamp('raw_score * factor', 0, 100)} as score, {numbers.clamp('100 * factor', 0, 99)} as confidence, {classify.spot_mode('ssb_count', 'cw_count', 'links')} as mode, {classify.band_status('((q25 + q75) / 2 + (raw_score - (q25 + q75) / 2) * factor)', 'q25', 'q75', 'links')} as status from c3",
+    "cond": f"select *, {classify.condition_label('status', 'score')} as condition, {classify.recommendation('status', 'mode', 'dx_ratio', 'spots_per_minute', 'confidence')} as recommendation, cast(links - unique_links as double) / links as repeat_ratio, case when regional > 0 then cast(local as double) / regional else 0 end as local_scale from c4",
+    "overall": f"select *, {classify.overall_status('score', 'confidence', 'bands')} as status from (select qth, {R('sum(score * links) / sum(links)', 1)} as score, {R('sum(confidence * links) / sum(links)', 1)} as confidence, count(*) as bands, count(*) filter (where status in ('green', 'yellow')) as usable from cond group by 1)",
+}
+TEXTS |= {
+    "expected_counts": f"select qth, band, {r6('expected')} from expd",
+    "reach_baseline": f"select qth, band, {r6('baseline_p90')}, reach_support from reached",
+    "dx_conditions": "select qth, band, status, condition, mode, recommendation, activity_level, reach_level, " + ", ".join(r6(c) for c in ("score", "confidence", "repeat_ratio", "spots_per_minute", "dx_ratio", "baseline_rate", "activity_ratio")) + f", {r6('expected', 'regional_expected')}, {r6('local_scale')}, {r6('baseline_p90', 'baseline_p90_km')}, {r6('reach_ratio')}, links, regional as regional_spots, used_cluster from cond",
+    "dx_overall": f"select *, {classify.condition_label('status', 'score')} as condition, case when status = 'grey' or confidence < 20 then 'unclear' when status = 'green' then 'go' when usable > 0 then 'selective' else 'wait' end as verdict from overall",
+    "ranked_bands": "select qth, band, best_rank, worst_rank, best_rank <= 3 and status in ('green', 'yellow') as recommended, worst_rank <= 3 and confidence >= 30 and status in ('red', 'grey') as avoid from (select *, row_number() over (partition by qth order by score desc, confidence desc, band) as best_rank, row_number() over (partition by qth order by score, confidence desc, band) as worst_rank from cond) where best_rank <= 3 or worst_rank <= 3",
+    "holding": f"select qth, band, {r6('spots_per_minute')}, status, activity_level from cond where (qth, band) in (('JO32', '20m'), ('JO32', '40m'), ('JO31', '2m'))",
+}
+
 ORACLE_SQL = {name: sql(text) for name, text in TEXTS.items()}
