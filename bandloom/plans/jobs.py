@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bands, geo, times
+from ..functions import bands, geo, grid, times
 from ..operators import baselines
 
 e = F.expr
@@ -90,7 +90,7 @@ def snr_backfill(daily: DataFrame, raw: DataFrame, snr_start: int) -> DataFrame:
     fit = days.join(run, "gap", "left_semi").select("day")
     new = again.join(fit, "day", "left_semi").select(*key, *[F.col(c).alias(f"new_{c}") for c in counters])
     merged = daily.join(new, key, "left")
-    return merged.select(*key, "spot_count", *[F.coalesce(F.least(f"new_{c}", "spot_count"), c).alias(c) for c in counters])
+    return merged.select(*key, "spot_count", *[F.when(F.col(f"new_{c}").isNotNull(), F.least(f"new_{c}", "spot_count")).otherwise(F.col(c)).alias(c) for c in counters])
 
 
 def wspr_backfill_month(archive: DataFrame, totals: DataFrame, ring: DataFrame, year_month: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -99,8 +99,12 @@ def wspr_backfill_month(archive: DataFrame, totals: DataFrame, ring: DataFrame,
     Each pair counts for both ends in the ring, by the region of the other end; ingest counts each spot twice.
     """
     month = archive.withColumn("ym", e(times.year_month("day"))).where(F.col("ym") == year_month)
-    sides = [month.select(F.col(a).alias("grid4"), "band", e(geo.region_of_locator(b)).alias("region"), "day", "slot", "n", *[f"bin{k}" for k in range(6)]) for a, b in (("rx4", "tx4"), ("tx4", "rx4"))]
-    both = sides[0].unionByName(sides[1].where(F.lit(True))).join(ring.select("grid4").distinct(), "grid4", "left_semi").where(f"region <> '??' and band in ({bands.listed(bands.ALMANAC_BANDS)})")
+    # Each square's region is found once, and joined.
+    squares = month.select(F.explode(F.array("rx4", "tx4")).alias("other4")).distinct()
+    placed = squares.select("other4", F.inline(F.array(F.struct(e(grid.latitude("other4")).alias("lat"), e(grid.longitude("other4")).alias("lon")))))
+    regions = placed.select("other4", F.inline(F.array(F.struct(e(geo.region_of("lat", "lon")).alias("region")))))
+    sides = [month.select(F.col(a).alias("grid4"), F.col(b).alias("other4"), "band", "day", "slot", "n", *[f"bin{k}" for k in range(6)]) for a, b in (("rx4", "tx4"), ("tx4", "rx4"))]
+    both = sides[0].unionByName(sides[1]).join(regions, "other4").join(ring.select("grid4").distinct(), "grid4", "left_semi").where(f"region <> '??' and band in ({bands.listed(bands.ALMANAC_BANDS)})")
     sums = both.groupBy("grid4", "band", "region", "day", "slot").agg(F.sum("n").alias("n"), *[F.sum(f"bin{k}").alias(f"bin{k}") for k in range(6)])
     season = sums.select("grid4", "band", "region", F.lit(year_month).alias("year_month"), F.lit("wspr").alias("layer"), e(times.day_of_month("day")).alias("dom"), "slot", e("cast(least(n, 255) as int)").alias("count"), F.array(*[e(f"cast(least(bin{k}, 255) as int)") for k in range(6)]).alias("snr_bins"))
     ingest = totals.where(e(times.year_month("day")) == year_month).select("day", "slot", F.lit("wspr").alias("layer"), (F.col("n") * 2).alias("spot_total"))
