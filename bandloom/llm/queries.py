@@ -5,6 +5,7 @@ from .language_id import op8_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .mixing import op5_mix_sources
 from .near_dedup import op4_minhash_near_dedup
+from .oracle import OP2_SQL, OP3_SQL, OP4_SQL, OP10_SQL
 from .secrets import op1_secret_forest
 from .token_counts import op9_token_counts
 from .token_files import op6_token_files
@@ -27,4 +28,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op7_line_dedup": OP7_SQL}
+ORACLE_SQL = {"op2_warc_index_merge": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_minhash_near_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_vector_near_dedup": OP10_SQL}
