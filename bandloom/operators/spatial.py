@@ -111,7 +111,7 @@ def band_density(points: DataFrame, cell_deg: float = 1.0, radius_km: float = RA
     rows = rows.withColumn("km_lon", e(f"greatest({km_lon} * cos(radians((row * {cell_deg} + lat) / 2)), 1e-9)")).withColumn("span", e(f"least({radius_km} / greatest(km_lon, 1), 180)"))
     cells = rows.withColumn("col", F.explode(e(f"sequence(cast(ceil(greatest(lon - span, -180) / {cell_deg}) as int), cast(floor(least(lon + span, 180) / {cell_deg}) as int))")))
     cells = cells.withColumn("dd", e(f"power((row * {cell_deg} - lat) * {km_lat}, 2) + power((col * {cell_deg} - lon) * km_lon, 2)")).where(F.col("dd") <= radius_km * radius_km)
-    return cells.groupBy("qth", "band", "row", "col").agg(F.sum(e(f"weight * exp(-dd / (2 * power({radius_km} / 2.2, 2)))")).alias("density"))
+    return cells.groupBy("qth", "band", "row", "col").agg(F.sum(e(f"weight * exp(-dd / {2 * (radius_km / 2.2) ** 2}D)")).alias("density"))
 
 
 def territory(density: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import bands, classify, geo, grid, numbers, times
-from ..operators import baselines
+from ..operators import almanac, baselines
 from .spots import DUCK_SPOTS, PREPARED_SQL
 
 R = numbers.round_half_away
@@ -70,6 +70,7 @@ def sql(text: str) -> str:
         new = {k for k in PARTS if k in words and k not in needed}
         needed |= new
         todo += [PARTS[k] for k in new]
+    text = f"select * from ({text})" if text.startswith("with ") else text
     return "with " + ", ".join(f"{k} as materialized ({v})" for k, v in PARTS.items() if k in needed) + " " + text
 
 
@@ -147,11 +148,9 @@ TEXTS = {
     "open_today": "select distinct area, band, region from inside, n where n.now is not null and inside.n >= 2 and (day = today and slot = now_slot or (now_slot > 0 and day = today and slot = now_slot - 1 or now_slot = 0 and day = today - 1 and slot = 47))",
     "season_tail": f"select day, band, sum(n_) as n, sum(s_) as snr_n, sum(g_) as ge_m10 from (select day, band, case when day <= today - 3 then least(spot_count, 255) else spot_count end as n_, case when day <= today - 3 then {' + '.join(classify.snr_bins('snr_spots', FLOORS))} else snr_spots end as s_, case when day <= today - 3 then {' + '.join(classify.snr_bins('snr_spots', FLOORS)[3:])} else snr_ge_m10 end as g_ from rd, n where day > today - 3 or band in ({bands.listed(bands.ALMANAC_BANDS)})) group by all",
     "wspr_covered": "select area, bool_and(square in (select s4 from p where source = 'wspr')) as covered from sq where ring <= 1 group by all",
-    "backfill_source_daily": f"select band, source, slot, region, day, spot_count + case when (band, source, slot, region, day) in (select (band, source, slot, region, day) from late) then 1000 else 0 end - case when (band, source, slot, region, day) in (select (band, source, slot, region, day) from late) then spot_count - coalesce((select l.spot_count from late l where l.band = sd.band and l.source = sd.source and l.slot = sd.slot and l.region = sd.region and l.day = sd.day), 0) else 0 end as spot_count from sd",
     "untimely": "select cast(a // 86400 as int) as day, count(*) filter (where a - t > 86400) as late, count(*) filter (where a - t < -600) as early from (select t, case when spot_id % 11 = 0 then arrival + 90000 when spot_id % 13 = 0 then arrival - 2000 else arrival end as a from spots) group by 1",
     "ingest_report": "select source, count(*) as seen, count(*) filter (where spot_id % 7 <> 0) as parsed, count(distinct spot_id) filter (where spot_id % 7 <> 0) as kept, count(distinct spot_id) filter (where spot_id % 7 <> 0) as live_usable, 0 as no_locator, count(*) filter (where spot_id % 7 <> 0) - count(distinct spot_id) filter (where spot_id % 7 <> 0) as duplicate from (select source, spot_id from spots union all select source, spot_id from spots where spot_id % 5 = 0) group by all",
 }
-del TEXTS["backfill_source_daily"]
 
 #: What the band table is made of.
 TIERS = [f"count(*) filter (where {classify.distance_tier('km')} = {k})" for k in range(5)]
@@ -182,4 +181,79 @@ TEXTS |= {
     "holding": f"select qth, band, {r6('spots_per_minute')}, status, activity_level from cond where (qth, band) in (('JO32', '20m'), ('JO32', '40m'), ('JO31', '2m'))",
 }
 
+#: What the nowcast and the maps are made of.
+LEVEL = f"case when source = 'wspr' then case when txpower > 0 then {bands.effective_snr('snr', 'txpower')} end else snr end"
+RISING = "case when early_n > 0 then cast(late_n as double) / early_n >= 1.5 else late_n > 0 end"
+ISLANDS = TEXTS["coverage_intervals"]
+
+
+def opened(cells: str) -> str:
+    flags = ", ".join(f"case when {k}_floor is not null then coalesce(best_level >= {k}_floor, false) end as {k}_open" for k in ("ssb", "cw", "digital"))
+    return f"select *, coalesce(ssb_open, false) or coalesce(cw_open, false) or coalesce(digital_open, false) as open, {RISING} as rising from (select c.*, k, name, {flags} from {cells} c join prof using (source))"
+
+
+def density(matched: str) -> str:
+    """Weights of points, spread to the corners of whole degrees within 400 km."""
+    rows = "select *, greatest(111.32 * cos(radians((row + lat) / 2)), 1e-9) as km_lon from (select *, unnest(range(cast(ceil(greatest(lat - pad, -89)) as bigint), cast(floor(least(lat + pad, 89)) as bigint) + 1)) as row from (select *, cast(400 as double) / 110.57 as pad from points))"
+    cells = f"select *, unnest(range(cast(ceil(greatest(lon - span, -180)) as bigint), cast(floor(least(lon + span, 180)) as bigint) + 1)) as col from (select *, least(cast(400 as double) / greatest(km_lon, 1), 180) as span from ({rows}))"
+    return f"with points as ({TEXTS['density_points'].replace(MATCHED_6H, matched).replace(R('sqrt(count(*))', 6), 'sqrt(count(*))')}) select qth, band, row, col, sum(weight * exp(-dd / (2 * power(cast(400 as double) / 2.2, 2)))) as density from (select *, power((row - lat) * 110.57, 2) + power((col - lon) * km_lon, 2) as dd from ({cells})) where dd <= 160000 group by all"
+
+
+PARTS |= {
+    "bins12": BINS,
+    "shape": f"select qth, band, bin, case when top > 0 then {R('rate / top * 100', 2)} else cast(0 as double) end as v from (select *, max(rate) over (partition by qth, band) as top from bins12)",
+    "slopes": "select qth, band, sum(v) filter (where bin between 6 and 10) / 5 - sum(v) filter (where bin between 1 and 5) / 5 as slope, max(v) as top, case when max(v) filter (where bin = 11) < 30 then 10 else 11 end - coalesce(max(bin) filter (where v < 30 and bin <= 10), -1) as sustained from shape group by all",
+    "trended": f"select qth, band, {classify.trend_word('slope', 6)} as trend, {R('slope / 10', 2)} as trend_delta, sustained, top from slopes",
+    "prof": "select * from (values (0, 'wspr', 'wspr', 10, -5, null), (1, 'pskr', 'mqtt', -5, -18, -24), (2, 'rbn', 'rbn', null, 8, null)) v(k, name, source, ssb_floor, cw_floor, digital_floor)",
+    "remote": f"select q.qth, band, source, t < q.now - 1800 as early, {LEVEL} as level, coalesce(is_sender or is_receiver, false) as from_here, case when case when source in ('rbn', 'wspr') then is_sender else is_receiver end then case when source in ('rbn', 'wspr') then r_region else s_region end else case when source in ('rbn', 'wspr') then s_region else r_region end end as region from p cross join q left join hit h on h.qth = q.qth and h.spot_id = p.spot_id where t between q.now - 3600 and q.now and {IN_SCOPE}",
+    "cell0": "select qth, band, region, source, count(*) as spots, max(level) as best_level, bool_or(from_here) as from_here, count(*) filter (where early) as early_n, count(*) filter (where not early) as late_n from remote where region <> '??' group by all",
+    "cell1": opened("cell0"),
+    "cstat": f"select source, band, region, mean, sd, sample_days from ({STATS.format(s='source', t='sd')}), n where slot = now_slot",
+    "cell2": "select *, coalesce(z0 >= 1, false) as atypical from (select c.*, sample_days, case when sd > 0 and sample_days >= 3 then (spots * cast(0.5 as double) - mean) / sd end as z0 from cell1 c left join cstat using (source, band, region))",
+    "cell": f"select *, case when atypical then {R('z0', 3)} end as z, case when atypical then {R(classify.atypical_confidence('sample_days'), 3)} end as confidence from cell2",
+    "roll": f"select qth, band, region, sum(spots) as spots, bool_or(from_here) as from_here, bool_or(open) as open, bool_or(coalesce(ssb_open, false)) as ssb_open, bool_or(coalesce(cw_open, false)) as cw_open, bool_or(rising) as rising, {R('cast(count(*) filter (where open) as double) / count(*)', 2)} as open_agreement, {R('cast(count(*) filter (where atypical) as double) / count(*)', 2)} as atypical_agreement, first(z order by confidence desc, z desc) filter (where atypical) as z, first(confidence order by confidence desc, z desc) filter (where atypical) as confidence, string_agg(name, ',' order by k) as sources from cell group by all",
+    "near_ends": f"select area, band, region, source, count(*) as spots, max({LEVEL}) as best_level, count(distinct nullif(call, '')) as stations, count(*) filter (where t < now - 1350) as early_n, count(*) filter (where t >= now - 1350) as late_n from fh, n where t between now - 2700 and now and {IN_SCOPE} group by all",
+    "near_cells": opened("near_ends"),
+    "wseg": "select k % 48 as slot, k // 48 as slot_day, (least((k + 1) * 1800, now) - greatest(k * 1800, now - 2700)) / cast(1800 as double) as weight from (select now, unnest(range((now - 2700) // 1800, (now - 1) // 1800 + 1)) as k from n)",
+    "wdays": "select back, slot, weight, day from (select *, slot_day - back as day from wseg, (select unnest(range(1, 29)) as back)) join ing using (day, slot)",
+    "wbacks": "select back from wdays group by 1 having count(*) = (select count(*) from wseg)",
+    "normals": "select area, band, region, expected, case when sample_days > 1 then sqrt(greatest(xx - sample_days * expected * expected, 0) / (sample_days - 1)) end as sd, sample_days from (select *, x / sample_days as expected from (select area, band, region, sum(x) as x, sum(x * x) as xx from (select area, band, region, back, sum(spot_count * weight) as x from wdays join wbacks using (back) join ad using (day, slot) group by all) group by all), (select count(*) as sample_days from wbacks))",
+    "usual": f"select *, m >= {almanac.ACTIVE_DAYS} and n >= cast({almanac.USUAL} as double) * m as usual from lanes",
+    "bridged": "select area, band, region, slot, usual or (coalesce(lag(usual) over w, bool_or(usual and slot = 47) over k) and coalesce(lead(usual) over w, bool_or(usual and slot = 0) over k)) as lit from usual window w as (partition by area, band, region order by slot), k as (partition by area, band, region)",
+    "runs": "select area, band, region, cast(start as int) as start, cast(least(len, 48) as int) as len from (select area, band, region, min(pos) as start, count(*) as len from (select *, pos - row_number() over (partition by area, band, region order by pos) as island from (select *, slot + 48 * copy as pos from bridged, (select unnest(range(2)) as copy) where lit)) group by area, band, region, island) r join (select area, band, region, lit as last_lit from bridged where slot = 47) using (area, band, region) where len >= 48 and start = 0 or len < 48 and start < 48 and not (start = 0 and last_lit)",
+    "late_sd": PARTS["sd"].replace("from p)", "from p, n where t > now - 432000)"),
+    "hot0": f"select c.*, coalesce(trend, 'stable') as trend, coalesce(trend_delta, 0) as trend_delta, coalesce(sustained, 0) as sustained, history_minutes, activity_level in ('above', 'normal', 'below') as judged from cond c left join trended using (qth, band), span where {IN_SCOPE} and (qth, band) <> ('JO32', '20m') and (qth <> 'JO31' or band in ('40m', '15m', '10m', '17m'))",
+    "hot1": f"select *, case when judged then {R('activity_ratio', 2)} when baseline_rate > 0 then spots_per_minute / baseline_rate else 0 end as ratio, used_cluster and history_minutes >= 1440 as known, baseline_rate * minutes as mean_n from hot0",
+    "hot2": "select *, case when known and baseline_rate > 0 and baseline_rate <= 0.1 and ratio >= 5 and p90_km >= 800 and (judged or 1 - list_sum([exp(i * ln(mean_n) - mean_n - lgamma(i + 1)) for i in range(links)]) < 0.01) then 'surprise' when known and reach_level = 'longer' and reach_ratio >= 1.5 and p90_km >= 5000 then 'dx_surge' when trend = 'rising' and trend_delta >= 1.5 and status in ('yellow', 'green') and ratio >= 1.5 and sustained >= 3 and spots_per_minute >= 1 then 'rising' end as kind from hot1 where sustained >= 2 and spots_per_minute >= 0.5",
+}
+FLAGS = "case when ssb_open then 1 else 0 end + case when cw_open then 2 else 0 end + case when rising then 4 else 0 end + case when z is not null then 8 else 0 end + case when from_here then 16 else 0 end"
+RING = "('JO32', 'JO31', 'FN45')"
+LISTED = bands.listed(bands.ALMANAC_BANDS)
+TEXTS |= {
+    "trends": "select qth, band, trend, trend_delta, sustained, top from trended",
+    "dx_overall_enabled": f"select qth, score, confidence, bands, {classify.overall_status('score', 'confidence', 'bands')} as status from (select qth, {R('sum(score * links) / sum(links)', 1)} as score, {R('sum(confidence * links) / sum(links)', 1)} as confidence, count(*) as bands from cond where band in ('40m', '20m', '15m') group by 1)",
+    "hot_bands": "select qth, rank, band, kind, case when kind = 'surprise' then 'high' else 'normal' end as priority, sustained, trend, status from (select *, row_number() over (partition by qth order by case kind when 'surprise' then 0 when 'dx_surge' then 1 else 2 end, case kind when 'surprise' then ratio when 'dx_surge' then reach_ratio else score end desc, band) as rank from hot2 where kind is not null) where rank <= 5",
+    "live_area": f"with centres as (select qth, substr(qth, 1, 4) as centre, case when surroundings then 1 else 0 end as base_radius from q where {grid.is_locator('qth')}), blocks as (select qth, {grid.square_at('x + dx', 'y + dy')} as square, greatest(abs(dx), abs(dy)) as ring from (select qth, {grid.square_x('centre')} as x, {grid.square_y('centre')} as y from centres), (select unnest(range(-3, 4)) as dx), (select unnest(range(-3, 4)) as dy)), near_spots as (select p.* from p, n where t between now - 3600 and now and calibrated and s4 is not null and r4 is not null and snr >= -15 and {IN_SCOPE}), links as (select qth, spot_id, band, min(ring) as ring from (select * from near_spots join blocks on s4 = square union all select * from near_spots join blocks on r4 = square) group by all), counts as (select qth, radius, count(*) filter (where c >= 25) as full_bands, sum(c) as total from (select qth, band, radius, count(*) as c from links, (select unnest(range(4)) as radius) where ring <= radius group by all) group by all) select *, radius > base_radius as widened from (select qth, centre, base_radius, cast(case when coalesce((select total from counts x where x.qth = c.qth and radius = 3), 0) < 25 then base_radius else coalesce((select min(radius) from counts x where x.qth = c.qth and full_bands >= 3 and radius >= base_radius), 3) end as int) as radius from centres c)",
+    "prop_cells_v1": "select qth, band, region, spots, best_level, coalesce(best_level >= 10, false) as ssb_open, coalesce(best_level >= -8, false) as cw_open, rising, from_here from cell1 where source = 'wspr'",
+    "prop_cells_v2": "select qth, band, region, name as source, spots, best_level, from_here, ssb_open, cw_open, open, rising, atypical, z, confidence from cell",
+    "prop_rollup": "select qth, band, region, spots, from_here, open, rising, open_agreement, atypical_agreement, sources from roll",
+    "prop_summary": f"select qth, band, region, spots, {R('cast(spots as double) / most', 2)} as intensity, {FLAGS} as flags, band_spots, dense_rank() over (partition by qth order by band_spots desc, band) as band_rank from (select *, max(spots) over (partition by qth) as most, sum(spots) over (partition by qth, band) as band_spots from roll)",
+    "prop_headline": "select qth, case when z is not null then 'atypical' when rising then 'rising' else 'quiet' end as kind, case when z is not null then concat(band, ' atypical surge to ', region, ' (z=', format('{:.1f}', z), ')') when rising then concat(band, ' rising toward ', region) else concat(n_bands, ' bands active, none rising') end as text from (select *, row_number() over (partition by qth order by z is null, confidence desc nulls last, z desc nulls last, not rising, not (ssb_open or cw_open), spots desc, band, region) as nth, (select count(distinct band) from roll b where b.qth = a.qth) as n_bands from roll a) where nth = 1",
+    "prop_flavor": f"select qth, c.band, c.region, atypical, case when atypical then {classify.flavor('d_days', 'd_mean', 'd_sd', 'd_today', '(now % 1800 / cast(1800 as double))')} end as flavor from cell c left join (select band, region, avg(past) as d_mean, stddev_samp(past) as d_sd, count(past) as d_days, coalesce(sum(spot_count) filter (where day = today), 0) as d_today from (select *, case when day < today then spot_count end as past from sd, n where source = 'mqtt' and day between today - 30 and today and slot = now_slot) group by 1, 2) d on d.band = c.band and d.region = c.region, n where source = 'wspr'",
+    "from_here_cells": "select area, band, region, name as source, spots, stations, best_level, ssb_open, cw_open, open, rising from near_cells",
+    "from_here_normals": f"select area, band, region, {r6('expected')}, {r6('sd')}, sample_days from normals",
+    "from_here_surges": f"select area, band, region, spots, stations, {R('expected', 1)} as expected, surge, silent from (select c.area, c.band, c.region, spots, stations, coalesce(expected, 0) as expected, coalesce(case when sd > 0 and spots >= 5 and stations >= 3 then (spots - coalesce(expected, 0)) / sd end >= 1, false) as surge, false as silent from near_cells c left join (select * from normals where sample_days >= 3) m using (area, band, region) where source = 'mqtt' and c.area in (select area from normals where sample_days >= 3) union all select area, band, region, 0, 0, expected, false, true from normals m where sample_days >= 3 and expected >= 5 and not exists (select 1 from near_cells c where c.area = m.area and c.band = m.band and c.region = m.region))",
+    "history": "select qth, spot_id, t, truncated from (select m.*, row_number() over (partition by qth order by t desc, spot_id desc) as nth, count(*) over (partition by qth) > 2000 as truncated from m, n where t between now - 86400 and now) where nth <= 2000 and (source = 'wspr' or source = 'mqtt' and snr >= -15)",
+    "covers": f"with spans as ({ISLANDS}), ends_ as (select source, max(t1) as last_t from spans group by 1) select source, a.t0, a.t1, exists (select 1 from spans i where i.source = a.source and i.t0 <= a.t0 and i.t1 >= least(a.t1, last_t) and a.t0 <= last_t) as covered from (select source, now - b as t0, now - a as t1 from n, (values ('mqtt'), ('wspr'), ('rbn')) s(source), (values (0, 60), (0, 3600), (-500, 100), (-900, -300), (7000, 7200)) v(a, b)) a left join ends_ using (source)",
+    "activity_vs_normal": f"select qth, band, bin, slot, {r6('rate')}, {R('coalesce(usual, 0) * coalesce(local_scale, 0)', 6)} as normal from (select b.*, now, case when {grid.is_locator('b.qth')} then {grid.cluster_anchor('b.qth')} end as anchor, cast((now - 3600 + bin * 300) % 86400 // 1800 as int) as slot from bins12 b join q using (qth)) left join (select anchor, band, slot, rate as usual from rates) using (anchor, band, slot) left join (select qth, band, local_scale from cond) using (qth, band)",
+    "band_density": f"select qth, band, row, col, {R('density', 5)} as density from ({density(MATCHED_6H)})",
+    "territory": f"select qth, row, col, band, part from (select *, case when nth = 1 then case when density >= 5 then 'core' else 'territory' end when density >= top * cast(0.6 as double) then 'hatch' end as part from (select *, row_number() over (partition by qth, row, col order by density desc, band) as nth, max(density) over (partition by qth, row, col) as top from ({density(MATCHED_24H)})) where density >= 1.5) where part is not null",
+    "lone_points": f"select d.qth, d.band, lat, lon, n from ({TEXTS['density_points']}) d left join ({density(MATCHED_6H)}) c on c.qth = d.qth and c.band = d.band and row = floor(lat + 0.5) and col = floor(lon + 0.5) where coalesce(density, 0) < 1.5",
+    "almanac_snr_lanes": f"with since as (select days.* from days, n where day >= today - 20), hits as (select area, band, region, slot, count(*) filter (where ge_m10 >= 2) as n_, sum(ge_m10) as ge, sum(snr_n) as of_ from inside join since using (area, band, day, slot) group by all) select l.area, l.band, l.region, l.slot, coalesce(n_, 0) as n, coalesce(h.m, 0) as m, {numbers.share_code('coalesce(ge, 0)', 'coalesce(of_, 0)')} as share, cast(least({almanac.ACTIVE_DAYS}, greatest({almanac.LEAST_DAYS}, coalesce(covered, 0))) as int) as m_min from lanes l left join (select area, band, slot, count(*) as m from since group by all) h using (area, band, slot) left join hits x on x.area = l.area and x.band = l.band and x.region = l.region and x.slot = l.slot left join (select area, count(distinct day) as covered from since group by 1) c on c.area = l.area",
+    "usual_windows": "select * from runs",
+    "backfill_source_daily": "select band, source, slot, region, day, spot_count + 1000 as spot_count from late_sd union all select * from sd s where not exists (select 1 from late_sd l where l.band = s.band and l.source = s.source and l.slot = s.slot and l.region = s.region and l.day = s.day)",
+    "snr_backfill": "select day, band, sum(spot_count) as spot_count, " + ", ".join(f"coalesce(sum(least({c}, spot_count)) filter (where day in (select day from (select day, row_number() over (order by day desc) as k from (select distinct day from rd, n where day >= today - 6 and day < today - 2)), n where today - 2 - day = k)), 0) as {c}" for c in ("snr_spots", *FLOORS)) + " from rd group by all",
+    "wspr_backfill": f"select grid4, band, region, {times.day_of_month('day')} as dom, slot, cast(least(count(*), 255) as int) as count, " + ", ".join(f"cast(least(count(*) filter (where snr >= {lo} and snr < {lo + w}), 255) as int) as bin{k}" for k, (lo, w) in enumerate([(-1000, 980), (-20, 5), (-15, 5), (-10, 5), (-5, 5), (0, 1000)])) + f" from (select s4 as grid4, r_region as region, band, day, slot, snr from p where source = 'wspr' union all select r4, s_region, band, day, slot, snr from p where source = 'wspr'), n where grid4 in {RING} and region <> '??' and band in ({LISTED}) and {times.year_month('day')} = {times.year_month('today')} group by grid4, band, region, day, slot",
+}
+
 ORACLE_SQL = {name: sql(text) for name, text in TEXTS.items()}
