@@ -251,6 +251,7 @@ TEXTS |= {
     "lone_points": f"select d.qth, d.band, lat, lon, n from ({TEXTS['density_points']}) d left join ({density(MATCHED_6H)}) c on c.qth = d.qth and c.band = d.band and row = floor(lat + 0.5) and col = floor(lon + 0.5) where coalesce(density, 0) < 1.5",
     "almanac_snr_lanes": f"with since as (select days.* from days, n where day >= today - 20), hits as (select area, band, region, slot, count(*) filter (where ge_m10 >= 2) as n_, sum(ge_m10) as ge, sum(snr_n) as of_ from inside join since using (area, band, day, slot) group by all) select l.area, l.band, l.region, l.slot, coalesce(n_, 0) as n, coalesce(h.m, 0) as m, {numbers.share_code('coalesce(ge, 0)', 'coalesce(of_, 0)')} as share, cast(least({almanac.ACTIVE_DAYS}, greatest({almanac.LEAST_DAYS}, coalesce(covered, 0))) as int) as m_min from lanes l left join (select area, band, slot, count(*) as m from since group by all) h using (area, band, slot) left join hits x on x.area = l.area and x.band = l.band and x.region = l.region and x.slot = l.slot left join (select area, count(distinct day) as covered from since group by 1) c on c.area = l.area",
     "usual_windows": "select * from runs",
+    "live_segments": "select m.qth, t0, count(*) as n from m join (select qth, now - 3600 + a as t0, now - 3600 + b as t1 from q join (values ('JO32', 0, 600), ('JO32', 1500, 3600), ('JO31', 800, 3600), ('FN45', 0, 3600), ('S17', 0, 3600)) v(name, a, b) on name = qth) x on x.qth = m.qth and t >= t0 and t < t1 group by all",
     "backfill_source_daily": "select band, source, slot, region, day, spot_count + 1000 as spot_count from late_sd union all select * from sd s where not exists (select 1 from late_sd l where l.band = s.band and l.source = s.source and l.slot = s.slot and l.region = s.region and l.day = s.day)",
     "snr_backfill": "select day, band, sum(spot_count) as spot_count, " + ", ".join(f"coalesce(sum(least({c}, spot_count)) filter (where day in (select day from (select day, row_number() over (order by day desc) as k from (select distinct day from rd, n where day >= today - 6 and day < today - 2)), n where today - 2 - day = k)), 0) as {c}" for c in ("snr_spots", *FLOORS)) + " from rd group by all",
     "wspr_backfill": f"select grid4, band, region, {times.day_of_month('day')} as dom, slot, cast(least(count(*), 255) as int) as count, " + ", ".join(f"cast(least(count(*) filter (where snr >= {lo} and snr < {lo + w}), 255) as int) as bin{k}" for k, (lo, w) in enumerate([(-1000, 980), (-20, 5), (-15, 5), (-10, 5), (-5, 5), (0, 1000)])) + f" from (select s4 as grid4, r_region as region, band, day, slot, snr from p where source = 'wspr' union all select r4, s_region, band, day, slot, snr from p where source = 'wspr'), n where grid4 in {RING} and region <> '??' and band in ({LISTED}) and {times.year_month('day')} = {times.year_month('today')} group by grid4, band, region, day, slot",
