@@ -172,3 +172,12 @@ def test_queries_match_their_sql(spark, data_dir, name):
 def test_entry_and_names(spark):
     assert set(ORACLE_SQL) <= set(QUERIES) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert "score" in __spark_entry__.entry(spark).columns
+
+
+def test_open_today_looks_at_two_slots(spark):
+    rows = [("A", 0, "20m", "EU", 9, 47, 2), ("A", 0, "20m", "NA", 10, 0, 1), ("A", 1, "20m", "NA", 10, 0, 1), ("A", 2, "20m", "AF", 10, 0, 5), ("A", 0, "20m", "AS", 9, 46, 9), ("A", 0, "40m", "EU", 10, 0, 1), ("A", 0, "40m", "EU", 9, 47, 1)]
+    levels = spark.createDataFrame(rows, "area string, ring int, band string, region string, day int, slot int, n long")
+    radius = spark.createDataFrame([("A", 1)], "area string, radius int")
+    # Counts of slots aren't added up, rings within the radius are; before the first slot comes yesterday's last.
+    assert sorted(tuple(r) for r in almanac.open_today(levels, radius, 10, 0).collect()) == [("A", "20m", "EU"), ("A", "20m", "NA")]
+    assert [tuple(r) for r in almanac.open_today(levels, radius, 9, 47).collect() if r.region == "AS"] == [("A", "20m", "AS")]
