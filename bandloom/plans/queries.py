@@ -183,7 +183,7 @@ def source_daily(i: Inputs) -> DataFrame:
 
 def season_counts(i: Inputs) -> DataFrame:
     season = baselines.season_counts(i.daily)
-    return season.select("grid4", "band", "region", "year_month", "dom", "slot", "count", *[F.col("snr_bins")[k].alias(f"bin{k}") for k in range(6)]).where("slot < 8")
+    return season.select("grid4", "band", "region", "year_month", "dom", "slot", "count", *[F.col("snr_bins")[k].alias(f"bin{k}") for k in range(6)])
 
 
 def area_activity(i: Inputs) -> DataFrame:
@@ -581,7 +581,7 @@ def feed_lag(i: Inputs) -> DataFrame:
 
 
 def windowed_activity(i: Inputs) -> DataFrame:
-    return live.windowed_activity(i.spots, "5 minutes").where(F.col("t0") >= i.now - 86400)
+    return live.windowed_activity(i.spots, "5 minutes")
 
 
 def sliding_activity(i: Inputs) -> DataFrame:
