@@ -425,8 +425,8 @@ def grid_squares(i: Inputs) -> DataFrame:
 
 
 def history(i: Inputs) -> DataFrame:
-    kept = spatial.spot_filter(spatial.history(i.matched(48), i.now - 200_000, i.now, 2000), sources=["mqtt", "wspr"], snr_mode="cw")
-    return kept.select("qth", "spot_id", "t", "truncated")
+    wanted = spatial.spot_filter(i.matched(48), sources=["mqtt", "wspr"], snr_mode="cw")
+    return spatial.history(wanted, i.now - 200_000, i.now).select("qth", "spot_id", "t", "truncated")
 
 
 def moments(i: Inputs) -> DataFrame:
