@@ -106,16 +106,25 @@ def find_candidates(docs: DataFrame, id_column: str = "doc_id", path_column: str
 def fit_forest(findings: DataFrame, most: int = MOST_LABELLED, trees: int = 24, depth: int = 7, seed: int = 3):
     """A forest from labelled findings (features, label 0 or 1), or None if they lack one of the labels.
 
-    At most about ``most`` findings are used, chosen by a hash, so that reruns agree.
+    At most about ``most`` findings are used, chosen by a hash, so that reruns agree. A label that is rarer than the other
+    keeps up to half of them, and weights restore the shares; a label is missing only if no finding has it.
     """
-    n = findings.count()
-    share = min(1.0, most / max(1, n))
-    kept = findings.where(F.pmod(F.xxhash64("secret_sha256", "doc_id", "start"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    kept = stored(kept.select("features", F.col("label").cast("double").alias("label")), shared_folder(findings.sparkSession, "labelled"))
-    if kept.select("label").distinct().count() < 2:
+    draw = F.pmod(F.xxhash64("secret_sha256", "doc_id", "start"), F.lit(1 << 30))
+    findings = findings.where("label is not null").select("features", F.col("label").cast("double").alias("label"), draw.alias("draw"))
+    totals = {r.label: (r["n"], r.least) for r in findings.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).collect()}
+    if len(totals) < 2:
         return None
-    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8)
-    return forest.fit(kept.select(array_to_vector("features").alias("vector"), "label"))
+    n = sum(t[0] for t in totals.values())
+    chosen = F.lit(False)
+    for label, (own, least) in totals.items():
+        share = min(1.0, max(most // 2, most - (n - own)) / own)
+        chosen = chosen | ((F.col("label") == label) & (F.col("draw") < max(int(share * (1 << 30)), least + 1)))
+    kept = stored(findings.where(chosen).select("features", "label"), shared_folder(findings.sparkSession, "labelled"))
+    weight = F.lit(None)
+    for r in kept.groupBy("label").count().collect():
+        weight = F.when(F.col("label") == r.label, totals[r.label][0] / r["count"]).otherwise(weight)
+    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8)
+    return forest.fit(kept.select(array_to_vector("features").alias("vector"), "label", weight.alias("weight")))
 
 
 def score_findings(findings: DataFrame, forest, cut: float = 0.5) -> DataFrame:
