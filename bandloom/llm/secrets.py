@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import shared_folder, stored, text_slices
 
-#: A run of key characters that begins and ends as a word does.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9][A-Za-z0-9_+/=.-]{14,510}+")
+#: A whole run of key characters, and a name with its equals signs at the beginning of one.
+RUN = re.compile(r"[A-Za-z0-9_+/=.-]{15,}+")
+NAME = re.compile(r"[0-9+/.-]*+[A-Za-z_][A-Za-z0-9_+/.-]*+=++")
 
 #: Words that name a secret when they stand before it, and words of placeholders, samples and tests.
 NAMING = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "auth", "bearer", "credential", "private")
@@ -71,10 +72,25 @@ def features(text: str, start: int, end: int, path: str | None, own: set[str]) -
     return [float(v) for v in values], left
 
 
-def weak_label(candidate: str, values: list[float]) -> int:
-    """A finding's label where nobody has given one: 1 if a naming word assigns a random-looking value, else 0."""
+def weak_label(candidate: str, values: list[float]) -> int | None:
+    """A finding's label where nobody has given one: 1 if a naming word assigns a random-looking value, else 0; None if only digits are missing."""
     by = dict(zip(FEATURES, values, strict=True))
-    return int(by["naming_word"] and by["assigned"] and by["entropy"] >= 3 and by["digits"] > 0 and by["fixed_words"] < 0.4 and bool(re.fullmatch(r"[\w+/=-]+", candidate)))
+    named = by["naming_word"] and by["assigned"] and by["entropy"] >= 3 and by["fixed_words"] < 0.4 and bool(re.fullmatch(r"[\w+/=-]+", candidate))
+    return None if named and not by["digits"] else int(named)
+
+
+def spans(text: str) -> Iterator[tuple[int, int]]:
+    """Where candidates begin and end: whole runs, or what follows ``NAME=`` in one; a name that is long and has digits is one too."""
+    for m in RUN.finditer(text):
+        start, end = m.start(), m.start() + len(m[0].rstrip("-=./+_") or m[0])
+        plain = text[start].isalnum()
+        while (name := NAME.match(text, start, end)) and end - name.end() >= 15:
+            own = start + len(text[start : name.end()].rstrip("-=./+_"))
+            if plain and own - start >= 15 and any(c.isdigit() for c in text[start:own]):
+                yield start, own
+            start, plain = name.end(), True
+        if plain and end - start >= 15:
+            yield start, end
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,11 +100,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for doc_id, path, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "path", "text")), strict=True):
                 own = None
-                for m in CANDIDATE.finditer(text or ""):
-                    start, end = m.start(), m.start() + len(m[0].rstrip("-=./+_") or m[0])
+                for start, end in spans(text or ""):
                     x = text[start:end]
-                    if len(x) < 15 or not any(c.isdigit() for c in x):
-                        continue
                     if own is None:
                         own = {w.lower() for w in re.findall(r"[^\W\d_]{3,12}", text)}
                     values, left = features(text, start, end, path, own)
@@ -144,8 +157,8 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, **options)
     secret itself is not returned, only its digest. Candidates that the forest rejects stay, with is_secret false.
 
     Null and empty texts have no candidates; null ids and paths are allowed; repeated rows give repeated findings; an
-    empty table gives an empty result; other columns are ignored. A run of more than 511 characters is no candidate
-    beyond them. Memory: a task holds 16 MB of texts or one text.
+    empty table gives an empty result; other columns are ignored. Runs are candidates at any length, with digits or
+    without. Memory: a task holds 16 MB of texts or one text.
     """
     found = stored(find_candidates(docs, **options), shared_folder(docs.sparkSession, "candidates"))
     if labelled is not None:

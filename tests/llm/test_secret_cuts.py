@@ -16,3 +16,17 @@ def test_rare_label_survives_thinning(spark):
     scored = secrets.score_findings(found, forest).where(F.col("is_secret") | (F.col("label") == 1)).collect()
     assert sorted((r.doc_id, r.is_secret) for r in scored) == [(0, True), (1, True), (2, True)]
     assert secrets.fit_forest(found.where("label = 0"), most=200) is None
+
+
+def test_candidates_are_whole(spark):
+    token, value = "a1B2c3" * 100, "9f8e7d6c5b4a39281706"
+    texts = [f'token = "{token}" end', f"{'Zz9' * 171}{value}", f"API_KEY={value}", f"export DB_PASSWORD={value}/x=y1", f"run --auth-token={value}", 'secret = "qWeRtYuIoPaSdFgHjKlZxCvBnM"', "QUJDREVGR0hJSktM1234==", f"deadbeef0123456789={value}", f"a=b={value}"]
+    expected = [{token}, {"Zz9" * 171 + value}, {value}, {f"{value}/x=y1"}, {value}, {"qWeRtYuIoPaSdFgHjKlZxCvBnM"}, {"QUJDREVGR0hJSktM1234"}, {"deadbeef0123456789", value}, {value}]
+    docs = spark.createDataFrame([(k, x, None) for k, x in enumerate(texts)], "doc_id long, text string, source string")
+    rows = secrets.find_candidates(docs).collect()
+    assert [{texts[k][r.start : r.end] for r in rows if r.doc_id == k} for k in range(len(texts))] == expected
+    assert all(r.secret_sha256 == hashlib.sha256(texts[r.doc_id][r.start : r.end].encode()).hexdigest() for r in rows)
+    by = {r.doc_id: r for r in rows}
+    assert by[2].left_word == "api_key" and by[2].features[secrets.FEATURES.index("assigned")] == 1
+    assert [by[k].weak_label for k in (2, 3, 4)] == [1, 1, 1]
+    assert by[5].weak_label is None
