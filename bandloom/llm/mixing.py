@@ -10,6 +10,9 @@ from .common import fresh, shared_folder, stored
 #: A document is taken at most so many times, so that a source's target stops at so many times its size.
 MAX_COPIES = 3
 
+#: How far inclusion odds lean to longer documents: at most by this share of the source's own.
+LEAN = 0.5
+
 #: Slices of the order of a source's documents; only the documents of the slice where the target lies are ranked.
 SLICES = 4096
 
@@ -20,7 +23,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_copies: int = MAX_COPIES) -> DataFrame:
-    """source, source_size, weight, target from (source, source_size).
+    """``sizes`` (source, source_size and more) with weight and target.
 
     Sources in order of their code points, null last, take the weights in turn. Together they get the sum of all sizes in
     proportion to their weights; no target is above ``max_copies`` times its source's size, and what that cuts off is
@@ -37,29 +40,37 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     # The level is that of the first source that its share does not fill.
     levels = ranked.withColumn("share", share).withColumn("level", F.max(F.when(F.col("cap") >= F.col("share") * F.col("weight"), F.col("share"))).over(Window.partitionBy()))
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
-    return levels.select("source", "source_size", "weight", target.alias("target"))
+    return levels.withColumn("target", target).drop("cap", "share", "level")
 
 
 def _plan(docs: DataFrame, id_column: str, text_column: str, source_column: str, seed: int, weights: tuple[float, ...], max_copies: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their place in the order; a row for each source; the documents taken once more in the last slice.
 
-    Every document of a source is to be taken target / source_size times. The whole part of that is certain. For the
-    rest, p, a document's Pareto rank is its random odds u / (1 - u) divided by its inclusion odds p / (1 - p), and
-    documents are taken in the order of their ranks until the words left are reached: a sample of fixed size, up to half
-    a document. r / (1 + r) of a rank r lies between 0 and 1 and is cut into slices: whole slices are summed, and only
-    the documents of the slice in which the last one lies are sorted.
+    Every document of a source is to be taken target / source_size times. The whole part of that is certain. The rest,
+    f, is sampled with unequal probabilities p = f * (1 + lean * (z - z0)): z = size / (size + mean size) of the source
+    leans to longer documents, which hold more connected text, and z0 is its mean over the source's words, so that the
+    expected words of the sample are f of the source's. A document's Pareto rank is its random odds u / (1 - u) divided
+    by its inclusion odds p / (1 - p), and documents are taken in the order of their ranks until the words left are
+    reached: a sample of fixed size, up to half a document. r / (1 + r) of a rank r lies between 0 and 1 and is cut into
+    slices: whole slices are summed, and only the documents of the slice in which the last one lies are sorted.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{source_column}`").alias("source"), word_count(F.col(f"`{text_column}`")).alias("size"), F.xxhash64(F.col(f"`{text_column}`")).alias("tie"))
     rows = stored(rows, shared_folder(spark, "sizes"))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    full = F.when(F.col("size") > 0, F.col("size"))
+    sizes = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg(full).alias("mean_size")), shared_folder(spark, "source-sizes"))
+    means = sizes.select(F.col("source").alias("m_source"), "mean_size")
+    leaning = rows.where("size > 0").join(means, rows["source"].eqNullSafe(means["m_source"])).groupBy("m_source").agg((F.sum(F.col("size") * _longer(F.col("size"), F.col("mean_size"))) / F.sum("size")).alias("z0"))
+    sizes = sizes.join(leaning, sizes["source"].eqNullSafe(leaning["m_source"]), "left").drop("m_source")
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(F.col("factor") + F.lit(1e-9))
-    sources = source_targets(sizes, weights, max_copies).withColumn("factor", factor).withColumn("whole", whole.cast("long")).withColumn("p", F.greatest(F.lit(0.0), F.col("factor") - F.col("whole")))
+    sources = source_targets(sizes, weights, max_copies).withColumn("factor", factor).withColumn("whole", whole.cast("long")).withColumn("f", F.greatest(F.lit(0.0), F.col("factor") - F.col("whole")))
+    # No p above 1: z - z0 stays below 1.
+    sources = sources.withColumn("lean", F.when(F.col("f") > 0, F.least(F.lit(LEAN), 1 / F.col("f") - 1)).otherwise(F.lit(0.0)))
     sources = stored(sources.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")), shared_folder(spark, "sources"))
 
-    placed = rows.join(sources.select("source", "p", "left"), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    placed = placed.where("p > 0 and size > 0").withColumn("place", _place(F.col("doc_id"), F.col("p"), seed)).withColumn("slice", F.floor(F.col("place") * SLICES))
+    placed = rows.join(sources.select("source", *ODDS, "left"), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    placed = placed.where("f > 0 and size > 0").withColumn("place", _place(F.col("doc_id"), inclusion(), seed)).withColumn("slice", F.floor(F.col("place") * SLICES))
     slices = placed.groupBy("source", "slice").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
     running = F.sum("words").over(Window.partitionBy("source").orderBy("slice"))
     last = slices.withColumn("upto", running).where("upto >= left").groupBy("source").agg(F.min_by(F.struct("slice", "upto", "words"), "slice").alias("x"))
@@ -75,6 +86,19 @@ def _plan(docs: DataFrame, id_column: str, text_column: str, source_column: str,
     return rows, sources, taken
 
 
+#: A source's columns that a document's inclusion probability takes.
+ODDS = ("f", "lean", "mean_size", "z0")
+
+
+def _longer(size: Column, mean_size: Column) -> Column:
+    return size / (size + mean_size)
+
+
+def inclusion() -> Column:
+    """The probability, from a document's size and its source's ODDS, with which its last copy is taken."""
+    return F.col("f") * (1 + F.col("lean") * (_longer(F.col("size"), F.col("mean_size")) - F.col("z0")))
+
+
 def _place(doc_id: Column, p: Column, seed: int) -> Column:
     """r / (1 + r) of the Pareto rank r; the random number is a hash of id and seed, so that reruns agree."""
     u = (F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
@@ -82,14 +106,14 @@ def _place(doc_id: Column, p: Column, seed: int) -> Column:
 
 
 def _with_copies(rows: DataFrame, sources: DataFrame, taken: DataFrame, seed: int) -> DataFrame:
-    """``rows`` (with doc_id, source, tie) and the number of times each is taken. The small tables are joined as their sizes allow."""
-    s = sources.select(F.col("source").alias("s_source"), "source_size", "target", "whole", "p", "last_slice")
+    """``rows`` (with doc_id, source, size, tie) and the number of times each is taken. The small tables are joined as their sizes allow."""
+    s = sources.select(F.col("source").alias("s_source"), "source_size", "target", "whole", *ODDS, "last_slice")
     joined = rows.join(s, rows["source"].eqNullSafe(s["s_source"]))
     t = taken.select(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("tie").alias("t_tie"), F.lit(1).alias("t_one"))
     joined = joined.join(t, joined["doc_id"].eqNullSafe(t["t_id"]) & joined["source"].eqNullSafe(t["t_source"]) & joined["tie"].eqNullSafe(t["t_tie"]), "left")
-    slice_of = F.floor(_place(F.col("doc_id"), F.col("p"), seed) * SLICES)
-    more = F.when(F.col("p") <= 0, 0).when(F.col("last_slice").isNull() | (slice_of < F.col("last_slice")) | F.col("t_one").isNotNull(), 1).otherwise(0)
-    return joined.withColumn("copies", F.col("whole") + more).drop("s_source", "t_id", "t_source", "t_tie", "t_one", "whole", "p", "last_slice")
+    slice_of = F.floor(_place(F.col("doc_id"), inclusion(), seed) * SLICES)
+    more = F.when((F.col("f") <= 0) | (F.col("size") <= 0), 0).when(F.col("last_slice").isNull() | (slice_of < F.col("last_slice")) | F.col("t_one").isNotNull(), 1).otherwise(0)
+    return joined.withColumn("copies", F.col("whole") + more).drop("s_source", "t_id", "t_source", "t_tie", "t_one", "whole", *ODDS, "last_slice")
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = 20, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_copies: int = MAX_COPIES) -> DataFrame:
@@ -108,7 +132,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 def mixed_documents(docs: DataFrame, seed: int = 20, **options) -> DataFrame:
     """The rows of ``docs``, each as many times as mix() takes it, columns unchanged."""
     rows, sources, taken = _plan(docs, "doc_id", "text", "source", seed, options.get("weights", (1.0, 2.0, 3.0)), options.get("max_copies", MAX_COPIES))
-    wrapped = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("source"), F.xxhash64("text").alias("tie"))
+    wrapped = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
     out = _with_copies(wrapped, sources, taken, seed).where("copies > 0")
     name = fresh("copy", docs.columns)
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(name)).select("row.*")
