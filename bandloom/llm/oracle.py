@@ -26,6 +26,10 @@ select page_id, cast(strlen(payload) as bigint) as payload_bytes,
   1577836800 + page_id as captured_at
 from d
 """
+OP2_SQL = f"""
+select *, row_number() over (order by url_key, captured_at, page_id) as position, row_number() over w as nth, lag(captured_at) over w as previous_at
+from ({OP2_SQL}) window w as (partition by url_key order by captured_at, page_id)
+"""
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OP3_SQL = f"""

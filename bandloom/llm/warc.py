@@ -11,10 +11,10 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, open_fs, shared_folder, stored, text_slices
+from .common import BROADCAST_ROWS, bound_batches, open_fs, shared_folder, stored, text_slices
 
 #: Bytes after which a task begins another archive, captures after which it begins another run, and bytes read at once.
 ARCHIVE_BYTES, RUN_CAPTURES, READ_BYTES = 256 << 20, 200_000, 4 << 20
@@ -25,6 +25,9 @@ NAME = re.compile(r"<urn:page:(-?\d+)>")
 #: Marks a revisit record whose payload is that of another record.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Captures of one range of the merged index, and bytes of archives that one task reads back.
+RANGE_CAPTURES, TASK_BYTES = 500_000, 64 << 20
+
 INDEX_SCHEMA = "run string, seq long, url_key string, captured_at long, page_id long, file string, offset long, length long"
 
 
@@ -147,8 +150,18 @@ def _order(entry: tuple) -> tuple:
     return key, captured_at, page_id is not None, page_id or 0, file, offset
 
 
+MERGED_SCHEMA = INDEX_SCHEMA.replace("run string, seq long, ", "") + ", part int, place long, nth long, previous_at long"
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of the index: the slices of all runs, each in its run's order, come one after the other."""
+    """One range of the index: the slices of all runs, each in its run's order, come one after the other.
+
+    In the merged order each capture gets its place in the range, its number among the range's captures of its URL key,
+    and the time of the one before.
+    """
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
     names = [x.split()[0] for x in INDEX_SCHEMA.split(", ")][2:]
     runs: dict[str, list[pa.RecordBatch]] = {}
     for batch in batches:
@@ -166,13 +179,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
     def batch() -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], [x.split()[0] for x in MERGED_SCHEMA.split(", ")])
         held.clear()
         return out
 
-    for _, row in LoserTree([entries(parts) for parts in runs.values()]):
-        held.append(row)
+    last_key = last_at = None
+    nth = 0
+    for place, (_, row) in enumerate(LoserTree([entries(parts) for parts in runs.values()])):
+        nth, before = (nth + 1, last_at) if row[0] == last_key else (1, None)
+        last_key, last_at = row[0], row[1]
+        held.append((*row, part, place, nth, before))
         if len(held) == 20_000:
             yield batch()
     if held:
@@ -189,6 +206,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_column: str =
     are joined to their keeper, by broadcast if they are few.
     """
     spark: SparkSession = pages.sparkSession
+    bound_batches(spark)
     folder = folder or shared_folder(spark, "warc")
     captured = F.lit(0) if captured is None else captured
     rows = pages.select(F.col(f"`{id_column}`").cast("long").alias("page_id"), F.col(f"`{url_column}`").alias("url"), F.coalesce(captured.cast("long"), F.lit(0).cast("long")).alias("captured_at"), F.coalesce(F.col(f"`{payload_column}`"), F.lit("")).alias("payload"))
@@ -203,13 +221,30 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_column: str =
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """All captures in order of URL key, time and page: url_key, captured_at, page_id, file, offset, length.
+    """All captures in order of URL key, time and page: url_key, captured_at, page_id, file, offset, length, and of that
+    order position (from 1, over all), nth (from 1, among those of the URL key) and previous_at (null for the first).
 
-    Spark deals the runs to ranges of that order (a URL with very many captures is split by time and page), and each
-    range is merged from its runs' slices by a tree of losers. Partitions are in ascending order, and so are their rows.
+    Spark deals the runs to ranges of some RANGE_CAPTURES captures (a URL with very many captures is split by time and
+    page), and each range is merged from its runs' slices by a tree of losers and written in its order, range by range.
+    What carries over from one range to the next comes from one row for each range's first and last URL key.
     """
-    ranged = runs.repartitionByRange("url_key", "captured_at", "page_id", "file", "offset").sortWithinPartitions("run", "seq")
-    return ranged.mapInArrow(_merge, INDEX_SCHEMA.replace("run string, seq long, ", ""))
+    spark = runs.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-runs.count() // RANGE_CAPTURES))
+    ranged = runs.repartitionByRange(parts, "url_key", "captured_at", "page_id", "file", "offset").sortWithinPartitions("run", "seq")
+    merged = stored(ranged.mapInArrow(_merge, MERGED_SCHEMA), shared_folder(spark, "merged-index"))
+    counts = merged.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
+    starts = counts.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # one row a range
+    # The URL key that a range ends with, how many of it are there, and its last time; each range's first one goes on from there.
+    ends = merged.groupBy("part").agg(F.min_by("url_key", "place").alias("first_key"), F.max_by("url_key", "place").alias("last_key"), F.max_by("nth", "place").alias("last_n"), F.max_by("captured_at", "place").alias("last_at"))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sides = ends.select("part", F.col("last_key").alias("key"), F.col("last_n").alias("n"), F.col("last_at").alias("at"), F.lit(False).alias("asks"))
+    sides = sides.unionByName(ends.where("first_key <> last_key").select("part", F.col("first_key").alias("key"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("at"), F.lit(True).alias("asks")))
+    carried = sides.select("part", "key", F.sum("n").over(before).alias("more"), F.last("at", ignorenulls=True).over(before).alias("carried_at"))
+    carried = starts.join(carried, "part").join(ends.select("part", "first_key"), "part").where("key = first_key").select("part", "key", "start", "more", "carried_at")
+    # Two rows a range at most.
+    out = merged.join(F.broadcast(starts), "part").join(F.broadcast(carried.select("part", F.col("key").alias("url_key"), "more", "carried_at")), ["part", "url_key"], "left")
+    first = F.col("nth") == 1
+    return out.select(*[x.split()[0] for x in MERGED_SCHEMA.split(", ")[:6]], (F.col("start") + F.col("place") + 1).alias("position"), (F.col("nth") + F.coalesce("more", F.lit(0))).alias("nth"), F.when(first, F.col("carried_at")).otherwise(F.col("previous_at")).alias("previous_at"))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,18 +268,21 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((int(name[1]) if name else None, size, sha, kind, int(refers_to[1]) if refers_to else None, fields["warc-target-uri"]))
         columns = list(zip(*rows, strict=True)) or [()] * 6
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), batch.column("url_key"), batch.column("captured_at")], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "url_key", "captured_at"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *(batch.column(c) for c in ("url_key", "captured_at", "position", "nth", "previous_at"))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "url_key", "captured_at", "position", "nth", "previous_at"])
     if source is not None:
         source.close()
 
 
 def read_captures(index: DataFrame) -> DataFrame:
-    """The records that entries of an index name, each archive read from front to back.
+    """The records that entries of a merged index name, with what the index says of their order.
 
-    A response's length and digest are those of the payload read; a revisit's stand in its header.
+    Archives are read from front to back, in stretches of READ_BYTES that some tasks share. A response's length and
+    digest are those of the payload read; a revisit's stand in its header.
     """
-    placed = index.repartition("file").sortWithinPartitions("file", "offset")
-    return placed.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, url_key string, captured_at long")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    parts = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    placed = index.repartition(parts, "file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
+    return placed.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, url_key string, captured_at long, position long, nth long, previous_at long")
 
 
 def archive_pages(pages: DataFrame, **options) -> DataFrame:
