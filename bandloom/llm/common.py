@@ -17,13 +17,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 #: Bytes of text that a task turns into numpy arrays at once; a longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
+
+#: Bytes of an Arrow batch that Spark sends to Python; each task has a few of them, on both sides.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share; one of this machine where that is unset."""
+    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where that is unset, one of this machine in local mode; on a cluster that is an error.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='bandloom-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/bandloom/{name}-{uuid.uuid4().hex}"
@@ -35,6 +43,13 @@ def stored(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_BYTES, so that whole texts don't fill a task's memory 10,000 at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI and the path in it; a bare path is local."""
     return fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")

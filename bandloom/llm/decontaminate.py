@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, text_slices, without_rows
+from .common import bound_batches, shared_folder, text_slices, without_rows
 
 #: A-Z to a-z; the other ASCII characters than digits and letters to spaces; bytes from 0x80 stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -110,6 +110,7 @@ def _load(folder: str) -> list[tuple[object, str | None]]:
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, keep: list[str], id_column: str, text_column: str, width: int, automaton_bytes: int) -> tuple[DataFrame, list]:
     """The scan's columns beside k0, k1, ... for the ``keep`` columns, and these under their own names."""
+    bound_batches(docs.sparkSession)
     items, folders = _shards(benchmark, id_column, text_column, automaton_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(items) if items is not None else None
     names = [f"k{i}" for i in range(len(keep))]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes, text_slices, without_rows
+from .common import bound_batches, text_bytes, text_slices, without_rows
 
 #: Buckets of hashed three-byte grams.
 BUCKET_BITS = 15
@@ -137,6 +137,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang") -> LanguageModel:
     """A model from all rows whose text and language are not null: grams are counted in the tasks and summed by Spark."""
+    bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{text_column}`").alias("text"), F.col(f"`{lang_column}`").alias("lang")).where("text is not null and lang is not null")
     sums = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     by_lang = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("x"))
@@ -152,6 +153,7 @@ def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
 
 def _identified(docs: DataFrame, model: LanguageModel, keep: list[str], text_column: str) -> tuple[DataFrame, list]:
     """lang_pred, score, ambiguous beside k0, k1, ... for the ``keep`` columns, and these under their own names."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"k{i}" for i in range(len(keep))]
     slim = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text_column}`").alias("read_text"))

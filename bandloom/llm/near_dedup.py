@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fresh, mix64, shared_folder, stored, text_bytes, text_slices
+from .common import BROADCAST_ROWS, bound_batches, fresh, mix64, shared_folder, stored, text_bytes, text_slices
 from .graph import components
 from .shingles import digests, minhashes, shingle_sets
 
@@ -245,6 +245,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts with 10 times as many bytes of arrays, or two blocks of a cluster.
     """
     spark: SparkSession = docs.sparkSession
+    bound_batches(spark)
     run, schema = _signatures(id_column, text_column, halves, rows)
     signatures = stored(docs.select(id_column, text_column).mapInArrow(run, schema), shared_folder(spark, "signatures"))
     named = signatures.where("n > 0 and doc_id is not null")

@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored, text_slices
+from .common import bound_batches, shared_folder, stored, text_slices
 
 #: A whole run of key characters, and a name with its equals signs at the beginning of one.
 RUN = re.compile(r"[A-Za-z0-9_+/=.-]{15,}+")
@@ -112,6 +112,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_candidates(docs: DataFrame, id_column: str = "doc_id", path_column: str = "source", text_column: str = "text") -> DataFrame:
     """A row for each candidate: doc_id, start, end (characters), left_word, features, secret_sha256, weak_label."""
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{path_column}`").cast("string").alias("path"), F.col(f"`{text_column}`").alias("text"))
     return slim.mapInArrow(_candidates, SCHEMA)
 

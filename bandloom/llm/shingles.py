@@ -12,17 +12,21 @@ _FOLD[65:91] += 32
 _FOLD[9:14] = 32
 _BASE = 0x9E3779B97F4A7C15
 _U64 = np.uint64
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+#: Bytes hashed at once, and for that many the powers of an odd base modulo 2**64 and of its inverse.
+CHUNK = 256 << 10
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    tables = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        tables.append(np.cumprod(steps, dtype=np.uint64))
+    return tables[0], tables[1]
+
+
+_POWERS = _powers(CHUNK)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,10 +40,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begins[offsets] = True
     start = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1])) | inside & begins[:-1])
     end = np.flatnonzero(inside & (np.concatenate((~inside[1:], [True])) | begins[1:])) + 1
-    power, inverse = _powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + _U64(1)) * power, out=total[1:])
-    hashes = (total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _U64(0xD6E8FEB86659FD93)
+    hashes = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):  # as many whole words as a chunk holds, or one that is longer
+        base = start[at]
+        stop = max(at + 1, int(np.searchsorted(end, base + CHUNK, "right")))
+        chunk = data[base : end[stop - 1]]
+        power, inverse = _POWERS if len(chunk) <= CHUNK else _powers(len(chunk))
+        total = np.zeros(len(chunk) + 1, np.uint64)
+        np.cumsum((chunk.astype(np.uint64) + _U64(1)) * power[: len(chunk)], out=total[1:])
+        first, last = start[at:stop] - base, end[at:stop] - base
+        hashes[at:stop] = (total[last] - total[first]) * inverse[first]
+        at = stop
+    hashes += (end - start).astype(np.uint64) * _U64(0xD6E8FEB86659FD93)
     return mix64(hashes), np.searchsorted(start, offsets)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import open_fs, shared_folder, stored, text_slices
+from .common import bound_batches, open_fs, shared_folder, stored, text_slices
 from .encoding import encoder
 
 MAGIC = b"BLTOKENS"
@@ -26,6 +26,12 @@ FOOTER = struct.Struct("<8sIIQQQ24x")
 #: Ids of a block, a multiple of 8, so that full blocks end at a byte for every width.
 BLOCK_IDS = 1 << 16
 
+#: Bytes of text that make one file, ids that one task reads back, and bytes of text whose pieces are made distinct together.
+FILE_BYTES, READ_IDS, ENCODE_BYTES = 32 << 20, 16 << 20, 2 << 20
+
+#: Characters of a text by which rows of the same id are dealt to files.
+TIE = 64
+
 
 def bits_of(vocabulary: int) -> int:
     """The fewest bits that hold every id below ``vocabulary``."""
@@ -140,21 +146,21 @@ def _writer(folder: str, tokenizer: str, end_id: int, bits: int, block_ids: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer).encode
+        encode_all = encoder(tokenizer).encode_all
         end = np.array([end_id], "<u4")
         system, root = open_fs(folder)
         part = TaskContext.get().partitionId()
         writer = out = None
         for whole in batches:
-            for batch in text_slices(whole, "text"):
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for batch in text_slices(whole, "text", ENCODE_BYTES):
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode_all(batch.column("text").to_pylist()), strict=True):
                     if writer is None:
                         # A name of its own for each attempt: one that is lost leaves a file that no row names.
                         name = f"{part:06d}-{uuid.uuid4().hex}.tokens"
                         system.create_dir(root, recursive=True)
                         out = system.open_output_stream(f"{root}/{name}")
                         writer = TokenFileWriter(out, bits, block_ids)
-                    writer.add(doc_id, np.concatenate((np.frombuffer(encode(text or ""), "<u4"), end)))
+                    writer.add(doc_id, np.concatenate((ids, end)))
         if writer is not None:
             writer.close()
             out.close()
@@ -168,14 +174,19 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary:
 
     Returns part, file, start, n_docs, n_ids for each file; start counts the ids of the files before. Rows are dealt to
     files by ranges of the id (Spark samples the bounds), each of which is sorted and streamed into one file. Null texts
-    are empty, null ids come first, rows with the same id follow each other in order of their text; other columns are
-    ignored. An empty table writes no file and gives an empty result. ids of ``vocabulary`` or more can't occur.
+    are empty, null ids come first, rows with the same id follow each other in order of the first TIE characters of their
+    text, so that many rows of one id, or without one, make several files too; other columns are ignored. An empty table
+    writes no file and gives an empty result. ids of ``vocabulary`` or more can't occur.
     """
     spark: SparkSession = docs.sparkSession
+    bound_batches(spark)
     folder = folder or shared_folder(spark, "tokens")
     run, schema = _writer(folder, tokenizer, end_id, bits_of(vocabulary), block_ids)
-    slim = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    ranged = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    slim = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
+    total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // FILE_BYTES))
+    # Rows of one id and beginning are told apart by their place, which orders nothing.
+    ranged = slim.repartitionByRange(parts, "doc_id", F.substring("text", 1, TIE), F.monotonically_increasing_id()).sortWithinPartitions("doc_id", "text")
     files = stored(ranged.mapInArrow(run, schema), f"{folder}/_index")
     # One row a file, so that one task can sum what lies before.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -194,7 +205,10 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files that write_token_files() returned."""
-    return files.select("file", "start").repartition("file").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    sizes = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n_ids"), F.lit(0)).alias("ids")).first()
+    # Whole files, dealt in turn: not by hash, which would leave some tasks with several and others with none.
+    parts = max(1, min(sizes["files"], max(files.sparkSession.sparkContext.defaultParallelism, -(-sizes["ids"] // READ_IDS))))
+    return files.select("file", "start").repartition(parts).mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_documents(docs: DataFrame) -> DataFrame:

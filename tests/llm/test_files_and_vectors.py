@@ -29,16 +29,15 @@ MIXED = st.text(alphabet=st.sampled_from(list("abZé ,.'\n\t 　-\"1日▁<|>s"
 def test_pieces_give_the_ids_of_the_whole_text(text):
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"):
         own = encoding.encoder(name)
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == own.encode_whole(text)
+        assert own.encode_all([text])[0].tolist() == own.encode_whole(text)
 
 
 def test_pieces_of_odd_and_given_texts(spark, data_dir):
     texts = TEXTS + [r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").limit(40).collect()]
     hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    for x in texts:
-        assert np.frombuffer(encoding.encoder("byte_bpe_50k.json").encode(x), "<u4").tolist() == hf.encode(x, add_special_tokens=False).ids
-        assert np.frombuffer(encoding.encoder("piece_bpe_32k.model").encode(x), "<u4").tolist() == sp.encode(x)
+    for name, plain in (("byte_bpe_50k.json", lambda x: hf.encode(x, add_special_tokens=False).ids), ("piece_bpe_32k.model", sp.encode)):
+        assert [x.tolist() for x in encoding.encoder(name).encode_all(texts)] == [plain(x) for x in texts]
 
 
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 32])
@@ -132,10 +131,15 @@ def test_archives_round_trip(spark, monkeypatch):
     pages += [(7, "http://a b/\n", "<p>ä</p>"), (59, None, "x" * 30_000), (59, None, "x" * 30_000), (None, "::bad[url", "own 3"), (None, "u", "lonely")]
     frame = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, offset string").repartition(3)
     runs = warc.write_archives(frame, captured=F.lit(1_600_000_000) - F.col("page_id") % 5)
-    index = warc.merge_runs(runs).collect()
+    index = warc.merge_runs(runs).orderBy("position").collect()
     order = [(r.url_key, r.captured_at, r.page_id is not None, r.page_id or 0) for r in index]
     assert order == sorted(order) and len(order) == len(pages)
-    found = warc.read_captures(spark.createDataFrame(index, "url_key string, captured_at long, page_id long, file string, offset long, length long")).collect()
+    assert [r.position for r in index] == list(range(1, len(pages) + 1))
+    seen = {}
+    for r in index:
+        assert (r.nth, r.previous_at) == ((n := seen.get(r.url_key, (0, None)))[0] + 1, n[1])
+        seen[r.url_key] = (r.nth, r.captured_at)
+    found = warc.read_captures(spark.createDataFrame(index, warc.merge_runs(runs).schema)).collect()
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == captures_expected([(p[0], p[2]) for p in pages])
     assert warc.archive_pages(frame.limit(0)).count() == 0
     assert warc.url_key("HTTPS://www.Example.org/a?b=c#d") == "org,example,www)/a?b=c" and warc.url_key("http://h:8080") == "h:8080)/"
@@ -260,3 +264,13 @@ def test_pipeline_stages(spark, data_dir):
     tokens = steps["token_files"](spark, mixed, data_dir)
     assert sorted(map(tuple, tokens.collect()), key=lambda r: r[1]) == tokens_expected([(r.doc_id, r.text) for r in mixed.collect()])
     assert steps["token_files"](spark, steps["mix_sources"](spark, steps["decontaminate"](spark, steps["near_dedup"](spark, steps["language_id"](spark, docs.limit(0), data_dir), data_dir), data_dir), data_dir), data_dir).count() == 0
+
+
+def test_one_url_over_many_ranges(spark, monkeypatch):
+    """Captures of one URL key that fill several ranges are numbered on from range to range."""
+    monkeypatch.setattr(warc, "RANGE_CAPTURES", 7)
+    pages = spark.createDataFrame([(k, "http://a.org/" if k % 10 else f"http://b.org/{k}", f"p{k}") for k in range(90)], "page_id long, url string, html string").repartition(5)
+    index = warc.merge_runs(warc.write_archives(pages, captured=F.col("page_id") * 2)).orderBy("position").collect()
+    own = [r for r in index if r.url_key == "org,a)/"]
+    assert [r.nth for r in own] == list(range(1, 82)) and [r.previous_at for r in own] == [None, *(r.captured_at for r in own[:-1])]
+    assert [r.position for r in index] == list(range(1, 91)) and [(r.url_key, r.captured_at) for r in index] == sorted((r.url_key, r.captured_at) for r in index)
