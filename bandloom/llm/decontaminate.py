@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, shared_folder, text_slices, without_rows
+from .common import bound_batches, open_fs, shared_folder, stored, text_slices, without_rows
 
 #: A-Z to a-z; the other ASCII characters than digits and letters to spaces; bytes from 0x80 stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -17,8 +20,11 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 o
 #: Words of a window.
 WINDOW = 10
 
-#: Bytes of benchmark text that one automaton takes (some 50 times as many bytes of automaton); more make several.
-AUTOMATON_BYTES = 4 << 20
+#: Bytes of benchmark text that one automaton takes (some 15 times as many bytes of memory); more make several.
+AUTOMATON_BYTES = 16 << 20
+
+#: Bytes of text that a task scans at once.
+SCAN_BYTES = 1 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -26,47 +32,82 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
-def windows(text: str | None, width: int = WINDOW) -> set[str]:
-    """The runs of ``width`` words of an item, or all its words if it has fewer; none for an item without words."""
-    w = words(text)
-    return {b" ".join(w[k : k + width]).decode() for k in range(max(1, len(w) - width + 1))} if w else set()
-
-
-def automaton(items: list[tuple[object, str | None]], width: int = WINDOW):
-    """An automaton that finds each window with a space on both sides; its values are (words, items with the window)."""
-    import ahocorasick
-
-    owners: dict[str, set] = {}
-    for item_id, text in items:
-        for window in windows(text, width):
-            owners.setdefault(window, set()).add(item_id)
-    found = ahocorasick.Automaton()
-    for window, ids in owners.items():
-        found.add_word(f" {window} ", (window.count(" ") + 1, tuple(sorted(ids))))
-    if owners:
-        found.make_automaton()
-    return found if owners else None
-
-
-def scan(text: str | None, automata: list) -> tuple[int, np.ndarray, set]:
-    """Number of words, the hit words' positions, and the items with windows in the text."""
-    w = words(text)
-    items: set = set()
-    delta = None
-    if w:
-        joined = f" {b' '.join(w).decode()} "
-        ends = None
-        for one in automata:
-            for at, (length, ids) in one.iter(joined):
-                if ends is None:
-                    # ends[k] is the place of the space after word k.
-                    ends = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), "<u4") == 32)[1:]
-                    delta = np.zeros(len(w) + 1, np.int64)
-                last = int(np.searchsorted(ends, at))
-                delta[last + 1 - length] += 1
-                delta[last + 1] -= 1
-                items.update(ids)
-    return len(w), np.flatnonzero(np.cumsum(delta[:-1])) if delta is not None else np.zeros(0, np.int64), items
+class Index:
+    """An Aho-Corasick automaton over the benchmark's words, and a table of its windows.
+
+    Each run of ``width`` words holds one of the blocks of width // 2 words that begin at multiples of that in an item;
+    the automaton finds these blocks (and whole items of fewer than ``width`` words) in one pass over a text's words,
+    and the windows around a block are confirmed in the table.
+    """
+
+    def __init__(self, items: list[tuple[str, str | None]], width: int = WINDOW) -> None:
+        import ahocorasick
+
+        self.width, self.block = width, max(1, width // 2)
+        self.ids = [i for i, _ in items]
+        self.vocabulary: dict[bytes, int] = {}
+        number = self.vocabulary.setdefault
+        whole: dict[tuple, list[int]] = {}
+        blocks: set[tuple] = set()
+        self.flat, self.at = array("i"), array("q", [0])
+        keys, owners, places = array("q"), array("i"), array("i")
+        for k, (_, text) in enumerate(items):
+            w = tuple([number(x, len(self.vocabulary) + 1) for x in words(text)])
+            self.flat.extend(w)
+            self.at.append(len(self.flat))
+            if 0 < len(w) < width:
+                whole.setdefault(w, []).append(k)
+            for s in range(len(w) - width + 1):
+                keys.append(hash(w[s : s + width]))
+                owners.append(k)
+                places.append(s)
+            if len(w) >= width:
+                blocks.update(w[s : s + self.block] for s in range(0, len(w) - self.block + 1, self.block))
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        self.keys, self.owners, self.places = (array(t, np.array(x)[order].tobytes()) for t, x in (("q", keys), ("i", owners), ("i", places)))
+        self.automaton = None
+        if whole or blocks:
+            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for w in blocks.union(whole):
+                self.automaton.add_word(w, (len(w), tuple(whole.get(w, ())), w in blocks))
+            self.automaton.make_automaton()
+
+    def owners_of(self, window: tuple) -> list[int]:
+        """Numbers of the items that have a window."""
+        key, out = hash(window), []
+        at = bisect_left(self.keys, key)
+        while at < len(self.keys) and self.keys[at] == key:
+            first = self.at[self.owners[at]] + self.places[at]
+            if tuple(self.flat[first : first + self.width]) == window:
+                out.append(self.owners[at])
+            at += 1
+        return out
+
+    def scan(self, w: list[bytes]) -> tuple[np.ndarray, list[str]]:
+        """Positions of the words that lie in windows, and the sorted ids of the items that have these."""
+        if self.automaton is None or not w:
+            return np.zeros(0, np.int64), []
+        get = self.vocabulary.get
+        numbers = tuple([get(x, 0) for x in w])
+        spans, items, tried = [], set(), set()
+        for last, (length, whole, is_block) in self.automaton.iter(numbers):
+            if whole:
+                spans.append((last + 1 - length, last + 1))
+                items.update(whole)
+            if is_block:
+                for s in range(max(0, last + 1 - self.width), min(last + 1 - length, len(w) - self.width) + 1):
+                    if s not in tried:
+                        tried.add(s)
+                        if owners := self.owners_of(numbers[s : s + self.width]):
+                            spans.append((s, s + self.width))
+                            items.update(owners)
+        if not spans:
+            return np.zeros(0, np.int64), []
+        delta = np.zeros(len(w) + 1, np.int64)
+        ends = np.array(spans)
+        np.add.at(delta, ends[:, 0], 1)
+        np.add.at(delta, ends[:, 1], -1)
+        return np.flatnonzero(np.cumsum(delta[:-1])), sorted({self.ids[k] for k in items})
 
 
 def char_spans(text: str, hits: np.ndarray) -> list[tuple[int, int]]:
@@ -80,64 +121,88 @@ def char_spans(text: str, hits: np.ndarray) -> list[tuple[int, int]]:
     return [(int(chars[start[r[0]]]), int(chars[end[r[-1]]])) for r in runs]
 
 
-def _shards(benchmark: DataFrame, item_column: str, text_column: str, limit: int):
-    """The benchmark as lists of items of at most ``limit`` bytes: (items, None) if there is one, else (None, folders).
-
-    Several shards are read by the tasks from the shared folder, one at a time; the driver never holds them.
-    """
-    items = benchmark.select(F.col(item_column).cast("string").alias("item_id"), F.col(text_column).alias("text")).where("item_id is not null")
+def _shards(benchmark: DataFrame, item_column: str, text_column: str, limit: int) -> list[str]:
+    """Folders that hold the benchmark, each with some ``limit`` bytes of text at most; the tasks read them, the driver doesn't."""
+    items = benchmark.select(F.col(f"`{item_column}`").cast("string").alias("item_id"), F.col(f"`{text_column}`").alias("text")).where("item_id is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if total <= limit:
-        return [(x.item_id, x.text) for x in items.collect()], None
-    count = -(-total // limit)
+    count = max(1, -(-total // limit))
     folder = shared_folder(benchmark.sparkSession, "benchmark")
-    items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(count))).repartition("shard").write.partitionBy("shard").parquet(folder)
-    return None, [f"{folder}/shard={k}" for k in range(count)]
+    items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(count))).repartition(count, "shard").write.partitionBy("shard").parquet(folder)
+    return [f"{folder}/shard={k}" for k in range(count)]
 
 
-def _load(folder: str) -> list[tuple[object, str | None]]:
+@lru_cache(maxsize=1)
+def _index(folder: str, width: int) -> Index:
+    """The index of one folder, built once in each Python process."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
-    from .common import open_fs
-
     system, path = open_fs(folder)
     if system.get_file_info(path).type == fs.FileType.NotFound:
-        return []
+        return Index([], width)
     table = ds.dataset(path, filesystem=system, format="parquet").to_table(columns=["item_id", "text"])
-    return list(zip(table["item_id"].to_pylist(), table["text"].to_pylist(), strict=True))
+    return Index(list(zip(table["item_id"].to_pylist(), table["text"].to_pylist(), strict=True)), width)
+
+
+def _answer(batch: pa.RecordBatch, names: list[str], hits: list[np.ndarray], items: list[list[str]], counts: list[int]) -> pa.RecordBatch:
+    spans = [char_spans(x, h) if len(h) else [] for x, h in zip(batch.column("scanned_text").to_pylist(), hits, strict=True)]
+    columns = [batch.column(n) for n in names]
+    columns += [pa.array(counts, pa.int64()), pa.array([len(h) for h in hits], pa.int64()), pa.array(items, pa.list_(pa.string()))]
+    columns += [pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+    return pa.RecordBatch.from_arrays(columns, [*names, "n_words", "n_hit", "items", "spans"])
+
+
+def _scan_one(folder: str, width: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(folder, width)
+        for whole in batches:
+            for batch in text_slices(whole, "scanned_text", SCAN_BYTES):
+                texts = [words(x) for x in batch.column("scanned_text").to_pylist()]
+                found = [index.scan(w) for w in texts]
+                yield _answer(batch, names, [h for h, _ in found], [x for _, x in found], [len(w) for w in texts])
+
+    return run
+
+
+def _scan_shard(folder: str, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(folder, width)
+        for whole in batches:
+            for batch in text_slices(whole, "scanned_text", SCAN_BYTES):
+                found = [index.scan(words(x)) for x in batch.column("scanned_text").to_pylist()]
+                rows = [i for i, (h, _) in enumerate(found) if len(h)]
+                yield pa.RecordBatch.from_arrays([batch.column("scanned_row").take(pa.array(rows, pa.int64())), pa.array([found[i][0].tolist() for i in rows], pa.list_(pa.int64())), pa.array([found[i][1] for i in rows], pa.list_(pa.string()))], ["scanned_row", "hits", "found"])
+
+    return run
+
+
+def _gathered(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_slices(whole, "scanned_text", SCAN_BYTES):
+                hits = [np.unique(np.array(x or [], np.int64)) for x in batch.column("hits").to_pylist()]
+                counts = [len(words(x)) for x in batch.column("scanned_text").to_pylist()]
+                yield _answer(batch, names, hits, [sorted(x or []) for x in batch.column("found").to_pylist()], counts)
+
+    return run
 
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, keep: list[str], id_column: str, text_column: str, width: int, automaton_bytes: int) -> tuple[DataFrame, list]:
     """The scan's columns beside k0, k1, ... for the ``keep`` columns, and these under their own names."""
-    bound_batches(docs.sparkSession)
-    items, folders = _shards(benchmark, id_column, text_column, automaton_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast(items) if items is not None else None
+    spark = docs.sparkSession
+    bound_batches(spark)
+    folders = _shards(benchmark, id_column, text_column, automaton_bytes)
     names = [f"k{i}" for i in range(len(keep))]
     slim = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text_column}`").alias("scanned_text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [x for x in [automaton(shared.value, width)] if x] if shared is not None else None
-        for whole in batches:
-            for batch in text_slices(whole, "scanned_text", 4 << 20):
-                texts = batch.column("scanned_text").to_pylist()
-                if own is not None:
-                    found = [scan(x, own) for x in texts]
-                else:
-                    found = [(len(words(x)), np.zeros(0, np.int64), set()) for x in texts]
-                    for folder in folders:
-                        one = automaton(_load(folder), width)
-                        for i, x in enumerate(texts if one else []):
-                            n, hits, ids = scan(x, [one])
-                            found[i] = n, np.union1d(found[i][1], hits), found[i][2] | ids
-                spans = [char_spans(x, hits) if len(hits) else [] for x, (_, hits, _) in zip(texts, found, strict=True)]
-                columns = [batch.column(n) for n in names]
-                columns += [pa.array([n for n, _, _ in found], pa.int64()), pa.array([len(h) for _, h, _ in found], pa.int64()), pa.array([sorted(x) for _, _, x in found], pa.list_(pa.string()))]
-                columns += [pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "n_words", "n_hit", "items", "spans"])
-
-    kept = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
-    out = slim.mapInArrow(run, f"{kept}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
+    kept = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep, strict=True))
+    schema = f"{kept}n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
+    if len(folders) == 1:
+        out = slim.mapInArrow(_scan_one(folders[0], width, names), schema)
+    else:
+        rows = stored(slim.withColumn("scanned_row", F.monotonically_increasing_id()), shared_folder(spark, "scanned"))
+        parts = [rows.select("scanned_row", "scanned_text").mapInArrow(_scan_shard(x, width), "scanned_row long, hits array<long>, found array<string>") for x in folders]
+        hits = reduce(DataFrame.unionByName, parts).groupBy("scanned_row").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+        out = rows.join(stored(hits, shared_folder(spark, "scanned-hits")), "scanned_row", "left").mapInArrow(_gathered(names), schema)
     return out, [F.col(n).alias(c) for n, c in zip(names, keep, strict=True)]
 
 
@@ -148,9 +213,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], i
     or all words of a shorter one. spans are the character ranges of the hit words in the original text.
 
     Null texts have no words; items that are null or have no words have no windows; items with a null id are left out;
-    rows of one item id count as one item. Each text is scanned once if the benchmark has at most ``automaton_bytes``
-    bytes, which is also the most that the driver reads; a larger benchmark is dealt to shards in the shared folder, and
-    each batch of texts is scanned once for each shard. Empty tables and repeated rows need no special care.
+    rows of one item id count as one item. The benchmark is written to the shared folder, and each Python process builds
+    its automaton once; the driver reads none of it. Each text is scanned once if the benchmark has at most
+    ``automaton_bytes`` bytes; a larger one makes as many automata as it takes, each of which scans all texts in tasks of
+    its own, and a text's hits are gathered by row. Empty tables and repeated rows need no special care.
     """
     out, kept = _scanned(docs, benchmark, keep, id_column, text_column, width, automaton_bytes)
     return out.select(*kept, "n_words", "n_hit", "items", "spans", (F.col("n_hit") > 0).alias("contaminated"))
