@@ -9,21 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored
+from .common import BROADCAST_ROWS, bound_batches, shared_folder, stored
 from .graph import components
 
 #: Nearest pivots that describe a vector, and how many two vectors must share to be compared.
 NEAREST, SHARED = 8, 2
 
-#: Pivots for n vectors: PIVOTS_BY_ROOT * sqrt(n), between the two bounds; they are picked from a sample of at most
-#: SAMPLE_BY_PIVOT times as many vectors.
-PIVOTS_BY_ROOT, LEAST_PIVOTS, MOST_PIVOTS, SAMPLE_BY_PIVOT = 2.0, 16, 4096, 4
+#: Pivots for n vectors: PIVOTS_BY_ROOT * sqrt(n), but no fewer than LEAST_PIVOTS, nor more than fill PIVOT_BYTES, which
+#: each task holds; they are picked from a sample of at most SAMPLE_BY_PIVOT times as many vectors.
+PIVOTS_BY_ROOT, LEAST_PIVOTS, PIVOT_BYTES, SAMPLE_BY_PIVOT = 2.0, 16, 32 << 20, 4
 
 #: Pivots are no nearer to each other than this cosine, so that a dense group has one of them and not many alike.
 APART = 0.85
 
-#: Vectors of one block of an inverted list.
-BLOCK = 1024
+#: Vectors of one block of an inverted list, and blocks beyond which a list is dealt to lists of two pivots.
+BLOCK, LONG_BLOCKS = 1024, 4
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,8 +63,9 @@ def permutation(m: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     return np.argsort(-near, axis=1, kind="stable")[:, :k].astype(np.int32)
 
 
-def _describe(pivots: dict[int, np.ndarray], nearest: int):
+def _describe(shared, nearest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = shared.value
         for whole in batches:
             for k in range(0, whole.num_rows, 2048):
                 batch = whole.slice(k, 2048)
@@ -123,15 +124,20 @@ def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
 
 def _compare(threshold: float, shared: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        """Links between two blocks of a pivot's list, or within one. A pair that shares several pivots is compared in the list of the first of them alone."""
-        pivot, low, high = key[1].as_py(), key[2].as_py(), key[3].as_py()
+        """Links between two blocks of a pivot's list, or within one.
+
+        A pair that shares several pivots is compared in the list of the first of them alone; in a list of two pivots,
+        if they are the first two that it shares.
+        """
+        pivot, second, low, high = (x.as_py() for x in key[1:5])
         block = group["block"].to_numpy()
         rows = np.flatnonzero(block == low), np.flatnonzero(block == high)
         nearest = np.array(group["nearest"].to_pylist(), np.int32)
         need = min(shared, nearest.shape[1])
         places = np.unique(nearest)
         m = _matrix(group["vector"].to_pylist())
-        sides = [(_bits(nearest[r], places), _bits(nearest[r], places[places < pivot])) for r in rows]
+        before = places[places < pivot] if second < 0 else places[(places < second) & (places != pivot)]
+        sides = [(_bits(nearest[r], places), _bits(nearest[r], before)) for r in rows]
         candidates = (_common(sides[0][0], sides[1][0]) >= need) & (_common(sides[0][1], sides[1][1]) == 0)
         if low == high:
             np.fill_diagonal(candidates, False)
@@ -159,24 +165,49 @@ def _compare(threshold: float, shared: int):
 
 def index_vectors(vectors: DataFrame, nearest: int = NEAREST) -> DataFrame:
     """``vectors`` (dim, vector and more) with ``nearest``, the ordered numbers of each one's nearest pivots."""
-    n = vectors.count()
-    count = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, PIVOTS_BY_ROOT * n**0.5)))
+    n, dim = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(1))).first()
+    count = int(min(max(LEAST_PIVOTS, PIVOT_BYTES // (8 * dim)), max(LEAST_PIVOTS, PIVOTS_BY_ROOT * n**0.5)))
     sample = vectors.select("dim", "vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE_BY_PIVOT * count).collect()
     by_dim: dict[int, list[bytes]] = {}
     for row in sample:
         by_dim.setdefault(row["dim"], []).append(bytes(row["vector"]))
     pivots = {dim: pick_pivots(rows, count) for dim, rows in by_dim.items()}
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
-    return vectors.mapInArrow(_describe(pivots, nearest), f"{schema}, nearest array<int>")
+    return vectors.mapInArrow(_describe(vectors.sparkSession.sparkContext.broadcast(pivots), nearest), f"{schema}, nearest array<int>")
+
 
+def _lists(described: DataFrame, shared: int, block: int, long_blocks: int) -> DataFrame:
+    """(node, dim, pivot, second, blocks, block): the inverted lists that a row enters, and its block in each.
 
-def vector_duplicates(embeddings: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = 0.95, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+    second is -1 in a list of one pivot. Lists of one row are left out.
+    """
+    spark = described.sparkSession
+
+    def sized(rows: DataFrame) -> DataFrame:
+        key = ["dim", "pivot", "second"]
+        sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        sizes = stored(sizes.select(*key, F.ceil(F.col("c") / block).cast("int").alias("blocks")), shared_folder(spark, "list-sizes"))
+        own = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
+        return rows.join(own, key).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+
+    ones = sized(described.select("node", "dim", "nearest", F.explode("nearest").alias("pivot"), F.lit(-1).alias("second")))
+    columns = ["node", "dim", "pivot", "second", "blocks", "block"]
+    long = (F.col("blocks") > long_blocks) & (F.size("nearest") > 1)
+    if shared < 2 or not ones.where(long).limit(1).count():
+        return ones.select(*columns)
+    # Of the two pivots that name a list, the first has the smaller number.
+    twos = ones.where(long).select("node", "dim", "pivot", F.explode(F.filter("nearest", lambda x: x > F.col("pivot"))).alias("second"))
+    return ones.where(~long).select(*columns).unionByName(sized(twos).select(*columns))
+
+
+def vector_duplicates(embeddings: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = 0.95, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK, long_blocks: int = LONG_BLOCKS) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
     Vectors are linked if their cosine is at least ``threshold``. Equal vectors are one class. Each class is described by
-    its nearest pivots in order; it enters the inverted list of each of them. A list is compared in blocks of ``block``
-    rows, whatever its length; two rows that share at least ``shared`` pivots are verified by their cosine. Links are
-    counted where they are found, and only those that hold a component together leave the task. All rows are indexed;
+    its nearest pivots in order; it enters the inverted list of each of them. A list of more than LONG_BLOCKS blocks is
+    dealt to lists of two pivots, for ``shared`` of 2 or more, so that a row meets those alone with which it shares both.
+    A list is compared in blocks of ``block`` rows, whatever its length; two rows that share at least ``shared`` pivots
+    are verified by their cosine. Links are counted where they are found, and only those that hold a component together leave the task. All rows are indexed;
     the pivots come from a bounded sample. A link between vectors that share fewer pivots is missed (README: recall).
 
     Null, empty or zero vectors and those with null or non-finite components link with nothing; vectors of different
@@ -185,18 +216,18 @@ def vector_duplicates(embeddings: DataFrame, id_column: str = "vec_id", vector_c
     and share a component. An empty table gives an empty result; other columns are ignored.
     """
     spark: SparkSession = embeddings.sparkSession
+    bound_batches(spark)
     slim = embeddings.select(F.col(f"`{id_column}`").alias("vec_id"), F.col(f"`{vector_column}`").cast("array<double>").alias("embedding"))
     rows = stored(slim.mapInArrow(_vectors, "vec_id long, dim int, vector binary").withColumn("node", F.when(F.col("vec_id").isNotNull() & F.col("vector").isNotNull(), F.xxhash64("vector"))), shared_folder(spark, "vectors"))
     classes = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("dim").alias("dim"), F.first("vector").alias("vector"))
     classes = stored(classes, shared_folder(spark, "vector-classes"))
     described = stored(index_vectors(classes, nearest), shared_folder(spark, "pivot-index"))
 
-    lists = described.select("node", "rep", "copies", "dim", "vector", "nearest", F.explode("nearest").alias("pivot"))
-    sizes = described.select("dim", F.explode("nearest").alias("pivot")).groupBy("dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    lists = lists.join(sizes, ["dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    places = stored(_lists(described.select("node", "dim", "nearest"), shared, block, long_blocks), shared_folder(spark, "pivot-lists"))
+    lists = described.select("node", "rep", "copies", "vector", "nearest").join(places, "node")
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lists = lists.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks", "c")
-    found = lists.groupBy("dim", "pivot", "low", "high").applyInArrow(_compare(threshold, shared), "node long, n long, a long, b long")
+    lists = lists.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
+    found = lists.groupBy("dim", "pivot", "second", "low", "high").applyInArrow(_compare(threshold, shared), "node long, n long, a long, b long")
     found = stored(found, shared_folder(spark, "vector-links"))
     counts = found.where("a is null").groupBy("node").agg(F.sum("n").alias("others"))
     labels = components(found.where("a is not null").select("a", "b")).withColumnRenamed("node", "rep")

@@ -171,8 +171,9 @@ def links_expected(vectors):
     return {i: (n[i], find(i), find(i) == i) for i in ids}
 
 
-@pytest.mark.parametrize("block", [vector_dedup.BLOCK, 16])
-def test_vectors_match_all_pairs(spark, block):
+@pytest.mark.parametrize(("block", "long_blocks"), [(vector_dedup.BLOCK, vector_dedup.LONG_BLOCKS), (16, 100), (16, 1)])
+def test_vectors_match_all_pairs(spark, block, long_blocks):
+    """Small blocks make lists of several blocks, and then lists of two pivots."""
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=24)) for k in range(300)]
     for k in range(300, 420):  # near copies at about the threshold, and chains of them
@@ -186,7 +187,7 @@ def test_vectors_match_all_pairs(spark, block):
     frame = spark.createDataFrame([(k, v, 1) for k, v in plain], "vec_id long, embedding array<float>, node int")
     plain = [(r.vec_id, r.embedding) for r in frame.collect()]
     expected = links_expected(plain)
-    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.vector_duplicates(frame, block=block).collect()}
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.vector_duplicates(frame, block=block, long_blocks=long_blocks).collect()}
     links = sum(x[0] for x in expected.values())
     assert found.keys() == expected.keys() and all(found[k][0] <= expected[k][0] for k in found)
     assert sum(x[0] for x in found.values()) >= 0.99 * links and sum(found[k] == expected[k] for k in found) >= 0.97 * len(found)
