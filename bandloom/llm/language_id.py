@@ -11,14 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, text_bytes, text_slices, without_rows
+from .common import bound_batches, shared_folder, stored, text_bytes, text_slices, without_rows
 
 #: Buckets of hashed three-byte grams.
 BUCKET_BITS = 15
 
-#: Most languages of a model; the driver holds as many sums for each as there are buckets.
-MAX_LANGUAGES = 256
-
 #: Units of a stored weight, so that a text's sum is a whole number and doesn't depend on what lies beside it.
 UNITS = 1 << 16
 
@@ -89,7 +86,8 @@ class LanguageModel:
                 sums = np.add.reduceat(self.weights[b][buckets], cuts, dtype=np.int64)[::2]
                 margins[rows, b] = (sums / (UNITS * (stop - first)[rows]) - self.middle[b]) / self.half[b]
         # Loss-weighted decoding: each bit's logistic loss against the codeword, by the trust in the bit.
-        loss = np.logaddexp(0, -2 * margins[:, None, :] * self.code[None, :, :]) @ self.trust
+        as_plus, as_minus = np.logaddexp(0, -2 * margins) * self.trust, np.logaddexp(0, 2 * margins) * self.trust
+        loss = np.round(as_plus @ (self.code > 0).T.astype(float) + as_minus @ (self.code < 0).T.astype(float), 9)
         if not self.languages:
             return np.full(n, -1), np.zeros(n), np.zeros(n)
         best = np.argmin(loss, axis=1)
@@ -99,24 +97,51 @@ class LanguageModel:
         return np.where(letters, best, -1), np.where(letters, score, 0.0), np.where(letters, gap, 0.0)
 
 
-def build_model(languages: list[str], counts: np.ndarray) -> LanguageModel:
-    """A model from counts (languages x buckets). Each language has the same say in a bit's two sides."""
-    code = codewords(len(languages))
-    p = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
-    weights, middle, half, trust = [], [], [], []
-    for bit in code.T:
-        w = np.log(p[bit > 0].mean(axis=0)) - np.log(p[bit < 0].mean(axis=0))
-        w = np.round(w * UNITS).astype(np.int32)
-        means = p @ w / UNITS
-        spread = np.sqrt(np.maximum(p @ (w / UNITS) ** 2 - means**2, 1e-12))
-        low, high = means[bit > 0].min(), means[bit < 0].max()
-        weights.append(w)
-        middle.append((low + high) / 2)
-        half.append(max((low - high) / 2, 1e-6))
-        trust.append(max((low - high) / spread.max(), 1e-6))
-    total = sum(trust) or 1.0
-    shape = np.array(weights, np.int32) if weights else np.zeros((0, 1 << BUCKET_BITS), np.int32)
-    return LanguageModel(languages, code, shape, np.array(middle), np.array(half), np.array([x / total for x in trust]))
+def _weigh(languages: dict[str, int], code: np.ndarray, sizes: np.ndarray):
+    """For each bucket of sorted (lang, bucket, n): the weights of the bits. Each language has the same say in a bit's two sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plus, minus = (code > 0).astype(float), (code < 0).astype(float)
+        share = 1 / (sizes + 0.5 * (1 << BUCKET_BITS))
+        buckets, sums = [], []
+        for batch in batches:
+            rows = np.array([languages[x] for x in batch.column("lang").to_pylist()], np.int64)
+            own = batch.column("n").to_numpy().astype(float) * share[rows]
+            for bucket, row, x in zip(batch.column("bucket").to_pylist(), rows.tolist(), own.tolist(), strict=True):
+                if not buckets or bucket != buckets[-1]:
+                    buckets.append(bucket)
+                    sums.append(np.stack((0.5 * share @ plus, 0.5 * share @ minus)))
+                sums[-1] += x * np.stack((plus[row], minus[row]))
+        if buckets:
+            weights = [_weights(x, code) for x in sums]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(buckets, pa.int32()), "weights": pa.array([w.tolist() for w in weights], pa.list_(pa.int32()))})
+
+    return run
+
+
+def _weights(sums: np.ndarray, code: np.ndarray) -> np.ndarray:
+    means = sums / np.stack(((code > 0).sum(axis=0), (code < 0).sum(axis=0)))
+    return np.round((np.log(means[0]) - np.log(means[1])) * UNITS).astype(np.int32)
+
+
+def _moments(shared):
+    """For each language of sorted (lang, bucket, n): the sums over its grams of each bit's weights and of their squares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            w = weights[:, batch.column("bucket").to_numpy()] / UNITS
+            n = batch.column("n").to_numpy().astype(float)
+            langs = np.array(batch.column("lang").to_pylist())
+            for lang in np.unique(langs).tolist():
+                own = np.flatnonzero(langs == lang)
+                part = np.stack((w[:, own] @ n[own], w[:, own] ** 2 @ n[own]))
+                sums[lang] = sums.get(lang, 0) + part
+        for lang, x in sums.items():
+            yield pa.RecordBatch.from_pydict({"lang": [lang], "first": pa.array([x[0].tolist()], pa.list_(pa.float64())), "second": pa.array([x[1].tolist()], pa.list_(pa.float64()))})
+
+    return run
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,19 +161,41 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang") -> LanguageModel:
-    """A model from all rows whose text and language are not null: grams are counted in the tasks and summed by Spark."""
+    """A model from all rows whose text and language are not null: grams are counted and weighed in tasks.
+
+    Any number of languages: the driver holds their names and codewords and the bits' weights, not their counts.
+    """
     bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{text_column}`").alias("text"), F.col(f"`{lang_column}`").alias("lang")).where("text is not null and lang is not null")
-    sums = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    by_lang = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("x"))
-    found = sorted(by_lang.limit(MAX_LANGUAGES + 1).collect(), key=lambda r: r["lang"])
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts = np.zeros((len(found), 1 << BUCKET_BITS))
-    for i, row in enumerate(found):
-        for bucket, n in row["x"]:
-            counts[i, bucket] = n
-    return build_model([r["lang"] for r in found], counts)
+    spark = rows.sparkSession
+    sums = stored(rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), shared_folder(spark, "gram-counts"))
+    found = sorted((r["lang"], r["n"]) for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).collect())  # one row a language
+    languages, sizes = [x for x, _ in found], np.array([n for _, n in found], float)
+    code = codewords(len(languages))
+    buckets = 1 << BUCKET_BITS
+    bits = code.shape[1]
+    if not bits:
+        none = np.zeros(0)
+        return LanguageModel(languages, code, np.zeros((0, buckets), np.int32), none, none, none)
+    # A bucket's languages meet in one task, and so do a language's buckets; the driver gets a row for each, as wide as a
+    # codeword, which grows with the logarithm of the number of languages.
+    numbers = {x: k for k, x in enumerate(languages)}
+    by_bucket = sums.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(_weigh(numbers, code, sizes), "bucket int, weights array<int>")
+    share = 1 / (sizes + 0.5 * buckets)
+    unseen = _weights(np.stack((0.5 * share @ (code > 0), 0.5 * share @ (code < 0))), code)
+    weights = np.repeat(unseen[:, None], buckets, axis=1)
+    for row in by_bucket.collect():
+        weights[:, row["bucket"]] = row["weights"]
+    by_lang = sums.repartition("lang").sortWithinPartitions("lang", "bucket").mapInArrow(_moments(spark.sparkContext.broadcast(weights)), "lang string, first array<double>, second array<double>")
+    first, second = np.zeros((len(languages), bits)), np.zeros((len(languages), bits))
+    for row in by_lang.collect():
+        first[numbers[row["lang"]]], second[numbers[row["lang"]]] = row["first"], row["second"]
+    w = weights / UNITS
+    means = (first + 0.5 * w.sum(axis=1)) * share[:, None]
+    spread = np.sqrt(np.maximum((second + 0.5 * (w**2).sum(axis=1)) * share[:, None] - means**2, 1e-12))
+    low, high = np.where(code > 0, means, np.inf).min(axis=0), np.where(code < 0, means, -np.inf).max(axis=0)
+    trust = np.maximum((low - high) / spread.max(axis=0), 1e-6)
+    return LanguageModel(languages, code, weights, (low + high) / 2, np.maximum((low - high) / 2, 1e-6), trust / trust.sum())
 
 
 def _identified(docs: DataFrame, model: LanguageModel, keep: list[str], text_column: str) -> tuple[DataFrame, list]:
