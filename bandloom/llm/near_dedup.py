@@ -9,20 +9,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bound_batches, fresh, mix64, shared_folder, stored, text_bytes, text_slices
+from .common import BROADCAST_ROWS, bound_batches, mix64, shared_folder, stored, text_bytes, text_slices, without_rows
 from .graph import components
 from .shingles import digests, minhashes, shingle_sets
 
-#: Half keys in each of the two collections, and MinHash values in a half key. HALVES**2 = 256 tables of 4 values each
-#: take 64 MinHash values instead of 1024; a pair at similarity 0.75 shares no table with probability 4e-6.
-HALVES, ROWS = 16, 2
+#: Half keys in each of the two collections, and MinHash values in a half key. HALVES**2 = 576 tables of 8 values each
+#: take 192 MinHash values instead of 4608; a pair shares no table with probability 2e-4 at similarity 0.75, and some with
+#: 3% at 0.3 and 0.1% at 0.2, so that shared boilerplate alone makes few candidates.
+HALVES, ROWS = 24, 4
 
-#: Shingles of one block of a large cluster (16 MB of hashes).
-BLOCK_SHINGLES = 2_000_000
+#: Share of equal MinHash values from which a candidate pair is taken further: 6 standard errors below 0.75.
+LEAST_EQUAL = 0.56
 
+#: Shingles of one block of a large cluster (4 MB of hashes), and rows of one block of a bucket.
+BLOCK_SHINGLES, BLOCK_ROWS = 500_000, 512
 
-def _signatures(id_column: str, text_column: str, halves: int, rows: int):
-    schema = "doc_id long, n long, d1 long, d2 long, a array<long>, b array<long>"
+
+def _signatures(text_column: str, halves: int, rows: int):
+    schema = "doc_id long, text_hash long, n long, d1 long, d2 long, a array<long>, b array<long>, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -35,15 +39,16 @@ def _signatures(id_column: str, text_column: str, halves: int, rows: int):
                     keys = mix64(keys * np.uint64(31) + values[k::rows])
                 flat = np.ascontiguousarray(keys.T).view(np.int64)
                 lists = [pa.ListArray.from_arrays(np.arange(0, batch.num_rows * halves + 1, halves, dtype=np.int32), pa.array(part.reshape(-1))) for part in (flat[:, :halves], flat[:, halves:])]
-                columns = [batch.column(id_column).cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2), *lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2", "a", "b"])
+                sketch = pa.array([x.tobytes() for x in np.ascontiguousarray((values >> np.uint64(8)).astype(np.uint8).T)], pa.binary())
+                columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2), *lists, sketch]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "d1", "d2", "a", "b", "sketch"])
 
     return run, schema
 
 
 def _sets(text_column: str):
     """Sets of the representatives; a row whose text has another set than its class (a repeated id) gives none."""
-    schema = "cluster long, blocks int, block int, rep long, hashes binary"
+    schema = "cluster long, blocks int, block int, node long, hashes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -51,9 +56,9 @@ def _sets(text_column: str):
                 sets, bounds = shingle_sets(*text_bytes(batch.column(text_column)))
                 d1, d2 = digests(sets, bounds)
                 same = np.flatnonzero((d1 == batch.column("d1").to_numpy()) & (d2 == batch.column("d2").to_numpy()))
-                rest = batch.select(["cluster", "blocks", "block", "rep"]).take(pa.array(same))
+                rest = batch.select(["cluster", "blocks", "block", "node"]).take(pa.array(same))
                 hashes = pa.array([sets[bounds[i] : bounds[i + 1]].tobytes() for i in same], pa.binary())
-                yield pa.RecordBatch.from_arrays([*rest.columns, hashes], ["cluster", "blocks", "block", "rep", "hashes"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, hashes], ["cluster", "blocks", "block", "node", "hashes"])
 
     return run, schema
 
@@ -148,7 +153,7 @@ def _edges(ids: list[int], pairs: list[tuple[int, int]]) -> pa.Table:
 
 def _within(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        return _edges(group["rep"].to_pylist(), forest(_unpack(group["hashes"]), None, percent))
+        return _edges(group["node"].to_pylist(), forest(_unpack(group["hashes"]), None, percent))
 
     return run
 
@@ -162,7 +167,7 @@ def _to_centre(percent: int):
         index = SetIndex(_unpack(members["hashes"]))
         near = np.zeros(members.num_rows, bool)
         near[index.linked(one, percent)] = True
-        return pa.table({"rep": members["rep"], "near": pa.array(near)})
+        return pa.table({"node": members["node"], "near": pa.array(near)})
 
     return run
 
@@ -171,7 +176,7 @@ def _between(percent: int):
     def run(group: pa.Table) -> pa.Table:
         far = group["is_far"].to_numpy()
         left, right = group.filter(pa.array(far)), group.filter(pa.array(~far))
-        ids = left["rep"].to_pylist() + right["rep"].to_pylist()
+        ids = left["node"].to_pylist() + right["node"].to_pylist()
         if not left.num_rows or not right.num_rows:
             return _edges(ids, [])
         return _edges(ids, forest(_unpack(left["hashes"]), _unpack(right["hashes"]), percent))
@@ -179,94 +184,166 @@ def _between(percent: int):
     return run
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): each member of a table bucket with the bucket's smallest member.
+def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, near): whether enough MinHash values of a pair are equal, from a byte of each."""
+    for batch in batches:
+        x, y = _sketches(batch.column("x")), _sketches(batch.column("y"))
+        near = (x == y).mean(axis=1) >= LEAST_EQUAL if batch.num_rows else np.zeros(0, bool)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near)], ["a", "b", "near"])
+
+
+def _alike_in_bucket(group: pa.Table) -> pa.Table:
+    """Pairs of a bucket's far rows and the rows of one block with enough equal values, as few as connect what all of them do."""
+    far = group["is_far"].to_numpy()
+    left, right = group.filter(pa.array(far)), group.filter(pa.array(~far))
+    if not left.num_rows or not right.num_rows:
+        return _edges([], [])
+    nodes, others = left["node"].to_numpy(), right["node"].to_numpy()
+    x, y = _sketches(left["sketch"]), _sketches(right["sketch"])
+    equal = np.zeros((len(nodes), len(others)), np.uint16)
+    for k in range(x.shape[1]):
+        equal += x[:, k, None] == y[None, :, k]
+    place = {v: k for k, v in enumerate(np.unique(np.concatenate((nodes, others))).tolist())}
+    _, join = _roots(len(place))
+    pairs = [(int(nodes[i]), int(others[j])) for i, j in zip(*np.nonzero(equal >= LEAST_EQUAL * x.shape[1]), strict=True)]
+    pairs = [(u, v) for u, v in pairs if u != v and join(place[u], place[v])]
+    return pa.table({"a": pa.array([u for u, _ in pairs], pa.int64()), "b": pa.array([v for _, v in pairs], pa.int64())})
+
+
+def _candidates(classes: DataFrame, block_rows: int) -> DataFrame:
+    """(a, b): pairs of a table bucket with enough equal MinHash values, as many as connect what all of these do.
 
     Table (i, j) is keyed by half key i of the first collection and half key j of the second. Only documents that share
-    half key i with another get the keys of row i, so that most documents emit HALVES keys and no more.
+    half key i with another get the keys of row i, so that most documents emit HALVES keys and no more. Each member of a
+    bucket is held against the bucket's smallest member; those that are unlike it are held against all members, in blocks.
     """
     spark = classes.sparkSession
-    halves = classes.select("rep", "b", F.posexplode("a").alias("i", "value")).withColumn("half", F.xxhash64("i", "value"))
+    halves = stored(classes.select("node", F.posexplode("a").alias("i", "value")).select("node", F.xxhash64("i", "value").alias("half")), shared_folder(spark, "halves"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
-    tables = halves.join(shared, "half").select("rep", "half", F.posexplode("b").alias("j", "other")).select("rep", F.xxhash64("half", "j", "other").alias("key"))
+    rows = halves.join(shared, "half").join(classes.select("node", "b"), "node")
+    tables = rows.select("node", "half", F.posexplode("b").alias("j", "other")).select("node", F.xxhash64("half", "j", "other").alias("key"))
     tables = stored(tables, shared_folder(spark, "tables"))
     # Buckets with the same members need only one of them.
-    buckets = tables.groupBy("key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("c"), F.expr("bit_xor(xxhash64(rep))").alias("members")).where("c > 1")
+    buckets = tables.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("c"), F.expr("bit_xor(xxhash64(node))").alias("members")).where("c > 1")
     buckets = buckets.groupBy("b", "c", "members").agg(F.min("key").alias("key"))
-    return tables.join(buckets.select("key", "b"), "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-
-
-def _links(docs: DataFrame, classes: DataFrame, id_column: str, text_column: str, percent: int, block_shingles: int) -> DataFrame:
-    """(rep, label) for every class that is linked with another one."""
+    members = stored(tables.join(buckets.select("key", "b", "c"), "key"), shared_folder(spark, "buckets"))
+    sketches = classes.select("node", "sketch")
+    pairs = members.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    pairs = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    judged = stored(pairs.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long, near boolean"), shared_folder(spark, "judged"))
+    near = judged.where("near").select("a", "b")
+    unlike = judged.where("not near").select(F.col("a").alias("node"), "b")
+    if not unlike.limit(1).count():
+        return near
+    far = stored(members.join(unlike, ["node", "b"], "left_semi").select("key", "node"), shared_folder(spark, "far-members"))
+    mixed = members.join(far.select("key").distinct(), "key", "left_semi").select("key", "node", F.ceil(F.col("c") / block_rows).cast("int").alias("blocks"))
+    mixed = mixed.join(far.withColumn("own_far", F.lit(True)), ["key", "node"], "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = mixed.where("own_far").select("key", "node", F.col("block").alias("far_block"), every.alias("block"), F.lit(True).alias("is_far"))
+    right = mixed.select("key", "node", every.alias("far_block"), "block", F.lit(False).alias("is_far"))
+    found = left.unionByName(right).join(sketches, "node").groupBy("key", "far_block", "block").applyInArrow(_alike_in_bucket, "a long, b long")
+    return near.unionByName(found.distinct())
+
+
+def _links(docs: DataFrame, classes: DataFrame, id_column: str, text_column: str, percent: int, block_shingles: int, block_rows: int) -> DataFrame:
+    """(node, label) for every class that is linked with another one."""
     spark = docs.sparkSession
-    clusters = components(_candidates(classes)).withColumnRenamed("root", "cluster").withColumnRenamed("node", "rep")
-    members = clusters.join(classes.select("rep", "n", "d1", "d2"), "rep")
-    sizes = clusters.join(classes.select("rep", "n"), "rep").groupBy("cluster").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
-    members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = stored(members.select("rep", "d1", "d2", "cluster", "blocks", "block"), shared_folder(spark, "members"))
+    clusters = components(_candidates(classes, block_rows)).withColumnRenamed("root", "cluster")
+    members = stored(clusters.join(classes.select("node", "rep", "n", "d1", "d2"), "node"), shared_folder(spark, "clusters"))
+    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = stored(members.select("node", "rep", "d1", "d2", "cluster", "blocks", "block"), shared_folder(spark, "members"))
     n_members = members.count()
     few = F.broadcast(members) if n_members <= BROADCAST_ROWS else members
-    texts = docs.select(F.col(id_column).alias("rep"), F.col(text_column).alias("text")).join(few, "rep")
+    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("rep"), F.col(f"`{text_column}`").alias("text")).join(few, "rep")
     run, schema = _sets("text")
-    sets = stored(texts.mapInArrow(run, schema), shared_folder(spark, "sets"))
+    # Rows that repeat an id and text give a set each.
+    sets = stored(texts.mapInArrow(run, schema).dropDuplicates(["node"]), shared_folder(spark, "sets"))
 
     links = sets.where("blocks = 1").groupBy("cluster").applyInArrow(_within(percent), "a long, b long")
     large = sets.where("blocks > 1")
     if members.where("blocks > 1").limit(1).count():
         spread = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        centre = large.where("rep = cluster").withColumn("block", spread).withColumn("is_centre", F.lit(True))
+        centre = large.where("node = cluster").withColumn("block", spread).withColumn("is_centre", F.lit(True))
         blocks = large.withColumn("is_centre", F.lit(False)).unionByName(centre)
-        near = stored(blocks.groupBy("cluster", "block").applyInArrow(_to_centre(percent), "rep long, near boolean"), shared_folder(spark, "near"))
-        far = large.join(near.where("not near").select("rep").distinct(), "rep", "left_semi")
+        near = stored(blocks.groupBy("cluster", "block").applyInArrow(_to_centre(percent), "node long, near boolean"), shared_folder(spark, "near"))
+        far = large.join(near.where("not near").select("node").distinct(), "node", "left_semi")
         rest = stored(far.groupBy("cluster").agg(F.ceil(F.sum(F.length("hashes") / 8) / block_shingles).cast("int").alias("far_blocks")), shared_folder(spark, "far"))
-        left = far.join(rest, "cluster").withColumn("far_block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("far_blocks")).cast("int")).withColumn("block", spread).withColumn("is_far", F.lit(True))
+        left = far.join(rest, "cluster").withColumn("far_block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("far_blocks")).cast("int")).withColumn("block", spread).withColumn("is_far", F.lit(True))
         right = large.join(rest, "cluster").withColumn("far_block", F.explode(F.sequence(F.lit(0), F.col("far_blocks") - 1))).withColumn("is_far", F.lit(False))
         pairs = left.unionByName(right).groupBy("cluster", "block", "far_block").applyInArrow(_between(percent), "a long, b long")
-        star = large.select("rep", "cluster").join(near.where("near").select("rep").distinct(), "rep").where("rep <> cluster").select(F.col("rep").alias("a"), F.col("cluster").alias("b"))
+        star = large.select("node", "cluster").join(near.where("near").select("node").distinct(), "node").where("node <> cluster").select(F.col("node").alias("a"), F.col("cluster").alias("b"))
         links = links.unionByName(pairs).unionByName(star)
-    return components(links).select(F.col("node").alias("rep"), F.col("root").alias("label"))
+    return components(links).select("node", F.col("root").alias("label"))
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """``classes`` with a number each: its smallest doc_id, or one beyond all ids where another class has that too."""
+    spark = classes.sparkSession
+    shared = stored(classes.groupBy("rep").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d1", "d2")).alias("first")).where("c > 1").select(F.col("rep").alias("s_rep"), "first"), shared_folder(spark, "shared-ids"))
+    if not shared.limit(1).count():
+        return classes.withColumn("node", F.col("rep"))
+    most = classes.agg(F.max("rep")).first()[0]
+    joined = classes.join(shared, F.col("rep") == F.col("s_rep"), "left")
+    other = F.col("first").isNotNull() & (F.struct("d1", "d2") != F.col("first"))
+    joined = joined.withColumn("node", F.when(other, F.lit(most + 1) + F.monotonically_increasing_id()).otherwise(F.col("rep"))).drop("s_rep", "first")
+    return stored(joined, shared_folder(spark, "numbered-classes"))
+
+
+def _labelled(docs: DataFrame, id_column: str, text_column: str, percent: int, halves: int, rows: int, block_shingles: int, block_rows: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept for every row."""
+    spark: SparkSession = docs.sparkSession
+    bound_batches(spark)
+    run, schema = _signatures("text", halves, rows)
+    text = F.col(f"`{text_column}`")
+    slim = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    signatures = stored(slim.mapInArrow(run, schema), shared_folder(spark, "signatures"))
+    named = signatures.where("n > 0 and doc_id is not null")
+    key = ["n", "d1", "d2"]
+    classes = stored(named.groupBy(*key).agg(F.min("doc_id").alias("rep"), *[F.first(x).alias(x) for x in ("a", "b", "sketch")]), shared_folder(spark, "classes"))
+    classes = _numbered(classes)
+    labels = _links(docs, classes, id_column, text_column, percent, block_shingles, block_rows)
+    labelled = stored(classes.select(*key, "rep", "node").join(labels, "node", "left").select(*key, "rep", F.coalesce("label", "node").alias("label")), shared_folder(spark, "labelled"))
+    # A component's smallest document; its label is the smallest number, which is that but where ids repeat.
+    least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("c")).where("c > 1 or component_id <> label").drop("c")
+    labelled = labelled.join(least, "label", "left").select(*key, F.coalesce("component_id", "rep").alias("component_id"))
+    out = signatures.select("doc_id", "text_hash", *key).join(labelled, key, "left")
+    own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
+    out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 75, halves: int = HALVES, rows: int = ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 75, halves: int = HALVES, rows: int = ROWS, block_shingles: int = BLOCK_SHINGLES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     Two texts are linked if the Jaccard similarity of their sets of five-word shingles is at least ``percent``
     hundredths; component_id is the smallest doc_id that links reach, kept whether that is the document itself.
 
-    Texts with equal sets form a class at once (an aggregation by digest). Classes that share a table of the tensored
-    MinHash index form clusters; each cluster's sets meet in one task, or in blocks if they hold more than
+    Texts with equal sets form a class at once (an aggregation by digest). Classes that share a bucket of the tensored
+    MinHash index are candidates; those of which at least LEAST_EQUAL of all MinHash values are equal form clusters, so
+    that texts which share some boilerplate don't grow together. Each cluster's sets meet in one task, or in blocks if they hold more than
     ``block_shingles`` shingles: all members are compared with the cluster's centre, and those that aren't linked with
     it with all members. No pair is emitted other than the links that hold a component together.
 
     Null, empty and all-space texts have no shingle, link with nothing and are their own component. Rows that share
     doc_id and text are the same node and get the same answer. A row with a null doc_id is linked with nothing: its
     component_id is null and kept is true. Rows with the same doc_id and different texts are separate nodes unless links
-    join them. Other columns are ignored. An empty table gives an empty result. Memory: a task holds one text or 2 MB of
+    join them, and each gets the component of its own text. Other columns are ignored. An empty table gives an empty result. Memory: a task holds one text or 2 MB of
     texts with 10 times as many bytes of arrays, or two blocks of a cluster.
     """
-    spark: SparkSession = docs.sparkSession
-    bound_batches(spark)
-    run, schema = _signatures(id_column, text_column, halves, rows)
-    signatures = stored(docs.select(id_column, text_column).mapInArrow(run, schema), shared_folder(spark, "signatures"))
-    named = signatures.where("n > 0 and doc_id is not null")
-    key = ["n", "d1", "d2"]
-    classes = stored(named.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), shared_folder(spark, "classes"))
-    labels = _links(docs, classes, id_column, text_column, percent, block_shingles)
-    labelled = classes.select(*key, "rep").join(labels, "rep", "left").select(*key, F.coalesce("label", "rep").alias("component_id"))
-    out = signatures.select("doc_id", *key).join(labelled, key, "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return _labelled(docs, id_column, text_column, percent, halves, rows, block_shingles, block_rows).drop("text_hash")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component, its columns unchanged; of equal ids the rows stay."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = stored(gone, shared_folder(docs.sparkSession, "gone"))
-    name = fresh("gone_id", docs.columns)
-    gone = gone.withColumnRenamed("gone_id", name)
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(few, docs[options.get("id_column", "doc_id")] == few[name], "left_anti")
+def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 75) -> DataFrame:
+    """``docs`` with one document of each component, its columns unchanged; of equal ids the rows with texts that stay, stay."""
+    found = _labelled(docs, id_column, text_column, percent, HALVES, ROWS, BLOCK_SHINGLES, BLOCK_ROWS)
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    return without_rows(docs, gone, id_column, text_column)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
