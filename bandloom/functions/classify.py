@@ -5,14 +5,9 @@ from __future__ import annotations
 from .grid import is_locator
 from .numbers import quotient, round_half_away
 
-# Upper bounds in km of the first four distance tiers; upper bounds in dB of the first three SNR tiers.
-DISTANCE_TIERS, SNR_TIERS = (500, 1500, 3000, 7000), (-16, -9, -2)
-
 # SNR floors of the almanac in dB.
 ALMANAC_FLOORS = (-20, -15, -10, -5, 0)
 
-MODES_SSB, MODES_CW = 0, -12
-
 
 def snr_tier(db: str) -> str:
     return f"(case when {db} <= -16 then 0 when {db} <= -9 then 1 when {db} <= -2 then 2 else 3 end)"
@@ -97,9 +92,12 @@ def classify_qth(x: str, matches: str = "regexp_like") -> str:
     return f"(case when {matches}({u}, '{LOCATOR_STRICT}') then 'locator' when {matches}({u}, '{LOCATOR_SHAPE}') or {is_locator(u)} then 'bad_locator' when {call} then 'callsign' else 'bad' end)"
 
 
-def is_target_locator(x: str, matches: str = "regexp_like") -> str:
-    """Whether a target is compared by locator (true) or by callsign."""
-    return f"{matches}(upper(trim({x})), '{LOCATOR_STRICT}')"
+def is_target_locator(x: str) -> bool:
+    """Whether a target in capitals is compared by locator: 2 to 5 pairs, of a field, a square, and finer ones in turn."""
+    first, finer = ("AR", "09"), ("AX", "09", "AX")
+    pairs = [x[k : k + 2] for k in range(0, len(x), 2)]
+    spans = [*first, *finer][: len(pairs)]
+    return len(x) % 2 == 0 and 2 <= len(pairs) <= 5 and all(lo <= c <= hi for pair, (lo, hi) in zip(pairs, spans, strict=True) for c in pair)
 
 
 def base_call(x: str) -> str:
@@ -117,10 +115,6 @@ def snr_bins(total: str, at_least: list[str]) -> list[str]:
     return [saturating(f"{a} - {b}") for a, b in zip(steps, [*at_least, "0"], strict=True)]
 
 
-def share_of(x: str, total: str) -> str:
-    return quotient(f"({x}) * 1000", total)
-
-
 def flavor(days: str, mean: str, sd: str, today: str, elapsed: str) -> str:
     """How a beacon anomaly sits with the digital feed's own count of today, whose slot is ``elapsed`` (0 to 1) over."""
     part = f"least({elapsed}, 1.0)"

@@ -37,11 +37,6 @@ def share_code(num: str, den: str) -> str:
     return f"(case when {den} > 0 then {quotient(f'({num}) * 1000 + {quotient(den, "2")}', den)} else -1 end)"
 
 
-def share_value(code: str) -> str:
-    """The share that share_code() wrote; null for -1."""
-    return f"(case when {code} >= 0 then {code} / 1000.0 end)"
-
-
 def poisson_upper_tail(k: str, rate: str) -> str:
     """P(X >= k) for a Poisson variable: one minus the k terms below, each made from the one before. Spark only."""
     terms = f"aggregate(sequence(1, greatest(cast({k} as int) - 1, 0)), named_struct('i', 0, 'term', exp(-({rate})), 'sum', exp(-({rate}))), (s, i) -> case when i > cast({k} as int) - 1 or i < 1 then s else named_struct('i', i, 'term', s.term * ({rate}) / i, 'sum', s.sum + s.term * ({rate}) / i) end, s -> s.sum)"

@@ -15,7 +15,7 @@ e = F.expr
 BINS, LONG_HAUL_KM = 12, 3000
 
 # What a widened area rests on: minutes, SNR floor, spots of a full sample, bands that need one, widest radius.
-AREA_MINUTES, AREA_FLOOR_DB, AREA_SAMPLE, AREA_BANDS, AREA_RADIUS = 60, -15, 25, 3, 3
+AREA_MINUTES, AREA_FLOOR_DB, AREA_SAMPLE, AREA_BANDS, AREA_RADIUS = 20, -15, 25, 3, 3
 
 
 def windows(qths: DataFrame) -> DataFrame:
@@ -26,7 +26,13 @@ def windows(qths: DataFrame) -> DataFrame:
 def recent(spots: DataFrame, qths: DataFrame, t: str = "t", seconds: str = "minutes * 60") -> DataFrame:
     """The spots that the earliest and latest window of ``qths`` span: a filter that reaches the scan."""
     first, last = qths.agg(F.min(e(f"now - {seconds}")), F.max("now")).first()
-    return spots.where(F.col(t).between(first, last)) if first is not None else spots.where(F.lit(False))
+    return between(spots, first, last, t) if first is not None else spots.where(F.lit(False))
+
+
+def between(spots: DataFrame, first: int, last: int, t: str = "t") -> DataFrame:
+    """Spots from one second to another, and of these days, by which stored spots lie."""
+    near = spots.where(F.col(t).between(first, last))
+    return near.where(F.col("day").between(first // 86400, last // 86400)) if "day" in spots.columns else near
 
 
 def activity_by_bin(spots: DataFrame, qths: DataFrame) -> DataFrame:
@@ -121,7 +127,7 @@ def dx_conditions(spots: DataFrame, qths: DataFrame, clusters: DataFrame, everyw
     out = band_features(scored_events(events)).join(w, "qth")
 
     pairs = baselines.baseline_with_fallback(clusters, everywhere, w.where("anchor is not null"))
-    rates = baselines.slot_rates(pairs, span, coverage).persist()  # three readers, a few thousand rows a location
+    rates = baselines.slot_rates(pairs, span, coverage)  # three readers, a few thousand rows a location
     spans = w.where("anchor is not null").select("qth", "anchor", "t0", "t1", "cw_min_db")
     expected = baselines.expected_counts(spans, rates).select("qth", "band", "expected")
     reach = baselines.reach_baseline(spans, clusters, rates).select("qth", "band", "baseline_p90", "reach_support")
@@ -211,7 +217,7 @@ def holding(conditions: DataFrame, asked: DataFrame) -> DataFrame:
 def live_area(spots: DataFrame, qths: DataFrame) -> DataFrame:
     """(qth, centre, base_radius, radius, widened): the smallest square block with enough spots on enough bands.
 
-    Links of the last hour count at the distance of their nearer end. With fewer than 25 links within three rings the
+    Links of the last twenty minutes count at the distance of their nearer end. With fewer than 25 links within three rings the
     block isn't widened; if no radius gives three bands 25 links each, it is the widest.
     """
     q = qths.where(e(grid.is_locator("qth"))).select("qth", e("substr(qth, 1, 4)").alias("centre"), e("case when coalesce(surroundings, false) then 1 else 0 end").alias("base_radius"), "now")

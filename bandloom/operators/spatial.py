@@ -131,10 +131,3 @@ def lone_points(points: DataFrame, density: DataFrame, cell_deg: float = 1.0) ->
 def with_daylight(matched: DataFrame) -> DataFrame:
     """Adds the sun's zenith angle at the remote end and day, twilight or night."""
     return matched.withColumn("zenith", e(geo.solar_zenith("lat", "lon", "t"))).withColumn("light", e(geo.daylight("zenith")))
-
-
-def distinct_spots(spots: DataFrame) -> DataFrame:
-    """Spots that differ in any of the fields that identify one."""
-    return spots.dropDuplicates([c for c in ("t", "band", "snr", "source", "sc", "rc", "sl", "rl", "mode") if c in spots.columns])
-
-

@@ -101,7 +101,7 @@ TEXTS = {
     "ingest_slot_totals": "select * from ing",
     "wspr_daily": "select * from wd",
     "source_daily": "select * from sd",
-    "season_counts": f"select target4 as grid4, band, region, {times.year_month('day')} as year_month, {times.day_of_month('day')} as dom, slot, {classify.saturating('spot_count')} as count, {BIN_COLUMNS} from rd where slot < 8 and band in ({bands.listed(bands.ALMANAC_BANDS)})",
+    "season_counts": f"select target4 as grid4, band, region, {times.year_month('day')} as year_month, {times.day_of_month('day')} as dom, slot, {classify.saturating('spot_count')} as count, {BIN_COLUMNS} from rd where band in ({bands.listed(bands.ALMANAC_BANDS)})",
     "area_activity": f"select target4 as grid4, band, {times.year_month('day')} as year_month, cast(bit_or(1 << ({times.day_of_month('day')} - 1)) as int) as day_mask from rd where band in ({bands.listed(bands.ALMANAC_BANDS)}) group by 1, 2, 3",
     "baseline_span": "select * from span",
     "cluster_coverage": f"select {r6('coverage')} from cov",
@@ -113,7 +113,7 @@ TEXTS = {
     "wspr_calendar": f"select band, region, slot, sample_days, {r6('mean')}, {r6('sd')}, today from ({STATS.format(s=chr(39) + 'wspr' + chr(39), t='wd')})",
     "from_here_curves": f"select area, band, region, slot, {R('cast(x as double) / days', 1)} as usual from (select area, band, region, slot, sum(spot_count) as x from ad group by all) join (select slot, count(*) as days from ing group by all) using (slot)",
     "match_spots": f"select qth, spot_id, remote, reporter, lat, lon, age from {MATCHED_6H}",
-    "area_ends": "select area, spot_id, s_ring, r_ring from ae join p using (spot_id), n where t >= now - 21600",
+    "area_ends": "select area, spot_id, min(ring) filter (where side = 's') as s_ring, min(ring) filter (where side = 'r') as r_ring from (select spot_id, 's' as side, s4 as square from p, n where t >= now - 21600 union all select spot_id, 'r', r4 from p, n where t >= now - 21600) join (select area, square, ring from sq where ring <= rings) using (square) group by area, spot_id",
     "band_events": f"select qth, spot_id, band, remote4, direction, {r6('km')}, bucket from ev, n where t between now - 10800 and now",
     "from_here_ends": "select area, band, source, region, count(*) as n, count(distinct call) as stations from fh, n where t >= now - 21600 group by all",
     "cluster_ends": "select anchor, band, count(*) as n from ends group by all",
@@ -135,7 +135,7 @@ TEXTS = {
     "moments": "select qth, moment, count(*) as n, max(moment - t) as oldest from (select m.*, unnest(range(cast(ceil(t / cast(300 as double)) as bigint), cast(floor((t + 900) / cast(300 as double)) as bigint) + 1)) * 300 as moment from m, n where t >= now - 10800) group by all",
     "coverage_intervals": "select source, min(t) as t0, max(t) as t1, count(*) as n from (select *, sum(new) over (partition by source order by t range unbounded preceding) as island from (select source, t, case when t - lag(t) over (partition by source order by t, spot_id) <= 120 then 0 else 1 end as new from p)) group by source, island",
     "sessions": "select source, min(t) as t0, max(t) + 120 as t1, count(*) as n from (select *, sum(new) over (partition by source order by t range unbounded preceding) as island from (select source, t, case when t - lag(t) over (partition by source order by t, spot_id) <= 120 then 0 else 1 end as new from p)) group by source, island",
-    "windowed_activity": "select t // 300 * 300 as t0, band, source, count(*) as n from p, n where t // 300 * 300 >= now - 86400 group by 1, 2, 3",
+    "windowed_activity": "select t // 300 * 300 as t0, band, source, count(*) as n from p group by 1, 2, 3",
     "sliding_activity": "select t0, band, source, count(*) as n from (select *, (t // 300 - k) * 300 as t0 from p, n, (select unnest(range(3)) as k) where t >= now - 7200) group by all",
     "subscriptions": "select distinct qth, spot_id, is_sender from (select qth, spot_id, t, true as is_sender from p join tok on s4 = token or sc = token union all select qth, spot_id, t, false from p join tok on r4 = token or rc = token), n where t >= now - 3600",
     "density_points": f"select qth, band, {R('lat', 3)} as lat, {R('lon', 3)} as lon, count(*) as n, {R('sqrt(count(*))', 6)} as weight from {MATCHED_6H} group by 1, 2, 3, 4",
@@ -233,7 +233,7 @@ TEXTS |= {
     "trends": "select qth, band, trend, trend_delta, sustained, top from trended",
     "dx_overall_enabled": f"select qth, score, confidence, bands, {classify.overall_status('score', 'confidence', 'bands')} as status from (select qth, {R('sum(score * links) / sum(links)', 1)} as score, {R('sum(confidence * links) / sum(links)', 1)} as confidence, count(*) as bands from cond where band in ('40m', '20m', '15m') group by 1)",
     "hot_bands": "select qth, rank, band, kind, case when kind = 'surprise' then 'high' else 'normal' end as priority, sustained, trend, status from (select *, row_number() over (partition by qth order by case kind when 'surprise' then 0 when 'dx_surge' then 1 else 2 end, case kind when 'surprise' then ratio when 'dx_surge' then reach_ratio else score end desc, band) as rank from hot2 where kind is not null) where rank <= 5",
-    "live_area": f"with centres as (select qth, substr(qth, 1, 4) as centre, case when surroundings then 1 else 0 end as base_radius from q where {grid.is_locator('qth')}), blocks as (select qth, {grid.square_at('x + dx', 'y + dy')} as square, greatest(abs(dx), abs(dy)) as ring from (select qth, {grid.square_x('centre')} as x, {grid.square_y('centre')} as y from centres), (select unnest(range(-3, 4)) as dx), (select unnest(range(-3, 4)) as dy)), near_spots as (select p.* from p, n where t between now - 3600 and now and calibrated and s4 is not null and r4 is not null and snr >= -15 and {IN_SCOPE}), links as (select qth, spot_id, band, min(ring) as ring from (select * from near_spots join blocks on s4 = square union all select * from near_spots join blocks on r4 = square) group by all), counts as (select qth, radius, count(*) filter (where c >= 25) as full_bands, sum(c) as total from (select qth, band, radius, count(*) as c from links, (select unnest(range(4)) as radius) where ring <= radius group by all) group by all) select *, radius > base_radius as widened from (select qth, centre, base_radius, cast(case when coalesce((select total from counts x where x.qth = c.qth and radius = 3), 0) < 25 then base_radius else coalesce((select min(radius) from counts x where x.qth = c.qth and full_bands >= 3 and radius >= base_radius), 3) end as int) as radius from centres c)",
+    "live_area": f"with centres as (select qth, substr(qth, 1, 4) as centre, case when surroundings then 1 else 0 end as base_radius from q where {grid.is_locator('qth')}), blocks as (select qth, {grid.square_at('x + dx', 'y + dy')} as square, greatest(abs(dx), abs(dy)) as ring from (select qth, {grid.square_x('centre')} as x, {grid.square_y('centre')} as y from centres), (select unnest(range(-3, 4)) as dx), (select unnest(range(-3, 4)) as dy)), near_spots as (select p.* from p, n where t between now - 1200 and now and calibrated and s4 is not null and r4 is not null and snr >= -15 and {IN_SCOPE}), links as (select qth, spot_id, band, min(ring) as ring from (select * from near_spots join blocks on s4 = square union all select * from near_spots join blocks on r4 = square) group by all), counts as (select qth, radius, count(*) filter (where c >= 25) as full_bands, sum(c) as total from (select qth, band, radius, count(*) as c from links, (select unnest(range(4)) as radius) where ring <= radius group by all) group by all) select *, radius > base_radius as widened from (select qth, centre, base_radius, cast(case when coalesce((select total from counts x where x.qth = c.qth and radius = 3), 0) < 25 then base_radius else coalesce((select min(radius) from counts x where x.qth = c.qth and full_bands >= 3 and radius >= base_radius), 3) end as int) as radius from centres c)",
     "prop_cells_v1": "select qth, band, region, spots, best_level, coalesce(best_level >= 10, false) as ssb_open, coalesce(best_level >= -8, false) as cw_open, rising, from_here from cell1 where source = 'wspr'",
     "prop_cells_v2": "select qth, band, region, name as source, spots, best_level, from_here, ssb_open, cw_open, open, rising, atypical, z, confidence from cell",
     "prop_rollup": "select qth, band, region, spots, from_here, open, rising, open_agreement, atypical_agreement, sources from roll",
@@ -243,7 +243,7 @@ TEXTS |= {
     "from_here_cells": "select area, band, region, name as source, spots, stations, best_level, ssb_open, cw_open, open, rising from near_cells",
     "from_here_normals": f"select area, band, region, {r6('expected')}, {r6('sd')}, sample_days from normals",
     "from_here_surges": f"select area, band, region, spots, stations, {R('expected', 1)} as expected, surge, silent from (select c.area, c.band, c.region, spots, stations, coalesce(expected, 0) as expected, coalesce(case when sd > 0 and spots >= 5 and stations >= 3 then (spots - coalesce(expected, 0)) / sd end >= 1, false) as surge, false as silent from near_cells c left join (select * from normals where sample_days >= 3) m using (area, band, region) where source = 'mqtt' and c.area in (select area from normals where sample_days >= 3) union all select area, band, region, 0, 0, expected, false, true from normals m where sample_days >= 3 and expected >= 5 and not exists (select 1 from near_cells c where c.area = m.area and c.band = m.band and c.region = m.region))",
-    "history": "select qth, spot_id, t, truncated from (select m.*, row_number() over (partition by qth order by t desc, spot_id desc) as nth, count(*) over (partition by qth) > 2000 as truncated from m, n where t between now - 86400 and now) where nth <= 2000 and (source = 'wspr' or source = 'mqtt' and snr >= -15)",
+    "history": "select qth, spot_id, t, truncated from (select m.*, row_number() over (partition by qth order by t desc, spot_id desc) as nth, count(*) over (partition by qth) > 50000 as truncated from m, n where t between now - 86400 and now and (source = 'wspr' or source = 'mqtt' and snr >= -15)) where nth <= 50000",
     "covers": f"with spans as ({ISLANDS}), ends_ as (select source, max(t1) as last_t from spans group by 1) select source, a.t0, a.t1, exists (select 1 from spans i where i.source = a.source and i.t0 <= a.t0 and i.t1 >= least(a.t1, last_t) and a.t0 <= last_t) as covered from (select source, now - b as t0, now - a as t1 from n, (values ('mqtt'), ('wspr'), ('rbn')) s(source), (values (0, 60), (0, 3600), (-500, 100), (-900, -300), (7000, 7200)) v(a, b)) a left join ends_ using (source)",
     "activity_vs_normal": f"select qth, band, bin, slot, {r6('rate')}, {R('coalesce(usual, 0) * coalesce(local_scale, 0)', 6)} as normal from (select b.*, now, case when {grid.is_locator('b.qth')} then {grid.cluster_anchor('b.qth')} end as anchor, cast((now - 3600 + bin * 300) % 86400 // 1800 as int) as slot from bins12 b join q using (qth)) left join (select anchor, band, slot, rate as usual from rates) using (anchor, band, slot) left join (select qth, band, local_scale from cond) using (qth, band)",
     "band_density": f"select qth, band, row, col, {R('density', 5)} as density from ({density(MATCHED_6H)})",

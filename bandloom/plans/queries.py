@@ -9,8 +9,7 @@ from ..functions import bands, classify, geo, grid, numbers, times
 from ..operators import almanac, baselines, callsigns, conditions, matching, nowcast, spatial
 from ..sources import archive, feeds
 from ..streaming import live, maintain
-from . import jobs
-from .spots import prepared, spots
+from . import jobs, tables
 
 e = F.expr
 
@@ -23,17 +22,12 @@ def r6(column: str, name: str | None = None):
 
 
 class Inputs:
-    """The tables that queries share, each built when it is asked for.
-
-    The tables of counts are stored ones in production; here they are kept in memory (or on disk, if it is short) while
-    a session lasts, so that a query that reads one several times counts the spots once.
-    """
+    """The stored tables that queries share, each written when it is first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
-        self.raw = spots(spark, sf_dir)
-        self.spots = prepared(self.raw)
-        self.now = self.raw.agg(F.max("t")).first()[0] or 0
+        self.tables = tables.Tables(spark, sf_dir)
+        self.raw, self.spots, self.now = self.tables.raw, self.tables.spots, self.tables.now
         self.today = self.now // 86400
         self.slot = self.now % 86400 // 1800
 
@@ -48,11 +42,11 @@ class Inputs:
 
     @property
     def everywhere(self) -> DataFrame:
-        return baselines.global_baseline(self.spots).persist()
+        return self.tables.everywhere
 
     @property
     def clusters(self) -> DataFrame:
-        return baselines.cluster_baseline(self.spots).persist()
+        return self.tables.clusters
 
     @property
     def pairs(self) -> DataFrame:
@@ -60,15 +54,15 @@ class Inputs:
 
     @property
     def rates(self) -> DataFrame:
-        return baselines.slot_rates(self.pairs, self.span, baselines.cluster_coverage(self.clusters, self.everywhere)).persist()
+        return self.tables.counts("slot_rates", lambda: baselines.slot_rates(self.pairs, self.span, baselines.cluster_coverage(self.clusters, self.everywhere)))
 
     @property
     def span(self) -> DataFrame:
-        return baselines.baseline_span(self.spots).persist()
+        return self.tables.span
 
     @property
     def daily(self) -> DataFrame:
-        return baselines.region_daily(self.spots).persist()
+        return self.tables.daily
 
     def conditions(self) -> DataFrame:
         clusters, everywhere = self.clusters, self.everywhere
@@ -78,34 +72,33 @@ class Inputs:
         return conditions.with_trends(self.conditions(), conditions.activity_by_bin(self.spots, self.qths()))
 
     def matched(self, hours: int = 6) -> DataFrame:
-        return matching.match_spots(self.spots.where(F.col("t") >= self.now - hours * 3600), self.qths())
+        return matching.match_spots(self.since(hours * 3600), self.qths())
 
-    def levels(self) -> DataFrame:
-        return almanac.ring_levels(self.daily, self.areas())
+    def since(self, seconds: int) -> DataFrame:
+        """Spots of the last seconds; only their days are read."""
+        return conditions.between(self.spots, self.now - seconds, self.now)
 
     def lanes(self, floor: int | None = None) -> DataFrame:
         levels, radius, active = self.almanac()
-        return almanac.almanac_lanes(levels, active, radius, floor=floor, snr_since=self.today - 20)
+        return self.tables.counts(f"lanes{floor}", lambda: almanac.almanac_lanes(levels, active, radius, floor=floor, snr_since=self.today - 20))
 
     def almanac(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        levels = self.levels()
-        alive = almanac.alive_mask(baselines.ingest_slot_totals(self.daily), self.today - 30)
-        active = almanac.active_slot_days(levels, alive)
-        return levels, almanac.almanac_radius(self.areas(), almanac.known_slot_counts(active)), active
+        store = self.tables.counts
+        levels = store("ring_levels", lambda: almanac.ring_levels(self.daily, self.areas()))
+        active = store("active_slot_days", lambda: almanac.active_slot_days(levels, almanac.alive_mask(baselines.ingest_slot_totals(self.daily), self.today - 30)))
+        return levels, store("almanac_radius", lambda: almanac.almanac_radius(self.areas(), almanac.known_slot_counts(active))), active
 
 
 def raw_archive(i: Inputs) -> DataFrame:
-    return archive.raw_rows(i.raw).groupBy("day_index", "source", "source_grid4").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"))
+    return i.raw.groupBy("day_index", "source", "source_grid4").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"))
 
 
 def raw_scan(i: Inputs) -> DataFrame:
-    rows = archive.raw_rows(i.raw).where(F.col("t").between(i.now - 7200, i.now))
-    return rows.select("spot_id", "t", "source", "source_grid4", "band", "snr")
+    return archive.scan_raw(i.spark, i.tables.archive_path, i.now - 7200, i.now).select("spot_id", "t", "source", "source_grid4", "band", "snr")
 
 
 def raw_targets(i: Inputs) -> DataFrame:
-    rows = archive.raw_rows(i.raw).where(F.col("t") >= i.now - 86400)
-    return archive.for_targets(rows, ["JO3", "JO31", "S17", "R5"]).select("spot_id", "sl", "rl", "sc", "rc")
+    return archive.scan_raw_for_targets(i.spark, i.tables.archive_path, i.now - 86400, i.now, ["JO3", "JO31", "S17", "R5"]).select("spot_id", "sl", "rl", "sc", "rc")
 
 
 def live_window(i: Inputs) -> DataFrame:
@@ -174,11 +167,11 @@ def ingest_slot_totals(i: Inputs) -> DataFrame:
 
 
 def wspr_daily(i: Inputs) -> DataFrame:
-    return baselines.wspr_daily(i.spots)
+    return i.tables.wspr_daily
 
 
 def source_daily(i: Inputs) -> DataFrame:
-    return baselines.source_daily(i.spots)
+    return i.tables.source_daily
 
 
 def season_counts(i: Inputs) -> DataFrame:
@@ -226,12 +219,12 @@ def region_calendar(i: Inputs) -> DataFrame:
 
 
 def source_calendar(i: Inputs) -> DataFrame:
-    stats = baselines.filled_calendar_stats(baselines.source_daily(i.spots), i.today, 30, "band", "region", "slot")
+    stats = baselines.filled_calendar_stats(i.tables.source_daily, i.today, 30, "band", "region", "slot")
     return stats.select("source", "band", "region", "slot", "sample_days", r6("mean"), r6("sd"), "today")
 
 
 def wspr_calendar(i: Inputs) -> DataFrame:
-    stats = baselines.filled_calendar_stats(baselines.wspr_daily(i.spots).withColumn("source", F.lit("wspr")), i.today, 30, "band", "region", "slot")
+    stats = baselines.filled_calendar_stats(i.tables.wspr_daily.withColumn("source", F.lit("wspr")), i.today, 30, "band", "region", "slot")
     return stats.select("band", "region", "slot", "sample_days", r6("mean"), r6("sd"), "today")
 
 
@@ -254,7 +247,7 @@ def match_spots(i: Inputs) -> DataFrame:
 
 
 def area_ends(i: Inputs) -> DataFrame:
-    return matching.area_ends(i.spots.where(F.col("t") >= i.now - 21600), i.areas())
+    return matching.area_ends(i.since(21600), i.areas())
 
 
 def band_events(i: Inputs) -> DataFrame:
@@ -263,12 +256,12 @@ def band_events(i: Inputs) -> DataFrame:
 
 
 def remote_counts(i: Inputs) -> DataFrame:
-    near = i.spots.where(F.col("t") >= i.now - 3600)
+    near = i.since(3600)
     return matching.remote_counts(near, i.qths(), "band", "source")
 
 
 def from_here_ends(i: Inputs) -> DataFrame:
-    ends = matching.from_here_ends(i.spots.where(F.col("t") >= i.now - 21600), i.areas())
+    ends = matching.from_here_ends(i.since(21600), i.areas())
     return ends.groupBy("area", "band", "source", "region").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("call").alias("stations"))
 
 
@@ -367,7 +360,7 @@ def prop_cells_v1(i: Inputs) -> DataFrame:
 
 def _cells(i: Inputs) -> DataFrame:
     names = i.spark.createDataFrame([(n, t) for n, t, *_ in nowcast.SOURCE_PROFILES], "name string, tag string")
-    stats = baselines.filled_calendar_stats(baselines.source_daily(i.spots), i.today, 30, "band", "region", "slot")
+    stats = baselines.filled_calendar_stats(i.tables.source_daily, i.today, 30, "band", "region", "slot")
     stats = stats.join(F.broadcast(names), stats["source"] == names["tag"]).drop("source", "tag").withColumnRenamed("name", "source")  # three rows
     cells = nowcast.source_cells(i.spots, i.qths(), nowcast.source_profiles(i.spark))
     return nowcast.with_atypical(cells, stats, i.slot, 60, 1.0)
@@ -390,7 +383,7 @@ def prop_headline(i: Inputs) -> DataFrame:
 
 
 def prop_flavor(i: Inputs) -> DataFrame:
-    digital = baselines.calendar_stats(baselines.source_daily(i.spots).where("source = 'mqtt'"), i.today, 30, "band", "region", "slot")
+    digital = baselines.calendar_stats(i.tables.source_daily.where("source = 'mqtt'"), i.today, 30, "band", "region", "slot")
     cells = _cells(i).where("source = 'wspr'")
     return nowcast.with_flavor(cells, digital, i.slot, (i.now % 1800) / 1800).select("qth", "band", "region", "atypical", "flavor")
 
@@ -585,7 +578,7 @@ def windowed_activity(i: Inputs) -> DataFrame:
 
 
 def sliding_activity(i: Inputs) -> DataFrame:
-    return live.windowed_activity(i.spots.where(F.col("t") >= i.now - 7200), "15 minutes", "5 minutes")
+    return live.windowed_activity(i.since(7200), "15 minutes", "5 minutes")
 
 
 def sessions(i: Inputs) -> DataFrame:
@@ -593,7 +586,7 @@ def sessions(i: Inputs) -> DataFrame:
 
 
 def subscriptions(i: Inputs) -> DataFrame:
-    return live.subscriptions(i.spots.where(F.col("t") >= i.now - 3600), i.qths())
+    return live.subscriptions(i.since(3600), i.qths())
 
 
 def live_segments(i: Inputs) -> DataFrame:

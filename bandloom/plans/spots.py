@@ -44,9 +44,34 @@ SECOND_STEP = {"s_lat": grid.latitude("sl"), "s_lon": grid.longitude("sl"), "r_l
 THIRD_STEP = {f"{k}_region": f"case when {k}4 is null then '??' else {geo.region_of(f'{k}_lat', f'{k}_lon')} end" for k in "sr"}
 
 
+#: Distinct locators up to which their table may be broadcast (some 15 MB); beyond, it is shuffled.
+BROADCAST_LOCATORS = 200_000
+
+
 def prepared(spots: DataFrame) -> DataFrame:
     """Spots with cleaned band, source and ends, and each end's square, centre and region; slot and day.
 
+    A locator's square, centre and region are computed once for each distinct one and joined to both ends.
+    """
+    if spots.isStreaming:
+        return _prepared_row_by_row(spots)
+    ends = {name: x for name, x in FIRST_STEP.items() if name not in ("s4", "r4")}
+    out = spots.select("spot_id", "t", "snr", "mode", "txpower", *[F.expr(x).alias(name) for name, x in ends.items()], *[F.expr(f"coalesce(trim({x}), '')").alias(f"{x}_key") for x in ("sl", "rl")])
+    known = out.select(F.explode(F.array("sl_key", "rl_key")).alias("key")).distinct()
+    known = known.select("key", F.inline(F.array(F.struct(F.expr(grid.square("key")).alias("square"), F.expr(grid.latitude("upper(key)")).alias("lat"), F.expr(grid.longitude("upper(key)")).alias("lon")))))
+    known = known.select("key", "square", "lat", "lon", F.inline(F.array(F.struct(F.expr(f"case when square is null then '??' else {geo.region_of('lat', 'lon')} end").alias("region")))))
+    few = known.limit(BROADCAST_LOCATORS + 1).count() <= BROADCAST_LOCATORS
+    for end, key in (("s", "sl_key"), ("r", "rl_key")):
+        own = known.select(F.col("key").alias(key), F.col("square").alias(f"{end}4"), F.col("lat").alias(f"{end}_lat"), F.col("lon").alias(f"{end}_lon"), F.col("region").alias(f"{end}_region"))
+        out = out.join(F.broadcast(own) if few else own, key, "left")
+    # Without a locator there is no centre.
+    empty = {f"{end}_{x}": F.when(F.col(f"{end}l").isNotNull(), F.col(f"{end}_{x}")) for end in "sr" for x in ("lat", "lon")}
+    return out.withColumns(empty).select("spot_id", "t", "snr", "mode", "txpower", *FIRST_STEP, *SECOND_STEP, *THIRD_STEP)
+
+
+def _prepared_row_by_row(spots: DataFrame) -> DataFrame:
+    """The same on a stream, which can't be asked for its distinct locators.
+
     Each step is a generator of one row: the optimiser merges neighbouring projections and moves filters below them,
     and would spell out an end's centre in each of the regions' boxes; it moves nothing through a generator's columns.
     """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bands, grid, times
+from ..functions import bands, classify, grid, times
 
 e = F.expr
 
@@ -36,10 +36,13 @@ def scan_raw_for_targets(spark: SparkSession, path: str, t0: int, t1: int, targe
 
 
 def for_targets(rows: DataFrame, targets: list[str]) -> DataFrame:
-    """The filter is made of prefixes and equalities, which Parquet's readers evaluate."""
+    """Locators of 4, 6, 8 or 10 characters match as prefixes, everything else as a call.
+
+    The filter is made of prefixes and equalities, which Parquet's readers evaluate.
+    """
     found = F.lit(False)
     for x in (t.strip().upper() for t in targets):
-        locator = len(x) in (4, 6) and x[:2].isalpha() and x[2:4].isdigit()
+        locator = classify.is_target_locator(x)
         found = found | (F.col("sl").startswith(x) | F.col("rl").startswith(x) if locator else (F.col("sc") == x) | (F.col("rc") == x))
     return rows.where(found)
 

@@ -63,8 +63,8 @@ def feed_lag(minutes: DataFrame, asked: DataFrame) -> DataFrame:
     """(now, lag, fresh): how far the feed is behind at each asked second; batch only.
 
     The age that a tenth of the arrivals of this minute and the one before stay below, if there are fifty. If not, the
-    feed stalls: the newest earlier minute with fifty arrivals gives its head, its last arrival less its lag, and the lag
-    is the time since then. 0 without either.
+    feed stalls: of the last even and the last odd minute with arrivals, the newer earlier one that has fifty gives its
+    head, its last arrival less its lag, and the lag is the time since then. 0 without either.
     """
     from pyspark.sql import Window
 
@@ -78,12 +78,15 @@ def feed_lag(minutes: DataFrame, asked: DataFrame) -> DataFrame:
 
     near = a.withColumn("minute", F.explode(e("array(minute_now, minute_now - 1)"))).join(minutes, "minute")
     fresh = quantile(near, "now").select("now", F.col("q").alias("fresh_lag"))
-    per_minute = quantile(minutes, "minute")
-    # The newest full minute before each asked one: both in one order by minute, the last head so far carried on.
-    marks = per_minute.select("minute", F.struct("head", "q").alias("x"), F.lit(None).cast("bigint").alias("now")).unionByName(a.select((F.col("minute_now") - 2).alias("minute"), F.lit(None).cast("struct<head: bigint, q: int>").alias("x"), "now"))
-    so_far = F.last("x", ignorenulls=True).over(Window.orderBy("minute").rangeBetween(Window.unboundedPreceding, 0))  # one row a minute
-    stale = marks.withColumn("x", so_far).where("now is not null").select("now", "x")
-    out = a.join(fresh, "now", "left").join(stale, "now", "left").withColumn("behind", e("now - (x.head - x.q)"))
+    full = quantile(minutes, "minute").select("minute", F.struct("head", "q").alias("full"))
+    per_minute = minutes.select("minute").distinct().join(full, "minute", "left").select("minute", F.struct("minute", "full").alias("x"))
+    # The last minute of each parity up to an asked one: both in one order by minute, the last one so far carried on.
+    asks = a.withColumn("minute", F.explode(e("array(minute_now, minute_now - 1)"))).select("minute", F.lit(None).cast("struct<minute: bigint, full: struct<head: bigint, q: int>>").alias("x"), "now")
+    marks = per_minute.select("minute", "x", F.lit(None).cast("bigint").alias("now")).unionByName(asks)
+    so_far = F.last("x", ignorenulls=True).over(Window.partitionBy(e("minute % 2")).orderBy("minute").rangeBetween(Window.unboundedPreceding, 0))  # one row a minute
+    stale = marks.withColumn("x", so_far).where("now is not null and x.full is not null and x.minute < now div 60 - 1")
+    stale = stale.groupBy("now").agg(F.max_by("x.full", "x.minute").alias("x"))
+    out = a.join(fresh, "now", "left").join(stale, "now", "left").withColumn("behind", e("case when x.head - x.q > 0 then now - (x.head - x.q) end"))
     return out.select("now", e("coalesce(fresh_lag, case when behind >= 0 then behind end, 0)").alias("lag"), e("fresh_lag is not null").alias("fresh"))
 
 
@@ -107,8 +110,8 @@ def live_segments(windows: DataFrame, gap_start: str = "gap_start", gap_end: str
 def latest_locators(reports: DataFrame, ttl: int = CALL_TTL) -> DataFrame:
     """A stream of (call, loc, seen, event_time) updates from reports (call, locator, t): one state a call, forgotten after ``ttl``.
 
-    A newer report of another square replaces the state; of the same square, a six-character locator replaces a
-    four-character one, and the time moves on.
+    A report as new as the state or newer replaces it by another locator; a four-character one of the state's square says
+    nothing new and, like a repeated one, only moves the time on.
     """
     named = reports.select(F.upper(F.trim("call")).alias("call"), e(grid.normalize_locator("locator")).alias("loc"), "t", F.timestamp_seconds("t").alias("event_time")).where("length(call) >= 3 and loc <> ''")
     return named.withWatermark("event_time", "10 minutes").groupBy("call").applyInPandasWithState(_update(ttl), "call string, loc string, seen long", "loc string, seen long", "update", GroupStateTimeout.EventTimeTimeout)
@@ -123,8 +126,7 @@ def _update(ttl: int):
         before = (loc, seen)
         rows = pd.concat(list(parts)).sort_values(["t", "loc"])
         for new, t in zip(rows["loc"], rows["t"], strict=True):
-            if loc and new[:4] == loc[:4]:
-                loc = new if len(new) > len(loc) else loc
+            if loc and (new == loc or len(new) < 6 and new[:4] == loc[:4]):
                 seen = max(seen, int(t))
             elif int(t) >= seen:
                 loc, seen = new, int(t)
@@ -134,11 +136,3 @@ def _update(ttl: int):
             yield pd.DataFrame({"call": [key[0]], "loc": [loc], "seen": [seen]})
 
     return run
-
-
-def recent_spots(spots: DataFrame, size: str = "60 minutes", step: str = "1 minute") -> DataFrame:
-    """(t0, band, n) of the sliding live window; out-of-order spots within five minutes count."""
-    scoped = spots.where(e(bands.band_in_scope("band")))
-    return windowed_activity(scoped, size, step).groupBy("t0", "band").agg(F.sum("n").alias("n")) if not spots.isStreaming else windowed_activity(scoped, size, step)
-
-
