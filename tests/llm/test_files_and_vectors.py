@@ -212,7 +212,7 @@ def labelled_texts(n, seed):
 def test_forest_on_labelled_findings(spark):
     train, test = labelled_texts(160, 1), labelled_texts(80, 2)
     docs = spark.createDataFrame([(r[0], r[1], r[2], "c") for r in train] + [(1000 + r[0], r[1], r[2], "c") for r in test], "doc_id long, text string, source string, score string")
-    found = secrets.find_candidates(docs).collect()
+    found = secrets.find_candidates(docs, spark.sparkContext.broadcast(frozenset())).collect()
     at = {r.doc_id: r.start for r in found}
     assert len(at) == len(found) == 240
     known = spark.createDataFrame([(r[0], at[r[0]], r[3]) for r in train], "doc_id long, start long, label int")
