@@ -8,6 +8,11 @@ from .numbers import quotient
 # Regions in order of display.
 REGIONS = ("EU", "NA", "SA", "AF", "AS", "JA", "OC", "VK", "KH6", "CAR", "AN")
 
+# The regions' names.
+REGION_NAMES = {
+    "EU": "Europe", "NA": "North America", "SA": "South America", "AF": "Africa", "AS": "Asia", "OC": "Oceania", "AN": "Antarctica", "JA": "Japan", "VK": "Australia", "KH6": "Hawaii", "CAR": "Caribbean",
+}
+
 # The boxes of the regions; they overlap, and the first that holds a point names its region.
 REGION_BOXES = (
     ("AN", "{lat} <= -60"),

@@ -174,9 +174,15 @@ def ranked_bands(conditions: DataFrame) -> DataFrame:
 
 
 def dx_overall(conditions: DataFrame) -> DataFrame:
-    """(qth, score, confidence, status, condition, bands): all bands of a location, each by its number of spots."""
+    """(qth, score, confidence, status, condition, bands): all bands of a location, each by its number of spots.
+
+    With with_trends() also trend_delta, weighted alike, and trend: rising or falling beyond 0.2 either way.
+    """
     mean = lambda x, d: numbers.round_half_away(f"sum({x} * links) / sum(links)", d)
     out = conditions.groupBy("qth").agg(e(mean("score", 1)).alias("score"), e(mean("confidence", 1)).alias("confidence"), F.count(F.lit(1)).alias("bands"), F.count_if(e("status in ('green', 'yellow')")).alias("usable"))
+    if "trend_delta" in conditions.columns:
+        deltas = conditions.groupBy("qth").agg(e(mean("trend_delta", 2)).alias("trend_delta"))
+        out = out.join(deltas, "qth").withColumn("trend", e("case when trend_delta > 0.2 then 'rising' when trend_delta < -0.2 then 'falling' else 'stable' end"))
     out = out.withColumn("status", e(classify.overall_status("score", "confidence", "bands")))
     return out.withColumn("condition", e(classify.condition_label("status", "score")))
 
@@ -214,6 +220,39 @@ def holding(conditions: DataFrame, asked: DataFrame) -> DataFrame:
     return conditions.where(e(bands.band_in_scope("band"))).join(asked.select("qth", e(bands.normalize_band("band")).alias("band")).distinct(), ["qth", "band"]).select("qth", "band", "spots_per_minute", "status", "activity_level")
 
 
+def _area_links(near: DataFrame, q: DataFrame) -> DataFrame:
+    """(qth, spot_id, band, ring, ...): links of the last twenty minutes at the distance of their nearer end."""
+    squares = ring_squares(q.withColumns({"x": e(grid.square_x("centre")), "y": e(grid.square_y("centre")), "r": F.lit(AREA_RADIUS)}), "qth")
+    ends = near.select("spot_id", "t", "band", F.explode(F.array("s4", "r4")).alias("square"))
+    return ends.join(squares, "square").groupBy("qth", "spot_id", "t", "band").agg(F.min("ring").alias("ring")).join(q, "qth").where(f"t between now - {AREA_MINUTES * 60} and now")
+
+
+def widened_bands(spots: DataFrame, qths: DataFrame) -> DataFrame:
+    """(qth, band, base_links, area_widened): links inside the block that a location asked for, and whether the band has a
+    full sample only because the block was widened. Bands with a link in the widest block."""
+    areas = live_area(spots, qths)
+    near = recent(spots, qths, seconds=str(AREA_MINUTES * 60)).where(e(f"calibrated and s4 is not null and r4 is not null and snr >= {AREA_FLOOR_DB} and {bands.band_in_scope('band')}"))
+    links = _area_links(near, areas.join(qths.select("qth", "now"), "qth"))
+    counts = links.groupBy("qth", "band", "widened").agg(F.count_if(e("ring <= base_radius")).alias("base_links"))
+    return counts.select("qth", "band", "base_links", (F.col("widened") & (F.col("base_links") < AREA_SAMPLE)).alias("area_widened"))
+
+
+def band_details(spots: DataFrame, qths: DataFrame, rates: DataFrame) -> DataFrame:
+    """(qth, band, dominant, sectors, regions, slot_rates, slot_own, activity, sparkline, area_widened): what a band's row shows
+    beside its scores. sectors and regions are maps of counts; slot_rates and slot_own the 48 half hours' normal rates and
+    whether they are the cluster's own; ``rates`` is slot_rates()."""
+    scored = scored_events(window_events(spots, qths))
+    sectors = azimuth_sectors(scored).groupBy("qth", "band").agg(F.max(F.when(F.col("dominant"), F.col("direction"))).alias("dominant"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("direction", "n")))).alias("sectors"))
+    regions = region_counts(scored).groupBy("qth", "band").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("region", "n")))).alias("regions"))
+    slots = rates.groupBy("anchor", "band").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct("rate", "used_cluster")))).alias("x"))
+    slots = slots.select("anchor", "band", e("transform(sequence(0, 47), s -> coalesce(x[s].rate, 0.0D))").alias("slot_rates"), e("transform(sequence(0, 47), s -> coalesce(x[s].used_cluster, false))").alias("slot_own"))
+    out = scored.select("qth", "band").distinct().join(windows(qths).select("qth", "anchor"), "qth")
+    for part in (sectors, regions, series(activity_by_bin(spots, qths)), widened_bands(spots, qths).select("qth", "band", "area_widened")):
+        out = out.join(part, ["qth", "band"], "left")
+    out = out.join(slots, ["anchor", "band"], "left").withColumns({"area_widened": F.coalesce("area_widened", F.lit(False)), "slot_rates": e("coalesce(slot_rates, array_repeat(0.0D, 48))"), "slot_own": e("coalesce(slot_own, array_repeat(false, 48))")})
+    return out.select("qth", "band", "dominant", "sectors", "regions", "slot_rates", "slot_own", "activity", "sparkline", "area_widened")
+
+
 def live_area(spots: DataFrame, qths: DataFrame) -> DataFrame:
     """(qth, centre, base_radius, radius, widened): the smallest square block with enough spots on enough bands.
 
@@ -222,9 +261,7 @@ def live_area(spots: DataFrame, qths: DataFrame) -> DataFrame:
     """
     q = qths.where(e(grid.is_locator("qth"))).select("qth", e("substr(qth, 1, 4)").alias("centre"), e("case when coalesce(surroundings, false) then 1 else 0 end").alias("base_radius"), "now")
     near = recent(spots, qths, seconds=str(AREA_MINUTES * 60)).where(e(f"calibrated and s4 is not null and r4 is not null and snr >= {AREA_FLOOR_DB} and {bands.band_in_scope('band')}"))
-    squares = ring_squares(q.withColumns({"x": e(grid.square_x("centre")), "y": e(grid.square_y("centre")), "r": F.lit(AREA_RADIUS)}), "qth")
-    ends = near.select("spot_id", "t", "band", F.explode(F.array("s4", "r4")).alias("square"))
-    links = ends.join(squares, "square").groupBy("qth", "spot_id", "t", "band").agg(F.min("ring").alias("ring")).join(q, "qth").where(f"t between now - {AREA_MINUTES * 60} and now")
+    links = _area_links(near, q)
     by_radius = links.withColumn("radius", F.explode(e(f"sequence(ring, {AREA_RADIUS})"))).groupBy("qth", "band", "radius").agg(F.count(F.lit(1)).alias("n"))
     full = by_radius.groupBy("qth", "radius").agg(F.count_if(F.col("n") >= AREA_SAMPLE).alias("full_bands"), F.sum("n").alias("total"))
     picked = full.join(q, "qth").groupBy("qth").agg(F.min(e(f"case when full_bands >= {AREA_BANDS} and radius >= base_radius then radius end")).alias("found"), F.max(e(f"case when radius = {AREA_RADIUS} then total end")).alias("total"))

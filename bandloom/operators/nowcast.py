@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import bands, classify, numbers
+from ..functions import bands, classify, geo, numbers
 from .conditions import recent
-from .matching import from_here_ends, remote_counts
+from .matching import from_here_ends, matched_ends
 
 e = F.expr
 
@@ -15,6 +15,10 @@ e = F.expr
 SOURCE_PROFILES = (("wspr", "wspr", True, 10.0, -5.0, None), ("pskr", "mqtt", False, -5.0, -18.0, -24.0), ("rbn", "rbn", False, None, 8.0, None))
 
 
+#: Windows up to which their table may be broadcast.
+MOST_WINDOWS = 10_000
+
+
 def source_profiles(spark: SparkSession, names: list[str] | None = None, ssb_min_db: float | None = None, cw_min_db: float | None = None) -> DataFrame:
     """The profiles of the named sources, all if none is known; a given floor takes the place of each profile's own."""
     rows = [(k, *p) for k, p in enumerate(SOURCE_PROFILES) if p[0] in {n.strip().lower() for n in names or []}] or [(k, *p) for k, p in enumerate(SOURCE_PROFILES)]
@@ -23,27 +27,50 @@ def source_profiles(spark: SparkSession, names: list[str] | None = None, ssb_min
 
 
 def windowed(spots: DataFrame, qths: DataFrame) -> DataFrame:
-    """Prepared spots of the (one) window that all ``qths`` share, with the level that openness is judged by and the half they lie in.
+    """Prepared spots, once for each window (w0, w1) of ``qths`` that they lie in, with the level that openness is judged by
+    and whether they lie in the window's first half.
 
-    The level is the SNR at 100 W where the power is known, null for beacons of unknown power.
+    The level is the SNR at 100 W where the power is known, null for beacons of unknown power. Locations ask for a few
+    windows, however many locations there are: only windows are joined to spots.
     """
-    bounds = qths.agg(F.min(e("now - minutes * 60")).alias("t0"), F.max(e("now - minutes * 60")).alias("t0b"), F.max("now").alias("t1")).first()
-    if bounds["t0"] != bounds["t0b"]:
-        raise ValueError("locations of one call share now and minutes")
-    if bounds["t0"] is None:
-        return spots.where(F.lit(False)).withColumns({"level": F.lit(None).cast("int"), "early": F.lit(False)})
-    middle = bounds["t0"] + (bounds["t1"] - bounds["t0"]) // 2
+    spans = qths.select(e("now - minutes * 60").alias("w0"), F.col("now").alias("w1")).distinct()
+    spans = F.broadcast(spans) if spans.limit(MOST_WINDOWS + 1).count() <= MOST_WINDOWS else spans
+    near = recent(spots, qths).where(e(bands.band_in_scope("band"))).join(spans, e("t between w0 and w1"))
     level = f"case when source = 'wspr' then case when txpower > 0 then {bands.effective_snr('snr', 'txpower')} end else snr end"
-    return recent(spots, qths).where(e(bands.band_in_scope("band"))).withColumns({"level": e(level), "early": F.col("t") < middle})
+    return near.withColumns({"level": e(level), "early": e("t < w0 + (w1 - w0) div 2")})
 
 
 def _rising(early: str = "early_spots", late: str = "late_spots") -> str:
     return f"(case when {early} > 0 then cast({late} as double) / {early} >= 1.5 else {late} > 0 end)"
 
 
+def _windowed_counts(near: DataFrame, qths: DataFrame) -> DataFrame:
+    """(qth, band, source, region, level, early, from_here, n), as remote_counts() has them, for windowed() spots.
+
+    What holds for every location of a window is reduced to one row a band, source and region before it is repeated for
+    each; its levels are looked at for the cells alone that lose spots to another one.
+    """
+    q = qths.select("qth", e("now - minutes * 60").alias("w0"), F.col("now").alias("w1"))
+    sided = near.withColumn("swap", e(bands.receiver_is_sender_side("source"))).withColumns({"recv": e("case when swap then s_region else r_region end"), "other": e("case when swap then r_region else s_region end"), "mark": e("coalesce(level, -9999)")})
+    cell, detail = ["w0", "w1", "band", "source", "region"], ["mark", "early"]
+    everywhere = sided.groupBy("w0", "w1", "band", "source", F.col("recv").alias("region"), *detail).agg(F.count(F.lit(1)).alias("n"))
+    hits = matched_ends(near.dropDuplicates(["spot_id"]), qths).join(sided, "spot_id").join(q, ["qth", "w0", "w1"])
+    hits = hits.withColumn("to", e("case when case when swap then is_sender else is_receiver end then other else recv end"))
+    lost = hits.groupBy("qth", "w0", "w1", "band", "source", F.col("recv").alias("region"), *detail).agg(F.count(F.lit(1)).alias("lost"))
+    touched = lost.select("qth", *cell).distinct()
+    # The half that a spot lies in stays apart; of the levels only the best counts.
+    best = everywhere.groupBy(*cell, "early").agg(F.sum("n").alias("n"), F.max("mark").alias("mark"))
+    plain = best.join(q, ["w0", "w1"]).join(touched, ["qth", *cell], "left_anti")
+    rest = touched.join(everywhere, cell).join(lost, ["qth", *cell, *detail], "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).where("n > 0")
+    moved = hits.groupBy("qth", "band", "source", F.col("to").alias("region"), *detail).agg(F.count(F.lit(1)).alias("n"))
+    columns = ["qth", "band", "source", "region", "mark", "early", "n"]
+    out = plain.select(*columns, F.lit(False).alias("from_here")).unionByName(rest.select(*columns, F.lit(False).alias("from_here"))).unionByName(moved.select(*columns, F.lit(True).alias("from_here")))
+    return out.where("region <> '??'").withColumn("level", e("nullif(mark, -9999)")).drop("mark")
+
+
 def source_cells(spots: DataFrame, qths: DataFrame, profiles: DataFrame) -> DataFrame:
     """(qth, band, region, source): spots, best level, open flags, rising. A flag is null where the source can't tell."""
-    counted = remote_counts(windowed(spots, qths), qths, "band", "source", "level", "early")
+    counted = _windowed_counts(windowed(spots, qths), qths)
     cells = counted.groupBy("qth", "band", "region", "source").agg(F.sum("n").alias("spots"), F.max("level").alias("best_level"), F.bool_or("from_here").alias("from_here"), F.sum(e("case when early then n else 0 end")).alias("early_spots"), F.sum(e("case when early then 0 else n end")).alias("late_spots"))
     return _opened(cells.join(profiles, "source"))
 
@@ -55,10 +82,17 @@ def _opened(cells: DataFrame) -> DataFrame:
     return out.drop("ssb_floor", "cw_floor", "digital_floor", "digital_open", "has_power", "source").withColumnRenamed("name", "source")
 
 
-def with_atypical(cells: DataFrame, stats: DataFrame, slot: int, minutes: int, threshold: float = 2.0) -> DataFrame:
-    """Adds z, sample_days, confidence and atypical against the source's calendar (filled_calendar_stats with public source names)."""
+def with_atypical(cells: DataFrame, stats: DataFrame, slot: int, minutes: int, threshold: float = 2.0, areas: DataFrame | None = None) -> DataFrame:
+    """Adds z, sample_days, confidence and atypical against the source's calendar (filled_calendar_stats with public source names).
+
+    ``areas`` is live_area(): the calendar isn't scaled to a widened block, whose larger counts would be taken for surges,
+    so that a location with one has none.
+    """
     now = stats.where(F.col("slot") == slot).select("source", "band", "region", "mean", "sd", "sample_days")
     out = cells.join(now, ["source", "band", "region"], "left").withColumn("z", F.when((F.col("sd") > 0) & (F.col("sample_days") >= 3), (F.col("spots") * (30.0 / minutes) - F.col("mean")) / F.col("sd")))
+    if areas is not None:
+        wide = areas.where("widened").select("qth", F.lit(True).alias("wide"))
+        out = out.join(wide, "qth", "left").withColumn("z", F.when(F.col("wide").isNull(), F.col("z"))).drop("wide")
     out = out.withColumn("atypical", F.coalesce(F.col("z") >= threshold, F.lit(False)))
     return out.withColumn("z", F.when(F.col("atypical"), e(numbers.round_half_away("z", 3)))).withColumn("confidence", F.when(F.col("atypical"), e(numbers.round_half_away(classify.atypical_confidence("sample_days"), 3)))).drop("mean", "sd")
 
@@ -80,10 +114,6 @@ def rollup(cells: DataFrame) -> DataFrame:
     return out.select("qth", "band", "region", "spots", "from_here", "open", "ssb_open", "cw_open", "rising", e(numbers.round_half_away("cast(n_open as double) / n", 2)).alias("open_agreement"), e(numbers.round_half_away("cast(n_atypical as double) / n", 2)).alias("atypical_agreement"), F.col("best.z").alias("z"), F.col("best.confidence").alias("confidence"), F.array_join(F.transform("active", lambda x: x["source"]), ",").alias("sources"))
 
 
-def from_here_only(cells: DataFrame) -> DataFrame:
-    return cells.where("from_here")
-
-
 def surge_strength(cells: DataFrame) -> DataFrame:
     return cells.withColumn("strength", F.when(F.col("z").isNotNull(), e(classify.surge_strength("z", "atypical_agreement"))))
 
@@ -101,13 +131,31 @@ def prop_summary(cells: DataFrame) -> DataFrame:
     return out.withColumn("band_rank", F.dense_rank().over(w.orderBy(F.desc("band_spots"), "band"))).select("qth", "band", "region", "spots", "intensity", "flags", "band_spots", "band_rank")
 
 
-def headline(cells: DataFrame) -> DataFrame:
-    """(qth, kind, text): the surest anomaly, else a rising path (an open one first, then the busiest), else quiet."""
+def top_bands(cells: DataFrame, most: int = 4) -> DataFrame:
+    """(qth, rank, band, regions, ssb, cw, rising, spots) of a rollup: the busiest bands, each with its regions, the busiest first."""
+    per_band = cells.groupBy("qth", "band").agg(
+        F.sum("spots").alias("spots"), F.bool_or("ssb_open").alias("ssb"), F.bool_or("cw_open").alias("cw"), F.bool_or("rising").alias("rising"), F.sort_array(F.collect_list(F.struct((-F.col("spots")).alias("k"), "region"))).alias("x")
+    )
+    ranked = per_band.withColumn("rank", F.row_number().over(Window.partitionBy("qth").orderBy(F.desc("spots"), "band"))).where(F.col("rank") <= most)
+    return ranked.select("qth", "rank", "band", e("transform(x, v -> v.region)").alias("regions"), "ssb", "cw", "rising", "spots")
+
+
+def region_name(code: str) -> str:
+    """A region's name for people; other codes as they are."""
+    return f"(case {code} " + " ".join(f"when '{k}' then '{v}'" for k, v in geo.REGION_NAMES.items()) + f" else {code} end)"
+
+
+def headline(cells: DataFrame, qths: DataFrame | None = None) -> DataFrame:
+    """(qth, kind, text): the surest anomaly, else a rising path (an open one first, then the busiest), else quiet.
+
+    With ``qths`` a location without any cell gets its row too.
+    """
     open_first = F.when(F.col("ssb_open") | F.col("cw_open"), 0).otherwise(1)
     order = Window.partitionBy("qth").orderBy(F.col("z").isNull(), F.desc("confidence"), F.desc("z"), ~F.col("rising"), open_first, F.desc("spots"), "band", "region")
     top = cells.withColumn("n_bands", F.size(F.collect_set("band").over(Window.partitionBy("qth")))).withColumn("nth", F.row_number().over(order)).where("nth = 1")
-    text = "case when z is not null then concat(band, ' atypical surge to ', region, ' (z=', format_string('%.1f', z), ')') when rising then concat(band, ' rising toward ', region) else concat(n_bands, ' bands active, none rising') end"
-    return top.select("qth", e("case when z is not null then 'atypical' when rising then 'rising' else 'quiet' end").alias("kind"), e(text).alias("text"))
+    text = f"case when z is not null then concat(band, ' atypical surge to ', {region_name('region')}, ' (z=', format_string('%.1f', z), ')') when rising then concat(band, ' rising toward ', {region_name('region')}) else concat(n_bands, ' bands active, none rising') end"
+    out = top.select("qth", e("case when z is not null then 'atypical' when rising then 'rising' else 'quiet' end").alias("kind"), e(text).alias("text"))
+    return out if qths is None else qths.select("qth").distinct().join(out, "qth", "left").na.fill({"kind": "quiet", "text": "0 bands active, none rising"})
 
 
 def from_here_cells(spots: DataFrame, areas: DataFrame, profiles: DataFrame, t0: int, t1: int) -> DataFrame:

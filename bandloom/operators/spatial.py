@@ -22,11 +22,18 @@ def spot_filter(spots: DataFrame, only_bands: list[str] | None = None, sources:
 
 
 def history(matched: DataFrame, t0: int, t1: int, most: int = 50_000, longest: int = 86400) -> DataFrame:
-    """The newest ``most`` spots of each location between t0 and t1, a span of at most a day, and whether some were left out."""
+    """The newest ``most`` spots of each location between t0 and t1, a span of at most a day, and whether some were left out.
+
+    Spots are counted by second first; only those of the second at which the limit falls are put in order.
+    """
     t0 = max(t0, t1 - longest)
-    newest = Window.partitionBy("qth").orderBy(F.desc("t"), F.desc("spot_id"))
     within = matched.where(F.col("t").between(t0, t1))
-    return within.withColumns({"nth": F.row_number().over(newest), "truncated": F.count(F.lit(1)).over(Window.partitionBy("qth")) > most}).where(F.col("nth") <= most).drop("nth")
+    newest = Window.partitionBy("qth").orderBy(F.desc("t"))
+    upto = within.groupBy("qth", "t").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(newest))
+    edge = upto.groupBy("qth").agg(F.max("upto").alias("total"), F.max_by(F.struct("t", (F.lit(most) - F.col("upto") + F.col("c")).alias("room")), F.when(F.col("upto") - F.col("c") < most, F.col("upto"))).alias("edge"))
+    near = within.join(edge, "qth").where("t >= edge.t").withColumn("truncated", F.col("total") > most)
+    last = near.where("t = edge.t").withColumn("nth", F.row_number().over(Window.partitionBy("qth", "t").orderBy(F.desc("spot_id")))).where("nth <= edge.room")
+    return near.where("t > edge.t").drop("total", "edge").unionByName(last.drop("total", "edge", "nth"))
 
 
 def square_details(matched: DataFrame) -> DataFrame:
@@ -45,10 +52,12 @@ def top_reports(matched: DataFrame, most: int = 10) -> DataFrame:
 
 
 def grid_squares(matched: DataFrame) -> DataFrame:
-    """(qth, square): spots and the mean SNR of the strongest quarter, of one spot at least."""
+    """(qth, square): spots and the mean SNR of the strongest quarter, of one spot at least; from counts by SNR."""
+    counts = matched.where("length(remote) >= 4").groupBy("qth", e("substr(remote, 1, 4)").alias("square"), "snr").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("qth", "square")
-    ranked = matched.where("length(remote) >= 4").withColumn("square", e("substr(remote, 1, 4)")).withColumns({"nth": F.row_number().over(w.orderBy(F.desc("snr"), "spot_id")), "n": F.count(F.lit(1)).over(w)})
-    return ranked.groupBy("qth", "square").agg(F.first("n").alias("spots"), F.avg(e("case when nth <= ceil(n / 4.0) then snr end")).alias("top_quarter_snr"))
+    ranked = counts.withColumns({"n": F.sum("c").over(w), "before": F.coalesce(F.sum("c").over(w.orderBy(F.desc("snr")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    ranked = ranked.withColumn("taken", e("least(c, greatest(cast(ceil(n / 4.0) as bigint) - before, 0))"))
+    return ranked.groupBy("qth", "square").agg(F.first("n").alias("spots"), e("sum(snr * taken) / cast(sum(case when snr is not null then taken else 0 end) as double)").alias("top_quarter_snr"))
 
 
 def moments(matched: DataFrame, step: int = 300, window: int = 900) -> DataFrame:
@@ -59,11 +68,18 @@ def moments(matched: DataFrame, step: int = 300, window: int = 900) -> DataFrame
 
 
 def coverage_intervals(spots: DataFrame, gap: int = 300, *key: str) -> DataFrame:
-    """(key, t0, t1, n): spans in which no two neighbouring spots lie more than ``gap`` seconds apart."""
-    w = Window.partitionBy(*key).orderBy("t")
-    times = spots.groupBy(*key, "t").agg(F.count(F.lit(1)).alias("c"))
-    island = times.withColumn("new", F.when(F.col("t") - F.lag("t").over(w) <= gap, 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
-    return island.groupBy(*key, "island").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.sum("c").alias("n")).drop("island")
+    """(key, t0, t1, n): spans in which no two neighbouring spots lie more than ``gap`` seconds apart.
+
+    Spans are found within each hour first, in as many tasks as there are hours; only these few meet by key.
+    """
+
+    def joined(parts: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("t0")
+        marked = parts.withColumn("new", F.when(F.col("t0") - F.lag("t1").over(w) <= gap, 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
+        return marked.groupBy(*by, "island").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("n").alias("n")).drop("island")
+
+    times = spots.groupBy(*key, F.col("t").alias("t0")).agg(F.count(F.lit(1)).alias("n")).withColumns({"t1": F.col("t0"), "hour": e("t0 div 3600")})
+    return joined(joined(times, *key, "hour").drop("hour"), *key)
 
 
 def covers(intervals: DataFrame, asked: DataFrame, *key: str) -> DataFrame:

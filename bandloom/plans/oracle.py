@@ -176,7 +176,7 @@ TEXTS |= {
     "expected_counts": f"select qth, band, {r6('expected')} from expd",
     "reach_baseline": f"select qth, band, {r6('baseline_p90')}, reach_support from reached",
     "dx_conditions": "select qth, band, status, condition, mode, recommendation, activity_level, reach_level, " + ", ".join(r6(c) for c in ("score", "confidence", "repeat_ratio", "spots_per_minute", "dx_ratio", "baseline_rate", "activity_ratio")) + f", {r6('expected', 'regional_expected')}, {r6('local_scale')}, {r6('baseline_p90', 'baseline_p90_km')}, {r6('reach_ratio')}, links, regional as regional_spots, used_cluster from cond",
-    "dx_overall": f"select *, {classify.condition_label('status', 'score')} as condition, case when status = 'grey' or confidence < 20 then 'unclear' when status = 'green' then 'go' when usable > 0 then 'selective' else 'wait' end as verdict from overall",
+    "dx_overall": f"select *, {classify.condition_label('status', 'score')} as condition, case when status = 'grey' or confidence < 20 then 'unclear' when status = 'green' then 'go' when usable > 0 then 'selective' else 'wait' end as verdict, case when trend_delta > 0.2 then 'rising' when trend_delta < -0.2 then 'falling' else 'stable' end as trend from overall join (select qth, {R('sum(coalesce(trend_delta, 0) * links) / sum(links)', 2)} as trend_delta from cond left join trended using (qth, band) group by qth) using (qth)",
     "ranked_bands": "select qth, band, best_rank, worst_rank, best_rank <= 3 and status in ('green', 'yellow') as recommended, worst_rank <= 3 and confidence >= 30 and status in ('red', 'grey') as avoid from (select *, row_number() over (partition by qth order by score desc, confidence desc, band) as best_rank, row_number() over (partition by qth order by score, confidence desc, band) as worst_rank from cond) where best_rank <= 3 or worst_rank <= 3",
     "holding": f"select qth, band, {r6('spots_per_minute')}, status, activity_level from cond where (qth, band) in (('JO32', '20m'), ('JO32', '40m'), ('JO31', '2m'))",
 }
@@ -228,17 +228,33 @@ PARTS |= {
 }
 FLAGS = "case when ssb_open then 1 else 0 end + case when cw_open then 2 else 0 end + case when rising then 4 else 0 end + case when z is not null then 8 else 0 end + case when from_here then 16 else 0 end"
 RING = "('JO32', 'JO31', 'FN45')"
+PARTS |= {
+    "la_c": f"select qth, substr(qth, 1, 4) as centre, case when surroundings then 1 else 0 end as base_radius from q where {grid.is_locator('qth')}",
+    "la_blocks": f"select qth, {grid.square_at('x + dx', 'y + dy')} as square, greatest(abs(dx), abs(dy)) as ring from (select qth, {grid.square_x('centre')} as x, {grid.square_y('centre')} as y from la_c), (select unnest(range(-3, 4)) as dx), (select unnest(range(-3, 4)) as dy)",
+    "la_near": f"select p.* from p, n where t between now - 1200 and now and calibrated and s4 is not null and r4 is not null and snr >= -15 and {IN_SCOPE}",
+    "la_links": "select qth, spot_id, band, min(ring) as ring from (select * from la_near join la_blocks on s4 = square union all select * from la_near join la_blocks on r4 = square) group by all",
+    "la_counts": "select qth, radius, count(*) filter (where c >= 25) as full_bands, sum(c) as total from (select qth, band, radius, count(*) as c from la_links, (select unnest(range(4)) as radius) where ring <= radius group by all) group by all",
+    "la": "select *, radius > base_radius as widened from (select qth, centre, base_radius, cast(case when coalesce((select total from la_counts x where x.qth = c.qth and radius = 3), 0) < 25 then base_radius else coalesce((select min(radius) from la_counts x where x.qth = c.qth and full_bands >= 3 and radius >= base_radius), 3) end as int) as radius from la_c c)",
+    "asked": "select q.*, mins from q join (values ('JO32', 15), ('JO31', 60), ('FN45', 30), ('S17', 30)) v(name, mins) on name = qth",
+    "wremote": PARTS["remote"].replace("t < q.now - 1800", "t < q.now - mins * 30").replace("between q.now - 3600 and", "between q.now - mins * 60 and").replace("cross join q ", "cross join asked q "),
+    "wcell0": PARTS["cell0"].replace("from remote", "from wremote"),
+    "wcell1": opened("wcell0"),
+}
 LISTED = bands.listed(bands.ALMANAC_BANDS)
 TEXTS |= {
     "trends": "select qth, band, trend, trend_delta, sustained, top from trended",
     "dx_overall_enabled": f"select qth, score, confidence, bands, {classify.overall_status('score', 'confidence', 'bands')} as status from (select qth, {R('sum(score * links) / sum(links)', 1)} as score, {R('sum(confidence * links) / sum(links)', 1)} as confidence, count(*) as bands from cond where band in ('40m', '20m', '15m') group by 1)",
     "hot_bands": "select qth, rank, band, kind, case when kind = 'surprise' then 'high' else 'normal' end as priority, sustained, trend, status from (select *, row_number() over (partition by qth order by case kind when 'surprise' then 0 when 'dx_surge' then 1 else 2 end, case kind when 'surprise' then ratio when 'dx_surge' then reach_ratio else score end desc, band) as rank from hot2 where kind is not null) where rank <= 5",
-    "live_area": f"with centres as (select qth, substr(qth, 1, 4) as centre, case when surroundings then 1 else 0 end as base_radius from q where {grid.is_locator('qth')}), blocks as (select qth, {grid.square_at('x + dx', 'y + dy')} as square, greatest(abs(dx), abs(dy)) as ring from (select qth, {grid.square_x('centre')} as x, {grid.square_y('centre')} as y from centres), (select unnest(range(-3, 4)) as dx), (select unnest(range(-3, 4)) as dy)), near_spots as (select p.* from p, n where t between now - 1200 and now and calibrated and s4 is not null and r4 is not null and snr >= -15 and {IN_SCOPE}), links as (select qth, spot_id, band, min(ring) as ring from (select * from near_spots join blocks on s4 = square union all select * from near_spots join blocks on r4 = square) group by all), counts as (select qth, radius, count(*) filter (where c >= 25) as full_bands, sum(c) as total from (select qth, band, radius, count(*) as c from links, (select unnest(range(4)) as radius) where ring <= radius group by all) group by all) select *, radius > base_radius as widened from (select qth, centre, base_radius, cast(case when coalesce((select total from counts x where x.qth = c.qth and radius = 3), 0) < 25 then base_radius else coalesce((select min(radius) from counts x where x.qth = c.qth and full_bands >= 3 and radius >= base_radius), 3) end as int) as radius from centres c)",
+    "live_area": "select * from la",
+    "widened_bands": "select qth, band, count(*) filter (where ring <= base_radius) as base_links, widened and count(*) filter (where ring <= base_radius) < 25 as area_widened from la_links join la using (qth) group by qth, band, widened",
+    "band_details": f"select f.qth, f.band, dominant, sectors, regions, {R('coalesce(usual, 0)', 6)} as usual, cast(coalesce(own_slots, 0) as int) as own_slots, {r6('peak')}, coalesce(area_widened, false) as area_widened from feat f left join (select qth, case when {grid.is_locator('qth')} then {grid.cluster_anchor('qth')} end as anchor from q) l on l.qth = f.qth left join (select qth, band, string_agg(direction || ':' || n, ',' order by direction) as sectors, first(direction order by n desc, list_position(['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'], direction)) as dominant from (select qth, band, direction, count(*) as n from {SCORED.format(s=3600)} where direction <> '' group by all) group by all) s on s.qth = f.qth and s.band = f.band left join (select qth, band, string_agg(region || ':' || n, ',' order by region) as regions from (select qth, band, remote_region as region, count(*) as n from {SCORED.format(s=3600)} where remote_region <> '??' group by all) group by all) g on g.qth = f.qth and g.band = f.band left join (select anchor, band, sum(rate) as usual, count(*) filter (where used_cluster) as own_slots from rates group by all) r on r.anchor = l.anchor and r.band = f.band left join (select qth, band, max(rate) as peak from bins12 group by all) b on b.qth = f.qth and b.band = f.band left join ({{WIDENED}}) w on w.qth = f.qth and w.band = f.band",
     "prop_cells_v1": "select qth, band, region, spots, best_level, coalesce(best_level >= 10, false) as ssb_open, coalesce(best_level >= -8, false) as cw_open, rising, from_here from cell1 where source = 'wspr'",
     "prop_cells_v2": "select qth, band, region, name as source, spots, best_level, from_here, ssb_open, cw_open, open, rising, atypical, z, confidence from cell",
     "prop_rollup": "select qth, band, region, spots, from_here, open, rising, open_agreement, atypical_agreement, sources from roll",
     "prop_summary": f"select qth, band, region, spots, {R('cast(spots as double) / most', 2)} as intensity, {FLAGS} as flags, band_spots, dense_rank() over (partition by qth order by band_spots desc, band) as band_rank from (select *, max(spots) over (partition by qth) as most, sum(spots) over (partition by qth, band) as band_spots from roll)",
-    "prop_headline": "select qth, case when z is not null then 'atypical' when rising then 'rising' else 'quiet' end as kind, case when z is not null then concat(band, ' atypical surge to ', region, ' (z=', format('{:.1f}', z), ')') when rising then concat(band, ' rising toward ', region) else concat(n_bands, ' bands active, none rising') end as text from (select *, row_number() over (partition by qth order by z is null, confidence desc nulls last, z desc nulls last, not rising, not (ssb_open or cw_open), spots desc, band, region) as nth, (select count(distinct band) from roll b where b.qth = a.qth) as n_bands from roll a) where nth = 1",
+    "prop_headline": "select q.qth, coalesce(kind, 'quiet') as kind, coalesce(text, '0 bands active, none rising') as text from q left join (select qth, case when z is not null then 'atypical' when rising then 'rising' else 'quiet' end as kind, case when z is not null then concat(band, ' atypical surge to ', coalesce(label, region), ' (z=', format('{:.1f}', z), ')') when rising then concat(band, ' rising toward ', coalesce(label, region)) else concat(n_bands, ' bands active, none rising') end as text from (select *, row_number() over (partition by qth order by z is null, confidence desc nulls last, z desc nulls last, not rising, not (ssb_open or cw_open), spots desc, band, region) as nth, (select count(distinct band) from roll b where b.qth = a.qth) as n_bands from roll a) left join (values ('EU', 'Europe'), ('NA', 'North America'), ('SA', 'South America'), ('AF', 'Africa'), ('AS', 'Asia'), ('OC', 'Oceania'), ('AN', 'Antarctica'), ('JA', 'Japan'), ('VK', 'Australia'), ('KH6', 'Hawaii'), ('CAR', 'Caribbean')) names(code, label) on code = region where nth = 1) h using (qth)",
+    "prop_top_bands": "select qth, rank, band, regions, ssb, cw, rising, spots from (select *, row_number() over (partition by qth order by spots desc, band) as rank from (select qth, band, string_agg(region, ',' order by spots desc, region) as regions, bool_or(ssb_open) as ssb, bool_or(cw_open) as cw, bool_or(rising) as rising, cast(sum(spots) as bigint) as spots from roll group by all)) where rank <= 4",
+    "prop_cells_windows": "select qth, band, region, name as source, spots, best_level, from_here, open, rising from wcell1",
     "prop_flavor": f"select qth, c.band, c.region, atypical, case when atypical then {classify.flavor('d_days', 'd_mean', 'd_sd', 'd_today', '(now % 1800 / cast(1800 as double))')} end as flavor from cell c left join (select band, region, avg(past) as d_mean, stddev_samp(past) as d_sd, count(past) as d_days, coalesce(sum(spot_count) filter (where day = today), 0) as d_today from (select *, case when day < today then spot_count end as past from sd, n where source = 'mqtt' and day between today - 30 and today and slot = now_slot) group by 1, 2) d on d.band = c.band and d.region = c.region, n where source = 'wspr'",
     "from_here_cells": "select area, band, region, name as source, spots, stations, best_level, ssb_open, cw_open, open, rising from near_cells",
     "from_here_normals": f"select area, band, region, {r6('expected')}, {r6('sd')}, sample_days from normals",
@@ -257,4 +273,6 @@ TEXTS |= {
     "wspr_backfill": f"select grid4, band, region, {times.day_of_month('day')} as dom, slot, cast(least(count(*), 255) as int) as count, " + ", ".join(f"cast(least(count(*) filter (where snr >= {lo} and snr < {lo + w}), 255) as int) as bin{k}" for k, (lo, w) in enumerate([(-1000, 980), (-20, 5), (-15, 5), (-10, 5), (-5, 5), (0, 1000)])) + f" from (select s4 as grid4, r_region as region, band, day, slot, snr from p where source = 'wspr' union all select r4, s_region, band, day, slot, snr from p where source = 'wspr'), n where grid4 in {RING} and region <> '??' and band in ({LISTED}) and {times.year_month('day')} = {times.year_month('today')} group by grid4, band, region, day, slot",
 }
 
+TEXTS["band_details"] = TEXTS["band_details"].replace("{WIDENED}", TEXTS["widened_bands"])
+
 ORACLE_SQL = {name: sql(text) for name, text in TEXTS.items()}

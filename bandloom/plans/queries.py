@@ -328,7 +328,18 @@ def dx_conditions(i: Inputs) -> DataFrame:
 
 
 def dx_overall(i: Inputs) -> DataFrame:
-    return conditions.global_decision(conditions.dx_overall(i.conditions())).select("qth", "score", "confidence", "bands", "usable", "status", "condition", "verdict")
+    return conditions.global_decision(conditions.dx_overall(i.trended())).select("qth", "score", "confidence", "bands", "usable", "status", "condition", "verdict", "trend", "trend_delta")
+
+
+def band_details(i: Inputs) -> DataFrame:
+    d = conditions.band_details(i.spots, i.qths(), i.rates)
+    listed = lambda c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
+    usual = e(numbers.round_half_away("aggregate(slot_rates, 0.0D, (a, v) -> a + v)", 6))
+    return d.select("qth", "band", "dominant", listed("sectors").alias("sectors"), listed("regions").alias("regions"), usual.alias("usual"), F.size(F.filter("slot_own", lambda x: x)).alias("own_slots"), r6("array_max(activity)", "peak"), "area_widened")
+
+
+def widened_bands(i: Inputs) -> DataFrame:
+    return conditions.widened_bands(i.spots, i.qths())
 
 
 def dx_overall_enabled(i: Inputs) -> DataFrame:
@@ -379,7 +390,19 @@ def prop_summary(i: Inputs) -> DataFrame:
 
 
 def prop_headline(i: Inputs) -> DataFrame:
-    return nowcast.headline(nowcast.surge_strength(nowcast.rollup(_cells(i))))
+    return nowcast.headline(nowcast.surge_strength(nowcast.rollup(_cells(i))), i.qths())
+
+
+def prop_top_bands(i: Inputs) -> DataFrame:
+    top = nowcast.top_bands(nowcast.rollup(_cells(i)))
+    return top.select("qth", "rank", "band", F.array_join("regions", ",").alias("regions"), "ssb", "cw", "rising", "spots")
+
+
+def prop_cells_windows(i: Inputs) -> DataFrame:
+    """Each location with a window of its own."""
+    minutes = e("case qth when 'JO32' then 15 when 'JO31' then 60 else 30 end")
+    cells = nowcast.source_cells(i.spots, i.qths().withColumn("minutes", minutes), nowcast.source_profiles(i.spark))
+    return cells.select("qth", "band", "region", "source", "spots", "best_level", "from_here", "open", "rising")
 
 
 def prop_flavor(i: Inputs) -> DataFrame:
