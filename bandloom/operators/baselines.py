@@ -106,6 +106,12 @@ def cluster_coverage(clusters: DataFrame, everywhere: DataFrame) -> DataFrame:
     return c.crossJoin(g).select(e("case when coalesce(g, 0) <= 0 or coalesce(c, 0) <= 0 then cast(1 as double) else least(cast(c as double) / (2 * g), 1) end").alias("coverage"))
 
 
+def coverage_of_spans(global_first: Column, cluster_first: Column, now: Column) -> Column:
+    """The share of the global table's span that the cluster table's covers, where both first times are known; else 1."""
+    g, c = now - global_first, now - cluster_first
+    return F.when((g <= 0) | (c <= 0) | (c >= g), F.lit(1.0)).otherwise(c / g)
+
+
 def plausible(table: DataFrame) -> DataFrame:
     return table.where(f"count > 0 and count <= {PLAUSIBLE}")
 

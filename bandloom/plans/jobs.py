@@ -21,12 +21,33 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
 
 
-def final_days(daily: DataFrame, watermark: int | None, today: int, most: int = 64) -> tuple[int, int] | None:
-    """First and last day to fold: after the watermark (else the oldest day there is), up to two days back, at most ``most``."""
+# Days that one run folds at most, and seconds after a day's end that a flush must have followed.
+MOST_FOLD_DAYS, FLUSH_LAG = 64, 3600
+
+
+def final_days(daily: DataFrame, watermark: int | None, today: int, most: int = MOST_FOLD_DAYS, flushed_at: int | None = None, pending_day: int | None = None) -> tuple[int, int] | None:
+    """First and last day to fold: after the watermark (else the oldest day there is), up to two days back, at most ``most``.
+
+    A day is final once the tables were flushed (``flushed_at``, null: they are) more than an hour after its end, and no
+    counts of it or an earlier day are pending (``pending_day``, the earliest of them).
+    """
     first = watermark + 1 if watermark is not None else daily.agg(F.min("day")).first()[0]
-    if first is None or first > today - 2:
+    if first is None:
         return None
-    return first, min(today - 2, first + most - 1)
+    last = min(today - 2, first + most - 1)
+    if flushed_at is not None:
+        last = min(last, (flushed_at - FLUSH_LAG - 1) // 86400 - 1)
+    if pending_day is not None:
+        last = min(last, pending_day - 1)
+    return (first, last) if first <= last else None
+
+
+def remove_partitions(spark: SparkSession, path: str, gone: list[str]) -> None:
+    """Deletes partitions (key=value/...) of a table, where they exist."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in gone:
+        system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
 
 
 def fold_days(daily: DataFrame, first: int, last: int, season_path: str, activity_path: str) -> DataFrame:
@@ -34,6 +55,10 @@ def fold_days(daily: DataFrame, first: int, last: int, season_path: str, activit
     spark = daily.sparkSession
     season = baselines.season_counts(daily.where(F.col("day").between(first, last)))
     overwrite_partitions(season, season_path, "layer", "year_month", "dom")
+    # A day that has lost all its rows has no partition to put in the old one's place.
+    days = spark.range(first, last + 1).select(e(times.year_month("id")).alias("year_month"), e(times.day_of_month("id")).alias("dom"))
+    empty = days.join(season.select("year_month", "dom").distinct(), ["year_month", "dom"], "left_anti").collect()  # one row a day
+    remove_partitions(spark, season_path, [f"layer=pskr/year_month={r.year_month}/dom={r.dom}" for r in empty])
     new = baselines.area_activity(season)
     old = read_or_none(spark, activity_path)
     both = new if old is None else old.unionByName(new.select(old.columns)).groupBy("grid4", "band", "year_month", "layer").agg(F.expr("bit_or(day_mask)").alias("day_mask"))
@@ -44,14 +69,26 @@ def fold_days(daily: DataFrame, first: int, last: int, season_path: str, activit
     return season
 
 
-def fold_run(daily: DataFrame, watermark: int | None, today: int, season_path: str, activity_path: str, forced_to: int | None = None) -> tuple[int | None, list[int]]:
-    """Folds all final days; returns the new watermark, which never goes back, and the days that a forced advance skips as lost."""
-    span = final_days(daily, watermark, today)
+def seed_ingest(ingest: DataFrame, daily: DataFrame, first: int, last: int) -> DataFrame:
+    """``ingest`` (day, slot, layer, spot_total) with the folded days' sums of the daily table where these are larger or it has none."""
+    sums = baselines.ingest_slot_totals(daily.where(F.col("day").between(first, last))).select("day", "slot", F.lit("pskr").alias("layer"), "spot_total")
+    return ingest.select(sums.columns).unionByName(sums).groupBy("day", "slot", "layer").agg(F.max("spot_total").alias("spot_total"))
+
+
+def fold_run(daily: DataFrame, watermark: int | None, today: int, season_path: str, activity_path: str, forced_to: int | None = None, flushed_at: int | None = None, pending_day: int | None = None, lost_path: str | None = None, recorded_at: int = 0) -> tuple[int | None, list[int]]:
+    """Folds all final days; returns the new watermark, which never goes back, and the days that a forced advance skips as lost.
+
+    Lost days are added to the table at ``lost_path``, if there is one.
+    """
+    span = final_days(daily, watermark, today, flushed_at=flushed_at, pending_day=pending_day)
     if span is not None:
         fold_days(daily, *span, season_path, activity_path)
         watermark = span[1]
     if forced_to is not None and watermark is not None and forced_to > watermark:
-        return forced_to, list(range(watermark + 1, forced_to + 1))
+        lost = list(range(watermark + 1, forced_to + 1))
+        if lost_path is not None:
+            lost_days(daily.sparkSession, lost, "forced", recorded_at).write.mode("append").parquet(lost_path)
+        return forced_to, lost
     return watermark, []
 
 
@@ -93,6 +130,20 @@ def snr_backfill(daily: DataFrame, raw: DataFrame, snr_start: int) -> DataFrame:
     return merged.select(*key, "spot_count", *[F.when(F.col(f"new_{c}").isNotNull(), F.least(f"new_{c}", "spot_count")).otherwise(F.col(c)).alias(c) for c in counters])
 
 
+def add_part_day(season: DataFrame, part: DataFrame) -> DataFrame:
+    """A seasonal table with the counts of a day's part that it lacks added, each cell and SNR bin to 255 at most."""
+    key = ["grid4", "band", "region", "year_month", "layer", "dom", "slot"]
+    both = season.select(*key, "count", "snr_bins").unionByName(part.select(*key, "count", "snr_bins"))
+    sums = both.groupBy(*key).agg(F.sum("count").alias("count"), *[F.sum(F.col("snr_bins")[k]).alias(f"bin{k}") for k in range(6)])
+    return sums.select(*key, e("cast(least(count, 255) as int)").alias("count"), F.array(*[e(f"cast(least(bin{k}, 255) as int)") for k in range(6)]).alias("snr_bins"))
+
+
+def refold_month(season: DataFrame, month: DataFrame, year_month: int, layer: str) -> DataFrame:
+    """A seasonal table in which a layer's month is what ``month`` has, whatever stood there."""
+    old = season.where(~((F.col("year_month") == year_month) & (F.col("layer") == layer)))
+    return old.unionByName(month.where((F.col("year_month") == year_month) & (F.col("layer") == layer)).select(old.columns))
+
+
 def wspr_backfill_month(archive: DataFrame, totals: DataFrame, ring: DataFrame, year_month: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Seasonal rows, activity and ingest of one month from the beacon archive (wspr_archive and its totals).
 

@@ -275,4 +275,14 @@ TEXTS |= {
 
 TEXTS["band_details"] = TEXTS["band_details"].replace("{WIDENED}", TEXTS["widened_bands"])
 
+TEXTS |= {
+    "read_pskr": "select t, arrival, sl, rl, sc, rc, band, snr, mode from spots where source = 'mqtt'",
+    "read_rbn": "select t, concat(sc, '-#') as sc, rc, band, abs(snr) as snr, 'CW' as mode from spots where source = 'rbn' and spot_id % 11 <> 0",
+    "read_wspr": "select t, band, sl, rl, sc, rc, snr, cast(case band when '80m' then 3525 when '40m' then 7012.5 when '30m' then 10110 when '20m' then 14025 when '17m' then 18080 when '15m' then 21025 when '10m' then 28025 else 144050 end as double) as freq_khz, txpower from spots where source = 'wspr'",
+    "skimmer_list": "select call, loc as grid from (" + TEXTS["call_locators"] + ")",
+    "enrich_rbn": "with known as (" + TEXTS["call_locators"] + ") select a.loc as sl, b.loc as rl, case when length(sc) = 4 then 'list' when a.loc is not null then 'cache' else 'missing' end as skimmer_from, count(*) as n from spots left join known a on a.call = sc and a.seen >= (select now from n) - 604800 left join known b on b.call = rc and b.seen >= (select now from n) - 604800 where source = 'rbn' group by all",
+    "fold_season": f"select band, region, {times.year_month('day')} as year_month, {times.day_of_month('day')} as dom, count(*) as cells, sum(least(spot_count, 255)) as n from rd, n where day <= today - 2 and band in ({LISTED}) group by 1, 2, 3, 4",
+    "ingest_seed": "select day, slot, 'pskr' as layer, max(x) as spot_total from (select day, slot, case when slot % 3 = 1 then spot_total // 2 else spot_total + 5 end as x from ing where slot % 3 > 0 union all select day, slot, spot_total from ing, n where day between today - 20 and today - 2) group by all",
+}
+
 ORACLE_SQL = {name: sql(text) for name, text in TEXTS.items()}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bands, classify, geo, grid, numbers, times
 from ..operators import almanac, baselines, callsigns, conditions, matching, nowcast, spatial
-from ..sources import archive, feeds
+from ..sources import archive, feeds, reference_tables
 from ..streaming import live, maintain
 from . import jobs, tables
 
@@ -124,6 +126,61 @@ def wspr_dedup(i: Inputs) -> DataFrame:
     return feeds.dedup_wspr(polls.unionByName(polls.where("spot_id % 3 = 0"))).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
 
 
+def read_pskr(i: Inputs) -> DataFrame:
+    """The digital spots as the feed's messages, every fifth with its fields in the topic, parsed again."""
+    fields = F.to_json(F.struct("t", F.col("snr").alias("rp"), F.col("band").alias("b"), F.col("mode").alias("md"), "sc", "rc", "sl", "rl"))
+    few = F.to_json(F.struct("t", F.col("snr").alias("rp")))
+    topic = F.concat_ws("/", F.lit("feed"), F.lit("filter"), F.lit("v2"), "band", "mode", "sc", "rc", "sl", "rl")
+    messages = i.raw.where("source = 'mqtt'").select(topic.alias("topic"), F.when(F.col("spot_id") % 5 == 0, few).otherwise(fields).alias("payload"), "arrival")
+    return feeds.read_pskr(messages).select("t", "arrival", "sl", "rl", "sc", "rc", "band", "snr", "mode")
+
+
+#: A frequency in each band of the derived spots, in kHz, and its code in the beacon feed.
+BAND_KHZ = "case band when '80m' then 3525.0 when '40m' then 7012.5 when '30m' then 10110.0 when '20m' then 14025.0 when '17m' then 18080.0 when '15m' then 21025.0 when '10m' then 28025.0 else 144050.0 end"
+BAND_CODE = "case band when '80m' then 3 when '40m' then 7 when '30m' then 10 when '20m' then 14 when '17m' then 18 when '15m' then 21 when '10m' then 28 else 144 end"
+
+
+def read_rbn(i: Inputs) -> DataFrame:
+    """The skimmers' spots as lines, and a line in eleven that is none."""
+    line = e(f"case when spot_id % 11 = 0 then 'Please enter your call:' else concat('DX de ', sc, '-#:  ', {BAND_KHZ}, '  ', rc, '  CW  ', abs(snr), ' dB  20 WPM') end")
+    return feeds.read_rbn(i.raw.where("source = 'rbn'").select(line.alias("line"), F.col("t").alias("observed_at"))).select("t", "sc", "rc", "band", "snr", "mode")
+
+
+def read_wspr(i: Inputs) -> DataFrame:
+    rows = i.raw.where("source = 'wspr'").select(F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd HH:mm:ss").alias("time"), e(BAND_CODE).alias("band"), F.col("sc").alias("rx_sign"), F.col("sl").alias("rx_loc"), F.col("rc").alias("tx_sign"), F.col("rl").alias("tx_loc"), e(f"cast({BAND_KHZ} * 1000 as bigint)").alias("frequency"), F.col("txpower").alias("power"), "snr", "arrival")
+    return feeds.read_wspr(rows).select("t", "band", "sl", "rl", "sc", "rc", "snr", "freq_khz", "txpower")
+
+
+def skimmer_list(i: Inputs) -> DataFrame:
+    """The calls' latest squares as rows of status pages, a page for the calls that begin alike, read again."""
+    row = e("concat('<tr><td><b>', call, '-#</b></td><td>on</td><td> ', lower(loc), '&nbsp;</td></tr>')")
+    pages = call_locators(i).groupBy(F.substring("call", 1, 3).alias("page")).agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table>")).alias("html"))
+    return reference_tables.load_skimmers(pages)
+
+
+def enrich_rbn(i: Inputs) -> DataFrame:
+    """Skimmers' spots with locators: of half of the calls from the list, else from reports."""
+    known = call_locators(i).withColumn("src", F.lit("feed"))
+    listed = known.where("call like 'S%' and length(call) = 4").select("call", F.col("loc").alias("grid"))
+    asked = i.raw.where("source = 'rbn'").select("spot_id", F.concat("sc", F.lit("-#")).alias("skimmer"), F.col("rc").alias("dx_call"), F.lit(i.now).alias("t"))
+    return callsigns.enrich_rbn(asked, listed, known).groupBy("sl", "rl", "skimmer_from").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fold_season(i: Inputs) -> DataFrame:
+    """The seasonal cells of all final days, folded in two runs of which the second repeats some days."""
+    folder = f"{tables.shared_root(i.spark)}/bandloom/fold-{uuid.uuid4().hex}"
+    mark, _ = jobs.fold_run(i.daily, None, i.today - 3, f"{folder}/season", f"{folder}/activity")
+    jobs.fold_run(i.daily, mark - 2, i.today, f"{folder}/season", f"{folder}/activity")
+    season = i.spark.read.parquet(f"{folder}/season")
+    return season.groupBy("band", "region", "year_month", "dom").agg(F.count(F.lit(1)).alias("cells"), F.sum("count").alias("n"))
+
+
+def ingest_seed(i: Inputs) -> DataFrame:
+    """Ingest totals of which some are missing and some too small, raised to the daily table's sums."""
+    ingest = baselines.ingest_slot_totals(i.daily).where("slot % 3 > 0").select("day", "slot", F.lit("pskr").alias("layer"), e("case when slot % 3 = 1 then spot_total div 2 else spot_total + 5 end").alias("spot_total"))
+    return jobs.seed_ingest(ingest, i.daily, i.today - 20, i.today - 2)
+
+
 def spot_paths(i: Inputs) -> DataFrame:
     p = matching.with_path(i.spots).select("*", F.col("s_region").alias("from_region"), F.col("r_region").alias("to_region"), e(classify.distance_tier("km")).alias("distance_tier"), e(classify.snr_tier("snr")).alias("snr_tier"))
     return p.groupBy("from_region", "to_region", "direction", "distance_tier", "snr_tier").agg(F.count(F.lit(1)).alias("n"), e(numbers.round_half_away("avg(km)", 3)).alias("avg_km"))

@@ -60,24 +60,39 @@ def maintain(stream: DataFrame, path: str, checkpoint: str, **trigger) -> Stream
     return stream.writeStream.foreachBatch(write_batch(path)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _current(table: DataFrame) -> DataFrame:
+    """A table's rows without the batches that a compaction has summed: batch -(u + 1) holds all up to u."""
+    least = table.agg(F.min("batch")).first()[0]
+    return table if least is None or least >= 0 else table.where((F.col("batch") == least) | (F.col("batch") >= -least))
+
+
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table of counts over all batches."""
-    table = spark.read.parquet(f"{path}/{name}").drop("batch")
+    table = _current(spark.read.parquet(f"{path}/{name}")).drop("batch")
     key = TABLES[name][1]
     return table.groupBy(*key).agg(*[F.sum(c).alias(c) for c in table.columns if c not in key])
 
 
 def compact(spark: SparkSession, path: str, name: str, upto: int) -> None:
-    """Sums the batches up to a number into one that takes their place, so that the table keeps few partitions."""
-    rows = spark.read.parquet(f"{path}/{name}").where(F.col("batch") <= upto).drop("batch")
+    """Sums the batches up to a number into one, so that the table keeps few partitions.
+
+    The sum is moved in first, under a number that tells readers which batches it holds; these are deleted afterwards.
+    A crash in between leaves batches that nobody reads, and so does a batch that is run again.
+    """
+    number = -(upto + 1)
+    table = spark.read.parquet(f"{path}/{name}")
+    least = table.agg(F.min("batch")).first()[0]
+    if least is not None and least < number:
+        raise ValueError("batches beyond that number are summed already")
+    rows = _current(table).where(F.col("batch") <= upto).drop("batch")
     key = TABLES[name][1]
-    summed = rows.groupBy(*key).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in key]).withColumn("batch", F.lit(upto))
+    summed = rows.groupBy(*key).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in key]).withColumn("batch", F.lit(number))
     summed.write.mode("overwrite").partitionBy("batch").parquet(f"{path}/{name}.compact")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
     system = root.getFileSystem(conf)
+    system.rename(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.compact/batch={number}"), jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/batch={number}"))
     for status in system.listStatus(root):
         folder = status.getPath()
-        if folder.getName().startswith("batch=") and int(folder.getName().split("=")[1]) <= upto:
+        if folder.getName().startswith("batch=") and number < int(folder.getName().split("=")[1]) <= upto:
             system.delete(folder, True)
-    system.rename(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.compact/batch={upto}"), jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/batch={upto}"))
