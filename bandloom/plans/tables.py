@@ -52,12 +52,17 @@ class Tables:
 
     def _stored(self, name: str, write: Callable[[str], None]) -> str:
         key = (self.state, name)
-        if key not in _written:
+        if key not in _written or not self._there(_written[key]):
             folder = f"{shared_root(self.spark)}/bandloom/tables/{self.state}/{name}"
             write(folder)
             _written[key] = folder
         return _written[key]
 
+    def _there(self, folder: str) -> bool:
+        """Whether a written table still is: a shared folder may be cleared while an application lives."""
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        return done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done)
+
     def counts(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table that ``build`` makes, written when it is first asked for."""
         return self.spark.read.parquet(self._stored(name, lambda folder: build().write.mode("overwrite").parquet(folder)))
