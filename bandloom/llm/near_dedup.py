@@ -21,8 +21,8 @@ HALVES, ROWS = 24, 4
 #: Share of equal MinHash values from which a candidate pair is taken further: 6 standard errors below 0.75.
 LEAST_EQUAL = 0.56
 
-#: Shingles of one block of a large cluster (4 MB of hashes), and rows of one block of a bucket.
-BLOCK_SHINGLES, BLOCK_ROWS = 500_000, 512
+#: Shingles of one block of a large cluster (4 MB of hashes), and members of a small bucket.
+BLOCK_SHINGLES, SMALL_BUCKET = 500_000, 32
 
 
 def _signatures(text_column: str, halves: int, rows: int):
@@ -198,29 +198,21 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _alike_in_bucket(group: pa.Table) -> pa.Table:
-    """Pairs of a bucket's far rows and the rows of one block with enough equal values, as few as connect what all of them do."""
-    far = group["is_far"].to_numpy()
-    left, right = group.filter(pa.array(far)), group.filter(pa.array(~far))
-    if not left.num_rows or not right.num_rows:
-        return _edges([], [])
-    nodes, others = left["node"].to_numpy(), right["node"].to_numpy()
-    x, y = _sketches(left["sketch"]), _sketches(right["sketch"])
-    equal = np.zeros((len(nodes), len(others)), np.uint16)
-    for k in range(x.shape[1]):
-        equal += x[:, k, None] == y[None, :, k]
-    place = {v: k for k, v in enumerate(np.unique(np.concatenate((nodes, others))).tolist())}
-    _, join = _roots(len(place))
-    pairs = [(int(nodes[i]), int(others[j])) for i, j in zip(*np.nonzero(equal >= LEAST_EQUAL * x.shape[1]), strict=True)]
-    pairs = [(u, v) for u, v in pairs if u != v and join(place[u], place[v])]
-    return pa.table({"a": pa.array([u for u, _ in pairs], pa.int64()), "b": pa.array([v for _, v in pairs], pa.int64())})
-
-
-def _candidates(classes: DataFrame, block_rows: int) -> DataFrame:
-    """(a, b): pairs of a table bucket with enough equal MinHash values, as many as connect what all of these do.
+    """Pairs of a small bucket with enough equal values, as few as connect what all of them do."""
+    nodes, x = group["node"].to_pylist(), _sketches(group["sketch"])
+    _, join = _roots(len(nodes))
+    near = (x[:, None, :] == x[None, :, :]).mean(axis=2) >= LEAST_EQUAL
+    return _edges(nodes, [(i, j) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True) if join(i, j)])
+
+
+def _candidates(classes: DataFrame, small: int) -> DataFrame:
+    """(a, b): pairs of table buckets, as many as connect what all pairs of a bucket with enough equal MinHash values do.
 
     Table (i, j) is keyed by half key i of the first collection and half key j of the second. Only documents that share
     half key i with another get the keys of row i, so that most documents emit HALVES keys and no more. Each member of a
-    bucket is held against the bucket's smallest member; those that are unlike it are held against all members, in blocks.
+    bucket is held against the bucket's smallest member. One that is unlike it, and isn't tied to it through another
+    bucket, meets no one else in a bucket of two; in one of up to ``small`` members all pairs are held against each other;
+    in a larger one, which only much alike texts make, it stays a candidate and is judged by its whole set.
     """
     spark = classes.sparkSession
     halves = stored(classes.select("node", F.posexplode("a").alias("i", "value")).select("node", F.xxhash64("i", "value").alias("half")), shared_folder(spark, "halves"))
@@ -237,23 +229,24 @@ def _candidates(classes: DataFrame, block_rows: int) -> DataFrame:
     pairs = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
     judged = stored(pairs.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long, near boolean"), shared_folder(spark, "judged"))
     near = judged.where("near").select("a", "b")
-    unlike = judged.where("not near").select(F.col("a").alias("node"), "b")
+    # Rows that other buckets tie to the same smallest members grow together anyway.
+    tied = stored(components(near), shared_folder(spark, "tied"))
+    ties = [tied.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b")]
+    unlike = judged.where("not near").select("a", "b").join(ties[0], "a", "left").join(ties[1], "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)")
+    unlike = stored(unlike.select(F.col("a").alias("node"), "b"), shared_folder(spark, "unlike"))
     if not unlike.limit(1).count():
         return near
-    far = stored(members.join(unlike, ["node", "b"], "left_semi").select("key", "node"), shared_folder(spark, "far-members"))
-    mixed = members.join(far.select("key").distinct(), "key", "left_semi").select("key", "node", F.ceil(F.col("c") / block_rows).cast("int").alias("blocks"))
-    mixed = mixed.join(far.withColumn("own_far", F.lit(True)), ["key", "node"], "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = mixed.where("own_far").select("key", "node", F.col("block").alias("far_block"), every.alias("block"), F.lit(True).alias("is_far"))
-    right = mixed.select("key", "node", every.alias("far_block"), "block", F.lit(False).alias("is_far"))
-    found = left.unionByName(right).join(sketches, "node").groupBy("key", "far_block", "block").applyInArrow(_alike_in_bucket, "a long, b long")
-    return near.unionByName(found.distinct())
+    far = stored(members.where("c > 2").join(unlike, ["node", "b"], "left_semi"), shared_folder(spark, "far-members"))
+    large = far.where(F.col("c") > small).select(F.col("node").alias("a"), "b").distinct()
+    keys = far.where(F.col("c") <= small).select("key").distinct()
+    mixed = members.where(F.col("c").between(3, small)).join(keys, "key", "left_semi").join(sketches, "node").select("key", "node", "sketch")
+    return near.unionByName(large).unionByName(mixed.groupBy("key").applyInArrow(_alike_in_bucket, "a long, b long")).distinct()
 
 
-def _links(docs: DataFrame, classes: DataFrame, id_column: str, text_column: str, percent: int, block_shingles: int, block_rows: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, id_column: str, text_column: str, percent: int, block_shingles: int, small: int) -> DataFrame:
     """(node, label) for every class that is linked with another one."""
     spark = docs.sparkSession
-    clusters = components(_candidates(classes, block_rows)).withColumnRenamed("root", "cluster")
+    clusters = components(_candidates(classes, small)).withColumnRenamed("root", "cluster")
     members = stored(clusters.join(classes.select("node", "rep", "n", "d1", "d2"), "node"), shared_folder(spark, "clusters"))
     sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -295,7 +288,7 @@ def _numbered(classes: DataFrame) -> DataFrame:
     return stored(joined, shared_folder(spark, "numbered-classes"))
 
 
-def _labelled(docs: DataFrame, id_column: str, text_column: str, percent: int, halves: int, rows: int, block_shingles: int, block_rows: int) -> DataFrame:
+def _labelled(docs: DataFrame, id_column: str, text_column: str, percent: int, halves: int, rows: int, block_shingles: int, small: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept for every row."""
     spark: SparkSession = docs.sparkSession
     bound_batches(spark)
@@ -307,7 +300,7 @@ def _labelled(docs: DataFrame, id_column: str, text_column: str, percent: int, h
     key = ["n", "d1", "d2"]
     classes = stored(named.groupBy(*key).agg(F.min("doc_id").alias("rep"), *[F.first(x).alias(x) for x in ("a", "b", "sketch")]), shared_folder(spark, "classes"))
     classes = _numbered(classes)
-    labels = _links(docs, classes, id_column, text_column, percent, block_shingles, block_rows)
+    labels = _links(docs, classes, id_column, text_column, percent, block_shingles, small)
     labelled = stored(classes.select(*key, "rep", "node").join(labels, "node", "left").select(*key, "rep", F.coalesce("label", "node").alias("label")), shared_folder(spark, "labelled"))
     # A component's smallest document; its label is the smallest number, which is that but where ids repeat.
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("c")).where("c > 1 or component_id <> label").drop("c")
@@ -318,15 +311,16 @@ def _labelled(docs: DataFrame, id_column: str, text_column: str, percent: int, h
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 75, halves: int = HALVES, rows: int = ROWS, block_shingles: int = BLOCK_SHINGLES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 75, halves: int = HALVES, rows: int = ROWS, block_shingles: int = BLOCK_SHINGLES, small: int = SMALL_BUCKET) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     Two texts are linked if the Jaccard similarity of their sets of five-word shingles is at least ``percent``
     hundredths; component_id is the smallest doc_id that links reach, kept whether that is the document itself.
 
     Texts with equal sets form a class at once (an aggregation by digest). Classes that share a bucket of the tensored
-    MinHash index are candidates; those of which at least LEAST_EQUAL of all MinHash values are equal form clusters, so
-    that texts which share some boilerplate don't grow together. Each cluster's sets meet in one task, or in blocks if they hold more than
+    MinHash index are candidates; those of which at least LEAST_EQUAL of all MinHash values are equal form clusters (and,
+    in buckets of more than ``small`` classes, those that aren't too), so that texts which share some boilerplate don't
+    grow together. Each cluster's sets meet in one task, or in blocks if they hold more than
     ``block_shingles`` shingles: all members are compared with the cluster's centre, and those that aren't linked with
     it with all members. No pair is emitted other than the links that hold a component together.
 
@@ -336,12 +330,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     join them, and each gets the component of its own text. Other columns are ignored. An empty table gives an empty result. Memory: a task holds one text or 2 MB of
     texts with 10 times as many bytes of arrays, or two blocks of a cluster.
     """
-    return _labelled(docs, id_column, text_column, percent, halves, rows, block_shingles, block_rows).drop("text_hash")
+    return _labelled(docs, id_column, text_column, percent, halves, rows, block_shingles, small).drop("text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 75) -> DataFrame:
     """``docs`` with one document of each component, its columns unchanged; of equal ids the rows with texts that stay, stay."""
-    found = _labelled(docs, id_column, text_column, percent, HALVES, ROWS, BLOCK_SHINGLES, BLOCK_ROWS)
+    found = _labelled(docs, id_column, text_column, percent, HALVES, ROWS, BLOCK_SHINGLES, SMALL_BUCKET)
     gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
     return without_rows(docs, gone, id_column, text_column)
 

@@ -35,7 +35,7 @@ def test_shared_boilerplate_keeps_links_and_makes_no_large_cluster(spark, monkey
 def test_a_pair_behind_an_unlike_smallest_member(spark):
     """Members of a bucket that are unlike its smallest one are still held against each other."""
     rows = list(enumerate(family(3, 200, 0.5)))
-    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), halves=40, rows=1, block_rows=16).collect()
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), halves=40, rows=1, small=8).collect()
     assert {r.doc_id: r.component_id for r in found} == near_expected(rows)[1]
 
 

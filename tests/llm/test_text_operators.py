@@ -63,17 +63,17 @@ def test_shingle_sets_match_plain_sets():
     assert d1[4] == d1[5] and d2[4] == d2[5] and d1[3] != d1[6]
 
 
-@pytest.mark.parametrize(("block", "rows"), [(near_dedup.BLOCK_SHINGLES, near_dedup.BLOCK_ROWS), (120, 2)])
-def test_near_duplicates_match_all_pairs(spark, data_dir, block, rows):
-    """The small block sizes send clusters and buckets through the path of large ones."""
-    docs, block_rows = spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text"), rows
+@pytest.mark.parametrize(("block", "small"), [(near_dedup.BLOCK_SHINGLES, near_dedup.SMALL_BUCKET), (120, 2)])
+def test_near_duplicates_match_all_pairs(spark, data_dir, block, small):
+    """The small sizes send clusters and buckets through the path of large ones."""
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     base = " ".join(f"w{k}" for k in range(60)).split()
     for k in range(40):  # a chain: neighbours are linked, far ones aren't
         rows.append((10_000 + k, " ".join([f"v{j}" for j in range(k)] + base[k:] if k < 30 else base[::-1][: 20 + k])))
     rows += [(20_000 + k, x) for k, x in enumerate(EDGE_TEXTS)]
     sets, expected = near_expected(rows)
-    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_shingles=block, block_rows=block_rows).collect()
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_shingles=block, small=small).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == {i: (len(sets[i]), expected[i], expected[i] == i) for i, _ in rows}
     assert len({x for x in expected.values()}) < len(rows) - 20
 
