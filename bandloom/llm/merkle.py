@@ -104,6 +104,11 @@ def siblings(texts: list[str], leaf: int) -> tuple[list[str], list[str]]:
     return left, right
 
 
+def in_order(left: list[str], right: list[str]) -> str:
+    """All siblings, level by level, from left to right."""
+    return "".join(x for pair in zip(left, right, strict=True) for x in pair)
+
+
 def fold(leaf: str, left: list[str], right: list[str]) -> str:
     """The root that a leaf and its siblings give."""
     for a, b in zip(left, right, strict=True):
@@ -256,17 +261,17 @@ def _audit_blocks(block_height: int, whole: bool):
                 leaves = np.frombuffer(row["nodes"], np.uint8).reshape(-1, RAW)[layout(row["n"], row["height"])[0]].tobytes().hex()
                 claims = batch.column("claims")[k].values
                 ranks, claimed = claims.field("rank").to_pylist(), claims.field("claim").to_pylist()
+                above = in_order(row["left"], row["right"])
                 out: dict[str, list] = {name: [] for name in ("leaf", "proof", "folded", "lefts", "rights")}
                 for rank, claim in zip(ranks, claimed, strict=True):
                     at = rank - row["block"] * FAN**block_height
                     left, right = siblings(texts, at)
-                    left, right = left + row["left"], right + row["right"]
                     out["leaf"].append(leaves[HEX * at : HEX * (at + 1)])
-                    out["proof"].append(hashlib.sha256("".join(x for pair in zip(left, right, strict=True) for x in pair).encode()).hexdigest())
-                    out["folded"].append(fold(claim.hex(), left, right))
+                    out["proof"].append(hashlib.sha256((in_order(left, right) + above).encode()).hexdigest())
+                    out["folded"].append(fold(fold(claim.hex(), left, right), row["left"], row["right"]))
                     if whole:
-                        out["lefts"].append(left)
-                        out["rights"].append(right)
+                        out["lefts"].append(left + row["left"])
+                        out["rights"].append(right + row["right"])
                 columns = {"key": claims.field("key"), **{name: pa.array(out[name], pa.string()) for name in ("leaf", "proof", "folded")}, "subroot": pa.array([row["subroot"]] * len(ranks), pa.string())}
                 if whole:
                     columns |= {"left": pa.array(out["lefts"], pa.list_(pa.string())), "right": pa.array(out["rights"], pa.list_(pa.string()))}

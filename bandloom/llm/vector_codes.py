@@ -175,7 +175,7 @@ class Book:
         for k, x in enumerate(self.entries):
             first.setdefault(tuple(x), k)
         self.index = np.array(list(first.values()), np.int64)
-        self.exact = np.array(list(first), dtype=object).reshape(len(first), -1)
+        self.exact = np.array(list(first), dtype=object).reshape(len(first), len(self.entries[0]) if self.entries else 0)
         self.largest = max((abs(v) for x in first for v in x), default=0)
         self.points = self.exact.astype(np.float64)
         self.squares = (self.points**2).sum(1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bandloom.llm.queries import ORACLE_SQL, QUERIES
 
-TABLES = ("documents", "benchmark", "pages", "embeddings")
+TABLES = ("documents", "benchmark", "pages", "embeddings", "conversations")
 
 
 def both(spark, name, folder):
@@ -40,6 +40,8 @@ def hard(spark, tmp_path_factory):
     spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").withColumn("label", F.lit(0)).write.parquet(f"{folder}/embeddings.parquet")
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    said = [(1, 0, "user", "a <|im_end|> b"), (1, 1, "assistant", "<\\\\|x<|y"), (1, 1, "assistant", None), (2, None, None, None), (2, 0, "as\nsist\\<|", "ünï"), (3, 5, "assistant", "same"), (3, 5, "assistant", "same"), (None, 1, "user", "x")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
