@@ -36,6 +36,11 @@ def cluster_baseline(spots: DataFrame) -> DataFrame:
     return cluster_ends(eligible(spots)).groupBy(F.col("anchor").alias("cluster_anchor"), *BASELINE_KEY).agg(F.count(F.lit(1)).alias("count"))
 
 
+def cluster_baseline_daily(spots: DataFrame) -> DataFrame:
+    """The same for each day, with the first time observed: what a rebuild keeps of the days that it has done."""
+    return cluster_ends(eligible(spots)).groupBy(F.col("anchor").alias("cluster_anchor"), *BASELINE_KEY, "day").agg(F.count(F.lit(1)).alias("count"), F.min("t").alias("first_t"))
+
+
 def merge_counts(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     """Two tables of counts as one; columns other than the key are summed."""
     sums = [F.sum(c).alias(c) for c in old.columns if c not in key]

@@ -1,26 +1,24 @@
-"""Incremental and backfill jobs. Tables are Parquet; a job overwrites the partitions that it touches, so a rerun gives the same."""
+"""Incremental and backfill jobs over a store of tables.
+
+A job replaces the partitions that it touches, of all its tables, in one commit: a rerun gives the same, and a job that
+dies leaves everything as it was. The store's tables are season and activity (the seasonal record), ingest, lost (days),
+region_daily and cluster_baseline; its marks are watermark (the last folded day), snr_start and first_observed.
+"""
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bands, geo, grid, times
 from ..operators import baselines
+from .snapshots import Change, Store, days_covered
 
 e = F.expr
 
 
-def overwrite_partitions(table: DataFrame, path: str, *by: str) -> None:
-    """Replaces the partitions of ``path`` that ``table`` has rows of, and no others."""
-    table.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-
-
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
-
-
 # Days that one run folds at most, and seconds after a day's end that a flush must have followed.
 MOST_FOLD_DAYS, FLUSH_LAG = 64, 3600
 
@@ -42,58 +40,206 @@ def final_days(daily: DataFrame, watermark: int | None, today: int, most: int =
     return (first, last) if first <= last else None
 
 
-def remove_partitions(spark: SparkSession, path: str, gone: list[str]) -> None:
-    """Deletes partitions (key=value/...) of a table, where they exist."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for name in gone:
-        system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
-
-
-def fold_days(daily: DataFrame, first: int, last: int, season_path: str, activity_path: str) -> DataFrame:
-    """Writes the seasonal cells of the days from first to last (replacing those days) and adds their activity bits."""
-    spark = daily.sparkSession
-    season = baselines.season_counts(daily.where(F.col("day").between(first, last)))
-    overwrite_partitions(season, season_path, "layer", "year_month", "dom")
-    # A day that has lost all its rows has no partition to put in the old one's place.
-    days = spark.range(first, last + 1).select(e(times.year_month("id")).alias("year_month"), e(times.day_of_month("id")).alias("dom"))
-    empty = days.join(season.select("year_month", "dom").distinct(), ["year_month", "dom"], "left_anti").collect()  # one row a day
-    remove_partitions(spark, season_path, [f"layer=pskr/year_month={r.year_month}/dom={r.dom}" for r in empty])
-    new = baselines.area_activity(season)
-    old = read_or_none(spark, activity_path)
-    both = new if old is None else old.unionByName(new.select(old.columns)).groupBy("grid4", "band", "year_month", "layer").agg(F.expr("bit_or(day_mask)").alias("day_mask"))
-    touched = both.join(new.select("layer", "year_month").distinct(), ["layer", "year_month"], "left_semi")
-    # Written beside and read again first: a table can't be read while its partitions are replaced.
-    touched.write.mode("overwrite").parquet(f"{activity_path}.next")
-    overwrite_partitions(spark.read.parquet(f"{activity_path}.next"), activity_path, "layer", "year_month")
-    return season
-
-
 def seed_ingest(ingest: DataFrame, daily: DataFrame, first: int, last: int) -> DataFrame:
     """``ingest`` (day, slot, layer, spot_total) with the folded days' sums of the daily table where these are larger or it has none."""
     sums = baselines.ingest_slot_totals(daily.where(F.col("day").between(first, last))).select("day", "slot", F.lit("pskr").alias("layer"), "spot_total")
     return ingest.select(sums.columns).unionByName(sums).groupBy("day", "slot", "layer").agg(F.max("spot_total").alias("spot_total"))
 
 
-def fold_run(daily: DataFrame, watermark: int | None, today: int, season_path: str, activity_path: str, forced_to: int | None = None, flushed_at: int | None = None, pending_day: int | None = None, lost_path: str | None = None, recorded_at: int = 0) -> tuple[int | None, list[int]]:
-    """Folds all final days; returns the new watermark, which never goes back, and the days that a forced advance skips as lost.
+def lost_days(spark: SparkSession, days: list[int], reason: str, recorded_at: int) -> DataFrame:
+    return spark.createDataFrame([(d, reason, recorded_at) for d in days], "day_index int, reason string, recorded_at long")
+
+
+# Jobs that commit ------------------------------------------------------------------------------------------------------
+
+EPOCH = datetime.date(1970, 1, 1)
+SEASON_BY, ACTIVITY_BY, INGEST_BY = ("layer", "year_month", "dom"), ("layer", "year_month"), ("layer", "day")
+
+
+def day_of(part: dict[str, str]) -> int:
+    """The day index of a partition of the seasonal record."""
+    ym = int(part["year_month"])
+    return (datetime.date(ym // 100, ym % 100, int(part["dom"])) - EPOCH).days
+
+
+def month_of(day: int) -> int:
+    date = EPOCH + datetime.timedelta(days=day)
+    return date.year * 100 + date.month
+
+
+def merged_activity(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Both tables' activity bits."""
+    if old is None:
+        return new
+    key = ["grid4", "band", "year_month", "layer"]
+    return old.select(*key, "day_mask").unionByName(new.select(*key, "day_mask")).groupBy(*key).agg(F.expr("bit_or(day_mask)").alias("day_mask"))
+
+
+def _put_season(change: Change, season: DataFrame, layer: str, first: int, last: int) -> None:
+    """The layer's days from first to last in the seasonal record are what ``season`` has of them, which may be nothing; their activity bits are added."""
+    change.replace("season", season, SEASON_BY, days_covered(first, last, day_of, layer=layer))
+    months = {month_of(d) for d in range(first, last + 1)}
+    touched = lambda part: part["layer"] == layer and int(part["year_month"]) in months
+    new = baselines.area_activity(change.read("season", days_covered(first, last, day_of, layer=layer)))
+    change.replace("activity", merged_activity(change.read("activity", touched), new), ACTIVITY_BY, touched)
+
 
-    Lost days are added to the table at ``lost_path``, if there is one.
+def _put_ingest(change: Change, sums: DataFrame, layer: str, first: int, last: int, raise_only: bool) -> None:
+    """The layer's ingest of the days from first to last: ``sums`` (day, slot, spot_total), or the larger of both with ``raise_only``."""
+    covers = lambda part: part["layer"] == layer and first <= int(part["day"]) <= last
+    rows = sums.where(F.col("day").between(first, last)).select("day", "slot", F.lit(layer).alias("layer"), F.col("spot_total").cast("long").alias("spot_total"))
+    old = change.read("ingest", covers) if raise_only else None
+    if old is not None:
+        rows = old.select(rows.columns).unionByName(rows).groupBy("day", "slot", "layer").agg(F.max("spot_total").alias("spot_total"))
+    change.replace("ingest", rows, INGEST_BY, covers)
+
+
+def _fold(change: Change, daily: DataFrame, first: int, last: int) -> None:
+    days = daily.where(F.col("day").between(first, last))
+    _put_season(change, baselines.season_counts(days), "pskr", first, last)
+    _put_ingest(change, baselines.ingest_slot_totals(days), "pskr", first, last, raise_only=True)
+
+
+def fold_run(store: Store, daily: DataFrame, today: int, forced_to: int | None = None, flushed_at: int | None = None, pending_day: int | None = None, recorded_at: int = 0, most: int = MOST_FOLD_DAYS) -> list[int]:
+    """Folds all final days after the watermark into season, activity and ingest and moves the watermark, which never goes back.
+
+    Days that a forced advance skips are written to lost, and returned. All of it is one commit; without anything to do
+    there is none.
     """
-    span = final_days(daily, watermark, today, flushed_at=flushed_at, pending_day=pending_day)
+    change = store.begin()
+    mark = change.marks.get("watermark")
+    span = final_days(daily, mark, today, most, flushed_at, pending_day)
     if span is not None:
-        fold_days(daily, *span, season_path, activity_path)
-        watermark = span[1]
-    if forced_to is not None and watermark is not None and forced_to > watermark:
-        lost = list(range(watermark + 1, forced_to + 1))
-        if lost_path is not None:
-            lost_days(daily.sparkSession, lost, "forced", recorded_at).write.mode("append").parquet(lost_path)
-        return forced_to, lost
-    return watermark, []
+        _fold(change, daily, *span)
+        mark = span[1]
+    lost: list[int] = []
+    if forced_to is not None and mark is not None and forced_to > mark:
+        lost = list(range(mark + 1, forced_to + 1))
+        change.append("lost", lost_days(store.spark, lost, "forced", recorded_at))
+        mark = forced_to
+    if span is not None or lost:
+        change.marks["watermark"] = mark
+        change.commit()
+    return lost
+
+
+def refold_days(store: Store, daily: DataFrame, first: int, last: int) -> None:
+    """Folds days again, whatever stood there; days after the watermark are left to the fold."""
+    change = store.begin()
+    last = min(last, change.marks.get("watermark", first - 1))
+    if first <= last:
+        _fold(change, daily, first, last)
+        change.commit()
+
+
+def add_part_day_run(store: Store, daily: DataFrame, day: int, layer: str = "pskr") -> None:
+    """Adds the counts of a part of one day to the seasonal record and its activity."""
+    change = store.begin()
+    covers = days_covered(day, day, day_of, layer=layer)
+    part = baselines.season_counts(daily.where(F.col("day") == day), layer)
+    old = change.read("season", covers)
+    _put_season(change, part if old is None else add_part_day(old, part), layer, day, day)
+    change.commit()
+
+
+def wspr_backfill_run(store: Store, archive: DataFrame, totals: DataFrame, ring: DataFrame, year_month: int) -> None:
+    """The beacon archive's month takes the place of the seasonal record's, with its activity and ingest."""
+    first = (datetime.date(year_month // 100, year_month % 100, 1) - EPOCH).days
+    last = (datetime.date(year_month // 100 + year_month % 100 // 12, year_month % 100 % 12 + 1, 1) - EPOCH).days - 1
+    season, _, ingest = wspr_backfill_month(archive, totals, ring, year_month)
+    change = store.begin()
+    change.replace("season", season, SEASON_BY, days_covered(first, last, day_of, layer="wspr"))
+    month = lambda part: part["layer"] == "wspr" and int(part["year_month"]) == year_month
+    change.replace("activity", baselines.area_activity(change.read("season", month)), ACTIVITY_BY, month)
+    _put_ingest(change, ingest, "wspr", first, last, raise_only=False)
+    change.commit()
+
+
+def snr_backfill_run(store: Store, raw: DataFrame, snr_start: int, part_day: bool = False) -> None:
+    """Recounts the SNR counters of region_daily, and folds the days that it touched again.
+
+    The complete days right before ``snr_start`` are set; with ``part_day``, the raw spots of ``snr_start`` itself, from
+    before counting began, are added.
+    """
+    change = store.begin()
+    daily = change.read("region_daily")
+    if daily is None:
+        raise ValueError("there is no region_daily to fill")
+    again = snr_backfill(daily, raw.where(F.col("day") < snr_start), snr_start)
+    if part_day:
+        again = snr_add(again, raw.where(F.col("day") == snr_start), snr_start)
+    first, last = raw.agg(F.min("day"), F.max("day")).first()
+    if first is None:
+        return
+    covers = lambda part: first <= int(part["day"]) <= last
+    change.replace("region_daily", again.where(F.col("day").between(first, last)).select(daily.columns), ("day",), covers)
+    mark = change.marks.get("watermark")
+    if mark is not None and first <= mark:
+        _fold(change, change.read("region_daily", covers), first, min(last, mark))
+    change.marks["snr_start"] = min(first, change.marks.get("snr_start", first))
+    change.commit()
+
+
+def snr_add(daily: DataFrame, raw: DataFrame, day: int) -> DataFrame:
+    """region_daily with the SNR counters of a part of one day's raw spots added, each counter at most the row's spot_count."""
+    counters = ["snr_spots", *[baselines.floor_name(f) for f in baselines.FLOORS]]
+    key = ["target4", "band", "slot", "region", "day"]
+    new = baselines.region_daily(raw.where((F.col("source") == "mqtt") & (F.col("day") == day))).select(*key, *[F.col(c).alias(f"new_{c}") for c in counters])
+    sums = [F.least(F.col(c) + F.coalesce(f"new_{c}", F.lit(0)), "spot_count").alias(c) for c in counters]
+    return daily.join(new, key, "left").select(*key, "spot_count", *sums)
 
 
-def lost_days(spark: SparkSession, days: list[int], reason: str, recorded_at: int) -> DataFrame:
-    return spark.createDataFrame([(d, reason, recorded_at) for d in days], "day_index int, reason string, recorded_at long")
+def _by_days(store: Store, staging: str, raw: DataFrame, build, days_each: int) -> list[int]:
+    """Builds a table for some days at a time, each time in a commit of its own, leaving out the days that are there; returns all days."""
+    first, last = raw.agg(F.min("day"), F.max("day")).first()
+    if first is None:
+        return []
+    days = list(range(first, last + 1))
+    done = set(store.manifest()["marks"].get(staging, []))
+    todo = [d for d in days if d not in done]
+    for k in range(0, len(todo), days_each):
+        some = todo[k : k + days_each]
+        change = store.begin()
+        rows = build(raw.where(F.col("day").between(some[0], some[-1]) & F.col("day").isin(some)))
+        change.replace(staging, rows, ("day",), lambda part, some=some: int(part["day"]) in some, folder=staging.removesuffix(".next"))
+        change.marks[staging] = sorted({*change.marks.get(staging, []), *some})
+        change.commit()
+    return days
+
+
+def rebuild_region_daily_run(store: Store, raw: DataFrame, days_each: int = 7) -> None:
+    """region_daily anew from prepared raw spots, whatever their age.
+
+    Days are counted beside the table that readers see, and remembered: a rebuild that broke off goes on where it was. The
+    new table takes the old one's place in one commit.
+    """
+    staging = "region_daily.next"
+    if _by_days(store, staging, raw, rebuild_region_daily, days_each):
+        change = store.begin()
+        change.rename(staging, "region_daily")
+        change.marks.pop(staging)
+        change.commit()
+
+
+def rebuild_cluster_baseline_run(store: Store, raw: DataFrame, days_each: int = 7) -> None:
+    """cluster_baseline anew from prepared raw spots, and the mark of the first one; by days as above, then summed."""
+    staging = "cluster_baseline_days.next"
+
+    def build(rows: DataFrame) -> DataFrame:
+        return baselines.cluster_baseline_daily(rows.where("source = 'mqtt'"))
+
+    if _by_days(store, staging, raw, build, days_each):
+        change = store.begin()
+        days = change.read(staging)
+        key = [c for c in days.columns if c not in ("day", "count", "first_t")]
+        change.replace("cluster_baseline", days.groupBy(*key).agg(F.sum("count").alias("count")))
+        change.marks["first_observed"] = days.agg(F.min("first_t")).first()[0]
+        change.drop(staging)
+        change.marks.pop(staging)
+        change.commit()
+
+
+# What the jobs compute -------------------------------------------------------------------------------------------------
 
 
 def rebuild_region_daily(raw: DataFrame) -> DataFrame:
@@ -101,12 +247,6 @@ def rebuild_region_daily(raw: DataFrame) -> DataFrame:
     return baselines.region_daily(raw.where("source = 'mqtt'"))
 
 
-def rebuild_cluster_baseline(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The cluster table from prepared raw spots, and one row with the first time observed."""
-    rows = raw.where("source = 'mqtt'")
-    return baselines.cluster_baseline(rows), baselines.eligible(rows).agg(F.min("t").alias("first_observed"))
-
-
 def backfill_source_daily(raw: DataFrame, present: DataFrame) -> DataFrame:
     """The per-source table with raw spots' counts for keys that it lacks; counts that it has stay."""
     key = ["band", "source", "slot", "region", "day"]

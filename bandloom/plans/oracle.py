@@ -97,7 +97,7 @@ TEXTS = {
     "global_baseline": "select * from gb",
     "cluster_baseline": "select * from cb",
     "merged_baseline": "select * from cb",
-    "region_daily": f"select target4, band, region, day, {RD_SUMS} from rd group by all",
+    "region_daily": "select * from rd",
     "ingest_slot_totals": "select * from ing",
     "wspr_daily": "select * from wd",
     "source_daily": "select * from sd",
@@ -285,4 +285,18 @@ TEXTS |= {
     "ingest_seed": "select day, slot, 'pskr' as layer, max(x) as spot_total from (select day, slot, case when slot % 3 = 1 then spot_total // 2 else spot_total + 5 end as x from ing where slot % 3 > 0 union all select day, slot, spot_total from ing, n where day between today - 20 and today - 2) group by all",
 }
 
+_FOLDED = f"from rd, n where day <= today - 2 and band in ({LISTED})"
+_YM, _DOM = times.year_month("day"), times.day_of_month("day")
+TEXTS |= {
+    "fold_activity": f"select target4 as grid4, band, {_YM} as year_month, 'pskr' as layer, cast(bit_or(1 << ({_DOM} - 1)) as int) as day_mask {_FOLDED} group by 1, 2, 3",
+    "fold_ingest": "select day, slot, 'pskr' as layer, spot_total from ing, n where day <= today - 2",
+    "fold_lost": "select cast(today - k as int) as day_index, 'forced' as reason, now as recorded_at from n, (select unnest([0, 1]) as k)",
+    "part_day_season": f"select target4 as grid4, band, region, {_DOM} as dom, slot, cast(least(spot_count, 255) as int) as count from rd, n where day = today - 4 and band in ({LISTED})",
+    "snr_refold": f"select target4 as grid4, band, region, {_DOM} as dom, slot, {classify.saturating('spot_count')} as count, " + ", ".join(f"case when day >= today - 6 then {b} else 0 end as bin{k}" for k, b in enumerate(classify.snr_bins("snr_spots", FLOORS))) + f" {_FOLDED} and day >= today - 12",
+    "rebuild_region_daily": "select * from rd",
+    "rebuild_cluster_baseline": "select cb.*, first_t as first_observed from cb, span",
+    "wspr_backfill_activity": f"select grid4, band, {times.year_month('today')} as year_month, cast(bit_or(1 << (dom - 1)) as int) as day_mask from (" + TEXTS["wspr_backfill"] + "), n group by 1, 2, 3",
+    "wspr_backfill_ingest": f"select day, slot, n * 2 as spot_total from (" + TEXTS["wspr_archive_totals"] + f") x where {_YM} = (select {times.year_month('today')} from n)",
+}
+
 ORACLE_SQL = {name: sql(text) for name, text in TEXTS.items()}

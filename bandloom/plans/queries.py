@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,17 @@ from ..functions import bands, classify, geo, grid, numbers, times
 from ..operators import almanac, baselines, callsigns, conditions, matching, nowcast, spatial
 from ..sources import archive, feeds, reference_tables
 from ..streaming import live, maintain
-from . import jobs, tables
+from . import jobs, snapshots, tables
 
 e = F.expr
 
 #: Locations that the queries ask for: dense, sparse, with surroundings, and a call.
 QTHS = (("JO32", False), ("FN45", False), ("JO31", True), ("S17", False))
 
+#: Areas that the almanac queries ask for, and a word for them in names of tables that rest on them.
+AREAS = (("JO32", "JO32", 0), ("JO31+", "JO31", 1), ("FN45+", "FN45", 2))
+AREAS_KEY = hashlib.sha256(repr(AREAS).encode()).hexdigest()[:12]
+
 
 def r6(column: str, name: str | None = None):
     return e(numbers.round_half_away(column, 6)).alias(name or column)
@@ -29,15 +34,32 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
         self.tables = tables.Tables(spark, sf_dir)
-        self.raw, self.spots, self.now = self.tables.raw, self.tables.spots, self.tables.now
-        self.today = self.now // 86400
-        self.slot = self.now % 86400 // 1800
+
+    @property
+    def raw(self) -> DataFrame:
+        return self.tables.raw
+
+    @property
+    def spots(self) -> DataFrame:
+        return self.tables.spots
+
+    @property
+    def now(self) -> int:
+        return self.tables.now
+
+    @property
+    def today(self) -> int:
+        return self.now // 86400
+
+    @property
+    def slot(self) -> int:
+        return self.now % 86400 // 1800
 
     def qths(self, minutes: int = 60, only: tuple = QTHS) -> DataFrame:
         return self.spark.createDataFrame([(q, s, minutes, -15, self.now) for q, s in only], "qth string, surroundings boolean, minutes int, cw_min_db int, now long")
 
     def areas(self) -> DataFrame:
-        return self.spark.createDataFrame([("JO32", "JO32", 0), ("JO31+", "JO31", 1), ("FN45+", "FN45", 2)], "area string, centre string, rings int")
+        return self.spark.createDataFrame(list(AREAS), "area string, centre string, rings int")
 
     def anchors(self) -> DataFrame:
         return self.qths().where(e(grid.is_locator("qth"))).select(e(grid.cluster_anchor("qth")).alias("anchor")).distinct()
@@ -56,7 +78,8 @@ class Inputs:
 
     @property
     def rates(self) -> DataFrame:
-        return self.tables.counts("slot_rates", lambda: baselines.slot_rates(self.pairs, self.span, baselines.cluster_coverage(self.clusters, self.everywhere)))
+        """Computed anew, as the band table does: what a location's cluster expects isn't stored."""
+        return baselines.slot_rates(self.pairs, self.span, baselines.cluster_coverage(self.clusters, self.everywhere))
 
     @property
     def span(self) -> DataFrame:
@@ -82,10 +105,10 @@ class Inputs:
 
     def lanes(self, floor: int | None = None) -> DataFrame:
         levels, radius, active = self.almanac()
-        return self.tables.counts(f"lanes{floor}", lambda: almanac.almanac_lanes(levels, active, radius, floor=floor, snr_since=self.today - 20))
+        return almanac.almanac_lanes(levels, active, radius, floor=floor, snr_since=self.today - 20)
 
     def almanac(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        store = self.tables.counts
+        store = lambda name, build: self.tables.counts(f"{name}-{AREAS_KEY}", build)
         levels = store("ring_levels", lambda: almanac.ring_levels(self.daily, self.areas()))
         active = store("active_slot_days", lambda: almanac.active_slot_days(levels, almanac.alive_mask(baselines.ingest_slot_totals(self.daily), self.today - 30)))
         return levels, store("almanac_radius", lambda: almanac.almanac_radius(self.areas(), almanac.known_slot_counts(active))), active
@@ -166,15 +189,71 @@ def enrich_rbn(i: Inputs) -> DataFrame:
     return callsigns.enrich_rbn(asked, listed, known).groupBy("sl", "rl", "skimmer_from").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _store(i: Inputs) -> snapshots.Store:
+    return snapshots.Store(i.spark, f"{tables.shared_root(i.spark)}/bandloom/store-{uuid.uuid4().hex}")
+
+
+def _folded(i: Inputs) -> snapshots.Store:
+    """A store into which all final days were folded, in two runs and with some days twice, and the rest given up as lost."""
+    store = _store(i)
+    jobs.fold_run(store, i.daily, i.today - 3)
+    mark = store.manifest()["marks"]["watermark"]
+    jobs.refold_days(store, i.daily, mark - 2, mark)
+    jobs.fold_run(store, i.daily, i.today, forced_to=i.today, recorded_at=i.now)
+    return store
+
+
 def fold_season(i: Inputs) -> DataFrame:
-    """The seasonal cells of all final days, folded in two runs of which the second repeats some days."""
-    folder = f"{tables.shared_root(i.spark)}/bandloom/fold-{uuid.uuid4().hex}"
-    mark, _ = jobs.fold_run(i.daily, None, i.today - 3, f"{folder}/season", f"{folder}/activity")
-    jobs.fold_run(i.daily, mark - 2, i.today, f"{folder}/season", f"{folder}/activity")
-    season = i.spark.read.parquet(f"{folder}/season")
+    season = _folded(i).read("season")
     return season.groupBy("band", "region", "year_month", "dom").agg(F.count(F.lit(1)).alias("cells"), F.sum("count").alias("n"))
 
 
+def fold_activity(i: Inputs) -> DataFrame:
+    return _folded(i).read("activity").select("grid4", "band", "year_month", "layer", "day_mask")
+
+
+def fold_ingest(i: Inputs) -> DataFrame:
+    return _folded(i).read("ingest").select("day", "slot", "layer", "spot_total")
+
+
+def fold_lost(i: Inputs) -> DataFrame:
+    return _folded(i).read("lost").select("day_index", "reason", "recorded_at")
+
+
+def part_day_season(i: Inputs) -> DataFrame:
+    """A day folded from the spots of its even minutes, and its odd ones added afterwards."""
+    store, day = _store(i), i.today - 4
+    halves = [baselines.region_daily(i.spots.where((F.col("day") == day) & (F.col("t") % 120 < 60) if even else (F.col("day") == day) & (F.col("t") % 120 >= 60))) for even in (True, False)]
+    for half in halves:
+        jobs.add_part_day_run(store, half, day)
+    return store.read("season").select("grid4", "band", "region", "dom", "slot", "count")
+
+
+def snr_refold(i: Inputs) -> DataFrame:
+    """SNR bins of the seasonal record, folded before SNR was counted and again after it was counted from the raw spots."""
+    store = _store(i)
+    zero = i.daily.withColumns({c: F.lit(0).cast("long") for c in i.daily.columns if c.startswith("snr_")})
+    change = store.begin()
+    change.replace("region_daily", zero.where(F.col("day") >= i.today - 12), ("day",))
+    change.commit()
+    jobs.fold_run(store, store.read("region_daily"), i.today)
+    jobs.snr_backfill_run(store, i.spots.where(F.col("day").between(i.today - 6, i.today - 2)), i.today - 2, part_day=True)
+    season = store.read("season")
+    return season.select("grid4", "band", "region", "dom", "slot", "count", *[F.col("snr_bins")[k].alias(f"bin{k}") for k in range(6)])
+
+
+def rebuild_region_daily(i: Inputs) -> DataFrame:
+    store = _store(i)
+    jobs.rebuild_region_daily_run(store, i.spots, days_each=10)
+    return store.read("region_daily")
+
+
+def rebuild_cluster_baseline(i: Inputs) -> DataFrame:
+    store = _store(i)
+    jobs.rebuild_cluster_baseline_run(store, i.spots, days_each=10)
+    return store.read("cluster_baseline").withColumn("first_observed", F.lit(store.manifest()["marks"]["first_observed"]))
+
+
 def ingest_seed(i: Inputs) -> DataFrame:
     """Ingest totals of which some are missing and some too small, raised to the daily table's sums."""
     ingest = baselines.ingest_slot_totals(i.daily).where("slot % 3 > 0").select("day", "slot", F.lit("pskr").alias("layer"), e("case when slot % 3 = 1 then spot_total div 2 else spot_total + 5 end").alias("spot_total"))
@@ -202,11 +281,11 @@ def power_budget(i: Inputs) -> DataFrame:
 
 
 def global_baseline(i: Inputs) -> DataFrame:
-    return i.everywhere
+    return baselines.global_baseline(i.spots)
 
 
 def cluster_baseline(i: Inputs) -> DataFrame:
-    return i.clusters
+    return baselines.cluster_baseline(i.spots)
 
 
 def merged_baseline(i: Inputs) -> DataFrame:
@@ -216,7 +295,7 @@ def merged_baseline(i: Inputs) -> DataFrame:
 
 
 def region_daily(i: Inputs) -> DataFrame:
-    return i.daily.groupBy("target4", "band", "region", "day").agg(*[F.sum(c).alias(c) for c in i.daily.columns if c.startswith(("spot_", "snr_"))])
+    return baselines.region_daily(i.spots)
 
 
 def ingest_slot_totals(i: Inputs) -> DataFrame:
@@ -224,11 +303,11 @@ def ingest_slot_totals(i: Inputs) -> DataFrame:
 
 
 def wspr_daily(i: Inputs) -> DataFrame:
-    return i.tables.wspr_daily
+    return baselines.wspr_daily(i.spots)
 
 
 def source_daily(i: Inputs) -> DataFrame:
-    return i.tables.source_daily
+    return baselines.source_daily(i.spots)
 
 
 def season_counts(i: Inputs) -> DataFrame:
@@ -631,11 +710,25 @@ def snr_backfill(i: Inputs) -> DataFrame:
     return out.groupBy("day", "band").agg(*[F.sum(c).alias(c) for c in out.columns if c.startswith(("spot_", "snr_"))])
 
 
-def wspr_backfill(i: Inputs) -> DataFrame:
+def _wspr_filled(i: Inputs) -> snapshots.Store:
+    """The month's beacon spots, filled in twice."""
     ring = i.spark.createDataFrame([("JO32",), ("JO31",), ("FN45",)], "grid4 string")
-    ym = i.spark.range(1).select(e(times.year_month(str(i.today))).alias("x")).first()["x"]
-    season, _, _ = jobs.wspr_backfill_month(archive.wspr_archive(i.raw, ring), archive.wspr_archive_totals(i.raw), ring, ym)
-    return season.select("grid4", "band", "region", "dom", "slot", "count", *[F.col("snr_bins")[k].alias(f"bin{k}") for k in range(6)])
+    store = _store(i)
+    for _ in range(2):
+        jobs.wspr_backfill_run(store, archive.wspr_archive(i.raw, ring), archive.wspr_archive_totals(i.raw), ring, jobs.month_of(i.today))
+    return store
+
+
+def wspr_backfill(i: Inputs) -> DataFrame:
+    return _wspr_filled(i).read("season").select("grid4", "band", "region", "dom", "slot", "count", *[F.col("snr_bins")[k].alias(f"bin{k}") for k in range(6)])
+
+
+def wspr_backfill_activity(i: Inputs) -> DataFrame:
+    return _wspr_filled(i).read("activity").select("grid4", "band", "year_month", "day_mask")
+
+
+def wspr_backfill_ingest(i: Inputs) -> DataFrame:
+    return _wspr_filled(i).read("ingest").select("day", "slot", "spot_total")
 
 
 def ingest_report(i: Inputs) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bandloom.operators import almanac, baselines, conditions, nowcast
 from bandloom.plans import jobs
+from bandloom.plans.snapshots import Store
 from bandloom.plans.spots import prepared
 from bandloom.streaming import maintain
 from tests.test_pipelines import spot_rows
@@ -96,14 +97,15 @@ def test_final_days_wait_for_flush_and_pending_counts(spark):
 def test_a_day_without_rows_loses_its_cells(spark, tmp_path):
     rows = [(86400 * d + 3600, "JO32", "FN45", "S", "R", "20m", 0) for d in (100, 101, 102)]
     daily = baselines.region_daily(prepared(spot_rows(spark, rows)))
-    season, activity, lost = (f"{tmp_path}/{x}" for x in ("season", "activity", "lost"))
-    jobs.fold_days(daily, 100, 102, season, activity)
-    assert spark.read.parquet(season).count() == 6
-    jobs.fold_days(daily.where("day <> 101"), 100, 102, season, activity)
-    again = spark.read.parquet(season)
+    store = Store(spark, f"file://{tmp_path}/store")
+    jobs.fold_run(store, daily, 104)
+    assert store.read("season").count() == 6
+    jobs.refold_days(store, daily.where("day <> 101"), 100, 102)
+    again = store.read("season")
     assert again.count() == 4 and again.select("dom").distinct().count() == 2
-    mark, days = jobs.fold_run(daily, 102, 103, season, activity, forced_to=105, lost_path=lost, recorded_at=7)
-    assert mark == 105 and sorted((r.day_index, r.recorded_at) for r in spark.read.parquet(lost).collect()) == [(103, 7), (104, 7), (105, 7)]
+    days = jobs.fold_run(store, daily, 103, forced_to=105, recorded_at=7)
+    assert days == [103, 104, 105] and store.manifest()["marks"]["watermark"] == 105
+    assert sorted((r.day_index, r.recorded_at) for r in store.read("lost").collect()) == [(103, 7), (104, 7), (105, 7)]
 
 
 def test_part_days_add_and_months_are_refolded(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from bandloom.operators import almanac, baselines, callsigns, conditions, matching
-from bandloom.plans import jobs
+from bandloom.plans import jobs, snapshots
 from bandloom.plans.oracle import ORACLE_SQL
 from bandloom.plans.queries import QUERIES
 from bandloom.plans.spots import SPOT_SCHEMA, prepared, spots
@@ -100,11 +100,15 @@ def test_fold_twice_is_the_same_and_archive_prunes(spark, data_dir, tmp_path):
     assert "PartitionFilters: [isnotnull(day_index" in scan._jdf.queryExecution().toString()
     daily = baselines.region_daily(prepared(raw)).persist()
     today = last // 86400
-    mark, lost = jobs.fold_run(daily, None, today, f"{tmp_path}/season", f"{tmp_path}/activity")
-    once = sorted(map(str, spark.read.parquet(f"{tmp_path}/season").collect()))
-    again, lost = jobs.fold_run(daily, mark - 3, today, f"{tmp_path}/season", f"{tmp_path}/activity", forced_to=today)
-    assert mark == today - 2 and again == today and lost == [today - 1, today]
-    assert sorted(map(str, spark.read.parquet(f"{tmp_path}/season").collect())) == once
+    store = snapshots.Store(spark, f"file://{tmp_path}/store")
+    assert jobs.fold_run(store, daily, today) == []
+    mark = store.manifest()["marks"]["watermark"]
+    once = sorted(map(str, store.read("season").collect()))
+    jobs.refold_days(store, daily, mark - 3, mark)
+    assert sorted(map(str, store.read("season").collect())) == once
+    lost = jobs.fold_run(store, daily, today, forced_to=today)
+    assert mark == today - 2 and store.manifest()["marks"]["watermark"] == today and lost == [today - 1, today]
+    assert sorted(map(str, store.read("season").collect())) == once
     first = daily.agg(F.min("day")).first()[0]
     assert archive.apply_retention(spark, f"{tmp_path}/raw", first + 4) == [first]
     assert archive.scan_raw(spark, f"{tmp_path}/raw", 0, last).agg(F.min("day_index")).first()[0] > first
