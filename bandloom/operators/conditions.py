@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bands, classify, geo, grid, numbers, times
-from . import baselines
-from .matching import band_events, cluster_ends, matched_ends, ring_squares
+from . import baselines, intervals
+from .matching import band_events, cluster_ends, matched_spots, ring_squares
 
 e = F.expr
 
@@ -18,9 +18,24 @@ BINS, LONG_HAUL_KM = 12, 3000
 AREA_MINUTES, AREA_FLOOR_DB, AREA_SAMPLE, AREA_BANDS, AREA_RADIUS = 20, -15, 25, 3, 3
 
 
+#: Optional columns of qths: gaps in what was recorded (an array of structs a, b), and the first second that is complete.
+LIVE = ("gaps", "complete_since")
+
+
 def windows(qths: DataFrame) -> DataFrame:
-    """``qths`` with the anchor of its cluster (null for a callsign) and the window's start and end."""
-    return qths.withColumns({"t0": e("now - minutes * 60"), "t1": F.col("now"), "anchor": e(f"case when {grid.is_locator('qth')} then {grid.cluster_anchor('qth')} end")})
+    """``qths`` with the anchor of its cluster (null for a callsign), the window's start and end, and live_minutes.
+
+    A window begins no earlier than ``complete_since``, and its live minutes, 1 at least, leave its gaps out.
+    """
+    start = intervals.live_start() if "complete_since" in qths.columns else "now - minutes * 60"
+    out = qths.withColumns({"t0": e(start), "t1": F.col("now"), "anchor": e(f"case when {grid.is_locator('qth')} then {grid.cluster_anchor('qth')} end")})
+    live = intervals.seconds_of(intervals.segments()) if "gaps" in qths.columns else "(t1 - t0)"
+    return out.withColumn("live_minutes", e(f"greatest({live} / cast(60 as double), 1)"))
+
+
+def _live(qths: DataFrame, start: str = "t0", end: str = "t1") -> tuple[list[str], str]:
+    """The columns of windows() that tell whether a spot at t is in one, and the test."""
+    return ([start, end, "gaps"], f"t between {start} and {end} and {intervals.recorded()}") if "gaps" in qths.columns else ([start, end], f"t between {start} and {end}")
 
 
 def recent(spots: DataFrame, qths: DataFrame, t: str = "t", seconds: str = "minutes * 60") -> DataFrame:
@@ -40,9 +55,8 @@ def activity_by_bin(spots: DataFrame, qths: DataFrame) -> DataFrame:
 
     The last bin holds what lies beyond an even division. A band is listed once it has a spot.
     """
-    q = qths.select("qth", "cw_min_db", "now", "minutes").withColumn("bin_seconds", e(numbers.quotient("minutes * 60", str(BINS))))
-    near = recent(spots, qths).where(e(bands.band_in_scope("band")))
-    hits = matched_ends(near, qths).join(near, "spot_id").join(q, "qth").where("t between now - minutes * 60 and now and snr >= cw_min_db and bin_seconds > 0")
+    near = recent(spots, qths).where(e(bands.band_in_scope("band"))).select("spot_id", "t", "band", "snr", "s4", "sc", "r4", "rc")
+    hits = matched_spots(near, qths, "cw_min_db", "now", "minutes").where("t between now - minutes * 60 and now and snr >= cw_min_db").withColumn("bin_seconds", e(numbers.quotient("minutes * 60", str(BINS)))).where("bin_seconds > 0")
     binned = hits.withColumn("bin", e(f"cast(least({numbers.quotient('t - (now - minutes * 60)', 'bin_seconds')}, {BINS - 1}) as int)"))
     counts = binned.groupBy("qth", "band", "bin", "bin_seconds").agg(F.count(F.lit(1)).alias("n"))
     every = counts.select("qth", "band", "bin_seconds").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
@@ -56,24 +70,38 @@ def series(rates: DataFrame) -> DataFrame:
     return rows.withColumn("sparkline", e(f"transform(activity, v -> case when array_max(activity) > 0 then {scaled} else 0.0D end)"))
 
 
-def trends(rates: DataFrame) -> DataFrame:
+def trends(rates: DataFrame, first_bins: DataFrame | None = None) -> DataFrame:
     """``series`` with trend, trend_delta and sustained.
 
-    The newest bin is still filling: the trend compares the five bins before it with the five before these; sustained is
-    the run of bins of 30 and more at the end, from the bin before the newest if that one is lower.
+    The newest bin is still filling: of eight bins and more it is left out, and the oldest too if an odd number is left; the
+    trend compares the newer half with the older one, and is stable for fewer than six. ``first_bins`` has qth and
+    from_bin, the first bin that the trend may read. Sustained is the run of bins of 30 and more at the end, from the
+    bin before the newest if that one is lower.
     """
     out = series(rates)
-    mean = lambda start: f"aggregate(slice(sparkline, {start}, 5), 0.0D, (a, v) -> a + v) / 5"
-    out = out.withColumn("slope", e(f"{mean(7)} - {mean(2)}"))
+    out = out.withColumn("from_bin", F.lit(0)) if first_bins is None else out.join(first_bins.select("qth", "from_bin"), "qth", "left").withColumn("from_bin", F.coalesce("from_bin", F.lit(0)))
+    out = out.withColumn("read_", e("slice(sparkline, from_bin + 1, size(sparkline))"))
+    out = out.withColumn("read_", e("case when size(read_) >= 8 then slice(read_, 1 + (size(read_) - 1) % 2, size(read_) - 1 - (size(read_) - 1) % 2) else read_ end"))
+    mean = lambda part, n: f"aggregate({part}, 0.0D, (a, v) -> a + v) / ({n})"
+    half = "size(read_) div 2"
+    slope = f"{mean(f'slice(read_, cast({half} + 1 as int), size(read_))', f'size(read_) - {half}')} - {mean(f'slice(read_, 1, cast({half} as int))', half)}"
+    out = out.withColumn("slope", e(f"case when size(read_) >= 6 then {slope} else 0.0D end"))
     out = out.withColumn("trend", e(classify.trend_word("slope", 6))).withColumn("trend_delta", e(numbers.round_half_away("slope / 10", 2)))
     run = "aggregate(reverse(case when element_at(sparkline, -1) < 30 then slice(sparkline, 1, size(sparkline) - 1) else sparkline end), named_struct('n', 0, 'open', true), (a, v) -> case when a.open and v >= 30 then named_struct('n', a.n + 1, 'open', true) else named_struct('n', a.n, 'open', false) end, a -> a.n)"
-    return out.withColumn("sustained", e(run)).drop("slope")
+    return out.withColumn("sustained", e(run)).drop("slope", "read_", "from_bin")
+
+
+def covered_bins(qths: DataFrame, areas: DataFrame, retention_minutes: int = 60) -> DataFrame:
+    """(qth, from_bin) for trends(): a widened area (live_area()) reads live spots alone, so its bins count from the first that these cover."""
+    q = qths if "complete_since" in qths.columns else qths.withColumn("complete_since", F.lit(None).cast("long"))
+    return q.join(areas.where("widened").select("qth"), "qth").select("qth", e(intervals.covered_from_bin(BINS, retention_minutes)).alias("from_bin"))
 
 
 def window_events(spots: DataFrame, qths: DataFrame) -> DataFrame:
-    """Band events of each location inside its window, in scope, with its parameters."""
+    """Band events of each location inside its window and outside its gaps, in scope, with its parameters."""
     near = recent(spots, qths).where(e(bands.band_in_scope("band")))
-    return band_events(near, qths).join(qths.select("qth", "now", "minutes", "cw_min_db"), "qth").where("t between now - minutes * 60 and now")
+    columns, within = _live(qths)
+    return band_events(near, windows(qths), "now", "minutes", "cw_min_db", *columns, within=within).drop(*columns)
 
 
 def scored_events(events: DataFrame) -> DataFrame:
@@ -110,16 +138,18 @@ def region_counts(scored: DataFrame) -> DataFrame:
 
 def regional_spots(spots: DataFrame, qths: DataFrame) -> DataFrame:
     """(qth, band, regional): ends of calibrated spots in the location's cluster during its window, at any SNR, repeats included."""
-    w = windows(qths).select("qth", "anchor", "t0", "t1")
+    columns, within = _live(qths)
+    w = windows(qths).select("qth", "anchor", *columns)
     ends = cluster_ends(recent(spots, qths).where("calibrated and band <> ''"))
-    return ends.join(w, "anchor").where("t between t0 and t1").groupBy("qth", "band").agg(F.count(F.lit(1)).alias("regional"))
+    return ends.join(w, "anchor").where(within).groupBy("qth", "band").agg(F.count(F.lit(1)).alias("regional"))
 
 
 def dx_conditions(spots: DataFrame, qths: DataFrame, clusters: DataFrame, everywhere: DataFrame, span: DataFrame, coverage: DataFrame) -> DataFrame:
     """The band table of every location: scores, status, mode, recommendation, and how the band compares with its normal.
 
     ``spots`` are prepared spots, ``qths`` has qth, surroundings, minutes, cw_min_db and now; the other tables are the
-    baselines. A band is listed once it has a scored spot. Scores are shrunk by their support.
+    baselines. A band is listed once it has a scored spot. Scores are shrunk by their support. Where qths has LIVE columns,
+    counts, rates and what is expected leave out what wasn't recorded.
     """
     w = windows(qths)
     events = window_events(spots, qths)
@@ -129,7 +159,7 @@ def dx_conditions(spots: DataFrame, qths: DataFrame, clusters: DataFrame, everyw
     pairs = baselines.baseline_with_fallback(clusters, everywhere, w.where("anchor is not null"))
     rates = baselines.slot_rates(pairs, span, coverage)  # three readers, a few thousand rows a location
     spans = w.where("anchor is not null").select("qth", "anchor", "t0", "t1", "cw_min_db")
-    expected = baselines.expected_counts(spans, rates).select("qth", "band", "expected")
+    expected = expected_live(w.where("anchor is not null"), rates)
     reach = baselines.reach_baseline(spans, clusters, rates).select("qth", "band", "baseline_p90", "reach_support")
     quantiles = baselines.baseline_quantiles(pairs, "anchor", "band", "slot")
     out = out.withColumn("slot", e(times.slot_of_day("now")))
@@ -139,12 +169,12 @@ def dx_conditions(spots: DataFrame, qths: DataFrame, clusters: DataFrame, everyw
     history = span.crossJoin(coverage).select(e(numbers.round_half_away("history_minutes * coverage")).alias("cluster_minutes"), "history_minutes")  # one row
     out = out.crossJoin(history).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("local", "regional", "baseline_rate", "baseline_support")}).withColumn("used_cluster", F.coalesce("used_cluster", F.lit(False)))
 
-    trusted = "expected > 0 and expected / greatest(minutes, 1) * greatest(cluster_minutes / 1440, 1) * 30 >= 100"
+    trusted = "expected > 0 and expected / live_minutes * greatest(cluster_minutes / 1440, 1) * 30 >= 100"
     out = out.withColumn("activity_level", e(f"case when {trusted} then {classify.activity_level('regional', 'expected')} else 'no_baseline' end"))
     out = out.withColumn("activity_ratio", e(f"case when {trusted} then regional / expected else 0 end"))
     out = out.withColumn("reach_ratio", e("case when links >= 20 and reach_support >= 100 and baseline_p90 > 0 then tiered_p90 / baseline_p90 else 0 end"))
     out = out.withColumn("reach_level", e(f"case when reach_ratio > 0 then {classify.reach_level('reach_ratio')} else '' end"))
-    out = out.withColumns({"dx_ratio": e("cast(long_haul as double) / links"), "spots_per_minute": e("cast(links as double) / greatest(minutes, 1)")})
+    out = out.withColumns({"dx_ratio": e("cast(long_haul as double) / links"), "spots_per_minute": e("cast(links as double) / live_minutes")})
     activity = f"case when activity_level in ('above', 'normal', 'below') then {numbers.clamp01('activity_ratio / 2')} else 0.5 end"
     out = out.withColumn("raw_score", e(f"cast(100 as double) * (0.45 * {numbers.clamp01('p90_km / 7000 * 0.7 + dx_ratio * 0.3')} + 0.35 * {activity} + 0.20 * {numbers.clamp01('cast(p90_snr + 20 as double) / 30')})"))
     out = out.withColumn("factor", e(f"{numbers.clamp01('links / 25.0')} * (0.35 + 0.65 * {numbers.clamp01('baseline_support / 2000.0')}) * case when q25 is null then 0.75 else 1 end"))
@@ -154,13 +184,21 @@ def dx_conditions(spots: DataFrame, qths: DataFrame, clusters: DataFrame, everyw
     return out.withColumns({"repeat_ratio": e("cast(links - unique_links as double) / links"), "local_scale": e("case when regional > 0 then cast(local as double) / regional else 0 end")}).select(
         "qth", "band", "score", "confidence", "status", "condition", "mode", "recommendation", "links", "unique_links", "repeat_ratio", "spots_per_minute", "unique_tx", "unique_rx", "unique_grids",
         "avg_km", "max_km", "median_km", "p90_km", "dx_ratio", "avg_snr", "peak_snr", "median_snr", "p90_snr", "baseline_rate", "used_cluster", "q25", "q75", "activity_ratio", "activity_level",
-        F.col("regional").alias("regional_spots"), F.col("expected").alias("regional_expected"), "local_scale", F.col("baseline_p90").alias("baseline_p90_km"), "reach_ratio", "reach_level", "history_minutes", "minutes",
+        F.col("regional").alias("regional_spots"), F.col("expected").alias("regional_expected"), "local_scale", F.col("baseline_p90").alias("baseline_p90_km"), "reach_ratio", "reach_level", "history_minutes", "minutes", "live_minutes",
     )
 
 
-def with_trends(conditions: DataFrame, rates: DataFrame) -> DataFrame:
+def expected_live(w: DataFrame, rates: DataFrame) -> DataFrame:
+    """(qth, band, expected) over the segments that windows() leave: null unless the cluster has every slot of each."""
+    if "gaps" not in w.columns:
+        return baselines.expected_counts(w.select("qth", "anchor", "t0", "t1"), rates).select("qth", "band", "expected")
+    parts = baselines.expected_counts(intervals.split(w.select("qth", "anchor", "t0", "t1", "gaps")), rates)
+    return parts.groupBy("qth", "band", "segments").agg(F.sum("expected").alias("x"), F.count("expected").alias("c")).select("qth", "band", e("case when c = segments then x end").alias("expected"))
+
+
+def with_trends(conditions: DataFrame, rates: DataFrame, first_bins: DataFrame | None = None) -> DataFrame:
     """A band table with each band's trend, trend_delta, sustained and sparkline; a band without a series is stable."""
-    out = conditions.join(trends(rates).select("qth", "band", "trend", "trend_delta", "sustained", "sparkline"), ["qth", "band"], "left")
+    out = conditions.join(trends(rates, first_bins).select("qth", "band", "trend", "trend_delta", "sustained", "sparkline"), ["qth", "band"], "left")
     return out.withColumns({"trend": F.coalesce("trend", F.lit("stable")), "trend_delta": F.coalesce("trend_delta", F.lit(0.0)), "sustained": F.coalesce("sustained", F.lit(0))})
 
 
@@ -204,7 +242,7 @@ def hot_bands(conditions: DataFrame, options: DataFrame | None = None, most: int
         c = c.where("coalesce(current_band, '') in ('', 'allm', 'all') or band <> current_band").where("bands is null or array_contains(bands, band)").drop("current_band", "bands")
     regional = "activity_level in ('above', 'normal', 'below')"
     c = c.withColumn("ratio", e(f"case when {regional} then {numbers.round_half_away('activity_ratio', 2)} when baseline_rate > 0 then spots_per_minute / baseline_rate else 0 end"))
-    tail = numbers.poisson_upper_tail("links", "(baseline_rate * greatest(minutes, 1))")
+    tail = numbers.poisson_upper_tail("links", "(baseline_rate * live_minutes)")
     surprise = f"used_cluster and history_minutes >= 1440 and baseline_rate > 0 and baseline_rate <= 0.1 and ratio >= 5 and p90_km >= 800 and ({regional} or {tail} < 0.01)"
     surge = "used_cluster and history_minutes >= 1440 and reach_level = 'longer' and reach_ratio >= 1.5 and p90_km >= 5000"
     rising = "trend = 'rising' and trend_delta >= 1.5 and status in ('yellow', 'green') and ratio >= 1.5 and sustained >= 3 and spots_per_minute >= 1"

@@ -15,11 +15,24 @@ from ..functions import bands, geo, grid, times
 e = F.expr
 
 
+#: Ways in which the spots of one square or call are dealt to tasks, where locations are too many to be broadcast.
+SALT = 8
+
+
+def location_tokens(qths: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` columns and tokens: the square of a locator and, with surroundings, those around it inside the grid; other names as they are."""
+    q = qths.select("qth", *[c for c in keep if c != "qth"], e("upper(trim(qth))").alias("q_"), F.coalesce("surroundings", F.lit(False)).alias("around_"))
+    q = q.withColumns({"x_": e(f"case when {grid.is_locator('q_')} then {grid.square_x('q_')} end"), "y_": e(f"case when {grid.is_locator('q_')} then {grid.square_y('q_')} end")})
+    steps = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    near = ", ".join(f"named_struct('x', x_ + {dx}, 'y', y_ + {dy})" for dx, dy in steps)
+    places = f"filter(case when around_ then array({near}) else array(named_struct('x', x_ + 0, 'y', y_ + 0)) end, p -> p.x between 0 and 179 and p.y between 0 and 179)"
+    squares = f"transform({places}, p -> {grid.square_at('p.x', 'p.y')})"
+    return q.withColumn("tokens_", e(f"case when x_ is null then array(q_) else {squares} end")).drop("q_", "around_", "x_", "y_")
+
+
 def qth_squares(qths: DataFrame) -> DataFrame:
-    """(qth, token): the square of a locator and, with surroundings, those around it inside the grid; other names as they are."""
-    q = qths.select("qth", e("upper(trim(qth))").alias("q"), F.coalesce("surroundings", F.lit(False)).alias("around"))
-    located = q.where(e(grid.is_locator("q"))).select("qth", e(grid.square_x("q")).alias("x"), e(grid.square_y("q")).alias("y"), F.when(F.col("around"), 1).otherwise(0).alias("r"))
-    return ring_squares(located, "qth").select("qth", F.col("square").alias("token")).unionByName(q.where(~e(grid.is_locator("q"))).select("qth", F.col("q").alias("token")))
+    """(qth, token): what an end of a spot must have to match a location."""
+    return location_tokens(qths).select("qth", F.explode("tokens_").alias("token"))
 
 
 def ring_squares(centres: DataFrame, *keep: str) -> DataFrame:
@@ -36,29 +49,46 @@ def call_runs(call: Column) -> Column:
     return F.array_distinct(F.flatten(each))
 
 
-def spot_tokens(spots: DataFrame) -> DataFrame:
-    """(spot_id, is_sender, token) of prepared spots."""
-    ends = [spots.select("spot_id", F.lit(side).alias("is_sender"), F.explode(F.array_compact(F.array_union(F.array(square), call_runs(F.col(call))))).alias("token")) for side, square, call in ((True, "s4", "sc"), (False, "r4", "rc"))]
-    return ends[0].unionByName(ends[1]).where("token <> ''")
+def end_tokens(square: str, call: str) -> Column:
+    """What an end of a prepared spot has to match by: its square and the runs of its call."""
+    return F.filter(F.array_compact(F.array_union(F.array(square), call_runs(F.col(call)))), lambda x: x != "")
+
+
+def matched_spots(spots: DataFrame, qths: DataFrame, *keep: str) -> DataFrame:
+    """A row for each location and spot of which an end matches: qth, ``keep`` columns of the location, is_sender, is_receiver and the spot.
+
+    One join: each token of a spot carries the spot along, and of the tokens that match a location the first one counts, so
+    that nothing is gathered by spot afterwards. Tokens are salted, so that a busy square's spots spread over tasks where
+    the locations aren't broadcast. Batch and streaming spots alike.
+    """
+    hidden = {"sends_": end_tokens("s4", "sc"), "gets_": end_tokens("r4", "rc"), "salt_": e(f"pmod(hash(spot_id), {SALT})")}
+    carried = spots.select("*", *[x.alias(name) for name, x in hidden.items()])
+    carried = carried.withColumn("all_", F.array_union("sends_", "gets_")).withColumn("token_", F.explode("all_"))
+    asked = location_tokens(qths, *keep).withColumn("token_", F.explode("tokens_")).withColumn("salt_", F.explode(e(f"sequence(0, {SALT - 1})")))
+    hits = carried.join(asked, ["token_", "salt_"]).where("array_intersect(all_, tokens_)[0] = token_")
+    flags = {"is_sender": F.arrays_overlap("sends_", "tokens_"), "is_receiver": F.arrays_overlap("gets_", "tokens_")}
+    return hits.withColumns(flags).drop("token_", "salt_", "all_", "sends_", "gets_", "tokens_")
 
 
 def matched_ends(spots: DataFrame, qths: DataFrame) -> DataFrame:
     """(qth, spot_id, is_sender, is_receiver): one row for each location and spot of which an end matches."""
-    hits = spot_tokens(spots).join(qth_squares(qths), "token")
-    return hits.groupBy("qth", "spot_id").agg(F.bool_or("is_sender").alias("is_sender"), F.bool_or(~F.col("is_sender")).alias("is_receiver"))
+    return matched_spots(spots.select("spot_id", "s4", "sc", "r4", "rc"), qths).select("qth", "spot_id", "is_sender", "is_receiver")
 
 
 def match_spots(spots: DataFrame, qths: DataFrame) -> DataFrame:
     """Each location's spots with the remote end: the receiver's if the location sent, else the sender's."""
-    hits = matched_ends(spots, qths).join(spots, "spot_id").join(qths.select("qth", "now"), "qth")
+    hits = matched_spots(spots, qths, "now")
     remote = hits.withColumn("remote", F.when(F.col("is_sender"), F.col("rl")).otherwise(F.col("sl"))).where("remote <> ''")
     return remote.select("qth", "spot_id", "t", "band", "snr", "source", F.col("sc").alias("sender"), F.col("rc").alias("receiver"), "remote", e(bands.reporter_locator("source", "sl", "rl")).alias("reporter"), F.when(F.col("is_sender"), F.col("r_lat")).otherwise(F.col("s_lat")).alias("lat"), F.when(F.col("is_sender"), F.col("r_lon")).otherwise(F.col("s_lon")).alias("lon"), e(times.age_seconds("now", "t")).alias("age"))
 
 
-def band_events(spots: DataFrame, qths: DataFrame) -> DataFrame:
-    """Matched spots with both locators: the remote square, distance, direction, and the half minute that counts once."""
+def band_events(spots: DataFrame, qths: DataFrame, *keep: str, within: str = "true") -> DataFrame:
+    """Matched spots with both locators: the remote square, distance, direction, and the half minute that counts once.
+
+    ``keep`` are columns of the location, which ``within`` may test.
+    """
     gated = spots.where(e(bands.baseline_gate("band", "sl", "rl")))
-    hits = matched_ends(gated, qths).join(gated, "spot_id")
+    hits = matched_spots(gated, qths, *keep).where(within)
     return with_path(hits, e("is_sender")).withColumn("bucket", e(times.dedup_bucket("t")))
 
 
@@ -94,7 +124,7 @@ def remote_counts(spots: DataFrame, qths: DataFrame, *cells: str) -> DataFrame:
     swap = e(bands.receiver_is_sender_side("source"))
     sided = spots.withColumn("swap", swap).withColumn("recv", e("case when swap then s_region else r_region end")).withColumn("other", e("case when swap then r_region else s_region end"))
     everywhere = sided.groupBy(*cells, F.col("recv").alias("region")).agg(F.count(F.lit(1)).alias("n"))
-    hits = matched_ends(spots, qths).join(sided, "spot_id")
+    hits = matched_spots(sided, qths)
     receives = e("case when swap then is_sender else is_receiver end")
     hits = hits.withColumn("to", F.when(receives, F.col("other")).otherwise(F.col("recv")))
     parts = [

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, classify, geo, numbers
 from .conditions import recent
-from .matching import from_here_ends, matched_ends
+from .matching import from_here_ends, matched_spots
 
 e = F.expr
 
@@ -15,8 +15,8 @@ e = F.expr
 SOURCE_PROFILES = (("wspr", "wspr", True, 10.0, -5.0, None), ("pskr", "mqtt", False, -5.0, -18.0, -24.0), ("rbn", "rbn", False, None, 8.0, None))
 
 
-#: Windows up to which their table may be broadcast.
-MOST_WINDOWS = 10_000
+#: Seconds of the buckets in which windows and spots meet, and ways in which a bucket's spots are dealt to tasks.
+BUCKET, SALT = 300, 16
 
 
 def source_profiles(spark: SparkSession, names: list[str] | None = None, ssb_min_db: float | None = None, cw_min_db: float | None = None) -> DataFrame:
@@ -31,11 +31,13 @@ def windowed(spots: DataFrame, qths: DataFrame) -> DataFrame:
     and whether they lie in the window's first half.
 
     The level is the SNR at 100 W where the power is known, null for beacons of unknown power. Locations ask for a few
-    windows, however many locations there are: only windows are joined to spots.
+    windows, however many locations there are: only windows are joined to spots. Both meet in five minutes that they
+    touch, in an equi-join, and the window's edges are tested after it; a bucket's spots are dealt to several tasks.
     """
     spans = qths.select(e("now - minutes * 60").alias("w0"), F.col("now").alias("w1")).distinct()
-    spans = F.broadcast(spans) if spans.limit(MOST_WINDOWS + 1).count() <= MOST_WINDOWS else spans
-    near = recent(spots, qths).where(e(bands.band_in_scope("band"))).join(spans, e("t between w0 and w1"))
+    spans = spans.withColumn("bucket_", F.explode(e(f"sequence(cast(floor(w0 / {BUCKET}) as bigint), cast(floor(w1 / {BUCKET}) as bigint))"))).withColumn("salt_", F.explode(e(f"sequence(0, {SALT - 1})")))
+    near = recent(spots, qths).where(e(bands.band_in_scope("band"))).withColumns({"bucket_": e(f"cast(floor(t / {BUCKET}) as bigint)"), "salt_": e(f"pmod(hash(spot_id), {SALT})")})
+    near = near.join(spans, ["bucket_", "salt_"]).where("t between w0 and w1").drop("bucket_", "salt_")
     level = f"case when source = 'wspr' then case when txpower > 0 then {bands.effective_snr('snr', 'txpower')} end else snr end"
     return near.withColumns({"level": e(level), "early": e("t < w0 + (w1 - w0) div 2")})
 
@@ -54,7 +56,8 @@ def _windowed_counts(near: DataFrame, qths: DataFrame) -> DataFrame:
     sided = near.withColumn("swap", e(bands.receiver_is_sender_side("source"))).withColumns({"recv": e("case when swap then s_region else r_region end"), "other": e("case when swap then r_region else s_region end"), "mark": e("coalesce(level, -9999)")})
     cell, detail = ["w0", "w1", "band", "source", "region"], ["mark", "early"]
     everywhere = sided.groupBy("w0", "w1", "band", "source", F.col("recv").alias("region"), *detail).agg(F.count(F.lit(1)).alias("n"))
-    hits = matched_ends(near.dropDuplicates(["spot_id"]), qths).join(sided, "spot_id").join(q, ["qth", "w0", "w1"])
+    asked = qths.withColumns({"q0": e("now - minutes * 60"), "q1": F.col("now")})
+    hits = matched_spots(sided, asked, "q0", "q1").where("w0 = q0 and w1 = q1").drop("q0", "q1")
     hits = hits.withColumn("to", e("case when case when swap then is_sender else is_receiver end then other else recv end"))
     lost = hits.groupBy("qth", "w0", "w1", "band", "source", F.col("recv").alias("region"), *detail).agg(F.count(F.lit(1)).alias("lost"))
     touched = lost.select("qth", *cell).distinct()
@@ -75,6 +78,11 @@ def source_cells(spots: DataFrame, qths: DataFrame, profiles: DataFrame) -> Data
     return _opened(cells.join(profiles, "source"))
 
 
+def from_here_only(cells: DataFrame) -> DataFrame:
+    """The cells that a location's own spots support; a band without any is gone with its cells, from counts of bands too."""
+    return cells.where("from_here")
+
+
 def _opened(cells: DataFrame) -> DataFrame:
     flag = lambda floor: e(f"case when {floor} is not null then coalesce(best_level >= {floor}, false) end")
     out = cells.withColumns({"ssb_open": flag("ssb_floor"), "cw_open": flag("cw_floor"), "digital_open": flag("digital_floor")})

@@ -299,4 +299,30 @@ TEXTS |= {
     "wspr_backfill_ingest": f"select day, slot, n * 2 as spot_total from (" + TEXTS["wspr_archive_totals"] + f") x where {_YM} = (select {times.year_month('today')} from n)",
 }
 
+# The band table where something wasn't recorded: the live parts of each window, spelled out, in place of the hour.
+PARTS |= {
+    "live": "select q.qth, now - x as a, now - y as b, y = 0 as ends, piece, pieces from q join (values ('JO32', 3600, 2400, 0, 2), ('JO32', 1200, 0, 1, 2), ('JO31', 3000, 1500, 0, 2), ('JO31', 900, 0, 1, 2), ('FN45', 1500, 0, 0, 1), ('S17', 3600, 0, 0, 1)) v(name, x, y, piece, pieces) on name = qth",
+    "lived": "select qth, sum(b - a) / cast(60 as double) as live_minutes from live group by qth",
+    "evg": "select ev.* from ev join live on live.qth = ev.qth and t >= a and (t < b or ends and t = b)",
+    "featg": PARTS["feat"].replace("from ev,", "from evg,"),
+    "psegs": f"select qth, anchor, piece, pieces, cast(k % 48 as int) as slot, least((k + 1) * 1800, b) - greatest(k * 1800, a) as seconds from (select qth, {grid.cluster_anchor('qth')} as anchor, a, b, piece, pieces, unnest(range(a // 1800, (b - 1) // 1800 + 1)) as k from live where {grid.is_locator('qth')})",
+    "expdg": "select qth, band, case when count(*) filter (where c = n_slots) = pieces then sum(x) end as expected from (select qth, piece, pieces, band, sum(rate * seconds / 60) as x, count(*) as c from psegs join rates using (anchor, slot) where used_cluster group by all) join (select qth, piece, count(*) as n_slots from psegs group by all) using (qth, piece) group by qth, band, pieces",
+    "segsg": PARTS["segs"].replace("now - 3600", "(case qth when 'FN45' then now - 1500 else now - 3600 end)"),
+    "nsegsg": "select qth, count(*) as slots from segsg group by 1",
+    "slottedg": PARTS["slotted"].replace("from segs ", "from segsg "),
+    "reachedg": PARTS["reached"].replace("from slotted", "from slottedg").replace("join nsegs ", "join nsegsg "),
+    "region_endsg": f"select qth, band, count(*) as regional from ends join live on anchor = {grid.cluster_anchor('qth')} and t >= a and (t < b or ends and t = b) where {grid.is_locator('qth')} and calibrated group by all".replace("or ends and", "or live.ends and"),
+    "near_byg": PARTS["near_by"].replace("from ev,", "from evg,"),
+    "c1g": PARTS["c1"].replace("q.minutes,", "live_minutes as minutes,").replace("from feat f", "from featg f join lived using (qth)").replace("join near_by ", "join near_byg ").replace("join region_ends ", "join region_endsg ").replace("join expd ", "join expdg ").replace("join reached ", "join reachedg "),
+    "c2g": PARTS["c2"].replace("from c1)", "from c1g)"),
+    "c3g": PARTS["c3"].replace("from c2", "from c2g"),
+    "c4g": PARTS["c4"].replace("from c3", "from c3g"),
+    "condg": PARTS["cond"].replace("from c4", "from c4g"),
+}
+TEXTS |= {
+    "dx_conditions_gap": TEXTS["dx_conditions"].replace(" from cond", ", " + r6("minutes", "live_minutes") + " from condg"),
+    "segments": "select live.qth, b - a as seconds, a as t0, piece as segment, pieces as segments, " + r6("live_minutes") + " from live join lived using (qth)",
+    "prop_from_here": "select qth, band, region, sum(spots) as spots, count(*) as sources from cell where from_here group by all",
+}
+
 ORACLE_SQL = {name: sql(text) for name, text in TEXTS.items()}

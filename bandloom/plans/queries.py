@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bands, classify, geo, grid, numbers, times
-from ..operators import almanac, baselines, callsigns, conditions, matching, nowcast, spatial
+from ..operators import almanac, baselines, callsigns, conditions, intervals, matching, nowcast, spatial
 from ..sources import archive, feeds, reference_tables
 from ..streaming import live, maintain
 from . import jobs, snapshots, tables
@@ -463,6 +463,34 @@ def dx_conditions(i: Inputs) -> DataFrame:
     return i.conditions().select(*CONDITION_TEXTS, *[r6(c) for c in CONDITION_NUMBERS], F.col("links").cast("long").alias("links"), F.col("regional_spots").cast("long").alias("regional_spots"), "used_cluster")
 
 
+def _gapped(i: Inputs) -> DataFrame:
+    """The locations, with gaps in what was recorded: one, two of which one begins before the window, none but a late start, none."""
+    gaps = i.spark.createDataFrame([("JO32", i.now - 2400, i.now - 1200), ("JO31", i.now - 3700, i.now - 3000), ("JO31", i.now - 1500, i.now - 1100), ("JO31", i.now - 1200, i.now - 900), ("FN45", i.now - 9000, i.now - 8000)], "qth string, a long, b long")
+    q = i.qths().withColumn("complete_since", e("case qth when 'FN45' then now - 1500 when 'S17' then now + 5 end"))
+    spans = q.withColumns({"t0": e("now - minutes * 60"), "t1": F.col("now")})
+    return intervals.with_gaps(spans, gaps, "qth").drop("t0", "t1")
+
+
+def dx_conditions_gap(i: Inputs) -> DataFrame:
+    """The band table where something wasn't recorded."""
+    c = conditions.dx_conditions(i.spots, _gapped(i), i.clusters, i.everywhere, i.span, baselines.cluster_coverage(i.clusters, i.everywhere))
+    return c.select(*CONDITION_TEXTS, *[r6(x) for x in CONDITION_NUMBERS], F.col("links").cast("long").alias("links"), F.col("regional_spots").cast("long").alias("regional_spots"), "used_cluster", r6("live_minutes"))
+
+
+def segments(i: Inputs) -> DataFrame:
+    """The parts of the windows that were recorded."""
+    w = conditions.windows(_gapped(i))
+    return intervals.split(w).select("qth", (F.col("t1") - F.col("t0")).alias("seconds"), "t0", "segment", "segments", r6("live_minutes"))
+
+
+def trends_widened(i: Inputs) -> DataFrame:
+    """Trends over two hours, of which live spots cover one: a widened area's begin with its first covered bin."""
+    q = i.qths(120).where("qth in ('FN45', 'JO31')")
+    first = conditions.covered_bins(q, conditions.live_area(i.spots, q))
+    t = conditions.trends(conditions.activity_by_bin(i.spots, q), first)
+    return t.select("qth", "band", "trend", "trend_delta")
+
+
 def dx_overall(i: Inputs) -> DataFrame:
     return conditions.global_decision(conditions.dx_overall(i.trended())).select("qth", "score", "confidence", "bands", "usable", "status", "condition", "verdict", "trend", "trend_delta")
 
@@ -521,6 +549,12 @@ def prop_rollup(i: Inputs) -> DataFrame:
     return nowcast.rollup(_cells(i)).select("qth", "band", "region", "spots", "from_here", "open", "rising", "open_agreement", "atypical_agreement", "sources")
 
 
+def prop_from_here(i: Inputs) -> DataFrame:
+    """The cells that own spots support, and how many bands they leave."""
+    cells = nowcast.from_here_only(_cells(i))
+    return cells.groupBy("qth", "band", "region").agg(F.sum("spots").alias("spots"), F.count(F.lit(1)).alias("sources"))
+
+
 def prop_summary(i: Inputs) -> DataFrame:
     return nowcast.prop_summary(nowcast.rollup(_cells(i)))
 

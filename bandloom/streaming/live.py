@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import bands, grid
-from ..operators.matching import qth_squares, spot_tokens
+from ..operators import intervals
+from ..operators.matching import matched_spots
 
 e = F.expr
 
@@ -40,16 +41,9 @@ def sessions(spots: DataFrame, gap: str = "300 seconds", slack: str = "5 minutes
 
 def subscriptions(spots: DataFrame, qths: DataFrame) -> DataFrame:
     """(qth, spot_id, is_sender) for each end of a prepared spot that a location waits for; a join of stream and table without state."""
-    tokens = spot_tokens(spots) if not spots.isStreaming else _stream_tokens(spots)
-    return tokens.join(qth_squares(qths), "token").select("qth", "spot_id", "is_sender")
-
-
-def _stream_tokens(spots: DataFrame) -> DataFrame:
-    from ..operators.matching import call_runs
-
-    side = lambda flag, square, call: F.struct(F.lit(flag).alias("is_sender"), F.array_compact(F.array_union(F.array(square), call_runs(F.col(call)))).alias("tokens"))
-    ends = spots.select("spot_id", F.explode(F.array(side(True, "s4", "sc"), side(False, "r4", "rc"))).alias("end"))
-    return ends.select("spot_id", "end.is_sender", F.explode("end.tokens").alias("token")).where("token <> ''")
+    hits = matched_spots(spots.select("spot_id", "s4", "sc", "r4", "rc"), qths)
+    sides = F.array_compact(F.array(F.when(F.col("is_sender"), F.lit(True)), F.when(F.col("is_receiver"), F.lit(False))))
+    return hits.select("qth", "spot_id", F.explode(sides).alias("is_sender"))
 
 
 def lag_minutes(arrivals: DataFrame) -> DataFrame:
@@ -102,9 +96,8 @@ def eval_now(lags: DataFrame, minutes: int, retention_minutes: int = 60, complet
 
 def live_segments(windows: DataFrame, gap_start: str = "gap_start", gap_end: str = "gap_end") -> DataFrame:
     """A window's parts before and after a known gap (null for none); parts without length go."""
-    parts = e(f"case when {gap_start} is null or {gap_end} <= t0 or {gap_start} >= t1 then array(named_struct('a', t0, 'b', t1)) else array(named_struct('a', t0, 'b', {gap_start}), named_struct('a', {gap_end}, 'b', t1)) end")
-    out = windows.withColumn("part", F.explode(parts)).withColumn("t0", F.col("part.a")).withColumn("t1", F.col("part.b")).drop("part")
-    return out.where("t1 > t0")
+    gap = e(f"case when {gap_start} is not null then array(named_struct('a', cast({gap_start} as bigint), 'b', cast({gap_end} as bigint))) end")
+    return intervals.split(windows.withColumn("gaps", gap)).drop("segment", "segments")
 
 
 def latest_locators(reports: DataFrame, ttl: int = CALL_TTL) -> DataFrame:
@@ -136,3 +129,41 @@ def _update(ttl: int):
             yield pd.DataFrame({"call": [key[0]], "loc": [loc], "seen": [seen]})
 
     return run
+
+
+#: What a subscriber may set beside a location: bands (lower case; null or empty for all), whether to leave out skimmers and
+#: beacons, and the mode (ssb, cw or anything else) whose floor digital and skimmers' spots must reach.
+FILTERS = "bands array<string>, exclude_rbn boolean, exclude_wspr boolean, snr_mode string, ssb_min_db int, cw_min_db int"
+
+
+def spot_allowed() -> str:
+    """Whether a spot passes a subscriber's filters. Beacons have a scale of SNR of their own and no floor."""
+    sources = "not (source = 'rbn' and coalesce(exclude_rbn, false)) and not (source = 'wspr' and coalesce(exclude_wspr, false))"
+    in_bands = "(coalesce(size(bands), 0) <= 0 or array_contains(bands, lower(trim(band))))"
+    loud = "(source not in ('', 'mqtt', 'rbn') or case snr_mode when 'ssb' then snr >= ssb_min_db when 'cw' then snr >= cw_min_db else true end)"
+    return f"{sources} and {in_bands} and {loud}"
+
+
+def delivered(spots: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """(client, qth, spot_id, t, band, snr, source, is_sender, is_receiver): each prepared spot for every subscriber (client, qth, surroundings and FILTERS) that waits for it."""
+    names = [x.split()[0] for x in FILTERS.split(", ")]
+    asked = subscribers.select("client", "qth", "surroundings", F.struct(*names).alias("filters"))
+    rows = spots.select("spot_id", "t", "band", "snr", "source", "s4", "sc", "r4", "rc")
+    hits = matched_spots(rows, asked, "client", "filters").select("*", "filters.*").where(spot_allowed())
+    return hits.select("client", "qth", "spot_id", "t", "band", "snr", "source", "is_sender", "is_receiver")
+
+
+def deliver(stream: DataFrame, store, out: str, checkpoint: str, table: str = "subscribers", **trigger):
+    """Delivers a stream of prepared spots to the subscribers that a store's table has when a batch begins.
+
+    A subscriber that comes, goes or changes its filters between two batches is heeded in the next one. A batch's rows lie in
+    a partition of its number, so that a batch that runs again replaces what it wrote.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        now = store.read(table)
+        if now is not None:
+            rows = delivered(batch, now).withColumn("batch", F.lit(batch_id))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
