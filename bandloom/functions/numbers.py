@@ -33,8 +33,14 @@ def ratio(a: str, b: str) -> str:
 
 
 def share_code(num: str, den: str) -> str:
-    """A share in thousandths, rounded half up; -1 if the whole is 0."""
-    return f"(case when {den} > 0 then {quotient(f'({num}) * 1000 + {quotient(den, "2")}', den)} else -1 end)"
+    """A share in thousandths, rounded half up and from 0 to 1000; -1 if the whole is 0."""
+    part = f"least(greatest({num}, 0), {den})"
+    return f"(case when {den} > 0 then {quotient(f'({part}) * 1000 + {quotient(den, "2")}', den)} else -1 end)"
+
+
+def share_value(code: str) -> str:
+    """The share that a code of share_code() stands for, from 0 to 1; null if there is none."""
+    return f"(case when {code} >= 0 then cast({code} as double) / 1000 end)"
 
 
 def poisson_upper_tail(k: str, rate: str) -> str:

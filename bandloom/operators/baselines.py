@@ -105,8 +105,15 @@ def baseline_span(spots: DataFrame) -> DataFrame:
     return span.withColumn("history_minutes", e("cast(floor((last_t - first_t) / 60) as bigint)"))
 
 
-def cluster_coverage(clusters: DataFrame, everywhere: DataFrame) -> DataFrame:
-    """One row: the share of the global span that the cluster table covers, from half its counts; at most 1."""
+def cluster_coverage(clusters: DataFrame, everywhere: DataFrame, firsts: DataFrame | None = None) -> DataFrame:
+    """One row: the share of the global span that the cluster table covers, at most 1.
+
+    ``firsts`` is one row with the first times of both tables (global_first, cluster_first) and now; where both are known,
+    their spans tell. Otherwise half the cluster table's counts do.
+    """
+    if firsts is not None:
+        known = firsts.select(coverage_of_spans(F.col("global_first"), F.col("cluster_first"), F.col("now")).alias("by_span"), (F.col("global_first").isNotNull() & F.col("cluster_first").isNotNull()).alias("known"))
+        return cluster_coverage(clusters, everywhere).crossJoin(known).select(e("case when known then by_span else coverage end").alias("coverage"))  # one row each
     c, g = clusters.agg(F.sum("count").alias("c")), everywhere.agg(F.sum("count").alias("g"))
     return c.crossJoin(g).select(e("case when coalesce(g, 0) <= 0 or coalesce(c, 0) <= 0 then cast(1 as double) else least(cast(c as double) / (2 * g), 1) end").alias("coverage"))
 

@@ -51,13 +51,31 @@ def top_reports(matched: DataFrame, most: int = 10) -> DataFrame:
     return firsts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("qth", "square", "rank", "sender", "receiver", "band", "snr")
 
 
+#: Columns that together tell one spot from another, wherever it was read; t counts in whole seconds.
+IDENTITY = {"source": "lower(coalesce(source, ''))", "band": "lower(coalesce(band, ''))", "sender": "upper(coalesce(sender, ''))", "receiver": "upper(coalesce(receiver, ''))", "remote": "upper(coalesce(remote, ''))", "reporter": "upper(coalesce(reporter, ''))", "lat": "lat", "lon": "lon", "snr": "snr", "t": "cast(floor(coalesce(t, 0)) as bigint)"}
+
+
+def distinct_spots(matched: DataFrame) -> DataFrame:
+    """Matched spots, each once for a location whatever it was read from: of equal ones that with the smallest spot_id."""
+    keyed = matched.groupBy("qth", *[e(x).alias(f"k_{name}") for name, x in IDENTITY.items()]).agg(F.min_by(F.struct(*matched.columns), "spot_id").alias("row"))
+    return keyed.select("row.*")
+
+
+def square_bands(matched: DataFrame) -> DataFrame:
+    """(qth, square, bands, dominant): each square's spots by band, and the band with the most (the first by name among equals)."""
+    counts = matched.where("length(remote) >= 4").groupBy("qth", e("substr(remote, 1, 4)").alias("square"), "band").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("qth", "square").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("band", "n")))).alias("bands"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "band")))[0]["band"].alias("dominant"))
+
+
 def grid_squares(matched: DataFrame) -> DataFrame:
-    """(qth, square): spots and the mean SNR of the strongest quarter, of one spot at least; from counts by SNR."""
+    """(qth, square): spots, the mean SNR of the strongest quarter, of one spot at least (from counts by SNR), and square_bands()."""
+    by_band = square_bands(matched)
     counts = matched.where("length(remote) >= 4").groupBy("qth", e("substr(remote, 1, 4)").alias("square"), "snr").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("qth", "square")
     ranked = counts.withColumns({"n": F.sum("c").over(w), "before": F.coalesce(F.sum("c").over(w.orderBy(F.desc("snr")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     ranked = ranked.withColumn("taken", e("least(c, greatest(cast(ceil(n / 4.0) as bigint) - before, 0))"))
-    return ranked.groupBy("qth", "square").agg(F.first("n").alias("spots"), e("sum(snr * taken) / cast(sum(case when snr is not null then taken else 0 end) as double)").alias("top_quarter_snr"))
+    out = ranked.groupBy("qth", "square").agg(F.first("n").alias("spots"), e("sum(snr * taken) / cast(sum(case when snr is not null then taken else 0 end) as double)").alias("top_quarter_snr"))
+    return out.join(by_band, ["qth", "square"])
 
 
 def moments(matched: DataFrame, step: int = 300, window: int = 900) -> DataFrame:
@@ -106,11 +124,29 @@ def distance_snr_profile(matched: DataFrame, centres: DataFrame) -> DataFrame:
     ``centres`` has qth, lat0 and lon0.
     """
     placed = matched.join(centres, "qth").withColumn("km", e(geo.haversine_km("lat0", "lon0", "lat", "lon")))
-    cap = placed.groupBy("qth").agg(F.greatest(F.lit(500.0), F.percentile("km", 0.95)).alias("cap_km"))
+    cap = location_percentile(placed, 0.95).select("qth", F.greatest(F.lit(500.0), "value").alias("cap_km"))
     out = placed.join(cap, "qth").groupBy("qth", "band").agg(F.count(F.lit(1)).alias("samples"), F.first("cap_km").alias("cap_km"), F.count_if(F.col("km") > F.col("cap_km")).alias("clipped"), F.least(F.lit(-20), F.min("snr")).alias("low_snr"), F.greatest(F.lit(20), F.max("snr")).alias("high_snr"))
     return out
 
 
+def location_percentile(placed: DataFrame, share: float) -> DataFrame:
+    """(qth, value): the exact percentile of km, interpolated, at each location.
+
+    Counts by whole kilometre tell in which of them its rank lies; only the distances of that one, or of two, are then
+    counted and put in order.
+    """
+    counts = placed.where("km is not null").groupBy("qth", F.floor("km").alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("qth")
+    cum = counts.withColumns({"upto": F.sum("c").over(w.orderBy("bucket")), "rank": (F.sum("c").over(w) - 1) * F.lit(float(share))})
+    cum = cum.withColumn("before", F.col("upto") - F.col("c"))
+    edge = cum.where("floor(rank) >= before and floor(rank) < upto or ceil(rank) >= before and ceil(rank) < upto").select("qth", "bucket", "before", "rank")
+    near = placed.where("km is not null").withColumn("bucket", F.floor("km")).join(edge, ["qth", "bucket"]).groupBy("qth", "bucket", "before", "rank", "km").agg(F.count(F.lit(1)).alias("c"))
+    inside = near.withColumn("end", F.col("before") + F.sum("c").over(Window.partitionBy("qth", "bucket").orderBy("km")))
+    at = lambda r: F.max(F.when((F.col("end") > r) & (F.col("end") - F.col("c") <= r), F.col("km")))
+    ends = inside.groupBy("qth", "rank").agg(at(F.floor("rank")).alias("low"), at(F.ceil("rank")).alias("high"))
+    return ends.select("qth", e("low + (high - low) * (rank - floor(rank))").alias("value"))
+
+
 def density_points(matched: DataFrame) -> DataFrame:
     """(qth, band, lat, lon, n, weight): one point a place and band, the square root of its spots its weight."""
     out = matched.where("lat is not null and lon is not null").groupBy("qth", "band", e(numbers.round_half_away("lat", 3)).alias("lat"), e(numbers.round_half_away("lon", 3)).alias("lon")).agg(F.count(F.lit(1)).alias("n"))

@@ -325,4 +325,36 @@ TEXTS |= {
     "prop_from_here": "select qth, band, region, sum(spots) as spots, count(*) as sources from cell where from_here group by all",
 }
 
+_M24 = f"(select *, substr(remote, 1, 4) as square from {MATCHED_24H} where length(remote) >= 4)"
+_NEW_CB = "select anchor, band, slot, distance_tier, snr_tier, count(*) as count, true as used_cluster from eends, n where day >= today - 5 and anchor in (select anchor from anchors) group by all"
+_NEW_PAIRS = f"(select * from nown union all select anchor, band, slot, distance_tier, snr_tier, count, false from gb, anchors where not exists (select 1 from nown o where o.anchor = anchors.anchor and o.band = gb.band and o.slot = gb.slot))"
+_DELIVERED = "(values ('a', 'JO32', 0, null, false, false, '', null, null), ('b', 'JO31', 1, ['20m', '40m'], true, false, 'ssb', 0, -15), ('c', 'S17', 0, null, false, true, 'cw', 5, -12), ('d', 'FN45', 0, ['2m'], false, false, '', null, null), ('e', 'JO31', 1, null, true, true, 'cw', 0, -15)) s(client, name, r, bands, no_rbn, no_wspr, mode, ssb, cw)"
+_LAGGED = "(select t, arrival + 240 as arrival from spots where source = 'mqtt')"
+PARTS |= {
+    "nown": _NEW_CB,
+    "ncov": "select coalesce(least(cast(now - cf as double) / nullif(now - first_t, 0), 1), 1) as by_span, least(cast((select count(*) from eends, n where day >= today - 5) as double) / (2 * (select sum(count) from gb)), 1) as by_counts from n, span, (select min(t) as cf from elig, n where day >= today - 5)",
+    "lagm": f"select arrival // 60 as minute, least(greatest(arrival - t, 0) // 15, 239) as bucket, count(*) as n, max(arrival) as last from {_LAGGED} where t > 0 and arrival > 0 group by all",
+    "lagq": "select minute, min(bucket) filter (where upto >= greatest(floor(total * cast(0.10 as double) + 0.5), 1)) * 15 as q, any_value(head) as head, any_value(total) as total from (select minute, bucket, sum(n) over (partition by minute) as total, sum(n) over (partition by minute order by bucket) as upto, max(last) over (partition by minute) as head from lagm) group by minute",
+    "laga": "select now + d as asked_at from n, (select unnest([0, 60, 200, 900, 5000]) as d)",
+    "lagfresh": "select asked_at, min(bucket) filter (where upto >= greatest(floor(total * cast(0.10 as double) + 0.5), 1)) * 15 as q from (select asked_at, bucket, sum(c) over (partition by asked_at) as total, sum(c) over (partition by asked_at order by bucket) as upto from (select asked_at, bucket, sum(n) as c from laga join lagm on minute in (asked_at // 60, asked_at // 60 - 1) group by all)) where total >= 50 group by asked_at",
+    "lagstale": "select asked_at, arg_max(case when total >= 50 then head - q end, case when total >= 50 and minute < asked_at // 60 - 1 then minute end) as head from (select asked_at, minute, q, head, total, row_number() over (partition by asked_at, minute % 2 order by minute desc) as k from laga join lagq on minute <= asked_at // 60) where k = 1 group by asked_at",
+    "lag": "select asked_at as now, coalesce(q, case when head > 0 and asked_at >= head then asked_at - head end, 0) as lag, q is not null as fresh from laga left join lagfresh using (asked_at) left join lagstale using (asked_at)",
+}
+TEXTS |= {
+    "count_raw": "select h as hours, count(*) as n from spots, n, (select unnest([1, 24]) as h) where t between now - 3600 * h and now group by h",
+    "country_file": "select token, 'Land ' || p as name, 'EU' as continent, 40.5 + cast(substr(p, 2, 1) as int)::double as lat, -(cast(substr(p, 2, 1) as int) * 10 + 0.25)::double as lon, p as primary_prefix, whole from (select distinct sc as token, substr(sc, 1, 2) as p, true as whole from p where length(sc) >= 2 union all select distinct substr(sc, 1, 2), substr(sc, 1, 2), false from p where length(sc) >= 2)",
+    "old_snapshots": "select band, cast(slot // 2 * 2 as int) as slot, distance_tier, snr_tier, sum(count) as count from gb group by all",
+    "old_climatology": "select band, source, slot, region, day, spot_count + 7 as spot_count from sd where day % 2 = 0 union all select band, 'wspr', slot, region, day, spot_count from wd where not exists (select 1 from sd where sd.day % 2 = 0 and sd.source = 'wspr' and sd.band = wd.band and sd.slot = wd.slot and sd.region = wd.region and sd.day = wd.day)",
+    "classified_names": f"select name, {classify.classify_qth('name', 'regexp_matches')} as kind from (select distinct unnest([sl, rc, sl || 'AB', sl || 'Z', 'Z' || sl, rc || '/P', ' ' || lower(sl), substr(sl, 1, 3), '', '!!']) as name from p)",
+    "grid_squares": "select * from (" + TEXTS["grid_squares"] + f") x join (select qth, square, string_agg(band || ':' || c, ',' order by band) as bands, first(band order by c desc, band) as dominant from (select qth, square, band, count(*) as c from {_M24} group by all) group by qth, square) y using (qth, square)",
+    "distinct_spots": f"select qth, spot_id, t, band, sender, receiver, remote, snr from (select *, row_number() over (partition by qth, source, band, sender, receiver, remote, reporter, lat, lon, snr, t order by spot_id) as k from {MATCHED_6H}) where k = 1",
+    "surge_strength": f"select qth, band, region, {classify.surge_strength('z', 'atypical_agreement')} as strength, z from roll where z is not null",
+    "almanac_snr_lanes": f"select *, {numbers.share_value('share')} as part from (" + TEXTS["almanac_snr_lanes"] + ") x",
+    "recent_spots": "select square, band, count(*) as n, max(t) as newest from (select t, band, unnest(list_distinct(list_filter([s4, r4], lambda x: x is not null))) as square from p where band <> ''), n where (t // 60 + 61) * 60 > now group by all",
+    "delivered": f"select client, qth, spot_id, t, band, snr, bool_or(sends) as is_sender, bool_or(not sends) as is_receiver from (select s.*, p.*, q.qth, s4 = token or sc = token as sends from p, n, {_DELIVERED} join q on q.qth = s.name join tok on tok.qth = q.qth where (s4 = token or sc = token) and t between n.now - 3600 and n.now union all select s.*, p.*, q.qth, false from p, n, {_DELIVERED} join q on q.qth = s.name join tok on tok.qth = q.qth where (r4 = token or rc = token) and t between n.now - 3600 and n.now) where not (source = 'rbn' and no_rbn) and not (source = 'wspr' and no_wspr) and (bands is null or list_contains(bands, lower(band))) and (source = 'wspr' or case mode when 'ssb' then snr >= ssb when 'cw' then snr >= cw else true end) group by client, qth, spot_id, t, band, snr",
+    "maintained_baseline": "select * from gb",
+    "span_coverage": f"select anchor, band, slot, used_cluster, support, {R('support / (greatest(minutes / 1440, 1) * cast(30 as double))', 6)} as rate, k as way from (select anchor, band, slot, used_cluster, sum(count) as support, case when used_cluster then {R('history_minutes * case when k = $span$span$span$ then by_span else by_counts end')} else cast(history_minutes as double) end as minutes, k from {_NEW_PAIRS}, span, ncov, (select unnest(['span', 'counts']) as k) group by anchor, band, slot, used_cluster, history_minutes, by_span, by_counts, k)".replace("$span$span$span$", "'span'"),
+    "feed_lag": "select now, lag, fresh, now - case when lag < 120 or lag > 1800 then 0 else least(lag, 2640) end as eval_now from lag",
+}
+
 ORACLE_SQL = {name: sql(text) for name, text in TEXTS.items()}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import bands, classify, geo, grid, numbers, times
 from ..operators import almanac, baselines, callsigns, conditions, intervals, matching, nowcast, spatial
 from ..sources import archive, feeds, reference_tables
-from ..streaming import live, maintain
+from ..streaming import live, maintain, stateful
 from . import jobs, snapshots, tables
 
 e = F.expr
@@ -122,6 +122,38 @@ def raw_scan(i: Inputs) -> DataFrame:
     return archive.scan_raw(i.spark, i.tables.archive_path, i.now - 7200, i.now).select("spot_id", "t", "source", "source_grid4", "band", "snr")
 
 
+def count_raw(i: Inputs) -> DataFrame:
+    spans = [(h, archive.count_raw(i.spark, i.tables.archive_path, i.now - 3600 * h, i.now)) for h in (1, 24)]
+    return i.spark.createDataFrame(spans, "hours int, n long")
+
+
+def country_file(i: Inputs) -> DataFrame:
+    """A country file made of the senders' calls, an entity for those that begin alike, read again: prefixes and whole calls."""
+    calls = i.spots.select(F.col("sc").alias("call")).distinct().where("length(call) >= 2").withColumn("prefix", e("substr(call, 1, 2)"))
+    lines = calls.groupBy("prefix").agg(e("concat('Land ', prefix, ': 14: 28: EU: ', 40 + cast(substr(prefix, 2, 1) as int), '.50: ', cast(substr(prefix, 2, 1) as int) * 10, '.25: -1.0: *', prefix, ':\n    ', prefix, '(15)', array_join(transform(array_sort(collect_list(call)), c -> concat(',=', c, '[27]')), ''), ';')").alias("line"))
+    exact, prefixes = reference_tables.load_dxcc(lines.agg(F.concat_ws("\n", F.collect_list("line")).alias("text")))  # a line a prefix
+    return exact.withColumn("whole", F.lit(True)).unionByName(prefixes.withColumn("whole", F.lit(False)))
+
+
+def old_snapshots(i: Inputs) -> DataFrame:
+    """The global table as old snapshots, a band each, whose hours of the week hold two slots; read again."""
+    entry = F.struct("band", e("cast(slot div 2 + 24 * (distance_tier % 7) as int)").alias("hour_of_week"), "distance_tier", "snr_tier", "count")
+    bands_ = i.everywhere.groupBy("band").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("-", "slot", "distance_tier", "snr_tier").alias("key"), entry.alias("value")))).alias("buckets"))).alias("json"))
+    return reference_tables.import_baseline_json(bands_)
+
+
+def old_climatology(i: Inputs) -> DataFrame:
+    """The per-source table of even days, filled from an old snapshot of the beacons'."""
+    present = i.tables.source_daily.where("day % 2 = 0").withColumn("spot_count", F.col("spot_count") + 7)
+    return reference_tables.import_climatology_v1(i.tables.wspr_daily, present)
+
+
+def classified_names(i: Inputs) -> DataFrame:
+    """What kind of name each end's locators and calls are, some of them spoilt."""
+    names = i.spots.select(F.explode(e("array(sl, rc, concat(sl, 'AB'), concat(sl, 'Z'), concat('Z', sl), concat(rc, '/P'), concat(' ', lower(sl)), substr(sl, 1, 3), '', '!!')")).alias("name")).distinct()
+    return names.select("name", e(classify.classify_qth("name")).alias("kind"))
+
+
 def raw_targets(i: Inputs) -> DataFrame:
     return archive.scan_raw_for_targets(i.spark, i.tables.archive_path, i.now - 86400, i.now, ["JO3", "JO31", "S17", "R5"]).select("spot_id", "sl", "rl", "sc", "rc")
 
@@ -327,6 +359,15 @@ def cluster_coverage(i: Inputs) -> DataFrame:
     return baselines.cluster_coverage(i.clusters, i.everywhere).select(r6("coverage"))
 
 
+def span_coverage(i: Inputs) -> DataFrame:
+    """Slot rates of a cluster table that began five days ago, and of one of which that isn't known."""
+    began = i.spots.where(F.col("day") >= i.today - 5)
+    clusters = baselines.cluster_baseline(began)
+    firsts = i.span.select(F.col("first_t").alias("global_first"), F.lit(baselines.eligible(began).agg(F.min("t")).first()[0]).cast("long").alias("cluster_first"), F.lit(i.now).alias("now"))
+    out = [baselines.slot_rates(baselines.baseline_with_fallback(clusters, i.everywhere, i.anchors()), i.span, baselines.cluster_coverage(clusters, i.everywhere, f)).select("anchor", "band", "slot", "used_cluster", "support", r6("rate"), F.lit(name).alias("way")) for name, f in (("span", firsts), ("counts", firsts.withColumn("cluster_first", F.lit(None).cast("long"))))]
+    return out[0].unionByName(out[1])
+
+
 def baseline_fallback(i: Inputs) -> DataFrame:
     return i.pairs
 
@@ -559,6 +600,10 @@ def prop_summary(i: Inputs) -> DataFrame:
     return nowcast.prop_summary(nowcast.rollup(_cells(i)))
 
 
+def surge_strength(i: Inputs) -> DataFrame:
+    return nowcast.surge_strength(nowcast.rollup(_cells(i))).where("strength is not null").select("qth", "band", "region", "strength", "z")
+
+
 def prop_headline(i: Inputs) -> DataFrame:
     return nowcast.headline(nowcast.surge_strength(nowcast.rollup(_cells(i))), i.qths())
 
@@ -607,7 +652,15 @@ def top_reports(i: Inputs) -> DataFrame:
 
 
 def grid_squares(i: Inputs) -> DataFrame:
-    return spatial.grid_squares(i.matched(24)).select("qth", "square", "spots", r6("top_quarter_snr"))
+    listed = F.array_join(F.transform(F.map_entries("bands"), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
+    return spatial.grid_squares(i.matched(24)).select("qth", "square", "spots", r6("top_quarter_snr"), listed.alias("bands"), "dominant")
+
+
+def distinct_spots(i: Inputs) -> DataFrame:
+    """The matched spots, of which a third was read again by another way, each once."""
+    m = i.matched()
+    again = m.where("spot_id % 3 = 0").withColumns({"spot_id": F.col("spot_id") + 10_000_000_000, "sender": F.lower("sender"), "band": F.upper("band")})
+    return spatial.distinct_spots(m.unionByName(again)).select("qth", "spot_id", "t", "band", "sender", "receiver", "remote", "snr")
 
 
 def history(i: Inputs) -> DataFrame:
@@ -679,7 +732,7 @@ def almanac_lanes(i: Inputs) -> DataFrame:
 
 
 def almanac_snr_lanes(i: Inputs) -> DataFrame:
-    return i.lanes(-10)
+    return i.lanes(-10).withColumn("part", e(numbers.share_value("share")))
 
 
 def open_today(i: Inputs) -> DataFrame:
@@ -780,6 +833,26 @@ def feed_lag(i: Inputs) -> DataFrame:
     return live.eval_now(live.feed_lag(live.lag_minutes(late), asked), 15, 60)
 
 
+def recent_spots(i: Inputs) -> DataFrame:
+    """What the stream of the last hour's spots holds now."""
+    return stateful.recent_spots(i.since(7200), i.now)
+
+
+def delivered(i: Inputs) -> DataFrame:
+    """The last hour's spots for subscribers with filters."""
+    rows = [("a", "JO32", False, None, False, False, "", None, None), ("b", "JO31", True, ["20m", "40m"], True, False, "ssb", 0, -15), ("c", "S17", False, [], False, True, "cw", 5, -12), ("d", "FN45", False, ["2m"], None, None, None, None, None), ("e", "JO31", True, None, True, True, "cw", 0, -15)]
+    asked = i.spark.createDataFrame(rows, f"client string, qth string, surroundings boolean, {live.FILTERS}")
+    return live.delivered(i.since(3600), asked).drop("source")
+
+
+def maintained_baseline(i: Inputs) -> DataFrame:
+    """The archive read as a stream that keeps the tables of counts, and the global one read back."""
+    folder = f"{tables.shared_root(i.spark)}/bandloom/stream-{uuid.uuid4().hex}"
+    source = i.spark.readStream.schema(i.raw.schema).parquet(i.tables.archive_path)
+    maintain.maintain(source, folder, f"{folder}/check").awaitTermination()
+    return maintain.read_table(i.spark, folder, "global_baseline")
+
+
 def windowed_activity(i: Inputs) -> DataFrame:
     return live.windowed_activity(i.spots, "5 minutes")
 
