@@ -32,6 +32,11 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
+def in_order(ids: set[str | None]) -> list[str | None]:
+    """Item ids sorted as strings, and at the end null if there are items without an id."""
+    return [*sorted(x for x in ids if x is not None), *([None] if None in ids else [])]
+
+
 class Index:
     """An Aho-Corasick automaton over the benchmark's words, and a table of its windows.
 
@@ -40,7 +45,7 @@ class Index:
     and the windows around a block are confirmed in the table.
     """
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int = WINDOW) -> None:
         import ahocorasick
 
         self.width, self.block = width, max(1, width // 2)
@@ -83,7 +88,7 @@ class Index:
             at += 1
         return out
 
-    def scan(self, w: list[bytes]) -> tuple[np.ndarray, list[str]]:
+    def scan(self, w: list[bytes]) -> tuple[np.ndarray, list[str | None]]:
         """Positions of the words that lie in windows, and the sorted ids of the items that have these."""
         if self.automaton is None or not w:
             return np.zeros(0, np.int64), []
@@ -107,7 +112,7 @@ class Index:
         ends = np.array(spans)
         np.add.at(delta, ends[:, 0], 1)
         np.add.at(delta, ends[:, 1], -1)
-        return np.flatnonzero(np.cumsum(delta[:-1])), sorted({self.ids[k] for k in items})
+        return np.flatnonzero(np.cumsum(delta[:-1])), in_order({self.ids[k] for k in items})
 
 
 def char_spans(text: str, hits: np.ndarray) -> list[tuple[int, int]]:
@@ -123,7 +128,7 @@ def char_spans(text: str, hits: np.ndarray) -> list[tuple[int, int]]:
 
 def _shards(benchmark: DataFrame, item_column: str, text_column: str, limit: int) -> list[str]:
     """Folders that hold the benchmark, each with some ``limit`` bytes of text at most; the tasks read them, the driver doesn't."""
-    items = benchmark.select(F.col(f"`{item_column}`").cast("string").alias("item_id"), F.col(f"`{text_column}`").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col(f"`{item_column}`").cast("string").alias("item_id"), F.col(f"`{text_column}`").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     count = max(1, -(-total // limit))
     folder = shared_folder(benchmark.sparkSession, "benchmark")
@@ -182,7 +187,7 @@ def _gathered(names: list[str]):
             for batch in text_slices(whole, "scanned_text", SCAN_BYTES):
                 hits = [np.unique(np.array(x or [], np.int64)) for x in batch.column("hits").to_pylist()]
                 counts = [len(words(x)) for x in batch.column("scanned_text").to_pylist()]
-                yield _answer(batch, names, hits, [sorted(x or []) for x in batch.column("found").to_pylist()], counts)
+                yield _answer(batch, names, hits, [in_order(set(x or [])) for x in batch.column("found").to_pylist()], counts)
 
     return run
 
@@ -212,8 +217,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], i
     A document word is hit if it lies in an occurrence of a window of the benchmark: ``width`` words in a row of an item,
     or all words of a shorter one. spans are the character ranges of the hit words in the original text.
 
-    Null texts have no words; items that are null or have no words have no windows; items with a null id are left out;
-    rows of one item id count as one item. The benchmark is written to the shared folder, and each Python process builds
+    Null texts have no words; items that are null or have no words have no windows; rows of one item id count as one item,
+    and so do those without an id, which stand as null at the end of items. The benchmark is written to the shared folder, and each Python process builds
     its automaton once; the driver reads none of it. Each text is scanned once if the benchmark has at most
     ``automaton_bytes`` bytes; a larger one makes as many automata as it takes, each of which scans all texts in tasks of
     its own, and a text's hits are gathered by row. Empty tables and repeated rows need no special care.

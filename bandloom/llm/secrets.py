@@ -9,7 +9,7 @@ import re
 import string
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, product
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,10 @@ SHORT = re.compile(r"(?:pass|pwd|secret|token|key|auth)[a-z]*[\"']?\s?(?:=>|[:=]
 NAMING = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "auth", "bearer", "credential", "private")
 PLACEHOLDER = ("example", "sample", "dummy", "test", "demo", "fake", "mock", "placeholder", "changeme", "your", "null", "none", "todo", "lorem", "default", "password", "secret", "token", "http", "https", "www", "com", "org", "net", "mail", "html", "index", "image")
 
-#: Labelled findings that the forest is fitted on at most, more being thinned by a hash of the finding; fewer than
-#: LEAST_LABELLED fit none. Documents that findings are planted into where none are given, about, each with one of each label.
-MOST_LABELLED, LEAST_LABELLED, PLANTED_DOCUMENTS = 20_000, 40, 4_000
+#: Labelled findings that the forest is fitted on at most, more being thinned by a hash of the finding; where fewer than
+#: LEAST_LABELLED are given, planted ones are added. Times that a value of each label is planted, about: one a document
+#: where there are as many documents, else more.
+MOST_LABELLED, LEAST_LABELLED, PLANTED_VALUES = 20_000, 40, 4_000
 
 #: Words of the dictionary: those of 3 to 12 letters that stand in most documents of the corpus.
 DICTIONARY_WORDS = 50_000
@@ -197,13 +198,13 @@ def plant(doc_id: int | None, text: str, secret: bool, words: list[str], seed: i
     value = planted_value(rng, secret, words or ["word", "other"])
     before, _, after = rng.choice(CARRIERS).partition("{value}")
     before, after = (x.format(name=name, upper=name.upper()) for x in (before, after))
-    gaps = [m.start() for m in re.finditer(r"\s", text[:20_000])] or [len(text)]
-    at = rng.choice(gaps)
+    gap = re.compile(r"\s").search(text, rng.randrange(len(text) + 1))
+    at = gap.start() if gap else len(text)
     start = at + 1 + len(before)
     return f"{text[:at]} {before}{value}{after} {text[at:]}", start, start + len(value)
 
 
-def _planted(dictionary, seed: int):
+def _planted(dictionary, seed: int, times: int):
     schema = SCHEMA + ", label int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +213,8 @@ def _planted(dictionary, seed: int):
             for batch in text_slices(whole, "text", 4 << 20):
                 rows = []
                 for doc_id, path, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "path", "text")), strict=True):
-                    for secret in (True, False):
-                        more, start, end = plant(doc_id, text or "", secret, words, seed)
+                    for secret, nth in product((True, False), range(times)):
+                        more, start, end = plant(doc_id, text or "", secret, words, seed + nth * 1_000_003)
                         near = more[max(0, start - 200) : end + 200]
                         shift = max(0, start - 200)
                         for a, b in spans(near):
@@ -225,13 +226,15 @@ def _planted(dictionary, seed: int):
     return run, schema
 
 
-def planted_findings(docs: DataFrame, dictionary, most: int = PLANTED_DOCUMENTS, seed: int = 1, id_column: str = "doc_id", path_column: str = "source", text_column: str = "text") -> DataFrame:
+def planted_findings(docs: DataFrame, dictionary, most: int = PLANTED_VALUES, seed: int = 1, id_column: str = "doc_id", path_column: str = "source", text_column: str = "text") -> DataFrame:
     """Labelled findings (candidates with label) from about ``most`` documents, chosen by a hash of id and text, each with a
-    random key planted in it and, apart from that, something that only looks like one. The label is known from what was
-    planted; no feature is asked."""
+    random key planted in it and, apart from that, something that only looks like one. Fewer documents get as many values
+    by turns, anywhere in them, so that the forest has its sample over any table that has a text. The label is known from
+    what was planted; no feature is asked."""
     slim = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{path_column}`").cast("string").alias("path"), F.col(f"`{text_column}`").alias("text")).where("text is not null")
-    share = most / max(1, slim.count())
-    run, schema = _planted(dictionary, seed)
+    n = max(1, slim.count())
+    share = most / n
+    run, schema = _planted(dictionary, seed, max(1, -(-most // n)))
     return slim.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).mapInArrow(run, schema)
 
 
@@ -272,9 +275,10 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, **options)
     """doc_id, start, end, left_word, secret_sha256, score, is_secret for each candidate in the whole texts.
 
     ``labelled`` has doc_id, start and label (0 or 1) of known findings; the forest is fitted on those that are candidates
-    here. Without it, the forest is fitted on findings that are planted in a sample of the documents. The dictionary of
+    here. Without it, the forest is fitted on findings that are planted in a sample of the documents; a few given ones are
+    joined by planted ones. The dictionary of
     the corpus is counted over all texts. The secret itself is not returned, only its digest. Candidates that the forest
-    rejects stay, with is_secret false; with too few labelled findings all candidates are taken for secrets.
+    rejects stay, with is_secret false.
 
     Null and empty texts have no candidates; null ids and paths are allowed; repeated rows give repeated findings; an
     empty table gives an empty result; other columns are ignored. Runs are candidates at any length from 15 characters,
@@ -285,9 +289,11 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, **options)
     dictionary = spark.sparkContext.broadcast(corpus_dictionary(docs, options.get("text_column", "text")))
     found = stored(find_candidates(docs, dictionary, **options), shared_folder(spark, "candidates"))
     if labelled is not None:
-        known = found.join(labelled.select("doc_id", "start", "label").distinct(), ["doc_id", "start"])
-    else:
-        known = stored(planted_findings(docs, dictionary, **options), shared_folder(spark, "planted"))
+        known = stored(found.join(labelled.select("doc_id", "start", "label").where("label is not null").distinct(), ["doc_id", "start"]), shared_folder(spark, "known"))
+        by_label = [r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()]
+    if labelled is None or len(by_label) < 2 or sum(by_label) < LEAST_LABELLED:
+        planted = planted_findings(docs, dictionary, **options)
+        known = stored(planted if labelled is None else planted.unionByName(known.select(planted.columns)), shared_folder(spark, "planted"))
     scored = score_findings(found, fit_forest(known))
     return scored.select("doc_id", "start", "end", "left_word", "secret_sha256", "score", "is_secret")
 

@@ -1,6 +1,7 @@
 """Secrets that are rare, long or assigned without quotes are found as in a small table of plain ones."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -64,3 +65,27 @@ def test_no_false_positives_in_the_given_documents(spark):
     real = {(r.doc_id, r.start) for r in rows if docs[r.doc_id][max(0, r.start - 9) : r.start].lower() == 'token = "'}
     taken = {(r.doc_id, r.start) for r in rows if r.is_secret}
     assert real and real <= taken and len(taken - real) <= 0.01 * len(rows)
+
+
+def test_few_documents_are_judged_as_many_are(spark):
+    """The forest has its sample at any size: the same texts get the same answers in a table of 6 rows and in one of 200."""
+    words = [a + b for a in ("river", "stone", "cloud", "market", "window") for b in ("side", "path", "land", "work", "light", "field")]
+    rng = random.Random(11)
+    prose = lambda: " ".join(rng.choices(words, k=80))
+    few = [f'{prose()} token = "9f8Ab4c1Xe7d3K6z0b2A9Qw" {prose()}', f"{prose()} 192.168.100.200.14 {prose()}", f"{prose()} {'-'.join(words[:4])} {prose()}", f"{prose()} API_KEY=4fe1c2a09b7d4e6f8a1b3c5d7e9f0a2b {prose()}", f"{prose()} 2024-10-11T12.13.14 {prose()}", prose()]
+    many = few + [prose() for _ in range(194)]
+
+    def judged(texts):
+        docs = spark.createDataFrame([(k, x, "web") for k, x in enumerate(texts)], "doc_id long, text string, source string")
+        return {(r.doc_id, r.start): r.is_secret for r in secrets.scan_secrets(docs).collect() if r.doc_id < 6}
+
+    found = judged(few)
+    assert found == judged(many)
+    assert {d for (d, _), secret in found.items() if secret} == {0, 3} and {d for (d, _), secret in found.items() if not secret} >= {1, 4}
+
+
+def test_few_given_labels_are_joined_by_planted_ones(spark):
+    docs = spark.createDataFrame([(k, f'the river side token = "{"9f8Ab4c1Xe7d3K6z0b2A" + str(k)}" and 192.168.100.200.{k}', "web") for k in range(8)], "doc_id long, text string, source string")
+    known = spark.createDataFrame([(0, 24, 1), (1, 24, None)], "doc_id long, start long, label int")
+    found = secrets.scan_secrets(docs, known).collect()
+    assert {r.is_secret for r in found} == {True, False} and {r.score for r in found} != {1.0}

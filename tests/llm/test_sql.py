@@ -33,7 +33,7 @@ def hard(spark, tmp_path_factory):
         1: None, 2: "", 3: " \t\n", 4: "one two", 5: "ONE two", 6: " ".join(words), 7: " ".join(words).upper(), 8: " ".join([*words[:37], "x"]), 9: " ".join(words[20:] + words[:20]),
         10: "one-two, THREE!", 11: "Ünï wörd ünï", 12: " ".join(words * 30), 13: "a b c d e f a b c d e f a b c d e f", 14: "line\nline\nline\x0bline",
     }
-    items = {5: None, 10: "", 2: "...", 100: "one two three", 7: " ".join(words[5:25]), 8: "one two", 9: "ünï wörd"}
+    items = {5: None, 10: "", 2: "...", 100: "one two three", 7: " ".join(words[5:25]), 8: "one two", 9: "ünï wörd", None: "a b c d e f a b c d e"}
     vectors = {0: None, 1: [], 2: [0.0, 0.0], 3: [1.0, 0.0], 4: [2.0, 0.0], 5: [1.0, 0.1], 6: [1.0, None], 7: [float("nan"), 1.0], 8: [float("inf"), 0.0], 9: [-1.0, 0.0], 10: [1.0, 0.0, 0.0], 11: [0.9, 0.35]}
     pages = [(1, "http://A.example.org:8080/x?y=1#z", "same"), (2, "https://b.example.org", "same"), (3, None, None), (4, "", ""), (5, "https://c.example.org:443/", "ünï"), (6, "http://d.example.org/?", "alone")]
     spark.createDataFrame([(k, v, "en", "s", 1) for k, v in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")

@@ -114,15 +114,17 @@ def test_contamination_matches_plain_search(spark, limit):
     """The small limit deals the benchmark to several automata."""
     long = "Q: Which of the twelve apples, said K, fell on Newton's head at noon? A: the 4th"
     items = [(1, long), (20, "short item"), (3, None), (4, "..."), (5, "short item"), (6, "a a a a a a a a a a a a"), (7, "ÄPFEL und Birnen"), (None, "never listed words")]
-    texts = [f"before {long.upper()} after", "Which of the twelve apples said K fell on Newton s", "short, ITEM!", "shortitem", "a " * 25, "äpfel Äpfel UND birnen", "which of the twelve apples said k fell on newton", *EDGE_TEXTS]
+    texts = [f"before {long.upper()} after", "Which of the twelve apples said K fell on Newton s", "short, ITEM!", "shortitem", "a " * 25, "äpfel Äpfel UND birnen", "which of the twelve apples said k fell on newton", "so never listed words, so", *EDGE_TEXTS]
     docs = spark.createDataFrame([(k, x, "n_hit") for k, x in enumerate(texts)], "doc_id long, text string, items string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.find_contamination(docs, bench, ["doc_id"], automaton_bytes=limit).collect()
     for r in found:
-        ids = [x for x in items if x[0] is not None]
-        n, hit, n_items, digest, bad = contamination_expected(texts[r.doc_id], ids)
-        assert (r.n_words, r.n_hit, len(r["items"]), r.contaminated) == (n, hit, n_items, bad)
-        assert hashlib.sha256(",".join(r["items"]).encode()).hexdigest() == digest
+        n, hit, _, _, bad = contamination_expected(texts[r.doc_id], [(k, x) for k, (_, x) in enumerate(items)])
+        _, _, n_items, digest, _ = contamination_expected(texts[r.doc_id], [x for x in items if x[0] is not None])
+        named = [x for x in r["items"] if x is not None]
+        assert (r.n_words, r.n_hit, len(named), r.contaminated) == (n, hit, n_items, bad)
+        assert hashlib.sha256(",".join(named).encode()).hexdigest() == digest
+        assert (None in r["items"]) == ("never listed words" in (texts[r.doc_id] or ""))
     spans = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in found}
     assert spans[0] == [long.upper()] and spans[2] == ["short, ITEM"] and spans[5] == ["Äpfel UND birnen"]
     clean = decontaminate.drop_contaminated(docs, bench)
