@@ -156,7 +156,9 @@ def corpus_dictionary(docs: DataFrame, text_column: str = "text", most: int = DI
     """The ``most`` words that stand in most documents, of at least two."""
     bound_batches(docs.sparkSession)
     counts = docs.select(F.col(f"`{text_column}`").alias("text")).mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return frozenset(r["word"] for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect())
+    # Written first: each task's words meet in a task, and only those that are left come to the driver.
+    top = stored(counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word"), shared_folder(docs.sparkSession, "dictionary"))
+    return frozenset(r["word"] for r in top.collect())
 
 
 def find_candidates(docs: DataFrame, dictionary, id_column: str = "doc_id", path_column: str = "source", text_column: str = "text") -> DataFrame:
