@@ -357,4 +357,51 @@ TEXTS |= {
     "feed_lag": "select now, lag, fresh, now - case when lag < 120 or lag > 1800 then 0 else least(lag, 2640) end as eval_now from lag",
 }
 
+# Windows of the almanac, with two spots for an open path and with one.
+for _one, _spots in (("", "2"), ("1", "1")):
+    _own = lambda text, one=_one: text.replace(" from lanes", f" from lanes{one}").replace(" from usual ", f" from usual{one} ").replace(" from bridged", f" from bridged{one}")
+    if _one:
+        PARTS["lanes1"] = PARTS["lanes"].replace("n >= 2", "n >= 1")
+        TEXTS["open_today_one"] = TEXTS["open_today"].replace("inside.n >= 2", "inside.n >= 1")
+        PARTS |= {k + _one: _own(PARTS[k]) for k in ("usual", "bridged", "runs")}
+        TEXTS["usual_windows_one"] = "select * from runs1"
+    _name = "_one" if _one else ""
+    PARTS |= {
+        f"ag{_one}a": f"select *, case when ongoing then 0 else (start * 30 - minute + 1440) % 1440 end as starts_in from (select *, (now_slot - start + 48) % 48 < len as ongoing, now % 86400 // 60 as minute from runs{_one}, n)",
+        f"ag{_one}p": f"select area, band, region, start, slot as peak_slot, n as peak_n, m as peak_m from (select r.area, r.band, r.region, start, slot, u.n, m, row_number() over (partition by r.area, r.band, r.region, start order by cast(u.n as double) / m desc, m desc, i) as nth from (select *, unnest(range(len)) as i from ag{_one}a) r join usual{_one} u on u.area = r.area and u.band = r.band and u.region = r.region and slot = (start + i) % 48 where usual) where nth = 1",
+        f"ag{_one}": f"select area, band, region, start, len, len < 48 and start + len > 48 as crosses_midnight, len >= 48 as all_day, if(ongoing, 'ongoing', 'upcoming') as status, starts_in, peak_slot, peak_n, peak_m, (area, band, region) in (select (area, band, region) from ({TEXTS['open_today' + _name]})) as open_today, row_number() over (partition by area order by ongoing desc, starts_in, cast(peak_n as double) / greatest(peak_m, 1) desc nulls last, band, region, start) as nth from ag{_one}a left join ag{_one}p using (area, band, region, start) where ongoing or starts_in <= 720",
+    }
+    TEXTS |= {
+        f"agenda{_name}": f"select * from ag{_one}",
+        f"agenda_text{_name}": f"select a.area, case when lit is null and soon is null then 'Nothing usually open in the next 12 h' else concat_ws('. ', 'Now usually: ' || lit, 'Next: ' || soon) end as text from areas a left join (select area, string_agg(path, ', ' order by nth) as lit from (select area, band || ' ' || region as path, min(nth) as nth, row_number() over (partition by area order by min(nth)) as k from ag{_one} where status = 'ongoing' group by area, band, region) where k <= 3 group by area) x on x.area = a.area left join (select area, arg_min(band || ' ' || region || ' ~' || lpad(cast(start // 2 as varchar), 2, '0') || if(start % 2 = 1, ':30', ':00'), nth) as soon from ag{_one} where status = 'upcoming' group by area) y on y.area = a.area",
+    }
+
+# Calendar months of the seasonal record, by the calendar itself.
+PARTS |= {
+    "seas": f"select area, band, region, year(d) * 100 + month(d) as ym, day, slot, sum(least(spot_count, 255)) as n from (select *, date '1970-01-01' + cast(day as int) as d from rd join sq on target4 = square and ring <= 1 where band in ({LISTED})) group by all",
+    "sfull": "select ym, g.day, s.slot, coalesce(spot_total, 0) as x from (select ym, date_diff('day', date '1970-01-01', cast(unnest(generate_series(f, last_day(f), interval 1 day)) as date)) as day from (select distinct ym, make_date(ym // 100, ym % 100, 1) as f from seas)) g cross join (select unnest(range(48)) as slot) s left join ing on ing.day = g.day and ing.slot = s.slot",
+    "sok": "select area, band, ym, day, slot from (select distinct area, band, unnest([day, if(slot = 0, day - 1, day)]) as day, unnest([slot, if(slot = 0, 47, slot - 1)]) as slot from seas) join (select * from (select *, median(x) over (partition by ym, slot) as med from sfull) where x > 0 and x >= cast(0.10 as double) * med) using (day, slot)",
+    "smonths": "select l.area, l.band, l.region, 'pskr' as layer, l.ym as year_month, cast(l.slot as int) as slot, coalesce(n, 0) as n, coalesce(m, 0) as m, coalesce(days, 0) as days from (select distinct area, band, region, ym, s as slot from seas, (select unnest(range(48)) as s)) l left join (select area, band, ym, slot, count(*) as m from sok group by all) a on a.area = l.area and a.band = l.band and a.ym = l.ym and a.slot = l.slot left join (select area, band, ym, count(distinct day) as days from sok group by all) b on b.area = l.area and b.band = l.band and b.ym = l.ym left join (select seas.area, seas.band, seas.region, seas.ym, seas.slot, count(*) as n from seas join sok on sok.area = seas.area and sok.band = seas.band and sok.day = seas.day and sok.slot = seas.slot where seas.n >= 2 group by all) c on c.area = l.area and c.band = l.band and c.region = l.region and c.ym = l.ym and c.slot = l.slot",
+}
+TEXTS |= {
+    "season_months": "select * exclude (layer) from smonths where m > 0",
+    "season_pick": "select area, band, region, layer, year_month from (select *, row_number() over (partition by area, band, region, year_month % 100 order by year_month desc) as nth from (select distinct area, band, region, layer, year_month, date_diff('month', make_date(year_month // 100, year_month % 100, 1), date '1970-01-01' + cast(today as int)) as back from smonths, n where days >= 8) where back between 0 and 59) where nth = 1",
+    "acceptance": "with t(id, area, bands, regions, hours, low, high, stat, combine) as (values ('1', 'JO31+', ['20m'], ['NA'], range(26, 36), cast(0.5 as double), cast(null as double), 'median', 'all'), ('2', 'JO31+', ['40m', '30m'], ['SA', 'AF'], [44, 45, 46, 47, 0, 1, 2, 3, 4, 5], 0.3, null, 'median', 'any'), ('3', 'JO32', ['10m'], ['KH6', 'EU'], range(48), null, 0.2, 'max', 'all'), ('4', 'FN45+', ['15m'], ['EU'], range(12, 20), 0.1, 0.9, 'median', 'all')), paths as (select id, area, band, unnest(regions) as region, hours, low, high, stat, combine from (select *, unnest(bands) as band from t)), shares as (select v.*, if(m >= 10, cast(n as double) / m, null) as share from (select *, unnest(hours) as slot from paths) v left join lanes using (area, band, region, slot)), seen as (select id, combine, low, high, band, region, count(share) * 2 >= count(*) and count(share) > 0 as enough, if(stat = 'max', max(share), median(share)) as x from shares group by id, combine, low, high, stat, band, region), verdicts as (select id, combine, case when not enough then 'INCONCLUSIVE' when (low is null or x >= low) and (high is null or x <= high) then 'PASS' else 'FAIL' end as v from seen) select id, coalesce(case when combine = 'any' then max(v) filter (where v = 'PASS') else max(v) filter (where v = 'FAIL') end, case when combine = 'any' then max(v) filter (where v = 'INCONCLUSIVE') else max(v) filter (where v = 'PASS') end, max(v)) as verdict from verdicts group by id, combine",
+}
+
+# Trends over two hours; where the area was widened, of the last, which live spots cover, alone.
+_TWO_HOURS = f"hit join p using (spot_id), n where t between now - 7200 and now and snr >= -15 and {IN_SCOPE} and qth in ('FN45', 'JO31')"
+TEXTS["trends_widened"] = (
+    f"with counts as (select qth, band, least((t - now + 7200) // 600, 11) as bin, count(*) as c from {_TWO_HOURS} group by all), listed as (select qth, band, bin, coalesce(c, 0) as c, max(c) over (partition by qth, band) as top from (select distinct qth, band, b as bin from counts, (select unnest(range(12)) as b)) left join counts using (qth, band, bin)), "
+    f"scaled as (select qth, band, bin, {R('cast(c as double) / top * 100', 2)} as v, coalesce(widened, false) as widened from listed left join la using (qth)), "
+    "sums as (select qth, band, if(widened, avg(v) filter (where bin between 9 and 11) - avg(v) filter (where bin between 6 and 8), avg(v) filter (where bin between 6 and 10) - avg(v) filter (where bin between 1 and 5)) as slope from scaled group by qth, band, widened) "
+    f"select qth, band, {classify.trend_word('slope', 6)} as trend, {R('slope / 10', 2)} as trend_delta from sums"
+)
+
+# Calls: answers of last week's reports, and centres of four made entities by hand.
+TEXTS |= {
+    "resolve_call_locators": "with heard as (select call as k, loc, case when length(call) = 3 then 'qrz' when call like '%7' then 'negative' else 'feed' end as src, seen from (" + TEXTS["call_locators"] + ")), asked as (select if(length(sc) = 4, sc || '/P', sc) as call, now + 601200 as now, sc from (select distinct sc from p), n), fresh as (select call, now, k = call as plain, heard.loc, src from asked join heard on k in (call, sc) where asked.now - seen <= if(src = 'qrz', 2592000, 604800)), best as (select call, arg_min(src, pref) as src, arg_min(loc, pref) as loc from (select *, case when src = 'feed' then if(plain, 1, 2) when src = 'qrz' then if(plain, 3, 4) when plain then 5 end as pref from fresh) where pref is not null group by call) select call, now, coalesce(src, 'miss') as origin, if(src in ('feed', 'qrz'), loc, null) as loc from asked left join best using (call)",
+    "resolve_dxcc": f"select qth, locator, case when locator is not null then {grid.cluster_anchor('locator')} end as anchor, case when is_square then 'locator' when locator is not null then 'entity' else 'unknown' end as origin from (select qth, is_square, case when is_square then qth when qth = 'S17' then 'QH50' when qth like 'S39%' then 'PM95' when qth like 'S1%' then 'FN20' when qth like 'S%' then 'JO50' end as locator from (select distinct qth, regexp_full_match(qth, '[A-R]{{2}}[0-9]{{2}}') as is_square from (select unnest([sc, rc, s4]) as qth from p)))",
+}
+
 ORACLE_SQL = {name: sql(text) for name, text in TEXTS.items()}

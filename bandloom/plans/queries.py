@@ -103,9 +103,9 @@ class Inputs:
         """Spots of the last seconds; only their days are read."""
         return conditions.between(self.spots, self.now - seconds, self.now)
 
-    def lanes(self, floor: int | None = None) -> DataFrame:
+    def lanes(self, floor: int | None = None, open_spots: int = almanac.OPEN_SPOTS["pskr"]) -> DataFrame:
         levels, radius, active = self.almanac()
-        return almanac.almanac_lanes(levels, active, radius, floor=floor, snr_since=self.today - 20)
+        return almanac.almanac_lanes(levels, active, radius, open_spots, floor=floor, snr_since=self.today - 20)
 
     def almanac(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         store = lambda name, build: self.tables.counts(f"{name}-{AREAS_KEY}", build)
@@ -744,15 +744,36 @@ def usual_windows(i: Inputs) -> DataFrame:
     return almanac.usual_windows(i.lanes())
 
 
+def _agenda(i: Inputs, open_spots: int) -> DataFrame:
+    levels, radius, _ = i.almanac()
+    a = almanac.agenda(i.lanes(open_spots=open_spots), i.now % 86400 // 60, almanac.open_today(levels, radius, i.today, i.slot, open_spots))
+    return a.select("area", "band", "region", "start", "len", "crosses_midnight", "all_day", "status", "starts_in", "peak_slot", "peak_n", "peak_m", "open_today", "nth")
+
+
 def agenda(i: Inputs) -> DataFrame:
-    levels, radius, active = i.almanac()
-    lanes = almanac.almanac_lanes(levels, active, radius)
-    a = almanac.agenda(lanes, i.now % 86400 // 60, almanac.open_today(levels, radius, i.today, i.slot))
-    return a.select("area", "band", "region", "start", "len", "status", "starts_in", "peak_slot", "peak_n", "peak_m", "open_today", "nth")
+    return _agenda(i, almanac.OPEN_SPOTS["pskr"])
 
 
 def agenda_text(i: Inputs) -> DataFrame:
-    return almanac.agenda_text(almanac.agenda(i.lanes(), i.now % 86400 // 60), i.areas())
+    return almanac.agenda_text(agenda(i), i.areas())
+
+
+def open_today_one(i: Inputs) -> DataFrame:
+    """As open_today, with one spot enough, as the beacon layer has it; so the three that follow."""
+    levels, radius, _ = i.almanac()
+    return almanac.open_today(levels, radius, i.today, i.slot, almanac.OPEN_SPOTS["wspr"])
+
+
+def usual_windows_one(i: Inputs) -> DataFrame:
+    return almanac.usual_windows(i.lanes(open_spots=almanac.OPEN_SPOTS["wspr"]))
+
+
+def agenda_one(i: Inputs) -> DataFrame:
+    return _agenda(i, almanac.OPEN_SPOTS["wspr"])
+
+
+def agenda_text_one(i: Inputs) -> DataFrame:
+    return almanac.agenda_text(agenda_one(i), i.areas())
 
 
 def season_months(i: Inputs) -> DataFrame:

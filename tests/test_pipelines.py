@@ -156,7 +156,7 @@ def test_feed_lag_and_segments(spark):
     assert sorted((r.t0, r.t1) for r in live.live_segments(w).collect()) == [(0, 20), (0, 100), (30, 100), (50, 100)]
 
 
-CHECKED = ["raw_archive", "spot_paths", "cluster_baseline", "region_daily", "slot_rates", "region_calendar", "source_calendar", "match_spots", "band_events", "band_features", "remote_counts", "from_here_ends", "grid_squares", "coverage_intervals", "almanac_lanes", "live_area", "prop_cells_v2", "prop_rollup", "prop_headline", "from_here_cells", "from_here_surges", "history", "band_density", "lone_points", "snr_backfill"]
+CHECKED = ["raw_archive", "spot_paths", "cluster_baseline", "region_daily", "slot_rates", "region_calendar", "source_calendar", "match_spots", "band_events", "band_features", "remote_counts", "from_here_ends", "grid_squares", "coverage_intervals", "almanac_lanes", "live_area", "prop_cells_v2", "prop_rollup", "prop_headline", "from_here_cells", "from_here_surges", "history", "band_density", "lone_points", "snr_backfill", "season_months", "season_pick", "acceptance", "agenda_text_one", "resolve_call_locators", "resolve_dxcc"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
