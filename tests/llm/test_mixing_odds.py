@@ -58,3 +58,29 @@ def test_longer_documents_are_taken_more_often(spark):
     z0 = (2 * z[2] + 30 * z[30]) / 32
     lean = min(mixing.LEAN, 1 / f - 1)
     assert abs(short - f * (1 + lean * (z[2] - z0))) < 0.04 and abs(long - f * (1 + lean * (z[30] - z0))) < 0.04 and long > short + 0.1
+
+
+def test_repeated_rows_are_dealt_evenly(spark, monkeypatch):
+    """A quarter of the rows has no id and few texts: sources still meet their targets, and rows differ by one copy at most."""
+    rows = [(None if k % 4 == 0 else k, "w " * (1 + k // 4 % 50), "abc"[k % 3], k) for k in range(12000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    found = mixing.mix(docs).collect()
+    targets = dict(zip("abc", sorted({r.target for r in found}), strict=True))
+    assert len(found) == len(rows)
+    for target in targets.values():
+        own = [r for r in found if r.target == target]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 50 and max(r.copies for r in own) - min(r.copies for r in own) <= 1
+    for limit in (100_000, 40):
+        monkeypatch.setattr(mixing, "ROWS_A_TASK", limit)
+        kept = mixing.mixed_documents(docs).groupBy("source", "text").count().collect()
+        for source in "abc":
+            parts = 0 if limit > 40 else 50 * 25 * 4
+            assert abs(sum(r["count"] * len(r.text.split()) for r in kept if r.source == source) - targets[source]) <= 50 + parts
+
+
+def test_rows_that_are_all_alike(spark):
+    docs = spark.createDataFrame([(7, "one two", "a")] * 1000 + [(8, "one two", "b")] * 1000, "doc_id long, text string, source string")
+    found = mixing.mix(docs, weights=(1.0, 3.0)).collect()
+    assert {(r.source_size, r.target) for r in found} == {(2000, 1000.0), (2000, 3000.0)}
+    assert sorted({t: sum(r.taken for r in found if r.target == t) for t in (1000.0, 3000.0)}.values()) == [1000, 3000]
+    assert {(r.source, r["count"]) for r in mixing.mixed_documents(docs, weights=(1.0, 3.0)).groupBy("source").count().collect()} == {("a", 500), ("b", 1500)}

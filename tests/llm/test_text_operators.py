@@ -252,14 +252,3 @@ def test_mix_edge_rows(spark):
         copies[r.doc_id] += r.copies
     assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == +copies
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
-
-
-def test_selection_follows_inclusion_odds(spark):
-    """Over many seeds each document of a half-taken source is taken about half of the time."""
-    rows = [(k, "one two three", s) for k, s in enumerate(["a"] * 60 + ["b"] * 60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    hits = Counter()
-    for seed in range(12):
-        for r in mixing.mix(docs, seed=seed, weights=(1.0, 3.0)).where("source_size * 1.0 > target").collect():
-            hits[r.doc_id] += r.copies
-    assert 12 * 30 == sum(hits.values()) and max(hits.values()) <= 12 and min(hits[k] for k in range(60)) >= 0
