@@ -113,11 +113,9 @@ def scored_events(events: DataFrame) -> DataFrame:
 def band_features(scored: DataFrame) -> DataFrame:
     """(qth, band) with counts of spots, links, stations and squares, and of distances and SNR; percentiles by nearest rank."""
     disc = lambda p, x: e(f"percentile_disc({p}) within group (order by {x})")
-    # Distinct counts of four keys would expand the rows fourfold: each key's first row is marked instead.
-    first = lambda *key: F.when(F.row_number().over(Window.partitionBy("qth", "band", *key).orderBy("spot_id")) == 1, 1)
-    marked = scored.withColumns({"new_link": first("sc", "rc", "remote"), "new_tx": first("sc"), "new_rx": first("rc"), "new_grid": F.when(F.col("remote4") != "", first("remote4"))})
-    return marked.groupBy("qth", "band").agg(
-        F.count(F.lit(1)).alias("links"), F.count("new_link").alias("unique_links"), F.count("new_tx").alias("unique_tx"), F.count("new_rx").alias("unique_rx"), F.count("new_grid").alias("unique_grids"),
+    # Each key is made distinct before the shuffle, in the one aggregation; a window for each would shuffle and sort all rows each time.
+    return scored.groupBy("qth", "band").agg(
+        F.count(F.lit(1)).alias("links"), F.count_distinct(F.struct("sc", "rc", "remote")).alias("unique_links"), F.count_distinct("sc").alias("unique_tx"), F.count_distinct("rc").alias("unique_rx"), F.count_distinct(e("nullif(remote4, '')")).alias("unique_grids"),
         F.avg("km").alias("avg_km"), disc(0.5, "km").alias("median_km"), disc(0.9, "km").alias("p90_km"), F.max("km").alias("max_km"), F.count_if(F.col("km") >= LONG_HAUL_KM).alias("long_haul"),
         F.avg("snr").alias("avg_snr"), disc(0.5, "snr").alias("median_snr"), disc(0.9, "snr").alias("p90_snr"), F.max("snr").alias("peak_snr"), F.count_if(F.col("snr") >= 0).alias("ssb_count"), F.count_if(F.col("snr") >= -12).alias("cw_count"),
         *[F.count_if(e(f"{classify.distance_tier('km')} = {k}")).alias(f"tier{k}") for k in range(5)],

@@ -1,5 +1,6 @@
 """Rules on hand-made rows: hot bands, agenda texts, seasons, acceptance, windows of each location's own, folds and compaction."""
 
+import math
 import shutil
 
 from pyspark.sql import functions as F
@@ -134,3 +135,19 @@ def test_compaction_that_broke_off_loses_and_doubles_nothing(spark, tmp_path):
     assert total() == 1111
     maintain.compact(spark, str(tmp_path), "global_baseline", 2)
     assert total() == 1111
+
+
+def test_band_features_in_one_aggregation(spark):
+    far = lambda k: (k * 37) % 5000
+    rows = [("A", "20m" if k % 3 else "40m", k, f"S{k % 7}", f"R{k % 11}", f"JO{k % 10}{k % 4}aa", f"JO{k % 10}{k % 4}" if k % 5 else "", float(far(k)), k % 40 - 25) for k in range(500)] + [("B", "20m", 1, "S", "R", "x", "", 10.0, 3)]
+    scored = spark.createDataFrame(rows, "qth string, band string, spot_id long, sc string, rc string, remote string, remote4 string, km double, snr int")
+    out = conditions.band_features(scored)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "ObjectHashAggregate" in plan and plan.count("Exchange hashpartitioning") == 2
+    for r in out.collect():
+        of = [x for x in rows if x[:2] == (r.qth, r.band)]
+        km, snr = sorted(x[7] for x in of), sorted(x[8] for x in of)
+        at = lambda x, p: x[math.ceil(p * len(x)) - 1]
+        assert (r.links, r.unique_links, r.unique_tx, r.unique_rx, r.unique_grids) == (len(of), len({x[3:6] for x in of}), len({x[3] for x in of}), len({x[4] for x in of}), len({x[6] for x in of} - {""}))
+        assert (r.median_km, r.p90_km, r.max_km, r.median_snr, r.p90_snr, r.peak_snr) == (at(km, 0.5), at(km, 0.9), km[-1], at(snr, 0.5), at(snr, 0.9), snr[-1])
+        assert r.long_haul == sum(x >= 3000 for x in km) and r.ssb_count == sum(x >= 0 for x in snr) and r.cw_count == sum(x >= -12 for x in snr)
