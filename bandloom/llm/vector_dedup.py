@@ -154,7 +154,7 @@ def _compare(threshold: float, shared: int):
         full = np.flatnonzero(counts)
         ends = np.array(edges, np.int64).reshape(-1, 2)
         return pa.table({
-            "node": pa.array(np.concatenate((nodes[full], np.zeros(len(ends), np.int64)))),
+            "node": pa.array(nodes[full].tolist() + [None] * len(ends), pa.string()),
             "n": pa.array(np.concatenate((counts[full], np.zeros(len(ends), np.int64)))),
             "a": pa.array([None] * len(full) + ids[ends[:, 0]].tolist(), pa.int64()),
             "b": pa.array([None] * len(full) + ids[ends[:, 1]].tolist(), pa.int64()),
@@ -203,7 +203,7 @@ def _lists(described: DataFrame, shared: int, block: int, long_blocks: int) -> D
 def vector_duplicates(embeddings: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = 0.95, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK, long_blocks: int = LONG_BLOCKS) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
-    Vectors are linked if their cosine is at least ``threshold``. Equal vectors are one class. Each class is described by
+    Vectors are linked if their cosine is at least ``threshold``. Equal vectors are one class, known by 128 bits of a digest. Each class is described by
     its nearest pivots in order; it enters the inverted list of each of them. A list of more than LONG_BLOCKS blocks is
     dealt to lists of two pivots, for ``shared`` of 2 or more, so that a row meets those alone with which it shares both.
     A list is compared in blocks of ``block`` rows, whatever its length; two rows that share at least ``shared`` pivots
@@ -218,7 +218,7 @@ def vector_duplicates(embeddings: DataFrame, id_column: str = "vec_id", vector_c
     spark: SparkSession = embeddings.sparkSession
     bound_batches(spark)
     slim = embeddings.select(F.col(f"`{id_column}`").alias("vec_id"), F.col(f"`{vector_column}`").cast("array<double>").alias("embedding"))
-    rows = stored(slim.mapInArrow(_vectors, "vec_id long, dim int, vector binary").withColumn("node", F.when(F.col("vec_id").isNotNull() & F.col("vector").isNotNull(), F.xxhash64("vector"))), shared_folder(spark, "vectors"))
+    rows = stored(slim.mapInArrow(_vectors, "vec_id long, dim int, vector binary").withColumn("node", F.when(F.col("vec_id").isNotNull() & F.col("vector").isNotNull(), F.md5("vector"))), shared_folder(spark, "vectors"))
     classes = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("dim").alias("dim"), F.first("vector").alias("vector"))
     classes = stored(classes, shared_folder(spark, "vector-classes"))
     described = stored(index_vectors(classes, nearest), shared_folder(spark, "pivot-index"))
@@ -227,7 +227,7 @@ def vector_duplicates(embeddings: DataFrame, id_column: str = "vec_id", vector_c
     lists = described.select("node", "rep", "copies", "vector", "nearest").join(places, "node")
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lists = lists.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
-    found = lists.groupBy("dim", "pivot", "second", "low", "high").applyInArrow(_compare(threshold, shared), "node long, n long, a long, b long")
+    found = lists.groupBy("dim", "pivot", "second", "low", "high").applyInArrow(_compare(threshold, shared), "node string, n long, a long, b long")
     found = stored(found, shared_folder(spark, "vector-links"))
     counts = found.where("a is null").groupBy("node").agg(F.sum("n").alias("others"))
     labels = components(found.where("a is not null").select("a", "b")).withColumnRenamed("node", "rep")
