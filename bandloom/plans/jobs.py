@@ -261,13 +261,17 @@ def snr_backfill(daily: DataFrame, raw: DataFrame, snr_start: int) -> DataFrame:
     """
     counters = ["snr_spots", *[baselines.floor_name(f) for f in baselines.FLOORS]]
     key = ["target4", "band", "slot", "region", "day"]
-    again = baselines.region_daily(raw.where("source = 'mqtt'"))
-    days = again.where(F.col("day") < snr_start).select("day").distinct().withColumn("gap", F.lit(snr_start) - F.col("day"))
-    run = days.agg(F.sort_array(F.collect_list("gap")).alias("g")).select(F.explode(e("filter(g, (x, i) -> x = i + 1)")).alias("gap"))  # one number a day
-    fit = days.join(run, "gap", "left_semi").select("day")
-    new = again.join(fit, "day", "left_semi").select(*key, *[F.col(c).alias(f"new_{c}") for c in counters])
-    merged = daily.join(new, key, "left")
-    return merged.select(*key, "spot_count", *[F.when(F.col(f"new_{c}").isNotNull(), F.least(f"new_{c}", "spot_count")).otherwise(F.col(c)).alias(c) for c in counters])
+    digital = raw.where((F.col("source") == "mqtt") & (F.col("day") < snr_start))
+    there = {r["day"] for r in baselines.region_ends(digital).select("day").distinct().collect()}  # one number a day
+    fit = []
+    while snr_start - 1 - len(fit) in there:
+        fit.append(snr_start - 1 - len(fit))
+    inside = F.col("day").isin(fit)
+    new = baselines.region_daily(digital.where(inside)).select(*key, *[F.col(c).alias(f"new_{c}") for c in counters])
+    # Only the days that are recounted meet in a join.
+    merged = daily.where(inside).join(new, key, "left")
+    merged = merged.select(*key, "spot_count", *[F.when(F.col(f"new_{c}").isNotNull(), F.least(f"new_{c}", "spot_count")).otherwise(F.col(c)).alias(c) for c in counters])
+    return merged.unionByName(daily.where(~F.coalesce(inside, F.lit(False))).select(merged.columns))
 
 
 def add_part_day(season: DataFrame, part: DataFrame) -> DataFrame:
