@@ -45,6 +45,8 @@ def call_locators(reports: DataFrame) -> DataFrame:
     seen is the time of the latest report from that square.
     """
     r = reports.select(e("upper(trim(call))").alias("call"), e(grid.normalize_locator("locator")).alias("loc"), "t").where("length(call) >= 3 and loc <> ''").withColumn("square", e("substr(loc, 1, 4)"))
+    # Each locator's latest time first: sums of numbers need no sort, and the structs are compared for a row a call and locator.
+    r = r.groupBy("call", "square", "loc").agg(F.max("t").alias("t"))
     # The last run of reports from one square: the largest t of any other square comes before it.
     squares = r.groupBy("call", "square").agg(F.max("t").alias("seen"), F.max_by("loc", F.struct(F.length("loc"), F.col("t"), F.col("loc"))).alias("loc"))
     latest = Window.partitionBy("call").orderBy(F.desc("seen"), F.desc("square"))
