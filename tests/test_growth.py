@@ -34,6 +34,20 @@ def test_a_window_has_all_its_spots(spark, data_dir):
         assert found.exceptAll(want).count() == want.exceptAll(found).count() == 0
 
 
+def test_the_newest_time_deals_no_events(spark, tmp_path):
+    events = 40_000
+    spark.range(events).selectExpr("id as event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 60) as ts", "id % 1500 as user_id").write.parquet(f"{tmp_path}/events.parquet")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    now = Inputs(spark, str(tmp_path)).now
+    assert shuffled() - before < events and now == spots(spark, str(tmp_path)).agg(F.max("t")).first()[0]
+
+
 def test_span_from_the_timed_baseline(spark, data_dir):
     whole = prepared(spots(spark, data_dir))
     for some in (whole, whole.where("band = 'none'")):
