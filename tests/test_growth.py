@@ -1,6 +1,7 @@
 """What queries write, shuffle and sort keeps to what they need, whatever the number of events."""
 
 import glob
+import os
 
 from pyspark.sql import functions as F
 
@@ -23,6 +24,28 @@ def test_windows_store_no_spots(spark, data_dir):
     assert glob.glob(f"{folder}/*") and not glob.glob(f"{folder}/spots*")
 
 
+def test_counts_and_bands_move_few_bytes_an_event(spark, data_dir, tmp_path):
+    events = spark.read.parquet(f"{data_dir}/events.parquet")
+    more = events.crossJoin(spark.range(10).withColumnRenamed("id", "copy")).withColumns({"event_id": F.expr("event_id + copy * 1000"), "user_id": F.expr("user_id + copy * 15")}).drop("copy")
+    more.write.parquet(f"{tmp_path}/events.parquet")
+    sc, n = spark.sparkContext._jsc.sc(), more.count()
+    folder = f"{tables.shared_root(spark).removeprefix('file:').replace('///', '/')}/bandloom/tables/{tables.Tables(spark, str(tmp_path)).state}"
+
+    def moved():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stored = sum(os.path.getsize(x) for x in glob.glob(f"{folder}/**", recursive=True) if os.path.isfile(x))
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite() + stored
+
+    before = moved()
+    for name in ("trends_widened", "old_snapshots", "source_calendar", "region_keys", "band_details", "activity_vs_normal", "hot_bands"):
+        QUERIES[name](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    assert moved() - before < 2000 * n
+    for name in ("season_counts", "area_activity"):
+        QUERIES[name](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    assert moved() - before < 4000 * n
+    assert not glob.glob(f"{folder}/spots*") and not glob.glob(f"{folder}/raw*")
+
+
 def test_a_window_has_all_its_spots(spark, data_dir):
     i = Inputs(spark, data_dir)
     whole = prepared(spots(spark, data_dir))
