@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bandloom.operators import almanac, baselines, callsigns
 from bandloom.plans import jobs, queries, tables
 from bandloom.plans.queries import QUERIES, Inputs
-from bandloom.plans.spots import prepared, spots
+from bandloom.plans.spots import prepared, spots, spots_by_half_hour
 from bandloom.streaming import live
 
 
@@ -46,6 +46,41 @@ def test_counts_and_bands_move_few_bytes_an_event(spark, data_dir, tmp_path):
     assert not glob.glob(f"{folder}/spots*") and not glob.glob(f"{folder}/raw*")
 
 
+def test_the_daily_table_shuffles_events_and_not_its_cells(spark, tmp_path):
+    events = 6000
+    spark.range(events).selectExpr("id as event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 600) as ts", "id % 1500 as user_id").write.parquet(f"{tmp_path}/events.parquet")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before, t = shuffled(), tables.Tables(spark, str(tmp_path))
+    found = t.daily
+    assert shuffled() - before < 200 * events
+    want = baselines.region_daily(t.spots)
+    assert found.columns == want.columns and found.count() > 10 * events
+    assert found.exceptAll(want).count() == want.exceptAll(found).count() == 0
+
+
+def test_half_hours_have_all_their_spots(spark, data_dir, tmp_path):
+    # Events on both sides of a half hour, one half hour with most of them, some before 1970 and some without a time.
+    late = "case when event_id % 4 = 0 then ts when event_id % 9 = 0 then null when event_id % 7 = 0 then timestamp_ntz '1969-12-31 23:59:30' else timestamp_ntz '2024-01-05 11:29:01' + make_dt_interval(0, 0, 0, event_id % 60) end"
+    spark.read.parquet(f"{data_dir}/events.parquet").where("event_id < 200").withColumn("ts", F.expr(late)).write.parquet(f"{tmp_path}/events.parquet")
+    want = spots(spark, str(tmp_path))
+    daily = baselines.region_daily(prepared(want))
+    for most, parts in ((1 << 17, 1), (40, 2)):
+        found = spots_by_half_hour(spark, str(tmp_path), most)
+        assert len(found) == parts
+        whole = found[0] if parts == 1 else found[0].unionByName(found[1])
+        assert whole.where("not half <=> cast(floor(t / 1800) as bigint)").count() == 0
+        whole = whole.select(want.columns)
+        assert whole.exceptAll(want).count() == want.exceptAll(whole).count() == 0
+        cells = baselines.region_daily(prepared(found[0], None, "half"), "half")
+        cells = cells if parts == 1 else cells.unionByName(baselines.region_daily(prepared(found[1])))
+        assert cells.exceptAll(daily).count() == daily.exceptAll(cells).count() == 0
+
+
 def test_a_window_has_all_its_spots(spark, data_dir):
     i = Inputs(spark, data_dir)
     whole = prepared(spots(spark, data_dir))
