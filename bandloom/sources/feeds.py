@@ -41,8 +41,9 @@ def read_rbn(lines: DataFrame) -> DataFrame:
     without white space on either side; dB may stand right behind the number.
     """
     words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.upper("line"), ":", " : "), "(?<=[0-9])DB\\b", " DB")), r"\s+")
-    w = lines.select("observed_at", words.alias("w")).where("size(w) >= 9 and w[0] = 'DX' and w[1] = 'DE' and w[3] = ':' and w[8] = 'DB'")
-    out = w.select("observed_at", F.col("w")[2].alias("sc"), F.col("w")[4].alias("khz"), F.col("w")[5].alias("rc"), F.col("w")[6].alias("mode"), F.col("w")[7].alias("db"))
+    # A generator of one row splits a line once. Spark may test a line's other words before its number of words: get() is null where there are fewer.
+    w = lines.select("observed_at", F.inline(F.array(F.struct(words.alias("w"))))).where("get(w, 0) = 'DX' and get(w, 1) = 'DE' and get(w, 3) = ':' and get(w, 8) = 'DB'")
+    out = w.select("observed_at", *[F.get("w", F.lit(k)).alias(name) for k, name in ((2, "sc"), (4, "khz"), (5, "rc"), (6, "mode"), (7, "db"))])
     plain = lambda c, extra: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + extra, "") == ""
     numbered = F.regexp_replace("mode", "[0-9]+$", "")
     out = out.where(plain("sc", "-/#") & plain("rc", "-/") & (F.col("mode").isin(*RBN_MODES) | numbered.isin(*RBN_MODES[-2:])) & F.col("khz").rlike("^[0-9]") & F.col("db").rlike("^[0-9]+$"))

@@ -4,6 +4,7 @@ import pytest
 
 from bandloom.functions import classify
 from bandloom.operators import conditions
+from bandloom.plans.queries import QUERIES, Inputs
 from bandloom.plans.spots import prepared
 from bandloom.sources import archive, feeds
 from bandloom.streaming import live
@@ -64,3 +65,10 @@ def test_skimmer_lines(spark):
     lines = ["dx de ab1cd-#: 7012.5 xy2z CW 9dB 20 WPM", "DX de AB1CD : 3573 XY2Z/P FT8 12 DB", "DX de AB1CD:14070.15 XY2Z PSK31 7 dB", "DX de AB1CD: 14070 XY2Z PSKX 7 dB", "DX de A_1: 14000 XY2Z CW 7 dB", "DX de AB1CD: 0 XY2Z CW 7 dB", "DX de AB1CD: 14000 XY2Z CW -7 dB", "hello", None]
     found = feeds.read_rbn(spark.createDataFrame([(x, 5) for x in lines], "line string, observed_at long")).collect()
     assert sorted((r.sc, r.rc, r.freq_khz, r.mode, r.snr) for r in found) == [("AB1CD", "XY2Z", 14070.15, "PSK31", 7), ("AB1CD", "XY2Z/P", 3573.0, "FT8", 12), ("AB1CD-#", "XY2Z", 7012.5, "CW", 9)]
+
+
+def test_lines_of_few_words_that_are_made_of_spots(spark, data_dir):
+    # The words of such a line are tested before they are counted.
+    found = QUERIES["read_rbn"](spark, data_dir)
+    want = Inputs(spark, data_dir).raw.where("source = 'rbn' and spot_id % 11 <> 0").selectExpr("t", "concat(sc, '-#') as sc", "rc", "band", "abs(snr) as snr", "'CW' as mode")
+    assert found.count() > 0 and found.exceptAll(want).count() == want.exceptAll(found).count() == 0
