@@ -13,18 +13,23 @@ e = F.expr
 TTL = {"feed": 7 * 86400, "qrz": 30 * 86400, "negative": 7 * 86400}
 
 
+def entities(calls: DataFrame, exact: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Each distinct call of ``calls`` (call), but empty ones, with its entity as in resolve_dxcc(). ``calls`` are read once."""
+    c = calls.select("call").distinct().withColumn("u", e("upper(trim(call))")).where("u <> ''")
+    entity = F.struct("name", "continent", "lat", "lon", "primary_prefix")
+    cut = c.withColumn("token", F.explode(e("transform(sequence(1, length(u)), n -> substr(u, 1, n))"))).join(prefixes.select("token", entity.alias("entity")), "token", "left")
+    longest = cut.groupBy("call", "u").agg(F.max_by("entity", F.when(F.col("entity").isNotNull(), F.length("token"))).alias("by_prefix"))
+    whole = longest.join(exact.select(F.col("token").alias("u"), entity.alias("by_call")), "u", "left")
+    return whole.withColumn("x", F.coalesce("by_call", "by_prefix")).select("call", "x.*")
+
+
 def resolve_dxcc(calls: DataFrame, exact: DataFrame, prefixes: DataFrame, iso: DataFrame | None = None) -> DataFrame:
     """``calls`` (call) with the entity of the exact call, else of its longest known prefix; null without either.
 
     ``exact`` and ``prefixes`` have token, name, continent, lat, lon and primary_prefix; ``iso`` has primary_prefix and iso2.
     A call is joined by all its prefixes, so the join is one of equal keys.
     """
-    c = calls.select("call").distinct().withColumn("u", e("upper(trim(call))")).where("u <> ''")
-    entity = F.struct("name", "continent", "lat", "lon", "primary_prefix")
-    whole = c.join(exact.select(F.col("token").alias("u"), entity.alias("by_call")), "u", "left")
-    cut = c.withColumn("token", F.explode(e("transform(sequence(1, length(u)), n -> substr(u, 1, n))"))).join(prefixes.select("token", entity.alias("entity")), "token")
-    longest = cut.groupBy("u").agg(F.max_by("entity", F.length("token")).alias("by_prefix"))
-    out = whole.join(longest, "u", "left").withColumn("x", F.coalesce("by_call", "by_prefix")).select("call", "x.*")
+    out = entities(calls, exact, prefixes)
     if iso is not None:
         out = out.join(iso, "primary_prefix", "left")
     return calls.join(out, "call", "left")
@@ -33,7 +38,7 @@ def resolve_dxcc(calls: DataFrame, exact: DataFrame, prefixes: DataFrame, iso: D
 def resolve_qth(qths: DataFrame, exact: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(qth, locator, anchor, origin): a locator as it is, a call by the centre of its entity (unless that is 0, 0)."""
     q = qths.select("qth", e(grid.normalize_locator("qth")).alias("own"))
-    found = resolve_dxcc(q.where("own = ''").select(F.col("qth").alias("call")), exact, prefixes).select(F.col("call").alias("qth"), "lat", "lon").distinct()
+    found = entities(q.where("own = ''").select(F.col("qth").alias("call")), exact, prefixes).select(F.col("call").alias("qth"), "lat", "lon").distinct()
     out = q.join(found, "qth", "left").withColumn("by_entity", e(f"case when not (lat = 0 and lon = 0) then {grid.locator_at('lat', 'lon')} end"))
     out = out.withColumn("locator", e("coalesce(nullif(own, ''), by_entity)"))
     return out.select("qth", "locator", e(f"case when locator is not null then {grid.cluster_anchor('locator')} end").alias("anchor"), e("case when own <> '' then 'locator' when by_entity is not null then 'entity' else 'unknown' end").alias("origin"))

@@ -152,3 +152,18 @@ def test_names_are_made_of_distinct_ends(spark, data_dir):
     lines = plan(queries.classified_names(Inputs(spark, data_dir))).splitlines()
     at = next(k for k, x in enumerate(lines) if "Generate" in x and "explode(CASE" in x)
     assert any("Aggregate" in x for x in lines[at:])
+
+
+def test_stations_are_found_among_names_that_are_made_once(spark, data_dir, tmp_path):
+    found = QUERIES["resolve_dxcc"](spark, data_dir)
+    assert "event_id" not in plan(found)  # spots are made for the table of names alone
+    p = Inputs(spark, data_dir).spots.selectExpr("inline(array(named_struct('qth', sc), named_struct('qth', rc), named_struct('qth', s4)))").distinct()
+    names = found.select("qth")
+    assert names.exceptAll(p).count() == p.exceptAll(names).count() == 0
+    spark.createDataFrame([(x,) for x in ("S1A", "S1A", "S1B", "AB1", " x", "", None, "JO32")], "qth string").write.parquet(f"{tmp_path}/names")
+    stations = "token string, name string, continent string, lat double, lon double, primary_prefix string"
+    exact = spark.createDataFrame([("S1B", "Isle", "OC", -20.0, 150.0, "I")], stations)
+    prefixes = spark.createDataFrame([("S", "Land", "EU", 50.0, 10.0, "S"), ("S1", "Land 1", "NA", 40.0, -75.0, "S1"), ("X", "Nowhere", "EU", 0.0, 0.0, "X")], stations)
+    got = callsigns.resolve_qth(spark.read.parquet(f"{tmp_path}/names"), exact, prefixes)
+    assert plan(got).count("FileScan") == 2  # the names themselves, and once for their entities
+    assert sorted(map(repr, ((r.qth, r.locator, r.origin) for r in got.collect()))) == sorted(map(repr, [("S1A", "FN20", "entity"), ("S1A", "FN20", "entity"), ("S1B", "QH50", "entity"), ("AB1", None, "unknown"), (" x", None, "unknown"), ("", None, "unknown"), (None, None, "unknown"), ("JO32", "JO32", "locator")]))
