@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from bandloom.operators import almanac, baselines, callsigns
 from bandloom.plans import jobs, queries, tables
 from bandloom.plans.queries import QUERIES, Inputs
-from bandloom.plans.spots import prepared, spots, spots_by_half_hour
-from bandloom.streaming import live
+from bandloom.plans.spots import SPOT_SCHEMA, prepared, spots, spots_by_half_hour
+from bandloom.streaming import live, maintain
 
 
 def plan(df):
@@ -167,3 +167,34 @@ def test_stations_are_found_among_names_that_are_made_once(spark, data_dir, tmp_
     got = callsigns.resolve_qth(spark.read.parquet(f"{tmp_path}/names"), exact, prefixes)
     assert plan(got).count("FileScan") == 2  # the names themselves, and once for their entities
     assert sorted(map(repr, ((r.qth, r.locator, r.origin) for r in got.collect()))) == sorted(map(repr, [("S1A", "FN20", "entity"), ("S1A", "FN20", "entity"), ("S1B", "QH50", "entity"), ("AB1", None, "unknown"), (" x", None, "unknown"), ("", None, "unknown"), (None, None, "unknown"), ("JO32", "JO32", "locator")]))
+
+
+def test_maintained_tables_need_no_stored_archive(spark, data_dir, tmp_path):
+    spark.read.parquet(f"{data_dir}/events.parquet").coalesce(1).write.parquet(f"{tmp_path}/folder/events.parquet")
+    os.mkdir(f"{tmp_path}/file")
+    os.link(glob.glob(f"{tmp_path}/folder/events.parquet/part-*")[0], f"{tmp_path}/file/events.parquet")
+    for place in (f"{tmp_path}/folder", f"{tmp_path}/file"):
+        state = tables.Tables(spark, place).state
+        found = QUERIES["maintained_baseline"](spark, place)
+        assert not glob.glob(f"{tables.shared_root(spark).removeprefix('file:').replace('///', '/')}/bandloom/tables/{state}/raw*")
+        want = baselines.global_baseline(prepared(spots(spark, place))).select(found.columns)
+        assert found.count() > 0 and found.exceptAll(want).count() == want.exceptAll(found).count() == 0
+
+
+def test_a_batch_of_untidy_spots_counts_as_its_spots_do(spark, tmp_path):
+    ends, times_ = ["JO32", " jo32ab ", "FN45", "", None, "ZZ99", "jo", "KK11"], [0, 1_000_000, 1_003_599, None, 86_400 * 30]
+    given = ["mqtt", " WSPR ", "", None, "rbn", "odd/one=1", "Wspr"]
+    rows = []
+    for k in range(2400):  # of two spots of one number one may be late
+        t = times_[k % 5]
+        rows.append((k // 2, t, (t or 0) + (30, 90_000, -700, None)[k % 4] if k % 4 < 3 else None, ends[k % 8], ends[k // 8 % 8], f" s{k % 9}", f"r{k % 7} ", ["20m", " 40M", "15", "", None, "70cm"][k // 3 % 6], k % 50 - 30 if k % 19 else None, given[k // 5 % 7], ["FT8", " ft4", None, "CW"][k // 2 % 4], k % 3))
+    batch = spark.createDataFrame(rows, SPOT_SCHEMA)
+    for _ in range(2):  # a batch that runs again replaces what it wrote
+        maintain.write_batch(str(tmp_path))(batch, 3)
+    p = prepared(batch)
+    wanted = {"global_baseline": baselines.global_baseline(p), "cluster_baseline": baselines.cluster_baseline(p), "region_daily": baselines.region_daily(prepared(maintain.timely(batch))), "wspr_daily": baselines.wspr_daily(p), "source_daily": baselines.source_daily(p)}
+    assert set(wanted) == set(maintain.TABLES)
+    for name, want in wanted.items():
+        found = maintain.read_table(spark, str(tmp_path), name).select(want.columns)
+        assert found.count() > 0 and found.exceptAll(want).count() == want.exceptAll(found).count() == 0, name
+    assert spark.read.parquet(f"{tmp_path}/raw").count() == len(rows)
